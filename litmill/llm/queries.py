@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from litmill.llm import sentencepiece_codec
+from litmill.llm import sentencepiece_codec, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_simhash": simhash.op5_simhash,
     "op10_sentencepiece": sentencepiece_codec.op10_sentencepiece,
 }
 
