@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from litmill.llm import mixing, sentencepiece_codec, simhash
+from litmill.llm import mixing, ppm, sentencepiece_codec, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash": simhash.op5_simhash,
+    "op6_ppm": ppm.op6_ppm,
     "op7_mixing": mixing.op7_mixing,
     "op10_sentencepiece": sentencepiece_codec.op10_sentencepiece,
 }
