@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from litmill.llm import mixing, pii, ppm, sentencepiece_codec, simhash
+from litmill.llm import mixing, pii, ppm, sentencepiece_codec, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op4_pii": pii.op4_pii,
     "op5_simhash": simhash.op5_simhash,
     "op6_ppm": ppm.op6_ppm,
