@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from litmill.llm import mixing, pii, ppm, sentencepiece_codec, simhash, toxicity
+from litmill.llm import chat, mixing, pii, ppm, sentencepiece_codec, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op2_chat": chat.op2_chat,
     "op4_pii": pii.op4_pii,
     "op5_simhash": simhash.op5_simhash,
     "op6_ppm": ppm.op6_ppm,
@@ -17,4 +18,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sentencepiece": sentencepiece_codec.op10_sentencepiece,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_chat": chat.OP2_SQL,
+}
