@@ -38,13 +38,14 @@ ORDER = 5
 #: Symbols: 0 before a text, bytes plus 1, the end. In 9 bits each, a gram is the symbol with its context above it.
 WIDTH, END, SYMBOLS = 9, 257, 257
 BROADCAST_GRAMS = 6_000_000
-FREQUENT = 5e-6
+FREQUENT = 2e-6
 #: Positions and words that a task gathers before it sums them, and distinct ones before it passes them on.
 GATHER, HOLD = 1 << 21, 4_000_000
 HOLD_WORDS = 300_000
 #: Documents that are scored at a time.
 AT_ONCE = 128
 GRAM, WORD, DOCS = 0, 1, 2
+_NO_WORD, _ONE = np.zeros(1, np.int64), np.ones(1, np.int64)
 
 
 def grams_of(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,6 +82,14 @@ def word_hash(word: bytes) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def words_of(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a text's distinct words, and how often each is there."""
+    from xxhash import xxh64_intdigest
+
+    seen = Counter(text.lower().split())
+    return np.fromiter(map(xxh64_intdigest, seen), np.uint64, len(seen)).view(np.int64), np.fromiter(seen.values(), np.int64, len(seen))
+
+
 def _in_training(key, folds: int, held: int) -> bool:
     return key is not None and zlib.crc32(str(key).encode()) % folds != held
 
@@ -289,7 +298,7 @@ def _scalars(docs: DataFrame, score, frequent, folds: int, held: int, key: str,
 
     def run(batches):
         tables = score.value if score else None
-        known, (end_base, end_known) = frequent.value
+        hashes, values, end_base, end_known = frequent.value
         for batch in batches:
             for at in range(0, batch.num_rows, AT_ONCE):
                 part = batch.slice(at, AT_ONCE)
@@ -297,11 +306,11 @@ def _scalars(docs: DataFrame, score, frequent, folds: int, held: int, key: str,
                 texts = [(t or "").encode("utf-8") for t in part.column(1).to_pylist()]
                 n, got, base = [], [], []
                 for t in texts:
-                    w = t.lower().split()
-                    hits = [x for x in map(known.__getitem__, w) if x is not None]
-                    n.append(len(w) + 1)
-                    got.append(len(hits) + end_known)
-                    base.append(math.fsum(hits) + end_base)
+                    w, c = words_of(t)
+                    place, hit = _find(hashes, w)
+                    n.append(int(c.sum()) + 1)
+                    got.append(int(c[hit].sum()) + end_known)
+                    base.append(float((values[place[hit]] * c[hit]).sum()) + end_base)
                 found = tables.log10(texts) if tables is not None else np.full(len(texts), np.nan)
                 marks = [not _in_training(k, folds, held) for k in keys]
                 cols = [part.column(0), pa.array([word_hash(t) for t in texts], pa.int64()), pa.array(marks), pa.array(n, pa.int64()), pa.array(got, pa.int64()), pa.array(base, pa.float64()), pa.array(found)]
@@ -315,21 +324,26 @@ def _rare_words(docs: DataFrame, frequent, key: str, text: str) -> DataFrame:
     """key, th, word, n: the words that are not frequent, summed in each document; a row with a null word marks each row of docs."""
 
     def run(batches):
-        known = frequent.value[0]
+        hashes = frequent.value[0]
         for batch in batches:
             for at in range(0, batch.num_rows, AT_ONCE):
                 part = batch.slice(at, AT_ONCE)
-                keys, where, words, counts = [], [], [], []
-                for i, t in enumerate(part.column(1).to_pylist()):
+                where, lengths, words, counts = [], [], [], []
+                for t in part.column(1).to_pylist():
                     b = (t or "").encode("utf-8")
-                    seen = Counter(w for w in b.lower().split() if known[w] is None)
-                    keys.extend([i] * (len(seen) + 1))
-                    where.extend([word_hash(b)] * (len(seen) + 1))
-                    words.append(None)
-                    words.extend(map(word_hash, seen))
-                    counts.append(1)
-                    counts.extend(seen.values())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keys, pa.int32())), pa.array(where, pa.int64()), pa.array(words, pa.int64()), pa.array(counts, pa.int64())], names=["key", "th", "word", "n"])
+                    w, c = words_of(b)
+                    rare = ~_find(hashes, w)[1]
+                    where.append(word_hash(b))
+                    words += [_NO_WORD, w[rare]]
+                    counts += [_ONE, c[rare]]
+                    lengths.append(1 + int(rare.sum()))
+                lengths = np.array(lengths)
+                first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+                all_ = np.concatenate(words)
+                mark = np.zeros(len(all_), bool)
+                mark[first] = True
+                cols = [part.column(0).take(pa.array(np.repeat(np.arange(len(lengths)), lengths))), pa.array(np.repeat(np.array(where, np.int64), lengths)), pa.array(all_, mask=mark), pa.array(np.concatenate(counts))]
+                yield pa.RecordBatch.from_arrays(cols, names=["key", "th", "word", "n"])
 
     return docs.select(F.col(key).alias("key"), text).mapInArrow(run, f"key {dict(docs.dtypes)[key]}, th bigint, word bigint, n bigint")
 
@@ -388,8 +402,9 @@ def score(docs: DataFrame, *, order: int = ORDER, folds: int = 10, held: int = 0
     norm = math.log10(tokens + 0.1 * (distinct + 1))
     words = counted.where(F.col("kind") == WORD)
     # No more words than 1 / frequent_share can have that share of all tokens.
-    common = {int(k): math.log10(n + 0.1) - norm for k, n in words.where(F.col("n") >= frequent_share * tokens).select("key", "n").collect()}
-    frequent = spark.sparkContext.broadcast((_Frequent(common), (math.log10(trained + 0.1) - norm, int(trained > 0))))
+    common = words.where(F.col("n") >= frequent_share * tokens).select("key", "n").toArrow().sort_by("key")
+    values = np.log10(common["n"].to_numpy() + 0.1) - norm
+    frequent = spark.sparkContext.broadcast((common["key"].to_numpy(), values, math.log10(trained + 0.1) - norm, int(trained > 0)))
     sent = None
     if n_grams <= broadcast_grams:
         got = counted.where(F.col("kind") == GRAM).select("key", "n").toArrow()
@@ -414,24 +429,5 @@ def score(docs: DataFrame, *, order: int = ORDER, folds: int = 10, held: int = 0
     )
 
 
-class _Frequent(dict):
-    """Word to the value of its hash, or None; remembers a bounded number of words."""
-
-    REMEMBER = 300_000
-
-    def __init__(self, by_hash: dict[int, float]):
-        super().__init__()
-        self.by_hash = by_hash
-
-    def __missing__(self, word: bytes) -> float | None:
-        if len(self) >= self.REMEMBER:
-            self.clear()
-        self[word] = found = self.by_hash.get(word_hash(word))
-        return found
-
-    def __reduce__(self):
-        return _Frequent, (self.by_hash,)
-
-
 def op6_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"))
