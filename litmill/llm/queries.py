@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from litmill.llm import chat, mixing, pii, ppm, sentencepiece_codec, simhash, toxicity
+from litmill.llm import chat, line_dedup, mixing, pii, ppm, sentencepiece_codec, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_chat": chat.op2_chat,
+    "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_pii": pii.op4_pii,
     "op5_simhash": simhash.op5_simhash,
     "op6_ppm": ppm.op6_ppm,
@@ -20,4 +21,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_chat": chat.OP2_SQL,
+    "op3_line_dedup": line_dedup.OP3_SQL,
 }
