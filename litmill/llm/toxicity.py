@@ -303,7 +303,7 @@ def _entries(found: list[tuple[str, bool, int, int]], all0: int, all1: int) -> l
         kept[best] = (True, _weight(*stems[best], all0, all1))
     for w, s, n0, n1 in found:
         if not s:
-            covered = next((w[:n] for n in range(len(w), 0, -1) if w[:n] in kept), None)
+            covered = next((w[:n] for n in range(len(w), 0, -1) if kept.get(w[:n], (False,))[0]), None)
             if covered is None:
                 kept[w] = (False, _weight(n0, n1, all0, all1))
             elif n1 >= 0.5 * stems[covered][1] and len(w) <= len(covered) + 3 and w != covered:
