@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from litmill.llm._base import materialise, table
 
@@ -204,6 +205,8 @@ def nearest(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding
     held = placed.select("id", "v", "cell", F.pmod(F.xxhash64("id"), n_of[F.col("cell")]).alias("block"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(query_parts - 1).cast("bigint"))).alias("part"))
     queries = placed.where(is_query).groupBy("id").agg(F.min(F.struct("v", "home")).alias("x")).select("id", "x.v", "x.home")
 
+    id_type = to_arrow_type(vectors.schema[key].dataType)
+
     def run(asked: DataFrame) -> DataFrame:
         """asked: id, v, cell, reach. Every block of the cell is searched."""
         dealt = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), n_of[F.col("cell")].cast("bigint") - 1))).withColumn("part", part_of("id"))
@@ -214,8 +217,8 @@ def nearest(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding
                 a, b, s = search_block(sent.value[0], ids, _matrix(left["v"], length), qids, _matrix(right["v"], length), right["reach"].to_numpy(), k)
                 ids, qids = ids[b], qids[a]
             else:
-                ids, qids, s = [], [], []
-            kinds = [left.schema.field("id").type, left.schema.field("id").type, pa.float64()]
+                ids, qids, s = [], [], []  # a side without rows has no columns
+            kinds = [id_type, id_type, pa.float64()]
             return pa.table([pa.array(c, t) for c, t in zip((qids, ids, s), kinds, strict=True)], names=["query_id", "vec_id", "score"])
 
         keys = ["cell", "block", "part"]

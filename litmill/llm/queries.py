@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from litmill.llm import chat, line_dedup, mixing, neighbours, pii, ppm, sentencepiece_codec, simhash, toxicity
+from litmill.llm import chat, chroma, line_dedup, mixing, neighbours, pii, ppm, sentencepiece_codec, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_ppm": ppm.op6_ppm,
     "op7_mixing": mixing.op7_mixing,
     "op8_neighbours": neighbours.op8_neighbours,
+    "op9_chroma": chroma.op9_chroma,
     "op10_sentencepiece": sentencepiece_codec.op10_sentencepiece,
 }
 
