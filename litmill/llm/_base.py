@@ -54,17 +54,22 @@ def materialise(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
     session = spark or df.sparkSession
     context = session.sparkContext
     if context.getCheckpointDir() is None:
-        folder = session.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="litmill-checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(session))
     return df.checkpoint(eager=True)
 
 
 def fold(column: str, parts: int):
     """crc32 of the column as text, modulo ``parts``: the folds that the contracts name."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % parts
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that the driver and all executors share: the one the cluster names, or in local mode a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        import tempfile
+
+        folder = tempfile.mkdtemp(prefix="litmill-shared-")
+    return folder

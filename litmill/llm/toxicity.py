@@ -392,6 +392,19 @@ def score(docs: DataFrame, lexicon: Lexicon, *, key: str = "doc_id", text: str =
     return found.select(key, "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_hits", "n_misspelt")
 
 
+def reject(docs: DataFrame, lexicon: Lexicon, *, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows that are not toxic, with all their columns; no row is moved."""
+    sent = docs.sparkSession.sparkContext.broadcast(lexicon)
+
+    def run(batches):
+        lex = sent.value
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text))
+            yield batch.filter(pa.array([lex.score(lex.evidence(t.as_py() or "")[0]) < threshold for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = score(docs, learn(docs, table(spark, sf_dir, "labels")))
