@@ -30,9 +30,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 from litmill.llm._base import materialise, table
 
 DIMS, SURE, SEED = 8, 0.97, 11
-BLOCK, LEAF, QUERIES, SAMPLE, CELLS = 2048, 128, 16_384, 20_000, 2_048
+BLOCK, LEAF, QUERIES, SAMPLE, CELLS = 8192, 128, 16_384, 20_000, 2_048
 #: Queries whose products with a block are held at once.
-AT_ONCE = 512
+AT_ONCE = 256
 
 
 def chi_square(x: np.ndarray, dims: int = DIMS) -> np.ndarray:
@@ -138,7 +138,8 @@ def search_block(projection: Projection, ids: np.ndarray, x: np.ndarray, qids: n
                 best[rows] = -np.partition(-np.concatenate([best[rows], got], axis=1), k - 1, axis=1)[:, :k]
                 least = best[rows].min(axis=1)
                 d_k[rows] = np.minimum(d_k[rows], np.where(np.isfinite(least), projection.squared(q2[rows], np.where(np.isfinite(least), least, 0)), np.inf))
-        least = best.min(axis=1)
+        # What is farther than the k-th best that is known already is not passed on.
+        least = np.maximum(best.min(axis=1), np.where(np.isfinite(reach[first : first + AT_ONCE]), (q2 + projection.norm2 - reach[first : first + AT_ONCE]) / 2, -np.inf))
         a, b = np.nonzero((product >= np.where(np.isfinite(least), least - 1e-9, -np.inf)[:, None]) & np.isfinite(product))
         exact = np.empty(len(a))
         for s in range(0, len(a), 1 << 14):  # summed in one order for every row, so that equal vectors tie
