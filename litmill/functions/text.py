@@ -151,10 +151,10 @@ def record_date(publication_date: Column, year: Column) -> Column:
 
     def made(pattern: str, parts: int) -> Column:
         got = [F.regexp_extract(text, pattern, i + 1) for i in range(parts)] + [F.lit("1")] * (3 - parts)
-        return F.when(text.rlike(pattern), F.try_to_date(F.concat_ws("-", *got), F.lit("y-M-d")))
+        return F.when(text.rlike(pattern), F.try_to_date(F.concat_ws("-", *got), "y-M-d"))
 
     first = F.regexp_extract(text, "((?:19|20)[0-9]{2})", 1)
-    of_year = F.when(y != "", F.try_to_date(F.lpad(year_of(y).cast("string"), 4, "0"), F.lit("yyyy"))).when(first != "", F.try_to_date(first, F.lit("yyyy")))
+    of_year = F.when(y != "", F.try_to_date(F.lpad(year_of(y).cast("string"), 4, "0"), "yyyy")).when(first != "", F.try_to_date(first, "yyyy"))
     return F.coalesce(made(whole, 3), made(month, 2), of_year)
 
 

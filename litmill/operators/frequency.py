@@ -52,7 +52,7 @@ def crosstab(df: DataFrame, rows: str, columns: str, values: Sequence[str] | Non
     """Counts by row and column label, 0 where there are none; columns are those given, or those that occur, in order."""
     if values is None:
         values = [r[0] for r in df.select(columns).where(F.col(columns).isNotNull()).distinct().orderBy(columns).limit(10_000).collect()]
-    return df.groupBy(rows).pivot(columns, list(values)).agg(F.count("*")).na.fill(0).orderBy(rows)
+    return df.groupBy(rows).pivot(columns, list(values)).agg(F.count(F.lit(1))).na.fill(0).orderBy(rows)
 
 
 def top_crosstab(df: DataFrame, rows: str, columns: str, k: int = 8) -> DataFrame:
@@ -64,7 +64,7 @@ def top_crosstab(df: DataFrame, rows: str, columns: str, k: int = 8) -> DataFram
     keep_rows, keep_columns = largest(rows), largest(columns)
     order = F.array_position(F.array(*map(F.lit, keep_rows)), F.col(rows)) if keep_rows else F.lit(0)
     kept = df.where(F.col(rows).isin(*keep_rows))
-    return kept.groupBy(rows).pivot(columns, keep_columns).agg(F.count("*")).na.fill(0).orderBy(order)
+    return kept.groupBy(rows).pivot(columns, keep_columns).agg(F.count(F.lit(1))).na.fill(0).orderBy(order)
 
 
 def summary(df: DataFrame, column: str, *keys: str, at: Sequence[float] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:

@@ -1,16 +1,621 @@
-"""Queries over the test tables, with the SQL that they must agree with."""
+"""Queries over the test tables, with the SQL that they must agree with.
+
+Each exercises operators of the package on whole tables; the names of their columns are those of the SQL.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").agg(F.count("*").alias("n"))
-
+from litmill.functions import text as T
+from litmill.operators import agreement, coding, dedupe, enrich, frequency, landscape, sampling, semantic
+from litmill.operators import relations as R
+from litmill.operators import vocabulary as V
+from litmill.operators.rules import Rule, RuleSet, has, rule_table
+from litmill.sources import files, services
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def records(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as bibliographic records."""
+    d = table(spark, sf, "documents")
+    return d.select(
+        F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("record_id"), "doc_id", F.split("text", "\n")[0].alias("title"),
+        F.col("text").alias("abstract"), (F.lit(1990) + F.col("doc_id") % 37).cast("int").alias("year"), F.col("source").alias("database"), "lang",
+    )
+
+
+#: The same view in SQL.
+RECORDS = """records AS (SELECT 'doc_' || doc_id AS record_id, doc_id, string_split(text, chr(10))[1] AS title, text AS abstract,
+  CAST(1990 + doc_id % 37 AS INTEGER) AS year, source AS database, lang FROM documents)"""
+TITLE = "trim(regexp_replace(lower(coalesce(title, '')), '[^a-z0-9]+', ' ', 'g'))"
+#: Rules on function words, which the texts have, in place of those on a field's terms.
+OWN_SCREEN = RuleSet(
+    (
+        Rule("exclude", ~has("text", "the ", " la ", " der ", " le "), ("no known function word", "high")),
+        Rule("exclude", has("text", "license", "licensed"), ("licence", "high")),
+        Rule("exclude", has("text", "http", "www") & ~has("text", "example"), ("link", "medium")),
+        Rule("unclear", has("text", "!!", "%%%", "###"), ("noise", "low")),
+    ),
+    ("include", "", "medium"),
+    ("decision", "reason", "confidence"),
+)
+SCREEN_SQL = """CASE WHEN NOT (contains(t, 'the ') OR contains(t, ' la ') OR contains(t, ' der ') OR contains(t, ' le ')) THEN {0}
+  WHEN contains(t, 'license') OR contains(t, 'licensed') THEN {1} WHEN (contains(t, 'http') OR contains(t, 'www')) AND NOT contains(t, 'example') THEN {2}
+  WHEN contains(t, '!!') OR contains(t, '%%%') OR contains(t, '###') THEN {3} ELSE {4} END"""
+BLOB = "lower(coalesce(title, '') || chr(10) || coalesce(abstract, ''))"
+
+
+def screened(spark: SparkSession, sf: str) -> DataFrame:
+    r = records(spark, sf)
+    return r.select("record_id", OWN_SCREEN.first({"text": T.blob(F.col("title"), F.col("abstract"))}).alias("d")).select("record_id", "d.*")
+
+
+SCREENED = f"""screened AS (SELECT record_id,
+  {SCREEN_SQL.format("'exclude'", "'exclude'", "'exclude'", "'unclear'", "'include'")} AS decision,
+  {SCREEN_SQL.format("'no known function word'", "'licence'", "'link'", "'noise'", "''")} AS reason,
+  {SCREEN_SQL.format("'high'", "'high'", "'medium'", "'low'", "'medium'")} AS confidence
+  FROM (SELECT record_id, {BLOB} AS t FROM records))"""
+
+
+@query(f"WITH {RECORDS}, {SCREENED}, k AS (SELECT record_id, row_number() OVER (PARTITION BY {TITLE} || '::' || year ORDER BY database, doc_id) AS n FROM records) "
+       "SELECT decision, count(*) AS n, round_even(count(*) * 100.0 / sum(count(*)) OVER (), 1) AS percent FROM screened JOIN k USING (record_id) WHERE n = 1 GROUP BY decision")
+def flagship(spark, sf):
+    r = dedupe.deduplicate(records(spark, sf).withColumn("doi", F.lit(None).cast("string")), F.col("doc_id"))
+    kept = r.select("record_id", OWN_SCREEN.first({"text": T.blob(F.col("title"), F.col("abstract"))})["decision"].alias("decision"))
+    return frequency.frequencies(kept, "decision")
+
+
+@query(f"WITH {RECORDS} SELECT record_id, {TITLE} || '::' || year AS dedupe_key, row_number() OVER (PARTITION BY {TITLE} || '::' || year ORDER BY database, doc_id) AS duplicate_rank FROM records")
+def dedupe_rank(spark, sf):
+    return dedupe.rank_duplicates(records(spark, sf), F.col("doc_id")).select("record_id", "dedupe_key", F.col("duplicate_rank").cast("bigint").alias("duplicate_rank"))
+
+
+@query(f"WITH {RECORDS}, k AS (SELECT row_number() OVER (PARTITION BY {TITLE} || '::' || year ORDER BY database, doc_id) AS n FROM records) "
+       "SELECT count(*) AS combined_records, count(*) FILTER (n = 1) AS deduplicated_records, count(*) FILTER (n > 1) AS duplicates_removed FROM k")
+def dedupe_summary(spark, sf):
+    return dedupe.audit(dedupe.rank_duplicates(records(spark, sf), F.col("doc_id")))
+
+
+@query("SELECT page_id, replace(replace(lower(trim(coalesce('https://doi.org/' || url, ''))), 'https://doi.org/', ''), 'http://doi.org/', '') AS norm_doi FROM pages")
+def normal_doi(spark, sf):
+    return table(spark, sf, "pages").select("page_id", T.normal_doi(F.concat(F.lit("https://doi.org/"), F.col("url"))).alias("norm_doi"))
+
+
+@query("SELECT page_id, coalesce(nullif(regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), ''), 'unnamed') AS slug FROM pages")
+def slug(spark, sf):
+    return table(spark, sf, "pages").select("page_id", T.slug(F.col("url")).alias("slug"))
+
+
+@query("SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
+def latest_per_key(spark, sf):
+    return R.latest(table(spark, sf, "events"), ("user_id", "event_type"), F.col("ts"), F.col("event_id")).select("user_id", "event_type", "event_id", "value")
+
+
+@query("WITH e AS (SELECT *, CAST(event_id % 2 AS INTEGER) AS fresh FROM events) SELECT user_id, event_type, event_id FROM e QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY fresh DESC, event_id DESC) = 1")
+def upsert_keep_last(spark, sf):
+    e = table(spark, sf, "events")
+    return R.upsert(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), ("user_id", "event_type"), F.col("event_id")).select("user_id", "event_type", "event_id")
+
+
+@query("SELECT c_custkey AS key, c_name AS name, c_mktsegment AS segment FROM customer UNION ALL SELECT s_suppkey, s_name, NULL FROM supplier")
+def union_by_name(spark, sf):
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    return R.stack([c, table(spark, sf, "supplier").select(F.col("s_name").alias("name"), F.col("s_suppkey").alias("key"))])
+
+
+@query(f"WITH {RECORDS}, {SCREENED} SELECT * FROM screened")
+def screen_first_match(spark, sf):
+    return screened(spark, sf)
+
+
+@query(f"WITH {RECORDS}, {SCREENED} SELECT decision, reason, count(*) AS n FROM screened GROUP BY decision, reason")
+def screen_summary(spark, sf):
+    return frequency.group_sizes(screened(spark, sf), "decision", "reason")
+
+
+def _or(terms, c="t"):
+    return "(" + " OR ".join(f"contains({c}, '{t}')" for t in terms) + ")"
+
+
+def _case(rules: dict, default: str, c="t") -> str:
+    return "CASE " + " ".join(f"WHEN {_or(terms, c)} THEN '{label}'" for label, terms in rules.items()) + f" ELSE '{default}' END"
+
+
+_PAIN = _case(V.PAIN_CATEGORIES | {"mixed or unspecified chronic pain": V.UNSPECIFIED_PAIN}, "unclear")
+_DATE = "make_date(1950 + CAST(p_size AS INTEGER) * 2, 1, 1)"
+#: Sentences made of a part's words and numbers, so that every rule of the bundled sets meets texts that it holds for.
+PHRASES = (
+    "A biopsychosocial model of chronic low back pain: a systematic review", "Bio-psycho-social treatment of neuropathic pain in adults, a scoping review",
+    "Rats and mice with persistent pain", "Children with headache: biopsychosocial review protocol", "Acute pain after surgery, a biopsychosocial review",
+    "Biopsychosocial coping, stress and depression in fibromyalgia: a network meta-analysis", "Editorial: biopsychosocial chronic pain", "Biopsychosocial care in chronic pain, family and work: an integrative review",
+    "Risk of bias of biopsychosocial chronic pain reviews", "Biopsychosocial chronic pain cohort",
+)
+
+
+def studies(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as records whose titles are made of the phrases."""
+    p = table(spark, sf, "part")
+    title = F.element_at(F.array(*map(F.lit, PHRASES)), (F.col("p_partkey") % len(PHRASES) + 1).cast("int"))
+    return p.select(F.col("p_partkey").alias("record_id"), title.alias("title"), F.concat_ws(". ", "p_name", "p_type").alias("abstract"), (F.lit(1950) + F.col("p_size") * 2).cast("int").alias("year"),
+                    F.lit("").alias("publication_date"), F.when(F.col("p_partkey") % 7 == 0, "fre").otherwise("eng").alias("language"), F.when(F.col("p_partkey") % 5 == 0, "Letter").otherwise("Journal Article").alias("publication_types"))
+
+
+_TITLES = "[" + ", ".join("'" + p.replace("'", "''") + "'" for p in PHRASES) + "]"
+STUDIES = f"""studies AS (SELECT *, lower(title || chr(10) || abstract) AS t FROM (SELECT p_partkey AS record_id, ({_TITLES})[p_partkey % {len(PHRASES)} + 1] AS title, concat_ws('. ', p_name, p_type) AS abstract,
+  {_DATE} AS day, CASE WHEN p_partkey % 7 = 0 THEN 'fre' ELSE 'eng' END AS language, CASE WHEN p_partkey % 5 = 0 THEN 'letter' ELSE 'journal article' END AS types FROM part))"""
+_BPS = _or(V.BPS_TERMS)
+_STEPS = [
+    (f"NOT {_BPS}", "exclude", "no biopsychosocial term in title/abstract", "high"), ("day > DATE '2026-03-31' OR day < DATE '1977-01-01'", "exclude", "outside operational search window", "high"),
+    ("contains(t, 'protocol') OR contains(types, 'protocol')", "exclude", "protocol", "high"), (f"{_or(V.COMMENTARY_TERMS, 'types')} OR {_or(V.COMMENTARY_TERMS)}", "exclude", "commentary/editorial/letter", "medium"),
+    (f"{_or(V.ANIMAL_TERMS)} AND NOT contains(t, 'human')", "exclude", "animal/non-human focus", "medium"), (f"{_or(V.PEDIATRIC_TERMS)} AND NOT {_or(V.ADULT_TERMS)}", "exclude", "pediatric-only focus", "medium"),
+    (f"contains(t, 'acute pain') AND NOT {_or(V.UNSPECIFIED_PAIN)}", "exclude", "acute pain focus", "medium"), (f"NOT {_or(V.CHRONIC_PAIN_TERMS)}", "exclude", "chronic pain focus unclear", "medium"),
+    ("language <> '' AND NOT contains(language, 'eng')", "exclude", "non-English record", "medium"), (f"NOT (contains(types, 'review') OR {_or(('review', 'meta-analysis', 'scoping'))})", "unclear", "review status unclear", "low"),
+]
+
+
+def _steps(i: int, last: str) -> str:
+    return "CASE " + " ".join(f"WHEN {s[0]} THEN '{s[i]}'" for s in _STEPS) + f" ELSE '{last}' END"
+
+
+@query(f"WITH {STUDIES} SELECT record_id, {_steps(1, 'include')} AS stage1_decision, {_steps(2, '')} AS stage1_reason, {_steps(3, 'medium')} AS stage1_confidence FROM studies")
+def stage1_rules(spark, sf):
+    return coding.screen(studies(spark, sf)).select("record_id", "stage1_decision", "stage1_reason", "stage1_confidence")
+
+
+@query(f"""WITH {STUDIES} SELECT record_id, {_PAIN} AS icd11_pain_category, {_case(V.OBJECTIVES, 'mixed')} AS objective_category, {_case(V.FUNCTIONS, 'unclear')} AS bps_function,
+  CASE WHEN {_or(V.BIO_TERMS)} THEN 'yes' ELSE 'no' END AS bio_mentioned, CASE WHEN {_or(V.PSYCH_TERMS)} THEN 'yes' ELSE 'no' END AS psych_mentioned,
+  CASE WHEN {_or(V.SOCIAL_TERMS)} THEN 'yes' ELSE 'no' END AS social_mentioned, CASE WHEN {_or(V.QUALITY_TERMS)} THEN 'yes' ELSE 'no' END AS quality_assessment_reported,
+  CASE {_PAIN} WHEN 'chronic secondary musculoskeletal pain' THEN 'yes' WHEN 'mixed or unspecified chronic pain' THEN 'unclear' ELSE 'no' END AS musculoskeletal_flag FROM studies""")
+def stage2_rules(spark, sf):
+    c = coding.code_by_rules(studies(spark, sf))
+    return c.select("record_id", "icd11_pain_category", "objective_category", "bps_function", "bio_mentioned", "psych_mentioned", "social_mentioned", "quality_assessment_reported", "musculoskeletal_flag")
+
+
+_TYPES = "CASE " + " ".join("WHEN regexp_matches(t || ' ' || types, '" + "|".join(p) + f"') THEN '{label}'" for label, p in V.REVIEW_TYPES.items()) + " ELSE 'other evidence synthesis' END"
+
+
+@query(f"WITH {STUDIES} SELECT record_id, {_TYPES} AS review_type, {_case(V.COLLAPSED_TYPES, 'other synthesis', _TYPES)} AS collapsed FROM studies")
+def review_type_cascade(spark, sf):
+    return coding.code_by_rules(studies(spark, sf)).select("record_id", "review_type", coding.collapse_review_type(F.col("review_type")).alias("collapsed"))
+
+
+@query(f"WITH {STUDIES} SELECT concept AS psychological_concept, count(*) AS n, round_even(count(*) * 100.0 / sum(count(*)) OVER (), 1) AS percent FROM (SELECT unnest(list_filter([{', '.join(f'CASE WHEN {_or(t)} THEN {k!r} END' for k, t in V.CONCEPTS.items())}], lambda x: x IS NOT NULL)) AS concept FROM studies) GROUP BY concept")
+def multilabel_concepts(spark, sf):
+    return frequency.label_counts(coding.code_by_rules(studies(spark, sf)), F.col("psychological_concepts_detected"), name="psychological_concept")
+
+
+_SAID = f"lower(trim(regexp_replace(regexp_replace(title || ' ' || abstract, '{V.LEXICAL_ONLY}', ' ', 'gi'), '\\s+', ' ', 'g')))"
+
+
+@query(f"WITH {STUDIES}, s AS (SELECT record_id, {_SAID} AS s FROM studies) SELECT record_id, " + ", ".join(f"CASE WHEN regexp_matches(s, '{'|'.join(p)}') THEN 'yes' ELSE 'no' END AS {d}_mentioned" for d, p in V.SUBSTANTIVE.items()) + " FROM s")
+def regex_domain_recode(spark, sf):
+    return coding.recode_domains(coding.code_by_rules(studies(spark, sf))).select("record_id", *(f"{d}_mentioned" for d in V.SUBSTANTIVE))
+
+
+@query("""WITH c AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'yes' ELSE 'no' END b, CASE WHEN p_partkey % 3 < 2 THEN 'yes' ELSE 'no' END p, CASE WHEN p_partkey % 5 < 4 THEN 'yes' ELSE 'no' END s,
+  ['explanatory framework', 'rhetorical label', 'conclusion', 'justification'][p_partkey % 4 + 1] f FROM part)
+  SELECT provisional_typology, count(*) AS n, round_even(count(*) * 100.0 / sum(count(*)) OVER (), 1) AS percent FROM (SELECT CASE WHEN b = 'yes' AND p = 'yes' AND s = 'yes' AND f IN ('explanatory framework', 'organizing principle') THEN 'potential integrative signal'
+  WHEN b = 'yes' AND p = 'yes' AND s = 'yes' THEN 'multifactorial signal' WHEN f LIKE '%rhetorical%' OR f IN ('background framing', 'conclusion') THEN 'rhetorical label signal' ELSE 'pseudo-bps or partial signal' END AS provisional_typology FROM c) GROUP BY 1""")
+def typology_counts(spark, sf):
+    k = F.col("p_partkey")
+    yes = lambda c: F.when(c, "yes").otherwise("no")
+    f = F.element_at(F.array(*map(F.lit, ("explanatory framework", "rhetorical label", "conclusion", "justification"))), (k % 4 + 1).cast("int"))
+    made = table(spark, sf, "part").select(coding.typology(yes(k % 2 == 0), yes(k % 3 < 2), yes(k % 5 < 4), f).alias("provisional_typology"))
+    return frequency.frequencies(made, "provisional_typology")
+
+
+@query("SELECT doc_id, coalesce(regexp_extract(trim(text), '(?s)^(.*?[.!?])(\\s|$)', 1), '') AS sentence FROM documents WHERE regexp_matches(trim(text), '[.!?](\\s|$)')")
+def first_sentence(spark, sf):
+    t = T.strip(T.blank(F.col("text")))
+    return table(spark, sf, "documents").where(t.rlike(r"[.!?](\s|$)")).select("doc_id", T.sentences(t)[0].alias("sentence"))
+
+
+@query(f"WITH {RECORDS} SELECT record_id, CASE WHEN length(title) <= 26 THEN title ELSE rtrim(substr(title, 1, 23)) || '...' END AS label FROM (SELECT record_id, trim(title) AS title FROM records)")
+def shorten_label(spark, sf):
+    return records(spark, sf).select("record_id", T.shorten(F.col("title"), 26).alias("label"))
+
+
+@query("SELECT doc_id, CAST(n AS INTEGER) AS words, CASE WHEN n < 250 THEN 'low_content' ELSE 'ok' END AS status FROM (SELECT doc_id, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS n FROM documents)")
+def word_count_low_content(spark, sf):
+    n = T.word_count(F.col("text"))
+    return table(spark, sf, "documents").select("doc_id", n.alias("words"), F.when(n < 250, "low_content").otherwise("ok").alias("status"))
+
+
+@query("""WITH o AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%Y/%m/%d') WHEN 1 THEN strftime(o_orderdate, '%Y-%m') WHEN 2 THEN strftime(o_orderdate, '%Y-%b-%d') WHEN 3 THEN '2021-02-30' ELSE '' END AS s, CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%Y') || '.0' WHEN 1 THEN '' ELSE 'n.d.' END AS y, o_orderdate AS d FROM orders)
+  SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN CAST(d AS DATE) WHEN o_orderkey % 5 = 1 THEN CAST(date_trunc('month', d) AS DATE) WHEN o_orderkey % 5 = 3 THEN DATE '2021-02-01'
+  WHEN o_orderkey % 3 = 0 OR (o_orderkey % 3 = 1 AND o_orderkey % 5 = 2) THEN CAST(date_trunc('year', d) AS DATE) END AS day FROM o""")
+def date_cascade(spark, sf):
+    k, d = F.col("o_orderkey"), F.col("o_orderdate")
+    stated = F.when(k % 5 == 0, F.date_format(d, "yyyy/MM/dd")).when(k % 5 == 1, F.date_format(d, "yyyy-MM")).when(k % 5 == 2, F.date_format(d, "yyyy-MMM-dd")).when(k % 5 == 3, "2021-02-30").otherwise("")
+    year = F.when(k % 3 == 0, F.concat(F.date_format(d, "yyyy"), F.lit(".0"))).when(k % 3 == 1, "").otherwise("n.d.")
+    return table(spark, sf, "orders").select("o_orderkey", T.record_date(stated, year).alias("day"))
+
+
+@query("SELECT event_type, count(*) AS n, round_even(count(*) * 100.0 / sum(count(*)) OVER (), 1) AS percent FROM events GROUP BY event_type")
+def freq_percent(spark, sf):
+    return frequency.frequencies(table(spark, sf, "events"), "event_type")
+
+
+@query("SELECT l_returnflag, count(*) AS n, round_even(count(*) * 100.0 / (SELECT count(*) FROM lineitem), 1) AS percent FROM lineitem WHERE l_discount > 0.05 GROUP BY l_returnflag")
+def percent_external_denominator(spark, sf):
+    li = table(spark, sf, "lineitem")
+    counts = li.groupBy("l_returnflag").agg(F.count_if(F.col("l_discount") > 0.05).alias("n"), F.count("*").alias("_all"))
+    return counts.where("n > 0").select("l_returnflag", "n", frequency.share(F.col("n"), F.sum("_all").over(Window.partitionBy())).alias("percent"))
+
+
+@query("""WITH a AS (SELECT count(*) t, count(*) FILTER (l_returnflag = 'R') r, count(*) FILTER (l_discount >= 0.05) d, count(*) FILTER (l_returnflag = 'R' AND l_discount >= 0.05 AND l_quantity > 25) b FROM lineitem)
+  SELECT 'returned' AS indicator, r AS n, round_even(r * 100.0 / t, 1) AS percent FROM a UNION ALL SELECT 'discounted', d, round_even(d * 100.0 / t, 1) FROM a UNION ALL SELECT 'all three', b, round_even(b * 100.0 / t, 1) FROM a""")
+def conditional_counts_tall(spark, sf):
+    r, d = F.col("l_returnflag") == "R", F.col("l_discount") >= 0.05
+    return frequency.conditional_counts(table(spark, sf, "lineitem"), {"returned": r, "discounted": d, "all three": r & d & (F.col("l_quantity") > 25)})
+
+
+_EVENTS = ("click", "login", "logout", "purchase", "view")
+
+
+@query("SELECT CAST(user_id % 10 AS BIGINT) AS bucket, " + ", ".join(f"count(*) FILTER (event_type = '{e}') AS \"{e}\"" for e in _EVENTS) + " FROM events GROUP BY 1")
+def crosstab(spark, sf):
+    e = table(spark, sf, "events").withColumn("bucket", F.col("user_id") % 10)
+    return frequency.crosstab(e, "bucket", "event_type", _EVENTS)
+
+
+@query("""WITH r AS (SELECT p_brand, count(*) n FROM part GROUP BY 1 ORDER BY n DESC, p_brand LIMIT 8), c AS (SELECT p_size, count(*) n FROM part GROUP BY 1 ORDER BY n DESC, p_size LIMIT 8)
+  SELECT p_brand, p_size, count(*) AS n FROM part WHERE p_brand IN (SELECT p_brand FROM r) AND p_size IN (SELECT p_size FROM c) GROUP BY 1, 2""")
+def crosstab_top8(spark, sf):
+    wide = frequency.top_crosstab(table(spark, sf, "part"), "p_brand", "p_size")
+    sizes = [c for c in wide.columns if c != "p_brand"]
+    cells = F.array(*(F.struct(F.lit(int(c)).alias("p_size"), F.col(f"`{c}`").alias("n")) for c in sizes))
+    return wide.select("p_brand", F.explode(cells).alias("x")).select("p_brand", "x.*").where("n > 0")
+
+
+@query(f"WITH {RECORDS} SELECT period, count(*) AS n, round_even(count(*) * 100.0 / sum(count(*)) OVER (), 1) AS percent FROM (SELECT (year // 10 * 10) || 's' AS period FROM records) GROUP BY period")
+def decade_buckets(spark, sf):
+    return frequency.frequencies(records(spark, sf).select(T.decade(F.col("year")).alias("period")), "period")
+
+
+@query("SELECT l_returnflag, count(*) AS n, round(sum(l_extendedprice), 2) AS total, round(avg(l_extendedprice), 6) AS mean, min(l_extendedprice) AS least, max(l_extendedprice) AS most, " + ", ".join(f"round(quantile_cont(l_extendedprice, {p}), 6) AS p{int(round(p * 100)):02d}" for p in (0.05, 0.25, 0.5, 0.75, 0.95)) + " FROM lineitem GROUP BY 1")
+def quantile_summary(spark, sf):
+    s = frequency.summary(table(spark, sf, "lineitem"), "l_extendedprice", "l_returnflag")
+    return s.withColumns({"total": F.round("total", 2), **{c: F.round(c, 6) for c in ("mean", "p05", "p25", "p50", "p75", "p95")}})
+
+
+@query("WITH m AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n FROM orders GROUP BY 1) SELECT month, n, round(avg(n) OVER (ORDER BY month ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 6) AS rolling FROM m")
+def rolling_mean_centered(spark, sf):
+    m = table(spark, sf, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"))
+    return frequency.rolling_mean(m, "month", "n").withColumn("rolling", F.round("rolling", 6))
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY year(o_orderdate) DESC NULLS FIRST, o_orderkey) AS catalog_id FROM orders")
+def catalog_index(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", F.year("o_orderdate").alias("year"))
+    return frequency.numbered(o, "catalog_id", F.desc_nulls_first("year"), F.asc("o_orderkey")).select("o_orderkey", "catalog_id")
+
+
+@query("""WITH m AS (SELECT r_regionkey AS ord, r_name AS region, count(c_custkey) AS mass FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2),
+  s AS (SELECT *, mass / sum(mass) OVER () AS share FROM m) SELECT region, CAST(mass AS BIGINT) AS mass, round(share, 9) AS share, round(90 + (sum(share) OVER (ORDER BY ord) - share) * 360, 6) AS start_angle, round(90 + sum(share) OVER (ORDER BY ord) * 360, 6) AS end_angle FROM s""")
+def sunburst_cumulative(spark, sf):
+    order = table(spark, sf, "region").select(F.col("r_regionkey").alias("ord"), F.col("r_name").alias("region"))
+    c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    m = frequency.mass_by(c.select(F.col("r_name").alias("region"), F.lit(1).alias("one")), "region", "one", order)
+    s = frequency.sweep(m, "ord", "share")
+    return s.select("region", F.col("mass").cast("bigint").alias("mass"), F.round("share", 9).alias("share"), F.round("start_angle", 6).alias("start_angle"), F.round("end_angle", 6).alias("end_angle"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
+def topk_global(spark, sf):
+    return table(spark, sf, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(10).select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT l_returnflag, l_orderkey, l_linenumber, l_extendedprice, row_number() OVER w AS rank FROM lineitem WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey) QUALIFY row_number() OVER w <= 5")
+def topk_per_group(spark, sf):
+    t = frequency.top_per_group(table(spark, sf, "lineitem"), "l_returnflag", 5, F.desc("l_extendedprice"), F.asc("l_orderkey"), F.asc("l_linenumber"), F.asc("l_partkey"))
+    return t.select("l_returnflag", "l_orderkey", "l_linenumber", "l_extendedprice", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("SELECT d.doc_id, d.source, coalesce(l.quality, -1) AS quality, coalesce(l.toxic, -1) AS toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def left_enrich(spark, sf):
+    return R.enrich(table(spark, sf, "documents").select("doc_id", "source"), table(spark, sf, "labels"), "doc_id", defaults={"quality": -1, "toxic": -1})
+
+
+@query("SELECT user_id AS c_custkey, last_type FROM (SELECT user_id, event_type AS last_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) JOIN customer ON user_id = c_custkey")
+def lookup_last_wins(spark, sf):
+    e = table(spark, sf, "events").select(F.col("user_id").alias("c_custkey"), F.col("event_type").alias("last_type"), "ts", "event_id")
+    return R.enrich(table(spark, sf, "customer").select("c_custkey"), e, "c_custkey", last_by=[F.col("ts"), F.col("event_id")]).where("last_type is not null").select("c_custkey", "last_type")
+
+
+@query("""WITH c AS (SELECT 'labels have documents' AS checkpoint, (SELECT count(*) FROM labels) AS value, (SELECT count(*) FROM labels SEMI JOIN documents USING (doc_id)) AS expected
+  UNION ALL SELECT 'documents have labels', (SELECT count(*) FROM documents), (SELECT count(*) FROM labels)) SELECT *, CASE WHEN value = expected THEN 'aligned' ELSE 'check' END AS status FROM c""")
+def alignment_checks(spark, sf):
+    d, lab = table(spark, sf, "documents"), table(spark, sf, "labels")
+    return R.alignment([("labels have documents", lab, R.present(lab, d, "doc_id")), ("documents have labels", d, lab)])
+
+
+@query("SELECT 'left' AS side, doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT 'right', doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
+def unmatched_keys(spark, sf):
+    return R.unmatched(table(spark, sf, "documents"), table(spark, sf, "labels"), "doc_id")
+
+
+@query("SELECT doc_id, 'cached' AS status FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'missing' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def cached_semi_anti(spark, sf):
+    d, lab = table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels")
+    return R.present(d, lab, "doc_id").withColumn("status", F.lit("cached")).unionByName(R.absent(d, lab, "doc_id").withColumn("status", F.lit("missing")))
+
+
+_WORDS = {"en": (" the ", " and "), "fr": (" le ", " les "), "de": (" der ", " und "), "es": (" el ", " los "), "list": (" | ",), "noise": ("!!", "%%%")}
+
+
+@query(f"WITH d AS (SELECT doc_id, ' ' || lower(text) || ' ' AS t FROM documents), l AS (SELECT doc_id, unnest(list_filter([{', '.join(f'CASE WHEN {_or(w)} THEN {k!r} END' for k, w in _WORDS.items())}], lambda x: x IS NOT NULL)) AS c FROM d) SELECT a.c AS src, b.c AS dst, count(*) AS weight FROM l a JOIN l b ON a.doc_id = b.doc_id AND a.c < b.c GROUP BY 1, 2")
+def cooccurrence_edges(spark, sf):
+    t = F.concat(F.lit(" "), F.lower("text"), F.lit(" "))
+    found = RuleSet(rule_table(_WORDS), ("",)).all({"text": t})
+    return R.pairs(table(spark, sf, "documents").select("doc_id", found.alias("labels")), "doc_id", "labels")
+
+
+@query("""WITH u AS (SELECT CAST(quality AS VARCHAR) a, CAST(toxic AS VARCHAR) b FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL), s AS (SELECT count(*) n, count(*) FILTER (a = b) m FROM u),
+  e AS (SELECT sum(CAST(x.n AS DOUBLE) * y.n) c FROM (SELECT a l, count(*) n FROM u GROUP BY 1) x JOIN (SELECT b l, count(*) n FROM u GROUP BY 1) y ON x.l = y.l)
+  SELECT 'ok' AS status, n, round_even(m / n, 4) AS percent_agreement, round_even((m / n - c / n / n) / (1 - c / n / n), 4) AS cohen_kappa FROM s, e""")
+def agreement_kappa(spark, sf):
+    return agreement.agreement(table(spark, sf, "labels"), "quality", "toxic")
+
+
+@query("SELECT CAST(least(50, greatest(1, ceil(count(*) * 0.2))) AS BIGINT) AS n FROM documents")
+def seeded_sample_size(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id")
+    return sampling.share_sample(d, 7, key="doc_id").agg(F.count("*").alias("n"))
+
+
+@query()
+def seeded_sample(spark, sf):
+    return sampling.sample(table(spark, sf, "documents").select("doc_id", "source"), 10, 42, "doc_id")
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def json_extract(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+
+
+@query("SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title, CAST(len(regexp_extract_all(html, '(?i)<a\\s')) AS INTEGER) AS links FROM pages")
+def html_extract(spark, sf):
+    p = table(spark, sf, "pages")
+    return p.select("page_id", F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1).alias("title"), F.size(F.regexp_extract_all("html", F.lit(r"(?i)<a\s"), F.lit(0))).alias("links"))
+
+
+_TAGLESS = "regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"
+for _name, _sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "\'\'"), ("&nbsp;", " "), ("&amp;", "&")):
+    _TAGLESS = f"replace({_TAGLESS}, '{_name}', '{_sign}')"
+
+
+@query(f"SELECT page_id, trim(regexp_replace({_TAGLESS}, '\\s+', ' ', 'g')) AS body FROM pages")
+def html_text(spark, sf):
+    return table(spark, sf, "pages").select("page_id", T.html_text(F.col("html")).alias("body"))
+
+
+@query("SELECT part_key, regexp_replace(name, '([&%$#_{}])', '\\\\\\1', 'g') AS latex FROM (SELECT p_partkey AS part_key, p_name || ' 5% & #' || p_size || '_{x}' AS name FROM part)")
+def latex_escape(spark, sf):
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("part_key"), T.latex(F.concat(F.col("p_name"), F.lit(" 5% & #"), F.col("p_size").cast("string"), F.lit("_{x}"))).alias("latex"))
+
+
+#: Anchors: the mean vector of each label.
+_ANCHORS = """e AS (SELECT vec_id, label, [CAST(x AS DOUBLE) FOR x IN embedding] AS v FROM embeddings), p AS (SELECT label, unnest(v) x, unnest(range(len(v))) i FROM e),
+  c AS (SELECT label, list(m ORDER BY i) AS a FROM (SELECT label, i, avg(x) m FROM p GROUP BY 1, 2) GROUP BY label), k AS (SELECT vec_id, c.label AS anchor, list_cosine_similarity(v, a) AS cosine FROM e, c)"""
+_WIDE = f"{_ANCHORS}, w AS (SELECT vec_id, max(cosine) FILTER (anchor = 0) b, max(cosine) FILTER (anchor = 1) p, max(cosine) FILTER (anchor = 2) s FROM k WHERE anchor < 3 GROUP BY vec_id)"
+_SOFT = f"{_WIDE}, f AS (SELECT *, exp(b - greatest(b, p, s)) eb, exp(p - greatest(b, p, s)) ep, exp(s - greatest(b, p, s)) es FROM w), l AS (SELECT vec_id, b, p, s, eb / (eb + ep + es) lb, ep / (eb + ep + es) lp, es / (eb + ep + es) ls FROM f)"
+_THREE = ("biological", "psychological", "social")
+
+
+def anchors(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "embeddings")
+    parts = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    return parts.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("anchor_vector"))
+
+
+def cosines(spark: SparkSession, sf: str) -> DataFrame:
+    a = anchors(spark, sf).withColumnRenamed("label", "anchor")
+    return semantic.anchor_cosines(table(spark, sf, "embeddings"), a, key="vec_id", vector="embedding")
+
+
+def domain_cosines(spark: SparkSession, sf: str) -> DataFrame:
+    named = cosines(spark, sf).where("anchor < 3").withColumn("domain", F.element_at(F.array(*map(F.lit, _THREE)), F.col("anchor") + 1))
+    return semantic.wide(named, "vec_id", "domain", "cosine", _THREE, "cosine_")
+
+
+def loadings(spark: SparkSession, sf: str, digits: int = 6) -> DataFrame:
+    return semantic.domain_loadings(domain_cosines(spark, sf), digits=digits)
+
+
+@query(f"WITH {_ANCHORS} SELECT vec_id, anchor, round(cosine, 6) AS cosine FROM k")
+def dense_cosine_anchors(spark, sf):
+    return cosines(spark, sf).select("vec_id", "anchor", F.round("cosine", 6).alias("cosine"))
+
+
+@query(f"WITH {_SOFT} SELECT vec_id, round(lb, 6) AS loading_biological, round(lp, 6) AS loading_psychological, round(ls, 6) AS loading_social, CASE WHEN lb >= lp AND lb >= ls THEN 'biological' WHEN lp >= ls THEN 'psychological' ELSE 'social' END AS dominant_domain FROM l")
+def softmax_loadings(spark, sf):
+    return loadings(spark, sf).select("vec_id", *(f"loading_{d}" for d in _THREE), "dominant_domain")
+
+
+@query(f"WITH {_SOFT}, d AS (SELECT *, CASE WHEN lb >= lp AND lb >= ls THEN 0 WHEN lp >= ls THEN 1 ELSE 2 END AS top FROM l) " + " UNION ALL ".join(f"SELECT '{d}' AS domain, round(avg({c}), 5) AS mean_cosine, round(avg(l{c}), 5) AS mean_loading, count(*) FILTER (top = {i}) AS dominance_n FROM d" for i, (d, c) in enumerate(zip(_THREE, "bps", strict=True))))
+def domain_summary(spark, sf):
+    s = semantic.domain_summary(loadings(spark, sf, 12), digits=12)
+    return s.select("domain", F.round("mean_cosine", 5).alias("mean_cosine"), F.round("mean_loading", 5).alias("mean_loading"), "dominance_n")
+
+
+@query(f"WITH {_SOFT}, d AS (SELECT vec_id, CASE WHEN lb >= lp AND lb >= ls THEN 'biological' WHEN lp >= ls THEN 'psychological' ELSE 'social' END AS top FROM l) SELECT CAST(vec_id % 7 AS BIGINT) AS bucket, " + ", ".join(f"count(*) FILTER (top = '{d}') AS {d}" for d in _THREE) + " FROM d GROUP BY 1")
+def dominance_crosstab(spark, sf):
+    return frequency.crosstab(loadings(spark, sf).withColumn("bucket", F.col("vec_id") % 7), "bucket", "dominant_domain", _THREE)
+
+
+@query(f"WITH {_SOFT}, g AS (SELECT vec_id, anchor % 3 AS domain, anchor AS part, exp(cosine - max(cosine) OVER q) / sum(exp(cosine)) OVER q * exp(max(cosine) OVER q) AS share FROM k WINDOW q AS (PARTITION BY vec_id, anchor % 3)), t AS (SELECT g.*, CASE domain WHEN 0 THEN lb WHEN 1 THEN lp ELSE ls END AS parent FROM g JOIN l USING (vec_id)) SELECT domain, part, round(avg(share * parent), 5) AS mean_loading, round(median(share * parent), 5) AS median_loading FROM t GROUP BY 1, 2")
+def subdomain_weighted(spark, sf):
+    tall = cosines(spark, sf).select("vec_id", (F.col("anchor") % 3).alias("domain"), F.col("anchor").alias("part"), "cosine")
+    parents = loadings(spark, sf, 12).select("vec_id", F.explode(F.array(*(F.struct(F.lit(i).alias("domain"), F.col(f"loading_{d}").alias("parent")) for i, d in enumerate(_THREE)))).alias("x")).select("vec_id", "x.*")
+    return semantic.part_summary(semantic.part_loadings(tall, parents, key="vec_id"), digits=5)
+
+
+@query(f"WITH {_SOFT} SELECT vec_id, round(lb * lp, 5) AS bio_psych, round(lb * ls, 5) AS bio_social, round(lp * ls, 5) AS psych_social, round(lb * lp * ls, 5) AS triadic_product FROM l")
+def pairwise_products(spark, sf):
+    p = semantic.pairwise(loadings(spark, sf, 12), digits=12)
+    return p.select("vec_id", *(F.round(c, 5).alias(c) for c in ("bio_psych", "bio_social", "psych_social", "triadic_product")))
+
+
+@query(f"WITH {_SOFT} SELECT round(avg(lb * lp), 5) AS bio_psych_mean, round(avg(lb * ls), 5) AS bio_social_mean, round(avg(lp * ls), 5) AS psych_social_mean, round(avg(lb * lp * ls), 5) AS triadic_product_mean FROM l")
+def pairwise_summary(spark, sf):
+    s = semantic.pairwise_summary(semantic.pairwise(loadings(spark, sf, 12), digits=12), digits=12)
+    return s.select(*(F.round(c, 5).alias(c) for c in s.columns))
+
+
+@query(f"WITH {_SOFT} " + " UNION ALL ".join(f"SELECT '{_THREE[i]}' AS \"row\", '{_THREE[j]}' AS \"column\", round(avg({'l' + 'bps'[i] if i == j else 'l' + 'bps'[i] + ' * l' + 'bps'[j]}), 5) AS value FROM l" for i in range(3) for j in range(3)))
+def co_loading_matrix(spark, sf):
+    return semantic.co_loading(semantic.pairwise(loadings(spark, sf, 12), digits=12)).withColumn("value", F.round("value", 5))
+
+
+@query(f"WITH {_SOFT} SELECT vec_id, round(lp - lb, 5) AS dev_x, round(ls - 1.0 / 3, 5) AS dev_y, greatest(abs(lb - 1.0 / 3), abs(lp - 1.0 / 3), abs(ls - 1.0 / 3)) <= 0.02 AS within FROM l")
+def deviation_field(spark, sf):
+    d = semantic.deviation(loadings(spark, sf, 12))
+    near = frequency.within_band([F.col(f"loading_{x}") for x in _THREE], 1 / 3, 0.02)
+    return d.select("vec_id", F.round("dev_x", 5).alias("dev_x"), F.round("dev_y", 5).alias("dev_y"), near.alias("within"))
+
+
+_TFIDF = """t AS (SELECT {key} AS id, regexp_extract_all(lower({text}), '[a-z]{{2,}}') AS w FROM {table}), u AS (SELECT id, unnest(w) AS term FROM t UNION ALL SELECT id, unnest([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) FROM t),
+  c AS (SELECT id, term, count(*) AS tf FROM u GROUP BY 1, 2), d AS (SELECT term, count(*) AS df FROM c GROUP BY 1), n AS (SELECT count(*) AS n FROM {table}), r AS (SELECT id, term, tf * (ln((1 + n) / (1 + df)) + 1) AS x FROM c JOIN d USING (term), n),
+  w AS (SELECT id, term, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS weight FROM r)"""
+
+
+@query("WITH " + _TFIDF.format(key="item_id", text="text", table="benchmark") + " SELECT id AS item_id, term, round(weight, 6) AS weight FROM w")
+def tfidf_terms(spark, sf):
+    w = semantic.tfidf(table(spark, sf, "benchmark"), key="item_id", text="text", pattern="[a-z]{2,}")
+    return w.select("item_id", "term", F.round("weight", 6).alias("weight"))
+
+
+@query("WITH " + _TFIDF.format(key="item_id", text="text", table="benchmark") + " SELECT a.id AS item_id, b.id AS anchor, round(sum(a.weight * b.weight), 6) AS cosine FROM w a JOIN w b ON a.term = b.term WHERE b.id % 10 = 0 GROUP BY 1, 2")
+def tfidf_cosine(spark, sf):
+    w = semantic.tfidf(table(spark, sf, "benchmark"), key="item_id", text="text", pattern="[a-z]{2,}")
+    a = w.where("item_id % 10 = 0").withColumnRenamed("item_id", "a_id")
+    return semantic.tfidf_cosines(w, a, key="item_id", anchor_key="a_id").select("item_id", "anchor", F.round("cosine", 6).alias("cosine"))
+
+
+@query()
+def pca_landscape(spark, sf):
+    return landscape.coordinates(table(spark, sf, "embeddings"), "embedding").select("vec_id", "label", F.round("pca_x", 4).alias("pca_x"), F.round("pca_y", 4).alias("pca_y"))
+
+
+@query("SELECT vec_id % 20 AS gx, vec_id // 20 % 20 AS gy, round(avg(exp(-((x - (-0.5 + vec_id % 20 / 19.0)) ** 2))), 6) AS v FROM (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x FROM embeddings) GROUP BY 1, 2")
+def kernel_values(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("x"))
+    at = F.lit(-0.5) + (F.col("vec_id") % 20) / F.lit(19.0)
+    return e.groupBy((F.col("vec_id") % 20).alias("gx"), (F.floor(F.col("vec_id") / 20) % 20).alias("gy")).agg(F.round(F.avg(F.exp(-((F.col("x") - at) ** 2))), 6).alias("v"))
+
+
+RIS = """TY  - JOUR
+TI  - A first title
+  that goes on
+AU  - Ames, A
+AU  - Bo, B
+PY  - 2019/03/
+DO  - 10.1/a
+ER  - 
+
+TY  - JOUR
+T1  - Second
+N2  - Text
+Y1  - 2020
+ER  - 
+TY  - LOST
+"""  # noqa: W291
+NBIB = """PMID- 11
+TI  - One title
+      goes on
+AU  - Cole C
+DP  - 2018 May
+MH  - Pain
+MH  - Care
+
+PMID- 12
+TI  - Two
+DEP - 20170102
+"""
+
+
+@query("SELECT * FROM (VALUES ('manual_demo_1', 'A first title that goes on', 2019, '10.1/a', 'Ames, A | Bo, B'), ('manual_demo_2', 'Second', 2020, '', '')) v(record_id, title, year, doi, authors)")
+def ris_parse(spark, sf):
+    t = spark.range(1).select(F.lit("demo.ris").alias("file"), F.lit("demo").alias("stem"), F.lit(RIS).alias("text"))
+    return files.parse_ris(t).select("record_id", "title", "year", "doi", T.packed(F.col("authors")).alias("authors"))
+
+
+@query("SELECT * FROM (VALUES ('manual_demo_1', '11', 'One title goes on', 2018, 'Pain | Care'), ('manual_demo_2', '12', 'Two', 2017, '')) v(record_id, pmid, title, year, mesh)")
+def nbib_parse(spark, sf):
+    t = spark.range(1).select(F.lit("demo.nbib").alias("file"), F.lit("demo").alias("stem"), F.lit(NBIB).alias("text"))
+    return files.parse_nbib(t).select("record_id", "pmid", "title", "year", T.packed(F.col("mesh_terms")).alias("mesh"))
+
+
+XML = """<Set><PubmedArticle><MedlineCitation><PMID Version="1">7</PMID><Article><Journal><JournalIssue><PubDate><Year>2021</Year><Month>Mar</Month></PubDate></JournalIssue><Title>J</Title></Journal>
+<ArticleTitle>Of <i>mixed</i> content</ArticleTitle><Abstract><AbstractText Label="AIM">To see.</AbstractText><AbstractText>More &amp; more.</AbstractText></Abstract>
+<AuthorList><Author><LastName>Dee</LastName><ForeName>Eva</ForeName></Author><Author><CollectiveName>Group</CollectiveName></Author></AuthorList>
+<PublicationTypeList><PublicationType>Retracted Publication</PublicationType></PublicationTypeList></Article></MedlineCitation>
+<PubmedData><ArticleIdList><ArticleId IdType="doi">10.2/b</ArticleId></ArticleIdList></PubmedData></PubmedArticle></Set>"""
+
+
+@query("SELECT 'pubmed_7' AS record_id, 'Of mixed content' AS title, 'AIM: To see.' || chr(10) || 'More & more.' AS abstract, 2021 AS year, '2021-Mar' AS publication_date, 'Eva Dee | Group' AS authors, '10.2/b' AS doi, 'retracted_or_retraction_notice' AS flag")
+def pubmed_xml(spark, sf):
+    p = services.parse_pubmed(services.articles(spark.range(1).select(F.lit(XML).alias("payload"))))
+    return p.select("record_id", "title", "abstract", "year", "publication_date", T.packed(F.col("authors")).alias("authors"), "doi", F.col("publication_status_flag").alias("flag"))
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'scoping or mapping review' WHEN 1 THEN 'systematic review' WHEN 2 THEN 'background framing' ELSE 'unclear' END AS label FROM events""")
+def choice_normaliser(spark, sf):
+    raw = F.element_at(F.array(*map(F.lit, (" Scoping  Review", "systematic_review", "Background", "something else"))), (F.col("event_id") % 4 + 1).cast("int"))
+    return table(spark, sf, "events").select("event_id", T.choice(raw, V.REVIEW_TYPE_OPTIONS + V.FUNCTION_OPTIONS, F.lit("unclear")).alias("label"))
+
+
+@query("""SELECT flag AS conceptual_problem_flag, count(*) AS n, round_even(count(*) * 100.0 / sum(count(*)) OVER (), 1) AS percent FROM (SELECT unnest(CASE event_id % 4 WHEN 0 THEN ['a', 'b'] WHEN 1 THEN ['b', 'c'] WHEN 2 THEN ['none'] ELSE ['c'] END) AS flag FROM events) WHERE flag <> 'none' GROUP BY flag""")
+def problem_flag_counts(spark, sf):
+    raw = F.element_at(F.array(*map(F.lit, ("['a', 'b']", "b | c", "none", "c,"))), (F.col("event_id") % 4 + 1).cast("int"))
+    return frequency.label_counts(table(spark, sf, "events"), T.problem_flags(raw), name="conceptual_problem_flag", without=("none",))
+
+
+@query("""SELECT record_id, CASE WHEN n >= 4 THEN 'elaborated' WHEN n >= 2 THEN 'mentioned' WHEN n >= 1 THEN 'minimal' ELSE 'absent' END AS coverage FROM (SELECT doc_id AS record_id, (length(t) - length(replace(t, ' the ', ''))) // 5 + (length(t) - length(replace(t, 'scum', ''))) // 4 AS n FROM (SELECT doc_id, lower(text) AS t FROM documents))""")
+def coverage_levels(spark, sf):
+    n = T.occurrences(F.lower("text"), (" the ", "scum"))
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("record_id"), coding.coverage(n).alias("coverage"))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS records, CAST(count(*) FILTER (p_partkey % 10 = 3) AS BIGINT) AS odd FROM part")
+def enrich_repair(spark, sf):
+    """Every record is asked about in batches; a fake answer leaves some fields out, and rules fill them in."""
+    base = coding.base(studies(spark, sf).withColumn("record_id", F.col("record_id").cast("string")))
+
+    def answer(batch: list[dict]) -> str:
+        import json
+
+        return "```json\n" + json.dumps({"records": [{"record_id": r["record_id"], "review_type": "Scoping_Review" if int(r["record_id"]) % 10 == 3 else None} for r in batch]}) + "\n```"
+
+    coded = enrich.repair(base, enrich.answers(enrich.ask(base, answer, ["record_id", "title", "abstract"])))
+    odd = F.count_if((F.col("record_id").cast("int") % 10 == 3) & (F.col("review_type") == "scoping or mapping review"))
+    return coded.agg(F.count("*").alias("records"), odd.alias("odd"))
+
+
+@query("SELECT r_name, n_name, sum(l_extendedprice * (1 - l_discount)) AS revenue, count(*) AS n FROM (SELECT r_name, n_name, l_extendedprice, l_discount FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) GROUP BY ROLLUP (r_name, n_name)")
+def revenue_rollup(spark, sf):
+    li = table(spark, sf, "lineitem").join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return li.rollup("r_name", "n_name").agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"), F.count("*").alias("n"))
