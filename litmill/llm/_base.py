@@ -73,3 +73,27 @@ def shared_folder(spark: SparkSession) -> str:
 
         folder = tempfile.mkdtemp(prefix="litmill-shared-")
     return folder
+
+
+class Remember(dict):
+    """Key to a value that is worked out once while it is remembered.
+
+    Holds up to twice ``limit`` keys: when ``limit`` new ones have come, those used since the last time are kept and the
+    others go. ``keep`` says which keys are remembered.
+    """
+
+    def __init__(self, work: Callable, limit: int, keep: Callable = lambda key: True):
+        super().__init__()
+        self.work, self.limit, self.keep, self.old = work, limit, keep, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key, self)
+        if value is self:
+            value = self.work(key)
+            if not self.keep(key):
+                return value
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value

@@ -20,7 +20,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litmill.llm._base import map_rows, table
+from litmill.llm._base import Remember, map_rows, table
 
 SPACE = "▁"
 #: A run of marks goes with the word behind it; no piece has a mark behind another character, so chunks are independent.
@@ -30,8 +30,8 @@ CHUNK = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 class Codec:
     """Encodes and decodes as the library does for a BPE model with byte fallback and the identity normaliser."""
 
-    #: Chunks to remember, and the longest of them, in characters.
-    REMEMBER, LONGEST = 400_000, 40
+    #: Chunks and pairs to remember, and the longest of the chunks, in characters.
+    REMEMBER, PAIRS, LONGEST = 120_000, 90_000, 40
 
     def __init__(self, model_path: str):
         import ahocorasick
@@ -49,8 +49,8 @@ class Codec:
             raise ValueError("pieces of this model cross words; its texts can't be cut at spaces")
         self.id_of = {self.pieces[i]: i for i in plain}
         self.score = {self.pieces[i]: lib.get_score(i) for i in plain}
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.known = _Memory(self)
+        self.pairs = Remember(self._compatible, self.PAIRS)
+        self.known = Remember(self._entry, self.REMEMBER, lambda chunk: len(chunk) <= self.LONGEST)
         self.automaton = ahocorasick.Automaton()
         for i in plain:
             p = self.pieces[i]
@@ -72,16 +72,14 @@ class Codec:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _compatible(self, left: int, right: int) -> bool:
-        pair = (left, right)
-        found = self.pairs.get(pair)
-        if found is None:
-            a, b = self.pieces[left], self.pieces[right]
-            found = self._merged(a + b) == [a, b]
-            if len(self.pairs) > 2 * self.REMEMBER:
-                self.pairs.clear()
-            self.pairs[pair] = found
-        return found
+    def _compatible(self, pair: tuple[int, int]) -> bool:
+        a, b = self.pieces[pair[0]], self.pieces[pair[1]]
+        return self._merged(a + b) == [a, b]
+
+    def _entry(self, chunk: str) -> tuple[str, int, str]:
+        """A chunk's ids as text, their number, and the text they decode to."""
+        ids = self.chunk(chunk)
+        return " ".join(map(str, ids)), len(ids), self.decode_raw(ids)
 
     def chunk(self, text: str) -> list[int]:
         """Ids of a string that starts with the marks of its spaces."""
@@ -94,7 +92,7 @@ class Codec:
                 before = end - length
                 left = last[before] if before else -1
                 # Under 0: the text's start, or a character outside the vocabulary, which never merges.
-                if left < 0 or pairs.get((left, token)) or self._compatible(left, token):
+                if left < 0 or pairs[left, token]:
                     last[end] = token
         ids: list[int] = []
         at = n
@@ -147,23 +145,6 @@ class Codec:
         return sum(e[1] for e in entries) + 1, ids, hashlib.sha256(back.encode("utf-8")).hexdigest()
 
 
-class _Memory(dict):
-    """Chunk to its ids as text, their number and the text they decode to; long or surplus chunks are worked out anew."""
-
-    def __init__(self, codec: Codec):
-        super().__init__()
-        self.codec = codec
-
-    def __missing__(self, chunk: str) -> tuple[str, int, str]:
-        ids = self.codec.chunk(chunk)
-        entry = (" ".join(map(str, ids)), len(ids), self.codec.decode_raw(ids))
-        if len(chunk) <= Codec.LONGEST:
-            if len(self) >= Codec.REMEMBER:
-                self.clear()
-            self[chunk] = entry
-        return entry
-
-
 @lru_cache(maxsize=2)
 def codec(model_path: str) -> Codec:
     return Codec(model_path)

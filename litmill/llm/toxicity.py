@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litmill.llm._base import fold, map_rows, table
+from litmill.llm._base import Remember, fold, map_rows, table
 
 #: Labelled rows that are learnt from at most; of more, those whose keys hash lowest.
 SAMPLE_ROWS = 20_000
@@ -73,7 +73,7 @@ class FuzzyTrie:
     """A trie of entries and, over it, the automaton of all words within their edits; see the module's head."""
 
     #: States and transitions that are kept.
-    KEEP = 200_000
+    KEEP = 60_000
 
     def __init__(self, entries: list[tuple[str, bool, int]]):
         """entries: text, whether words may go on behind it, edits."""
@@ -175,7 +175,7 @@ class FuzzyTrie:
 class Lexicon:
     """Entries with weights, matched through misspellings; scores whole texts."""
 
-    REMEMBER = 300_000
+    REMEMBER = 60_000
 
     def __init__(self, entries: list[tuple[str, bool, float]], exact: frozenset[str] = frozenset(), curve: tuple[float, float] = PRIOR):
         """entries: text, whether a stem, weight; exact: the entries that take no edits."""
@@ -184,7 +184,11 @@ class Lexicon:
 
     def _open(self) -> None:
         self.trie = FuzzyTrie([(t, stem, 0 if t in self.exact or stem and len(t) < 6 else edits_of(t)) for t, stem, _ in self.list])
-        self.seen = _Seen(self.trie)
+        self.seen = Remember(self._match, self.REMEMBER)
+
+    def _match(self, word: str) -> tuple[int, int] | None:
+        w = bare(word)
+        return self.trie.match(w) if w else None
 
     def __getstate__(self):
         return self.list, self.exact, self.curve
@@ -209,21 +213,6 @@ class Lexicon:
         return 1 / (1 + math.exp(-(self.curve[0] + self.curve[1] * evidence)))
 
 
-class _Seen(dict):
-    """Word as written to its match; remembers a bounded number."""
-
-    def __init__(self, trie: FuzzyTrie):
-        super().__init__()
-        self.trie = trie
-
-    def __missing__(self, word: str):
-        if len(self) >= Lexicon.REMEMBER:
-            self.clear()
-        w = bare(word)
-        self[word] = found = self.trie.match(w) if w else None
-        return found
-
-
 def _context(words: list[str], at: int) -> float:
     near = words[max(0, at - WINDOW) : at + WINDOW + 1]
     before, after = words[max(0, at - WINDOW) : at + 1], words[at : at + WINDOW + 1]
