@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -194,25 +195,37 @@ def clean(text: Column) -> Column:
     return F.regexp_replace(squeeze(blank(text)), f"^(?i:{SECTION_PREFIX})+", "")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once and named, however often it is used; keeps nested expressions small."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def cut(text: Column, longest: int) -> Column:
     """At the last space that leaves room for an ellipsis, if the text is longer."""
-    head = F.substring(text, 1, longest - 3)
-    kept = F.when(head.contains(" "), F.rtrim(F.regexp_extract(head, r"(?s)^(.*) [^ ]*$", 1))).otherwise(head)
-    return F.when(F.length(text) > longest, F.concat(kept, F.lit("..."))).otherwise(text)
+
+    def shorter(head: Column) -> Column:
+        return F.concat(F.when(head.contains(" "), F.rtrim(F.regexp_extract(head, r"(?s)^(.*) [^ ]*$", 1))).otherwise(head), F.lit("..."))
+
+    return let(text, lambda t: F.when(F.length(t) > longest, let(F.substring(t, 1, longest - 3), shorter)).otherwise(t))
+
+
+def _sentence(cleaned: Column, longest: int) -> Column:
+    def shown(s: Column) -> Column:
+        ended = F.when(s.rlike(r"[.!?]$"), s).otherwise(F.concat(s, F.lit(".")))
+        return let(ended, lambda e: F.concat(F.upper(F.substring(e, 1, 1)), F.substring(e, 2, 1_000_000_000)))
+
+    return F.when(cleaned == "", "").otherwise(cut(let(strip(sentences(cleaned)[0]), shown), longest))
 
 
 def first_sentence(text: Column, longest: int = 220) -> Column:
     """The first sentence, with a full stop and a capital letter, cut to a length."""
-    s = strip(sentences(clean(text))[0])
-    s = F.when(s.rlike(r"[.!?]$"), s).otherwise(F.concat(s, F.lit(".")))
-    s = F.concat(F.upper(F.substring(s, 1, 1)), F.substring(s, 2, 1_000_000_000))
-    return F.when(clean(text) == "", "").otherwise(cut(s, longest))
+    return let(clean(text), lambda c: _sentence(c, longest))
 
 
 def fulltext_objective(text: Column) -> Column:
     """The objective that the head of a full text states; empty if none does."""
     head = squeeze(F.substring(blank(text), 1, FULLTEXT_HEAD))
-    return first_sentence(blank(first_match(head, FULLTEXT_OBJECTIVE_PATTERNS, "(?i)")), 190)
+    return first_sentence(blank(let(head, lambda h: first_match(h, FULLTEXT_OBJECTIVE_PATTERNS, "(?i)"))), 190)
 
 
 def focus(text: Column) -> Column:
@@ -224,14 +237,16 @@ def focus(text: Column) -> Column:
 
 
 def usable_focus(text: Column) -> Column:
-    t = strip(blank(text))
-    low = F.lower(t)
-    return (
-        (word_count(low) >= 4)
-        & ~low.rlike("^(?:this|it|there|about) ")
-        & ~t.rlike(" (?:a|an|the|of|to|and|or|from|with)$")
-        & ~low.rlike(r"\b(?:is|are)\b\s+(?:presented|described|discussed|reported)\b")
-    )
+    def test(t: Column) -> Column:
+        low = F.lower(t)
+        return (
+            (word_count(low) >= 4)
+            & ~low.rlike("^(?:this|it|there|about) ")
+            & ~t.rlike(" (?:a|an|the|of|to|and|or|from|with)$")
+            & ~low.rlike(r"\b(?:is|are)\b\s+(?:presented|described|discussed|reported)\b")
+        )
+
+    return let(strip(blank(text)), test)
 
 
 def title_focus(title: Column) -> Column:
@@ -242,30 +257,43 @@ def title_focus(title: Column) -> Column:
 
 def description(review_type: Column, phrase: Column) -> Column:
     """One sentence of a review's kind and focus."""
-    kind = short_type(review_type)
-    kind = F.when(strip(kind) == "", "review").otherwise(F.concat(F.lower(F.substring(kind, 1, 1)), F.substring(kind, 2, 1000)))
-    p = F.regexp_replace(strip(blank(phrase)), r"\.+$", "")
-    p = F.when(p.rlike(r"^\p{Lu}(?!\p{Lu})"), F.concat(F.lower(F.substring(p, 1, 1)), F.substring(p, 2, 1_000_000))).otherwise(p)
-    verb = p.rlike(r"(?i)^(?:determine|evaluate|assess|examine|investigate|explore|describe|identify|summari(?:s|z)e|map|compare|review)\b")
-    said = F.when(verb, F.concat(F.lit("This "), kind, F.lit(" was aimed to "), p, F.lit("."))).otherwise(F.concat(F.lit("This "), kind, F.lit(" was focused on "), p, F.lit(".")))
-    return first_sentence(F.when(p == "", F.concat(F.lit("This "), kind, F.lit(" was focused on chronic pain evidence."))).otherwise(said), 160)
+
+    def kind_of(k: Column) -> Column:
+        return F.when(strip(k) == "", "review").otherwise(F.concat(F.lower(F.substring(k, 1, 1)), F.substring(k, 2, 1000)))
+
+    def lowered(p: Column) -> Column:
+        return F.when(p.rlike(r"^\p{Lu}(?!\p{Lu})"), F.concat(F.lower(F.substring(p, 1, 1)), F.substring(p, 2, 1_000_000))).otherwise(p)
+
+    def said(p: Column) -> Column:
+        verb = p.rlike(r"(?i)^(?:determine|evaluate|assess|examine|investigate|explore|describe|identify|summari(?:s|z)e|map|compare|review)\b")
+        lead = F.when(p == "", " was focused on chronic pain evidence").otherwise(F.concat(F.when(verb, " was aimed to ").otherwise(" was focused on "), p))
+        return F.concat(F.lit("This "), let(short_type(review_type), kind_of), lead, F.lit("."))
+
+    return first_sentence(let(let(F.regexp_replace(strip(blank(phrase)), r"\.+$", ""), lowered), said), 160)
 
 
 def describe(review_type: Column, title: Column, objective_text: Column, abstract: Column, fulltext: Column) -> Column:
     """struct of source, focus and description; the first usable of full text, title, objective and abstract."""
-    full, said, first = fulltext_objective(fulltext), first_sentence(objective_text, 180), first_sentence(abstract, 180)
-    named = focus(title_focus(F.when(blank(title) == "", "chronic pain evidence").otherwise(title)))
-    choices = [
-        ("fulltext_cached", focus(full), full != ""),
-        ("title_fallback", named, F.lit(True)),
-        ("objective_text", focus(said), F.length(said) >= 35),
-        ("abstract_first_sentence", focus(first), F.length(first) >= 50),
-    ]
-    usable = F.filter(F.array(*(F.struct(F.lit(s).alias("source"), f.alias("focus"), ok.alias("ok")) for s, f, ok in choices)), lambda x: x["ok"] & usable_focus(x["focus"]))
-    source = F.coalesce(F.get(usable, 0)["source"], F.lit("title_fallback"))
-    phrase = F.coalesce(F.get(usable, 0)["focus"], named)
-    phrase = F.when(phrase == "", "chronic pain evidence").otherwise(phrase)
-    return F.struct(source.alias("source"), phrase.alias("focus"), description(review_type, phrase).alias("description"))
+    texts = F.struct(
+        fulltext_objective(fulltext).alias("full"),
+        title_focus(F.when(blank(title) == "", "chronic pain evidence").otherwise(title)).alias("title"),
+        first_sentence(objective_text, 180).alias("objective"),
+        first_sentence(abstract, 180).alias("abstract"),
+    )
+
+    def choose(t: Column) -> Column:
+        choices = (("fulltext_cached", t["full"], t["full"] != ""), ("title_fallback", t["title"], F.lit(True)), ("objective_text", t["objective"], F.length(t["objective"]) >= 35), ("abstract_first_sentence", t["abstract"], F.length(t["abstract"]) >= 50))
+        ready = F.filter(F.array(*(F.struct(F.lit(s).alias("source"), x.alias("text"), ok.alias("ok")) for s, x, ok in choices)), lambda c: c["ok"])
+        made = F.transform(ready, lambda c: F.struct(c["source"].alias("source"), focus(c["text"]).alias("focus")))
+        first = F.get(F.filter(made, lambda c: usable_focus(c["focus"])), 0)
+        titled = F.get(F.filter(made, lambda c: c["source"] == "title_fallback"), 0)
+        return F.coalesce(first, titled)
+
+    def finish(c: Column) -> Column:
+        phrase = F.when(c["focus"] == "", "chronic pain evidence").otherwise(c["focus"])
+        return F.struct(c["source"].alias("source"), phrase.alias("focus"), description(review_type, phrase).alias("description"))
+
+    return let(let(texts, choose), finish)
 
 
 def last_name(author: Column) -> Column:
@@ -370,10 +398,10 @@ def choice(value: Column, allowed: list[str] | tuple[str, ...], otherwise: Colum
 
 
 def bare_json(text: Column) -> Column:
-    """The JSON inside a model's answer: without code fences, or else its first brace or bracket to the last."""
+    """The JSON inside a model's answer: without code fences, or else from its first brace or bracket to the last of its kind."""
     t = strip(blank(text))
     t = F.when(t.startswith("```"), F.regexp_replace(F.regexp_replace(t, r"^```[a-zA-Z0-9_-]*\s*", ""), r"\s*```$", "")).otherwise(t)
-    found = [F.regexp_extract(t, p, 0) for p in (r"(?s)\{.*\}", r"(?s)\[.*\]")]
+    found = [F.regexp_extract(t, p, 0) for p in (r"(?s)[\{\[].*[\}\]]", r"(?s)\{.*\}", r"(?s)\[.*\]")]
     return F.coalesce(F.when(F.try_parse_json(t).isNotNull(), t), *(F.when((x != "") & F.try_parse_json(x).isNotNull(), x) for x in found))
 
 
