@@ -28,7 +28,7 @@ def country_names(spark: SparkSession) -> list[str]:
     """Names of all countries that the JVM's locale data knows."""
     locale = spark._jvm.java.util.Locale
     english = locale.ENGLISH
-    return sorted({locale.of("", c).getDisplayCountry(english) if hasattr(locale, "of") else locale("", c).getDisplayCountry(english) for c in locale.getISOCountries()})
+    return sorted({locale("", c).getDisplayCountry(english) for c in locale.getISOCountries()})
 
 
 def country(text: Column, names: list[str]) -> Column:

@@ -132,7 +132,7 @@ def parse_pubmed(found: DataFrame, *, query_key: str = "", query_label: str = ""
     stated = F.when(year != "", full).otherwise(medline)
     types = _texts(_element(article, "PublicationTypeList"), "PublicationType")
     ids = _elements(_element(data, "ArticleIdList"), "ArticleId")
-    of_kind = lambda k: F.coalesce(F.element_at(F.filter(F.transform(F.filter(ids, lambda i: i.contains(f'IdType="{k}"')), inner_text), lambda t: t != ""), -1), F.lit(""))
+    of_kind = lambda k: F.coalesce(F.try_element_at(F.filter(F.transform(F.filter(ids, lambda i: i.contains(f'IdType="{k}"')), inner_text), lambda t: t != ""), F.lit(-1)), F.lit(""))
     pmid, title = inner_text(_element(citation, "PMID")), inner_text(_element(article, "ArticleTitle"))
     low = F.transform(types, F.lower)
     flags = F.array_compact(F.array(
