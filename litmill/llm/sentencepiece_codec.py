@@ -31,7 +31,7 @@ class Codec:
     """Encodes and decodes as the library does for a BPE model with byte fallback and the identity normaliser."""
 
     #: Chunks and pairs to remember, and the longest of the chunks, in characters.
-    REMEMBER, PAIRS, LONGEST = 120_000, 90_000, 40
+    REMEMBER, PAIRS, LONGEST = 170_000, 90_000, 40
 
     def __init__(self, model_path: str):
         import ahocorasick
@@ -41,6 +41,7 @@ class Codec:
         n = lib.get_piece_size()
         self.end = lib.eos_id()
         self.pieces = [lib.id_to_piece(i) for i in range(n)]
+        self.names, self.sizes = list(map(str, range(n))), list(map(len, self.pieces))
         self.byte_of = {i: int(self.pieces[i][3:5], 16) for i in range(n) if lib.is_byte(i)}
         self.byte_id = {b: i for i, b in self.byte_of.items()}
         self.silent = {i for i in range(n) if lib.is_control(i)}
@@ -51,6 +52,7 @@ class Codec:
         self.score = {self.pieces[i]: lib.get_score(i) for i in plain}
         self.pairs = Remember(self._compatible, self.PAIRS)
         self.known = Remember(self._entry, self.REMEMBER, lambda chunk: len(chunk) <= self.LONGEST)
+        self.unlike: dict[str, str] = {}
         self.automaton = ahocorasick.Automaton()
         for i in plain:
             p = self.pieces[i]
@@ -76,16 +78,19 @@ class Codec:
         a, b = self.pieces[pair[0]], self.pieces[pair[1]]
         return self._merged(a + b) == [a, b]
 
-    def _entry(self, chunk: str) -> tuple[str, int, str]:
-        """A chunk's ids as text, their number, and the text they decode to."""
+    def _entry(self, chunk: str) -> str:
+        """A chunk's ids as text. What they decode to is kept too, unless it is the chunk itself, as it nearly always is."""
         ids = self.chunk(chunk)
-        return " ".join(map(str, ids)), len(ids), self.decode_raw(ids)
+        pieces, names = self.pieces, self.names
+        if "".join([pieces[i] for i in ids]) != chunk and (back := self.decode_marked(ids)) != chunk:
+            self.unlike[chunk] = back
+        return " ".join([names[i] for i in ids])
 
     def chunk(self, text: str) -> list[int]:
         """Ids of a string that starts with the marks of its spaces."""
         n = len(text)
         last = [-1] * (n + 1)  # -1: the prefix ends in a character that the vocabulary doesn't have
-        pairs, pieces = self.pairs, self.pieces
+        pairs, sizes = self.pairs, self.sizes
         for end, (length, token) in self.automaton.iter(text):
             end += 1
             if last[end] < 0:
@@ -103,7 +108,7 @@ class Codec:
                 ids.extend(self.byte_id[b] for b in reversed(text[at].encode("utf-8")))
             else:
                 ids.append(token)
-                at -= len(pieces[token])
+                at -= sizes[token]
         ids.reverse()
         return ids
 
@@ -115,8 +120,8 @@ class Codec:
     def chunks(text: str) -> list[str]:
         return CHUNK.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
-    def decode_raw(self, ids: list[int]) -> str:
-        """The text of ids, with the mark that encoding puts in front."""
+    def decode_marked(self, ids: list[int]) -> str:
+        """The text of ids, with marks for spaces and the one that encoding puts in front."""
         out, run = [], bytearray()
         for i in ids:
             b = self.byte_of.get(i)
@@ -130,19 +135,19 @@ class Codec:
                 out.append(self.pieces[i])
         if run:
             out.append(run.decode("utf-8", "replace"))
-        return "".join(out).replace(SPACE, " ")
+        return "".join(out)
 
     def decode(self, ids: list[int]) -> str:
-        text = self.decode_raw(ids)
+        text = self.decode_marked(ids).replace(SPACE, " ")
         return text[1:] if text.startswith(" ") else text
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids with the end, hash of the ids, hash of the text decoded from them."""
-        entries = list(map(self.known.__getitem__, self.chunks(text)))
-        ids = hashlib.sha256(" ".join([*(e[0] for e in entries), str(self.end)]).encode()).hexdigest()
-        back = "".join([e[2] for e in entries])
+        chunks = self.chunks(text)
+        ids = " ".join([*map(self.known.__getitem__, chunks), str(self.end)])
+        back = "".join(map(self.unlike.get, chunks, chunks) if self.unlike else chunks).replace(SPACE, " ")
         back = back[1:] if back.startswith(" ") else back
-        return sum(e[1] for e in entries) + 1, ids, hashlib.sha256(back.encode("utf-8")).hexdigest()
+        return ids.count(" ") + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back.encode("utf-8")).hexdigest()
 
 
 @lru_cache(maxsize=2)
