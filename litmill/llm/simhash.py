@@ -9,6 +9,10 @@ group they are sorted by Gray rank, in which neighbours differ in few bits. Leav
 node above factors out the bits that all below it share, with their mask. A search walks down, adding the differences
 on the bits that each node newly fixes, and leaves a whole subtree when the sum exceeds ``d``.
 
+With more than one table, a document has as many fingerprints, of hashes mixed anew. Two documents then link if those of
+one table are at distance ``d`` or less and all of them together at ``total`` or less: what a single fingerprint misses by
+chance the others find, and the sum keeps documents apart that agree in one table by chance.
+
 A group of over GROUP fingerprints is not searched in one task: it is dealt again by blocks of the bits that are still
 free, in as many rounds as it takes. Each round a third or so of the free bits becomes fixed, so that a group can't hold
 over GROUP distinct fingerprints for more than a few rounds. No group is cut and no link is lost.
@@ -22,6 +26,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from litmill.llm._base import map_rows, materialise, table
 from litmill.llm.components import components
@@ -32,47 +38,51 @@ GROUP = 2048
 LEAF, FANOUT = 8, 4
 #: Shingles whose bits are summed at a time.
 AT_ONCE = 1 << 14
-#: All-one bits of every byte value, for counting bits.
-POPCOUNT = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
+FULL = (1 << BITS) - 1
+
+
+def _mixed(h: np.ndarray, table: int) -> np.ndarray:
+    """Hashes of another table, by a mixing function; table 0 has the hashes themselves."""
+    if not table:
+        return h
+    g = h ^ np.uint64((0x9E3779B97F4A7C15 * table) & FULL)
+    g = (g ^ (g >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    g = (g ^ (g >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return g ^ (g >> np.uint64(31))
 
 
-def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
-    """The SimHash of a text's ``words``-word shingles, hashed by XXH64."""
+def fingerprint(text: str, words: int = 3, seed: int = 42, tables: int = 1) -> list[int]:
+    """The SimHash of a text's ``words``-word shingles, hashed by XXH64, for each table."""
     from xxhash import xxh64_intdigest
 
     w = text.encode("utf-8").lower().split()  # of bytes: ASCII letters and ASCII white space only
     if not w:
-        return 0
-    n = len(w)
-    if n < words:
-        starts, joined, ends = [0], b" ".join(w), [sum(map(len, w)) + n - 1]
-    else:
-        joined = b" ".join(w)
-        first, at = [], 0
-        for x in w:
-            first.append(at)
-            at += len(x) + 1
-        starts = first[: n - words + 1]
-        ends = [x - 1 for x in first[words:]] + [len(joined)]
-    count = np.zeros(BITS, dtype=np.int64)
+        return [0] * tables
+    joined = b" ".join(w)
+    first, at = [], 0
+    for x in w:
+        first.append(at)
+        at += len(x) + 1
+    starts = first[: max(1, len(w) - words + 1)]
+    ends = [x - 1 for x in first[words:]] + [len(joined)]
+    count = np.zeros((tables, BITS), dtype=np.int64)
     for k in range(0, len(starts), AT_ONCE):
         h = np.array([xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts[k : k + AT_ONCE], ends[k : k + AT_ONCE], strict=True)], dtype="<u8")
-        count += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = count * 2 > len(starts)
-    return int(np.packbits(bits, bitorder="little").view("<u8")[0])
+        for t in range(tables):
+            count[t] += np.unpackbits(_mixed(h, t).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(count * 2 > len(starts), axis=1, bitorder="little").view("<u8").ravel().tolist()
 
 
-def fingerprints(docs: DataFrame, *, words: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, fp: the fingerprint's bits as a signed number."""
+def fingerprints(docs: DataFrame, *, words: int = 3, tables: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, fps: an array of each table's fingerprint, its bits as a signed number."""
 
     def start():
         def row(k, t):
-            f = fingerprint(t or "", words)
-            yield k, f - (1 << BITS) if f >> (BITS - 1) else f
+            yield k, [_signed(f) for f in fingerprint(t or "", words, tables=tables)]
 
         return row
 
-    return map_rows(docs.select(key, text), f"{key} {dict(docs.dtypes)[key]}, fp bigint", start)
+    return map_rows(docs.select(key, text), f"{key} {dict(docs.dtypes)[key]}, fps array<bigint>", start)
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -84,7 +94,7 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
 
 
 def popcount(x: np.ndarray) -> np.ndarray:
-    return POPCOUNT[x.view(np.uint8).reshape(*x.shape, 8)].sum(axis=-1)
+    return np.bitwise_count(x).astype(np.int64)
 
 
 class GrayIndex:
@@ -93,7 +103,6 @@ class GrayIndex:
     def __init__(self, codes: np.ndarray):
         self.order = np.argsort(gray_rank(codes), kind="stable")
         self.codes = codes[self.order]
-        full = np.uint64(0xFFFFFFFFFFFFFFFF)
         n = len(codes)
         edges = np.arange(0, n, LEAF)
         both, any_ = np.bitwise_and.reduceat(self.codes, edges), np.bitwise_or.reduceat(self.codes, edges)
@@ -105,7 +114,6 @@ class GrayIndex:
             both = ones
             self.levels.append((ones, ones | zeros))
         self.levels.reverse()
-        self.full = full
 
     def search(self, queries: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray]:
         """Places in ``queries`` and in ``codes`` of all pairs at distance ``d`` or less."""
@@ -131,8 +139,11 @@ class GrayIndex:
         return q[ok], self.order[at[ok]]
 
 
-def spanning_links(codes: np.ndarray, d: int) -> list[tuple[int, int]]:
-    """Links that join what is within reach; as many as a forest has. Each block of queries is searched in the index."""
+def spanning_links(codes: np.ndarray, d: int, every: np.ndarray | None = None, total: int | None = None) -> list[tuple[int, int]]:
+    """Links that join what is within reach; as many as a forest has. Each block of queries is searched in the index.
+
+    every: the fingerprints of all tables, a row a code; with ``total``, links need no more differences over all of them.
+    """
     index = GrayIndex(codes)
     up = list(range(len(codes)))
 
@@ -145,8 +156,14 @@ def spanning_links(codes: np.ndarray, d: int) -> list[tuple[int, int]]:
     out = []
     for k in range(0, len(codes), 64):
         a, b = index.search(codes[k : k + 64], d)
-        for x, y in zip((a + k).tolist(), b.tolist(), strict=True):
-            if x < y and (r := root(x)) != (s := root(y)):
+        a = a + k
+        later = a < b
+        a, b = a[later], b[later]
+        if total is not None:
+            near = popcount(every[a] ^ every[b]).sum(axis=1) <= total
+            a, b = a[near], b[near]
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            if (r := root(x)) != (s := root(y)):
                 up[max(r, s)] = min(r, s)
                 out.append((x, y))
     return out
@@ -162,14 +179,17 @@ def _signed(x: int) -> int:
     return x - (1 << BITS) if x >> (BITS - 1) else x
 
 
-def near_links(nodes: DataFrame, d: int = 2, group: int = GROUP) -> DataFrame:
-    """nodes: fp, distinct. Result: a, b, fingerprints at distance ``d`` or less, enough to join all that are within reach."""
-    full, parts = (1 << BITS) - 1, d + 1
-    masks = [m | k for m in blocks(full, parts) for k in blocks(full & ~m, parts)]
-    todo = nodes.select("fp", F.explode(F.array(*(F.lit(_signed(m)) for m in masks))).alias("mask"))
+def near_links(nodes: DataFrame, d: int = 2, *, total: int | None = None, group: int = GROUP) -> DataFrame:
+    """nodes: id, fps, a row for each distinct fps. Result: a, b, ids of links, enough to join all that are within reach."""
+    parts = d + 1
+    masks = blocks(FULL, parts)
+    if parts * parts <= 16:  # few enough to deal twice at once
+        masks = [m | k for m in masks for k in blocks(FULL & ~m, parts)]
+    dealt = nodes.select("id", "fps", F.posexplode("fps").alias("t", "fp"))
+    todo = dealt.select("id", "fps", "t", "fp", F.explode(F.array(*(F.lit(_signed(m)) for m in masks))).alias("mask"))
     links = None
     while True:
-        found = materialise(_search(todo, d, group))
+        found = materialise(_search(todo, d, total, group))
         now = found.where("b is not null").select("a", "b")
         links = now if links is None else links.unionByName(now)
         crowded = found.where("b is null")
@@ -177,80 +197,70 @@ def near_links(nodes: DataFrame, d: int = 2, group: int = GROUP) -> DataFrame:
         if not left:
             return links
         # What is still free of each mask is cut once more; the masks of a round depend on the number of bits only.
-        cut = F.create_map(*(x for m in left for x in (F.lit(m), F.array(*(F.lit(_signed((m & full) | k)) for k in blocks(full & ~(m & full), parts) if k)))))
-        todo = crowded.select(F.col("a").alias("fp"), F.explode(cut[F.col("mask")]).alias("mask"))
+        cut = F.create_map(*(x for m in left for x in (F.lit(m), F.array(*(F.lit(_signed((m & FULL) | k)) for k in blocks(FULL & ~(m & FULL), parts))))))
+        todo = crowded.select(F.col("a").alias("id"), "fps", "t", F.get("fps", F.col("t")).alias("fp"), F.explode(cut[F.col("mask")]).alias("mask"))
+
 
+def _search(todo: DataFrame, d: int, total: int | None, group: int) -> DataFrame:
+    """a, b, mask, t, fps: the links within each group as a and b; of groups over ``group``, their rows without b."""
+    dealt = todo.select("id", "fp", "t", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("value"), "fps")
+    dealt = dealt.repartition("t", "mask", "value").sortWithinPartitions("t", "mask", "value")
+    schema = f"a {dict(todo.dtypes)['id']}, b {dict(todo.dtypes)['id']}, mask bigint, t int, fps array<bigint>"
 
-def _search(todo: DataFrame, d: int, group: int) -> DataFrame:
-    """a, b, mask: the links within each group; of groups over ``group``, their fingerprints without b."""
-    dealt = todo.select("fp", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("value"))
-    dealt = dealt.repartition("mask", "value").sortWithinPartitions("mask", "value")
+    kinds = [to_arrow_type(f.dataType) for f in StructType.fromDDL(schema)]
 
     def run(batches):
         import pyarrow as pa
 
-        keep = np.zeros((0, 3), np.int64)  # rows of a group that may go on in the next batch
         out: list[tuple] = []
+        keep: list[tuple] = []  # rows of a group that may go on in the next batch
+        spilling = None  # the key of a group that is known to be too large
+
+        def crowd(rows) -> None:
+            out.extend((i, None, mask, t, fps) for i, _, t, mask, _, fps in rows)
 
-        def work(rows: np.ndarray) -> None:
-            n = len(rows)
-            if n < 2:
-                return
-            if n > group:
-                out.extend((f, None, m) for f, m in rows[:, :2].tolist())
-                return
-            f = rows[:, 0].tolist()
-            if n <= 8:
-                out.extend((f[i], f[j], None) for i in range(n) for j in range(i + 1, n) if ((f[i] ^ f[j]) & ((1 << BITS) - 1)).bit_count() <= d)
-            else:
-                out.extend((f[i], f[j], None) for i, j in spanning_links(np.ascontiguousarray(rows[:, 0]).view(np.uint64), d))
+        def work(rows) -> None:
+            if len(rows) > group:
+                crowd(rows)
+            elif len(rows) > 1:
+                codes = np.array([r[1] for r in rows], np.int64).view(np.uint64)
+                every = np.array([r[5] for r in rows], np.int64).view(np.uint64) if total is not None else None
+                out.extend((rows[x][0], rows[y][0], None, None, None) for x, y in spanning_links(codes, d, every, total))
 
         def flush():
-            nonlocal out
             if out:
-                cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "mask"])
-                out = []
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["a", "b", "mask", "t", "fps"])
+                out.clear()
+
+        def finish() -> None:
+            nonlocal keep
+            if keep:
+                crowd(keep) if keep[0][2:5] == spilling else work(keep)
+            keep = []
 
-        spilling = None  # the key of a group that is known to be too large
         for batch in batches:
-            rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1) if batch.num_rows else keep[:0]
-            rows = np.concatenate([keep, rows])
-            new = np.flatnonzero((rows[1:, 1] != rows[:-1, 1]) | (rows[1:, 2] != rows[:-1, 2])) + 1
-            cuts = [0, *new.tolist(), len(rows)]
-            for a, b in zip(cuts[:-2], cuts[1:-1], strict=True):
-                if spilling is not None and tuple(rows[a, 1:].tolist()) == spilling:
-                    out.extend((f, None, m) for f, m in rows[a:b, :2].tolist())
-                elif b - a > 1:
-                    work(rows[a:b])
-            keep = rows[cuts[-2] :] if len(rows) else rows
-            if len(keep):
-                key = tuple(keep[0, 1:].tolist())
-                if key == spilling or len(keep) > group:
-                    spilling = key
-                    out.extend((f, None, m) for f, m in keep[:, :2].tolist())
-                    keep = keep[:0]
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if keep and row[2:5] != keep[0][2:5]:
+                    finish()
+                keep.append(row)
+                if len(keep) > group:
+                    spilling = row[2:5]
+                    crowd(keep)
+                    keep = []
             yield from flush()
-        if len(keep):
-            if spilling is not None and tuple(keep[0, 1:].tolist()) == spilling:
-                out.extend((f, None, m) for f, m in keep[:, :2].tolist())
-            else:
-                work(keep)
+        finish()
         yield from flush()
 
-    return dealt.mapInArrow(run, "a bigint, b bigint, mask bigint")
+    return dealt.mapInArrow(run, schema)
 
 
-def near_duplicates(docs: DataFrame, *, d: int = 2, words: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, fp, component_id: the smallest key within reach by links of ``d`` bits or less, the row's own included."""
-    marked = materialise(fingerprints(docs, words=words, key=key, text=text))
-    nodes = materialise(marked.groupBy("fp").agg(F.min(key).alias("least")))
-    joined = components(near_links(nodes.select("fp"), d))
-    # Components are of fingerprints; each takes the smallest key of all its fingerprints.
-    classed = nodes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = classed.groupBy("component").agg(F.min("least").alias("component_id"))
-    classed = classed.select("fp", "component").join(least, "component").select("fp", "component_id")
-    return marked.join(classed, "fp").select(key, "fp", "component_id")
+def near_duplicates(docs: DataFrame, *, d: int = 2, words: int = 3, tables: int = 1, total: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, fp, component_id: the smallest key within reach by links, the row's own included; fp is the first table's."""
+    marked = materialise(fingerprints(docs, words=words, tables=tables, key=key, text=text))
+    nodes = materialise(marked.groupBy("fps").agg(F.min(key).alias("id")))
+    joined = components(near_links(nodes.where("id is not null"), d, total=total))
+    classed = nodes.join(joined.withColumnRenamed("node", "id"), "id", "left").select("fps", F.coalesce("component", "id").alias("component_id"))
+    return marked.join(classed, "fps").select(key, F.col("fps")[0].alias("fp"), "component_id")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

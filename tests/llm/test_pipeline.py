@@ -5,21 +5,38 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from litmill.llm import mixing, sentencepiece_codec, toxicity
+from litmill.llm import mixing, sentencepiece_codec, simhash, toxicity
 from tests.llm.test_line_dedup import plain as plain_lines
-from tests.llm.test_simhash import classes, plain_fingerprint
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 
+def classes(fps):
+    """Each document's class: the smallest id that links reach."""
+    up = {k: k for k in fps}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in fps:
+        for b in fps:
+            apart = [bin(x ^ y).count("1") for x, y in zip(fps[a], fps[b], strict=True)]
+            if a < b and min(apart) <= corpus_pipeline.NEAR["d"] and sum(apart) <= corpus_pipeline.NEAR["total"]:
+                r, s = root(a), root(b)
+                up[max(r, s)] = min(r, s)
+    return {k: root(k) for k in fps}
+
+
 def brute(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = {r["doc_id"]: r for r in docs.collect()}
     lexicon = toxicity.learn(docs, spark.read.parquet(f"{sf}/labels.parquet"))
     rows = {k: r for k, r in rows.items() if lexicon.score(lexicon.evidence(r["text"])[0]) < toxicity.THRESHOLD}
     clean = {k: t for k, t, _ in plain_lines([(k, r["text"], r["source"]) for k, r in rows.items()], 5)}
-    fps = {k: plain_fingerprint(t) for k, t in clean.items()}
-    kept = sorted(set(classes(sorted(fps), fps, 2).values()))
+    fps = {k: simhash.fingerprint(t, tables=corpus_pipeline.NEAR["tables"]) for k, t in clean.items()}
+    kept = sorted(set(classes(fps).values()))
     left = spark.createDataFrame([(k, clean[k], rows[k]["source"]) for k in kept], "doc_id bigint, text string, source string")
     copies = {r["doc_id"]: r["copies"] for r in mixing.plan(left).collect()}
     lib = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.default_model())

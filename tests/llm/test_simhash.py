@@ -38,9 +38,9 @@ def classes(keys, fps, d):
 def test_fingerprints_agree_with_a_plain_version_and_with_sparks_hash(spark):
     texts = ["", " ", "a", "A b", "a b c", "É Ä x y z \x1f w", "one two three four five " * 9000, None]
     for t in texts:
-        assert simhash.fingerprint(t or "") == plain_fingerprint(t)
+        assert simhash.fingerprint(t or "") == [plain_fingerprint(t)]
     h = spark.sql("select xxhash64('a b c') h").first()["h"]
-    assert simhash.fingerprint("a b c") == h % 2**64
+    assert simhash.fingerprint("a b c", tables=3)[0] == h % 2**64
 
 
 def test_index_finds_all_pairs():
@@ -63,9 +63,9 @@ def test_links_join_the_same_classes_whatever_the_group_size(spark):
         codes.add(c ^ (1 << random.randrange(64)) ^ (1 << random.randrange(64)) * random.randrange(2))
     codes = sorted(codes)
     want = classes(codes, {c: c for c in codes}, 2)
-    nodes = spark.createDataFrame([(simhash._signed(c),) for c in codes], "fp bigint")
+    nodes = spark.createDataFrame([(i, [simhash._signed(c)]) for i, c in enumerate(codes)], "id bigint, fps array<bigint>")
     for group in (8, 2048):
-        links = [(r["a"] % 2**64, r["b"] % 2**64) for r in simhash.near_links(nodes, 2, group).collect()]
+        links = [(codes[r["a"]], codes[r["b"]]) for r in simhash.near_links(nodes, 2, group=group).collect()]
         assert all(bin(a ^ b).count("1") <= 2 for a, b in links)
         up = {c: c for c in codes}
 
@@ -95,3 +95,23 @@ def test_nulls_repeats_and_empty_tables(spark):
     got = sorted((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(docs).collect())
     assert got == [(1, 1), (2, 1), (2, 1), (5, 5), (7, 5)]
     assert simhash.near_duplicates(docs.where(F.lit(False))).count() == 0
+
+
+def test_tables_find_near_copies_and_keep_others_apart(spark):
+    random.seed(9)
+    words = [f"w{i}" for i in range(3000)]
+    rows = []
+    for i in range(60):
+        base = random.choices(words, k=300)
+        for j in range(3):
+            t = list(base)
+            for _ in range(4 * (j > 0)):
+                t[random.randrange(300)] = random.choice(words)
+            rows.append((10 * i + j, " ".join(t)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, d=6, tables=4, total=48).collect()}
+    assert all(c // 10 == k // 10 for k, c in got.items())
+    assert sum(c == 10 * (k // 10) for k, c in got.items()) >= 0.95 * len(got)
+    codes = {k: simhash.fingerprint(t, tables=4) for k, t in rows}
+    near = {(a, b) for a in codes for b in codes if a < b and min(bin(x ^ y).count("1") for x, y in zip(codes[a], codes[b], strict=True)) <= 6 and sum(bin(x ^ y).count("1") for x, y in zip(codes[a], codes[b], strict=True)) <= 48}
+    assert all(got[a] == got[b] for a, b in near)
