@@ -20,6 +20,11 @@ from litmill.llm import line_dedup, mixing, sentencepiece_codec, simhash, toxici
 from litmill.llm._base import shared_folder, table
 
 
+#: Near copies: four fingerprints, one of them at 6 bits or less and all at 48 of 256. Nearly all documents that share 0.8 of
+#: their five-word shingles or more are that near; others have half of the bits apart.
+NEAR = {"d": 6, "tables": 4, "total": 48}
+
+
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.reject(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
@@ -30,7 +35,7 @@ def boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = simhash.near_duplicates(docs.where(F.col("doc_id").isNotNull()))
+    classes = simhash.near_duplicates(docs.where(F.col("doc_id").isNotNull()), **NEAR)
     stay = classes.select(F.col("component_id").alias("doc_id")).distinct()
     kept = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where(F.col("doc_id").isNull()))
