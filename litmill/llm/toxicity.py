@@ -1,8 +1,8 @@
 """Toxicity scores from a lexicon that is matched through misspellings and weighed by its context.
 
 Learning: over a bounded sample of labelled rows, words and word beginnings are counted in toxic and other documents; those
-that a likelihood-ratio test ties to toxic ones become entries of a lexicon, beside a short list to start from. An entry
-is a whole word or a stem. A logistic curve over the evidence is then fitted to the same rows, drawn towards a fixed
+that a likelihood-ratio test ties to toxic ones, and that stand in several surroundings there, become entries of a lexicon,
+beside a short list to start from. An entry is a whole word or a stem. A logistic curve over the evidence is then fitted to the same rows, drawn towards a fixed
 prior, so that few or no labels do no harm.
 
 Matching: the entries form a trie. A Levenshtein automaton runs over it: its states are sets of trie nodes with the edits
@@ -34,6 +34,8 @@ from litmill.llm._base import Remember, fold, map_rows, table
 SAMPLE_ROWS = 20_000
 #: Entries learnt at most, the best tied first; least ties and documents of one.
 ENTRIES, LEAST_TIE, LEAST_DOCS = 5_000, 25.0, 4
+#: The least share of toxic documents' surroundings among all that an entry is found in.
+PRECISION = 0.8
 STEMS = (4, 5, 6, 7)
 WINDOW = 4
 THRESHOLD = 0.7
@@ -228,6 +230,9 @@ def _sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str,
     """y, text: at most ``rows`` labelled rows outside the held-out fold. Their keys are few enough to send everywhere."""
     usable = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & (fold(key, folds) != held))
     usable = usable.groupBy(F.col(key).alias("_key")).agg(F.max(label).alias("y"))
+    n = usable.count()
+    if n > 2 * rows:  # so that no task sorts more than a few times as many
+        usable = usable.where(F.pmod(F.xxhash64("_key"), F.lit(1 << 30)) < int((1 << 30) * 1.5 * rows / n))
     chosen = usable.orderBy(F.xxhash64("_key"), "_key").limit(rows)
     return docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).join(F.broadcast(chosen), "_key").select("y", "text")
 
@@ -263,6 +268,43 @@ def _features(sample: DataFrame) -> DataFrame:
     return sample.mapInArrow(run, "word string, stem boolean, n0 bigint, n1 bigint").groupBy("word", "stem").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
+def _in_contexts(sample: DataFrame, found: list[tuple[str, bool, int, int]]) -> list[tuple[str, bool, int, int]]:
+    """Of the candidates, those that toxic documents use in several surroundings and others hardly ever do.
+
+    A document that was copied many times ties all its words to its label; but its copies have them between the same two
+    words. So the counts are of distinct pairs of neighbours.
+    """
+    sent = sample.sparkSession.sparkContext.broadcast(({w for w, s, *_ in found if not s}, {w for w, s, *_ in found if s}))
+
+    def start():
+        whole, stems = sent.value
+
+        def row(y, t):
+            words = [bare(w) for w in (t or "").split()]
+            out = set()
+            for i, w in enumerate(words):
+                hits = [(w, False)] if w in whole else []
+                hits += [(w[:n], True) for n in STEMS if len(w) >= n and w[:n] in stems]
+                if hits:
+                    near = hash_words(words[i - 1] if i else "", words[i + 1] if i + 1 < len(words) else "")
+                    out.update((*h, int(y > 0), near) for h in hits)
+            return out
+
+        return row
+
+    rows = map_rows(sample.select("y", "text"), "word string, stem boolean, y int, near bigint", start)
+    counted = rows.distinct().groupBy("word", "stem").agg(F.count_if(F.col("y") == 0).alias("m0"), F.count_if(F.col("y") == 1).alias("m1"))
+    kept = counted.where((F.col("m1") >= LEAST_DOCS) & (F.col("m1") >= PRECISION * (F.col("m0") + F.col("m1"))))
+    names = {(r["word"], r["stem"]) for r in kept.select("word", "stem").collect()}
+    return [f for f in found if (f[0], f[1]) in names]
+
+
+def hash_words(*words: str) -> int:
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest("\0".join(words)) >> 1
+
+
 def _weight(n0: int, n1: int, all0: int, all1: int) -> float:
     return min(HEAVIEST, math.log((n1 + 0.5) / (all1 + 1)) - math.log((n0 + 0.5) / (all0 + 1)))
 
@@ -330,7 +372,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
             toxic = F.col("n1") / all1 > F.col("n0") / all0
             best = counted.where((F.col("word") != "") & (F.col("n1") >= LEAST_DOCS) & toxic).withColumn("tie", tie).where(F.col("tie") >= LEAST_TIE)
             found = best.orderBy(F.desc("tie"), "word", "stem").limit(ENTRIES).select("word", "stem", "n0", "n1").collect()
-            learnt = _entries([tuple(r) for r in found], all0, all1)
+            learnt = _entries(_in_contexts(sample, [tuple(r) for r in found]), all0, all1)
             entries = [e for e in entries if e[0] not in {x[0] for x in learnt}] + learnt
         counted.unpersist()
         if not entries:
