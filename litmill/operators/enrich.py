@@ -105,8 +105,7 @@ def repair(base: DataFrame, answered: DataFrame) -> DataFrame:
     given = F.coalesce(F.col("_answered"), F.lit(False))
     made["coding_method"] = F.when(given, "llm_structured").otherwise(F.col("coding_method"))
     # A record without an answer keeps the rules' fields as they are.
-    lists = {c for c, t in ruled.dtypes if t.startswith("array")}
-    return j.select(*(F.when(given, made[c]).otherwise(F.col(c)).alias(c) if c in made and c not in lists else F.when(given, made[c]).otherwise(F.col(c)).alias(c) if c in made else F.col(c) for c in ruled.columns))
+    return j.select(*(F.when(given, made[c]).otherwise(F.col(c)).alias(c) if c in made else F.col(c) for c in ruled.columns))
 
 
 def violations(coded: DataFrame) -> DataFrame:

@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Columns that a crosstab may have.
+MOST_COLUMNS = 10_000
+
+
 def share(n: Column, total: Column, digits: int = 1) -> Column:
     """Percent, rounded half to even; null if there is no total."""
     return F.bround(F.try_divide(n * 100, total), digits)
@@ -51,7 +55,9 @@ def conditional_counts(df: DataFrame, conditions: dict[str, Column], *, name: st
 def crosstab(df: DataFrame, rows: str, columns: str, values: Sequence[str] | None = None) -> DataFrame:
     """Counts by row and column label, 0 where there are none; columns are those given, or those that occur, in order."""
     if values is None:
-        values = [r[0] for r in df.select(columns).where(F.col(columns).isNotNull()).distinct().orderBy(columns).limit(10_000).collect()]
+        values = [r[0] for r in df.select(columns).where(F.col(columns).isNotNull()).distinct().orderBy(columns).limit(MOST_COLUMNS + 1).collect()]
+        if len(values) > MOST_COLUMNS:
+            raise ValueError(f"over {MOST_COLUMNS} columns")
     return df.groupBy(rows).pivot(columns, list(values)).agg(F.count(F.lit(1))).na.fill(0).orderBy(rows)
 
 

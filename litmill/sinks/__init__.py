@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -114,6 +113,3 @@ def fragments(values: dict[str, object], templates: dict[str, str]) -> dict[str,
     """Text fragments with the values of aggregates put in."""
     return {name: t.format(**values) for name, t in templates.items()}
 
-
-def print_order(columns: Sequence[str], first: Sequence[str]) -> list[str]:
-    return [c for c in first if c in columns] + [c for c in columns if c not in first]
