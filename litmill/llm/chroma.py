@@ -17,7 +17,6 @@ out.
 
 from __future__ import annotations
 
-import hashlib
 import io
 import math
 import wave
