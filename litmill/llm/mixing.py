@@ -5,6 +5,10 @@ source's target goes over ``most`` times its size; what is over is shared among
 A source's rate is its target over its size: each of its documents is taken floor(rate) times, and once more with a
 probability of the fraction, decided by a hash of the document's key and a seed, so that reruns agree.
 
+The hash is a number from 0 to 1 and the copy is made if it is under a mark. At the fraction itself, a few long documents
+can carry a small source far off its target; so the mark is put where the documents under it hold as many words as the
+fraction of the source asks for. It is the fraction for all but sampling error, and depends on no single document.
+
 Nulls: a null text has size 0, a null source is a source of its own. Sources without words have target and rate 0.
 Repeated keys decide alike. An empty table gives an empty mix. Other columns are left out of the plan and kept by mix().
 """
@@ -18,8 +22,9 @@ from litmill.llm._base import SPACES, materialise, table
 
 WEIGHTS = (5, 2, 1)
 MOST = 3.0
-#: Buckets that a source's partial sums are dealt into, so that the largest source is summed in many tasks.
-SALTS = 64
+#: Ranges of the hash in which a source's words are summed: the places where a mark can be, and the most rows a source has
+#: from then on, so that the largest source is summed in many tasks.
+BINS = 1 << 16
 SEED = 7
 #: Sources, and characters of their names, up to which their rates are sent to every executor.
 BROADCAST_SOURCES, BROADCAST_CHARS = 10_000, 1_000_000
@@ -57,11 +62,23 @@ def targets(sizes: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: float
     return ranked.select("source", "source_size", "weight", target.alias("target"))
 
 
-def rates_of(sized: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
-    """sized: key, source, size. Result: of, source_size, weight, target, rate, a row a source, written once."""
-    part = sized.groupBy("source", F.pmod(F.xxhash64("key"), F.lit(SALTS)).alias("salt")).agg(F.sum("size").alias("s"))
-    found = targets(part.groupBy("source").agg(F.sum("s").alias("source_size")), weights=weights, most=most)
-    return materialise(found.withColumnRenamed("source", "of").withColumn("rate", F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))))
+def chance(key: Column, seed: int = SEED) -> Column:
+    """53 bits of a hash of the key: a number from 0 up to but not 1."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce(key.cast("string"), F.lit(""))), 11) / F.lit(float(1 << 53))
+
+
+def rates_of(sized: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: float = MOST, seed: int = SEED) -> DataFrame:
+    """sized: key, source, size. Result: of, source_size, weight, target, rate, mark, a row a source, written once."""
+    bins = materialise(sized.groupBy("source", F.floor(chance(F.col("key"), seed) * BINS).alias("bin")).agg(F.sum("size").alias("s")))
+    found = targets(bins.groupBy("source").agg(F.sum("s").alias("source_size")), weights=weights, most=most)
+    found = found.withColumnRenamed("source", "of").withColumn("rate", F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)))
+    found = materialise(found.withColumn("asked", (F.col("rate") - F.floor("rate")) * F.col("source_size")))
+    # Words under each place where the mark can be, and how far they are from what is asked for; nothing is under 0.
+    upto = F.sum("s").over(Window.partitionBy("source").orderBy("bin"))
+    places = bins.select("source", "bin", upto.alias("under")).join(found.select("of", "asked"), F.col("source").eqNullSafe(F.col("of")))
+    off = places.groupBy("of").agg(F.min(F.struct(F.abs(F.col("under") - F.col("asked")).alias("off"), (F.col("bin") + 1).alias("at"))).alias("best"), F.min("asked").alias("none"))
+    marks = off.select(F.col("of").alias("for"), F.when(F.col("none") <= F.col("best.off"), 0.0).otherwise(F.col("best.at") / BINS).alias("mark"))
+    return materialise(found.drop("asked").join(marks, F.col("of").eqNullSafe(F.col("for"))).drop("for"))
 
 
 def _with_rates(rows: DataFrame, source: str, rates: DataFrame) -> DataFrame:
@@ -71,24 +88,23 @@ def _with_rates(rows: DataFrame, source: str, rates: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(rates) if small else rates, rows[source].eqNullSafe(rates["of"]), "left")
 
 
-def copies_of(key: Column, rate: Column, *, seed: int = SEED, most: float = MOST) -> Column:
-    """floor(rate) and a Bernoulli copy: 53 bits of a hash of the key make a number from 0 up to but not 1."""
-    chance = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce(key.cast("string"), F.lit(""))), 11) / F.lit(float(1 << 53))
-    return F.least(F.floor(rate) + (chance < rate - F.floor(rate)).cast("long"), F.lit(int(most)).cast("long"))
+def copies_of(key: Column, rate: Column, mark: Column, *, seed: int = SEED, most: float = MOST) -> Column:
+    """floor(rate) and the copy that the hash decides."""
+    return F.least(F.floor(rate) + (chance(key, seed) < mark).cast("long"), F.lit(int(most)).cast("long"))
 
 
 def plan(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: float = MOST, seed: int = SEED, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """key, size, source_size, target, copies, taken: a row a document."""
     sized = materialise(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), size_of(F.col(text)).alias("size")))
-    joined = _with_rates(sized, "source", rates_of(sized, weights=weights, most=most)).withColumn("copies", copies_of(F.col("key"), F.col("rate"), seed=seed, most=most))
+    joined = _with_rates(sized, "source", rates_of(sized, weights=weights, most=most, seed=seed)).withColumn("copies", copies_of(F.col("key"), F.col("rate"), F.col("mark"), seed=seed, most=most))
     return joined.select(F.col("key").alias(key), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: float = MOST, seed: int = SEED, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The documents themselves, each as often as the plan takes it; columns as they were."""
     sized = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), size_of(F.col(text)).alias("size"))
-    rates = rates_of(sized, weights=weights, most=most).select("of", F.col("rate").alias("_rate"))
-    joined = _with_rates(docs, source, rates).withColumn("_copies", copies_of(docs[key], F.col("_rate"), seed=seed, most=most).cast("int"))
+    rates = rates_of(sized, weights=weights, most=most, seed=seed).select("of", F.col("rate").alias("_rate"), F.col("mark").alias("_mark"))
+    joined = _with_rates(docs, source, rates).withColumn("_copies", copies_of(docs[key], F.col("_rate"), F.col("_mark"), seed=seed, most=most).cast("int"))
     taken = joined.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     return taken.select(*(docs[c] for c in docs.columns))
 

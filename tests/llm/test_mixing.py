@@ -66,3 +66,16 @@ def test_nulls_repeats_clashing_names_and_empty_tables(spark):
     assert mixing.mix(docs).columns == docs.columns
     none = docs.where(F.lit(False))
     assert mixing.plan(none).count() == 0 == mixing.mix(none).count()
+
+
+def test_long_documents_do_not_carry_a_source_off(spark):
+    docs = spark.range(800).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), F.when(F.col("id") % 40 < 4, 4000).otherwise(50).cast("int")).alias("text"), F.concat(F.lit("s"), F.col("id") % 4).alias("source"))
+    for r in mixing.plan(docs).groupBy(F.col("doc_id") % 4, "source_size", "target").agg(F.sum("taken").alias("t"), F.max("size").alias("longest"), F.min("copies").alias("least"), F.max("copies").alias("most")).collect():
+        assert abs(r["t"] - r["target"]) <= r["longest"] / 2
+        assert int(r["target"] / r["source_size"]) <= r["least"] <= r["most"] <= int(r["target"] / r["source_size"]) + 1
+
+
+def test_copies_come_as_often_as_the_fraction_asks(spark):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.concat(F.lit("s"), F.col("id") % 2).alias("source"))
+    for r in mixing.plan(docs).groupBy("target", "source_size").agg(F.avg("copies").alias("c")).collect():
+        assert r["c"] == pytest.approx(r["target"] / r["source_size"], rel=0.001)
