@@ -20,9 +20,9 @@ from litmill.llm import line_dedup, mixing, sentencepiece_codec, simhash, toxici
 from litmill.llm._base import shared_folder, table
 
 
-#: Near copies: four fingerprints, one of them at 6 bits or less and all at 48 of 256. Nearly all documents that share 0.8 of
-#: their five-word shingles or more are that near; others have half of the bits apart.
-NEAR = {"d": 6, "tables": 4, "total": 48}
+#: Near copies: of four fingerprints one is at 6 bits or less, and all together at 36 of 256, where documents lie that share
+#: about 0.8 of their five-word shingles; unrelated ones have half of the bits apart.
+NEAR = {"d": 6, "tables": 4, "total": 36}
 
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
