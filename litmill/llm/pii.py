@@ -141,10 +141,11 @@ ADDRESS = re.compile(
     rf"({_MARKED_AT})({_LABEL}(?:{_ANY_DOT}{_LABEL})+)"
     rf"|(\s*@\s*|\s+{_AT}\s+)({_LABEL}(?:\.{_LABEL})*(?:(?:{_OPEN}{_DOT}{_CLOSE}|\s+{_DOT}\s+){_LABEL}(?:\.{_LABEL})*)+)"
     rf"|(\s+{_AT}\s+)({_LABEL}(?:\.{_LABEL})*{_ENDINGS}(?![A-Za-z0-9-]))"
+    rf"|(\s+@\s+)({_LABEL}(?:(?:\s+\.\s+|\.){_LABEL})+)"
     r")",
     re.I,
 )
-_DOTS = re.compile(rf"{_OPEN}{_DOT}{_CLOSE}|\s+{_DOT}\s+|{_OPEN}\.{_CLOSE}", re.I)
+_DOTS = re.compile(rf"{_OPEN}{_DOT}{_CLOSE}|\s+{_DOT}\s+|{_OPEN}\.{_CLOSE}|\s+\.\s+", re.I)
 NUMERIC_DOT = re.compile(rf"(?<=[0-9])(?:{_OPEN}(?:{_DOT}|\.){_CLOSE}|\s+{_DOT}\s+)(?=[0-9])", re.I)
 #: Names are looked for in stretches of so many characters around a sign, so that a text without addresses costs little.
 SIGN = re.compile(rf"[\[({{<]\s*(?:{_AT}|@)\s*[\])}}>]|\s(?:{_AT})\s|@", re.I)
@@ -166,7 +167,7 @@ def _may_spell(low: str) -> bool:
 
 def _may_hide(t: str, low: str) -> bool:
     """Whether there is what every form of a written-out sign needs: a bracket, a word for the dot, or an ending with an at."""
-    return any(c in t for c in "[({<") or any(w in low for w in _DOT_WORDS) or any(w in low for w in ENDINGS) and any(w in low for w in ("at", "arroba", "ät"))
+    return any(c in t for c in "[({<") or any(w in low for w in _DOT_WORDS) or "@ " in t or any(w in low for w in ENDINGS) and any(w in low for w in ("at", "arroba", "ät"))
 
 
 class Tape:
@@ -226,7 +227,7 @@ def _undot(t: Tape) -> Tape:
         while low > least and t.text[low - 1] in LOCAL:  # so as not to start inside a name
             low -= 1
         for m in ADDRESS.finditer(t.text, low, min(len(t.text), sign.end() + AROUND)):
-            k = 2 if m[2] else 4 if m[4] else 6
+            k = next(k for k in (2, 4, 6, 8) if m[k])
             edits.append((m.start(k), m.end(k), "@"))
             edits += [(d.start(), d.end(), ".") for d in _DOTS.finditer(t.text, m.start(k + 1), m.end(k + 1))]
             free = m.end()

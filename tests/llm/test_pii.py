@@ -33,6 +33,8 @@ def test_base_spans_agree_with_the_patterns():
     [
         ("write to john.doe [at] mail4 dot example dot com now", "email", "john.doe [at] mail4 dot example dot com"),
         ("so john at mail.example.com says", "email", "john at mail.example.com"),
+        ("mail ann @ mail . example . org. Then", "email", "ann @ mail . example . org"),
+        ("mail ann @ mail.example.org. Then", "email", "ann @ mail.example.org"),
         ("J (AT) x (DOT) org", "email", "J (AT) x (DOT) org"),
         ("call plus one two three four five six seven eight nine zero one.", "phone", "plus one two three four five six seven eight nine zero one"),
         ("at one nine two dot one six eight dot one dot two three", "ip", "one nine two dot one six eight dot one dot two three"),
