@@ -320,18 +320,23 @@ def _tie(n0, n1, all0: int, all1: int):
     return 2 * (part(n0, n * p0) + part(n1, n * p1) + part(all0 - n0, rest * p0) + part(all1 - n1, rest * p1))
 
 
+def _tied(n0: int, n1: int, all0: int, all1: int) -> float:
+    """The statistic of _tie() for numbers."""
+    out, everyone = 0.0, all0 + all1
+    for seen, of in ((n0, all0), (n1, all1)):
+        for x, row in ((seen, n0 + n1), (of - seen, everyone - n0 - n1)):
+            if x:
+                out += 2 * x * math.log(x / (row * of / everyone))
+    return out
+
+
 def _entries(found: list[tuple[str, bool, int, int]], all0: int, all1: int) -> list[tuple[str, bool, float]]:
-    """Of nested beginnings, the longest that still has nearly all documents of the shortest; words that no stem covers."""
+    """Of nested beginnings, the one that is tied best, a longer one if it is about as good; words that no stem covers."""
     stems = {w: (n0, n1) for w, s, n0, n1 in found if s}
     kept: dict[str, tuple[bool, float]] = {}
-    for w in sorted(stems, key=len):
-        if any(w[:n] in stems for n in range(min(STEMS), len(w))):
-            continue
-        best = w
-        for longer in sorted((x for x in stems if x.startswith(w)), key=len):
-            if stems[longer][1] >= 0.95 * stems[w][1] and longer.startswith(best):
-                best = longer
-        kept[best] = (True, _weight(*stems[best], all0, all1))
+    for w in sorted(stems, key=lambda w: (-_tied(*stems[w], all0, all1) * (1 + 0.03 * (len(w) - min(STEMS))), w)):
+        if not any(k.startswith(w) or w.startswith(k) for k in kept):
+            kept[w] = (True, _weight(*stems[w], all0, all1))
     for w, s, n0, n1 in found:
         if not s:
             covered = next((w[:n] for n in range(len(w), 0, -1) if kept.get(w[:n], (False,))[0]), None)
