@@ -44,6 +44,8 @@ PRIOR, PRIOR_ROWS = (-3.0, 1.6), 4.0
 HEAVIEST, SEED_WEIGHT, MISSPELT = 5.0, 3.0, 0.5
 QUOTED, ADDRESSED = 0.3, 1.25
 MOST_EVIDENCE = 12.0
+#: Rounds of looking for entries whose misspelt forms other documents have.
+ROUNDS = 4
 
 # Words to start from, before any label is seen.
 SEEDS = (
@@ -382,8 +384,13 @@ def learn(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
         counted.unpersist()
         if not entries:
             return Lexicon([("\0", False, 0.0)])
-        lexicon = Lexicon(entries)
-        lexicon = Lexicon(entries, _loose(sample, lexicon, all0))
+        exact: frozenset[str] = frozenset()
+        for _ in range(ROUNDS):  # a form is counted for one entry at a time, so the next may show only then
+            more = _loose(sample, Lexicon(entries, exact), all0)
+            exact |= more
+            if not more:
+                break
+        lexicon = Lexicon(entries, exact)
         points = [(r["e"], r["y"]) for r in _evidence(sample.select("y", "text"), lexicon, "y").select("e", "y").collect()]  # at most ``rows``
         # Toxic rows without any evidence say nothing about how much evidence it takes, and may be labelled by mistake.
         points = [(e, y) for e, y in points if e > 0 or y == 0]
