@@ -49,9 +49,18 @@ def _arrow(kind) -> pa.DataType:
     return to_arrow_type(kind)
 
 
-def materialise(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
-    """Write a frame once to the shared checkpoint folder and read on from there, so that later jobs neither repeat it nor need its executors."""
-    session = spark or df.sparkSession
+#: Rows to a file of a frame whose size is known.
+ROWS_A_FILE = 100_000
+
+
+def materialise(df: DataFrame, most: int | None = None) -> DataFrame:
+    """Write a frame once to the shared checkpoint folder and read on from there, so that later jobs neither repeat it nor need its executors.
+
+    most: a bound of its rows, if there is one; then it goes to no more files than they need.
+    """
+    session = df.sparkSession
+    if most is not None:
+        df = df.coalesce(1 + most // ROWS_A_FILE)
     context = session.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(session))

@@ -33,8 +33,9 @@ def components(links: DataFrame) -> DataFrame:
     now = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now = materialise(now)
     before = None
+    n = now.count()
     while True:
-        now = materialise(_star(_star(now, large=True), large=False))
+        now = materialise(_star(_star(now, large=True), large=False), 2 * n)  # no star has more links than twice those it is made of
         mark = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if mark == before:
             break

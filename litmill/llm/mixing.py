@@ -24,7 +24,7 @@ WEIGHTS = (5, 2, 1)
 MOST = 3.0
 #: Ranges of the hash in which a source's words are summed: the places where a mark can be, and the most rows a source has
 #: from then on, so that the largest source is summed in many tasks.
-BINS = 1 << 16
+BINS, SHELF = 1 << 16, 1 << 8
 SEED = 7
 #: Sources, and characters of their names, up to which their rates are sent to every executor.
 BROADCAST_SOURCES, BROADCAST_CHARS = 10_000, 1_000_000
@@ -74,11 +74,16 @@ def rates_of(sized: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: floa
     found = found.withColumnRenamed("source", "of").withColumn("rate", F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)))
     found = materialise(found.withColumn("asked", (F.col("rate") - F.floor("rate")) * F.col("source_size")))
     # Words under each place where the mark can be, and how far they are from what is asked for; nothing is under 0.
-    upto = F.sum("s").over(Window.partitionBy("source").orderBy("bin"))
-    places = bins.select("source", "bin", upto.alias("under")).join(found.select("of", "asked"), F.col("source").eqNullSafe(F.col("of")))
+    # Sums run within shelves of bins, and over a source's shelves, so that no task has a whole source.
+    shelf = F.floor(F.col("bin") / SHELF)
+    shelves = bins.groupBy(F.col("source").alias("of"), shelf.alias("shelf")).agg(F.sum("s").alias("s"))
+    shelves = shelves.select("of", "shelf", (F.sum("s").over(Window.partitionBy("of").orderBy("shelf")) - F.col("s")).alias("before"))
+    shelves = shelves.join(found.select(F.col("of").alias("own"), "asked"), F.col("of").eqNullSafe(F.col("own"))).drop("own")
+    within = bins.select("source", "bin", shelf.alias("at"), F.sum("s").over(Window.partitionBy("source", shelf).orderBy("bin")).alias("within"))
+    places = within.join(shelves, F.col("source").eqNullSafe(F.col("of")) & (F.col("at") == F.col("shelf"))).select("of", "bin", "asked", (F.col("before") + F.col("within")).alias("under"))
     off = places.groupBy("of").agg(F.min(F.struct(F.abs(F.col("under") - F.col("asked")).alias("off"), (F.col("bin") + 1).alias("at"))).alias("best"), F.min("asked").alias("none"))
     marks = off.select(F.col("of").alias("for"), F.when(F.col("none") <= F.col("best.off"), 0.0).otherwise(F.col("best.at") / BINS).alias("mark"))
-    return materialise(found.drop("asked").join(marks, F.col("of").eqNullSafe(F.col("for"))).drop("for"))
+    return materialise(found.drop("asked").join(marks, F.col("of").eqNullSafe(F.col("for"))).drop("for"), found.count())
 
 
 def _with_rates(rows: DataFrame, source: str, rates: DataFrame) -> DataFrame:
