@@ -16,13 +16,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litmill.llm import line_dedup, mixing, sentencepiece_codec, simhash, toxicity
+from litmill.llm import line_dedup, mixing, sentencepiece_codec, similar, toxicity
 from litmill.llm._base import shared_folder, table
 
 
-#: Near copies: of four fingerprints one is at 6 bits or less, and all together at 36 of 256, where documents lie that share
-#: about 0.8 of their five-word shingles; unrelated ones have half of the bits apart.
-NEAR = {"d": 6, "tables": 4, "total": 36}
+#: Candidates of near copies: of four fingerprints one is at 7 bits or less, and all together at 60 of 256; unrelated documents
+#: have half of the bits apart. Near copies are those candidates that share 0.8 of their five-word shingles; the fingerprints
+#: are of three words, as fingerprints of five would find fewer of them.
+NEAR = {"d": 7, "tables": 4, "total": 60}
 
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +36,7 @@ def boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = simhash.near_duplicates(docs.where(F.col("doc_id").isNotNull()), **NEAR)
-    stay = classes.select(F.col("component_id").alias("doc_id")).distinct()
+    stay = similar.near_copies(docs.where(F.col("doc_id").isNotNull()), **NEAR).select(F.col("kept_key").alias("doc_id")).distinct()
     kept = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where(F.col("doc_id").isNull()))
 
