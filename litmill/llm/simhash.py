@@ -14,8 +14,8 @@ one table are at distance ``d`` or less and all of them together at ``total`` or
 chance the others find, and the sum keeps documents apart that agree in one table by chance.
 
 A group of over GROUP fingerprints is not searched in one task: it is dealt again by blocks of the bits that are still
-free, in as many rounds as it takes. Each round a third or so of the free bits becomes fixed, so that a group can't hold
-over GROUP distinct fingerprints for more than a few rounds. No group is cut and no link is lost.
+free, ROUNDS times. By then a group is crowded only if its fingerprints are close, or the same in its table and different
+in others; its pairs are compared in blocks (see cells), without regard to bits. No group is cut and no link is lost.
 
 Nulls: a null text counts as empty. Texts without words have the fingerprint zero and link as any other. Repeated keys
 are one node. Columns other than the key and the text are left out.
@@ -30,11 +30,14 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from litmill.llm._base import map_rows, materialise, table
+from litmill.llm.cells import Forest, class_links
 from litmill.llm.components import components
 
 BITS = 64
 #: Fingerprints that one search holds at most.
 GROUP = 2048
+#: Times that a crowded group is dealt again.
+ROUNDS = 2
 LEAF, FANOUT = 8, 4
 #: Shingles whose bits are summed at a time.
 AT_ONCE = 1 << 14
@@ -169,6 +172,20 @@ def spanning_links(codes: np.ndarray, d: int, every: np.ndarray | None = None, t
     return out
 
 
+def close_pairs(every: np.ndarray, d: int, total: int | None = None) -> list[tuple[int, int]]:
+    """Links as those of spanning_links(), of any table, by comparing rows; as many as a forest has."""
+    forest, out = Forest(len(every)), []
+    for k in range(0, len(every), 64):
+        apart = popcount(every[k : k + 64, None] ^ every[None])
+        near = apart.min(axis=2) <= d
+        if total is not None:
+            near &= apart.sum(axis=2) <= total
+        a, b = np.nonzero(near)
+        a = a + k
+        out += [(x, y) for x, y in zip(a[a < b].tolist(), b[a < b].tolist(), strict=True) if forest.join(x, y)]
+    return out
+
+
 def blocks(free: int, parts: int) -> list[int]:
     """Masks that cut the free bits into parts of nearly one size."""
     at = [i for i in range(BITS) if free >> i & 1]
@@ -187,18 +204,29 @@ def near_links(nodes: DataFrame, d: int = 2, *, total: int | None = None, group:
         masks = [m | k for m in masks for k in blocks(FULL & ~m, parts)]
     dealt = nodes.select("id", "fps", F.posexplode("fps").alias("t", "fp"))
     todo = dealt.select("id", "fps", "t", "fp", F.explode(F.array(*(F.lit(_signed(m)) for m in masks))).alias("mask"))
-    links = None
-    while True:
+    links, crowds = None, []
+    for round_ in range(ROUNDS + 1):
         found = materialise(_search(todo, d, total, group))
-        now = found.where("b is not null").select("a", "b")
-        links = now if links is None else links.unionByName(now)
-        crowded = found.where("b is null")
-        left = [r["mask"] for r in crowded.select("mask").distinct().collect()]  # at most the masks of one round
-        if not left:
-            return links
+        now = found.where("b is null").select(F.col("a").alias("id"), "fps", "t", "mask")
+        links = found.where("b is not null").select("a", "b") if links is None else links.unionByName(found.where("b is not null").select("a", "b"))
+        left = [r["mask"] for r in now.select("mask").distinct().collect()]  # at most the masks of one round
+        again = [m for m in left if round_ < ROUNDS and (FULL & ~m).bit_count() >= parts]  # fewer bits can't be cut into blocks
+        if len(again) < len(left):
+            crowds.append(now.where(~F.col("mask").isin(again)))
+        if not again:
+            break
         # What is still free of each mask is cut once more; the masks of a round depend on the number of bits only.
-        cut = F.create_map(*(x for m in left for x in (F.lit(m), F.array(*(F.lit(_signed((m & FULL) | k)) for k in blocks(FULL & ~(m & FULL), parts))))))
-        todo = crowded.select(F.col("a").alias("id"), "fps", "t", F.get("fps", F.col("t")).alias("fp"), F.explode(cut[F.col("mask")]).alias("mask"))
+        cut = F.create_map(*(x for m in again for x in (F.lit(m), F.array(*(F.lit(_signed((m & FULL) | k)) for k in blocks(FULL & ~(m & FULL), parts))))))
+        todo = now.where(F.col("mask").isin(again)).select("id", "fps", "t", F.get("fps", F.col("t")).alias("fp"), F.explode(cut[F.col("mask")]).alias("mask"))
+
+    def pairs(rows: list[np.ndarray]) -> list[tuple[int, int]]:
+        return close_pairs(np.stack(rows).view(np.uint64), d, total)
+
+    for crowd in crowds:
+        value = F.get("fps", F.col("t")).bitwiseAND(F.col("mask"))
+        rows = crowd.select(F.struct("t", "mask", value.alias("value")).alias("class"), "id", F.lit(1).cast("bigint").alias("size"), F.col("fps").alias("data"))
+        links = links.unionByName(class_links(rows, pairs, group))
+    return links
 
 
 def _search(todo: DataFrame, d: int, total: int | None, group: int) -> DataFrame:

@@ -115,3 +115,25 @@ def test_tables_find_near_copies_and_keep_others_apart(spark):
     codes = {k: simhash.fingerprint(t, tables=4) for k, t in rows}
     near = {(a, b) for a in codes for b in codes if a < b and min(bin(x ^ y).count("1") for x, y in zip(codes[a], codes[b], strict=True)) <= 6 and sum(bin(x ^ y).count("1") for x, y in zip(codes[a], codes[b], strict=True)) <= 48}
     assert all(got[a] == got[b] for a, b in near)
+
+
+def test_more_rows_than_a_group_may_share_the_fingerprint_of_one_table(spark):
+    random.seed(4)
+    shared = random.getrandbits(63)
+    rows = []
+    for i in range(3):
+        far = [random.getrandbits(63) for _ in range(3)]
+        for j in range(20):
+            rows.append((100 * i + j, [shared, far[0] ^ (1 << j), far[1] ^ (1 << j % 7), far[2]]))
+    nodes = spark.createDataFrame(rows, "id bigint, fps array<bigint>")
+    up = {k: k for k, _ in rows}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for r in simhash.near_links(nodes, 2, total=36, group=8).collect():
+        a, b = root(r["a"]), root(r["b"])
+        up[max(a, b)] = min(a, b)
+    assert {k: root(k) for k in up} == {k: k // 100 * 100 for k in up}
