@@ -7,7 +7,7 @@ neighbouring ranges differ in one. Sixteen filters make one packed 32-bit item f
 
 Two recordings align at the offset that most equal items agree on (a histogram of offsets); there the bit error rate over
 the overlap says whether they are the same. The stated queries meet all recordings in blocks: a block of queries is an
-index from item to places, so a recording costs its hits only, and each query keeps its best of each block.
+index from item to places, so a recording costs its hits only. Every alignment is kept, unless only the best are asked for.
 
 Nulls: a null recording, one that is no 16-bit PCM WAVE file, or one shorter than the filters has no items and no matches.
 Silent positions are in the fingerprint but are no evidence of an offset. Rows with one id are recordings of their own;
@@ -20,6 +20,7 @@ from __future__ import annotations
 import io
 import math
 import wave
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -36,7 +37,7 @@ SMOOTH = np.array([0.25, 0.75, 1.0, 0.75, 0.25])
 WIDTH, CLASSES = 16, 12
 RANGES = np.array([-0.15, 0.0, 0.15])
 GRAY = np.array([0, 1, 3, 2], np.uint32)
-BLOCK, QUERIES, BEST = 4096, 2048, 10
+BLOCK, QUERIES = 4096, 2048
 #: Equal items at one offset that make a candidate, positions that must overlap, and the error rate up to which two align.
 LEAST_COMMON, LEAST_OVERLAP, MOST_ERRORS = 3, 8, 0.25
 
@@ -203,8 +204,8 @@ def _prints(items_: pa.ChunkedArray, sound: pa.ChunkedArray) -> list[tuple[np.nd
     return [(np.array(p, np.int64).astype(np.uint32), np.array(s, bool)) for p, s in zip(items_.to_pylist(), sound.to_pylist(), strict=True)]
 
 
-def search(prints: DataFrame, *, every: int = 50, best: int = BEST) -> DataFrame:
-    """query_id, rank, id, offset, common, overlap, errors: each query's best alignments, by error rate, overlap and id."""
+def search(prints: DataFrame, *, every: int = 50, best: int | None = None) -> DataFrame:
+    """query_id, rank, id, offset, common, overlap, errors: each query's alignments, or its ``best`` ones, by error rate, overlap and id."""
     usable = prints.where(F.col("id").isNotNull() & (F.size("items") > 0))
     kind = dict(prints.dtypes)["id"]
     is_query = F.pmod("id", F.lit(every)) == 0
@@ -222,32 +223,42 @@ def search(prints: DataFrame, *, every: int = 50, best: int = BEST) -> DataFrame
     asked = usable.where(is_query).select(F.col("id").alias("query_id"), F.col("items").alias("q_items"), F.col("sound").alias("q_sound"), number(2, parts).alias("q_part"), every_one(blocks).alias("q_block"))
     schema = f"query_id {kind}, id {kind}, offset bigint, common bigint, overlap bigint, errors bigint"
 
+    names = ["query_id", "id", "offset", "common", "overlap", "errors"]
     id_type = to_arrow_type(prints.schema["id"].dataType)
 
     def pair(left: pa.Table, right: pa.Table) -> pa.Table:
         found: dict[int, list] = {}
-        qids = []
+        all_ = [array("q") for _ in range(6)]  # places of query and recording, and the alignment
+        ids, qids = [], []
         if left.num_rows and right.num_rows:  # a side without rows has no columns
             ids, qids = left["id"].to_pylist(), right["query_id"].to_pylist()
             index = Index(_prints(right["q_items"], right["q_sound"]))
-            for i, (p, s) in zip(ids, _prints(left["items"], left["sound"]), strict=True):
+            for at, (i, (p, s)) in enumerate(zip(ids, _prints(left["items"], left["sound"]), strict=True)):
                 for q, (o, c, w, e) in index.matches(p, s):
-                    if qids[q] != i:
+                    if qids[q] == i:
+                        continue
+                    if best is None:
+                        for column, x in zip(all_, (q, at, o, c, w, e), strict=True):
+                            column.append(x)
+                    else:
                         own = found.setdefault(q, [])
                         own.append((e / w, -w, i, o, c, w, e))
                         if len(own) > 4 * best:
                             found[q] = sorted(own)[:best]
+        if best is None:
+            kept = [pa.array(qids, id_type).take(pa.array(all_[0], pa.int64())), pa.array(ids, id_type).take(pa.array(all_[1], pa.int64()))]
+            return pa.table(kept + [pa.array(x, pa.int64()) for x in all_[2:]], names=names)
         out = [(qids[q], x[2], *x[3:]) for q, own in found.items() for x in sorted(own)[:best]]
         kinds = [id_type] * 2 + [pa.int64()] * 4
-        names = ["query_id", "id", "offset", "common", "overlap", "errors"]
         return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=names)
 
     met = held.groupBy("block", "part").cogroup(asked.groupBy("q_block", "q_part")).applyInArrow(pair, schema)
     by = Window.partitionBy("query_id").orderBy(F.col("errors") / F.col("overlap"), F.desc("overlap"), "id", "offset", "common")
-    return met.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= best)
+    ranked = met.withColumn("rank", F.row_number().over(by))
+    return ranked if best is None else ranked.where(F.col("rank") <= best)
 
 
-def identify(rows: DataFrame, audio_of: Callable, *, key: str, column: str, every: int = 50, best: int = BEST) -> DataFrame:
+def identify(rows: DataFrame, audio_of: Callable, *, key: str, column: str, every: int = 50, best: int | None = None) -> DataFrame:
     """key, n_items, items_sha256, matches (null unless a query): a row a recording."""
     made = materialise(fingerprints(rows, audio_of, key=key, column=column))
     found = search(made, every=every, best=best)

@@ -95,3 +95,10 @@ def test_query(spark, sf):
     for r in got[:20]:
         p = ch.fingerprint(ch.tune(table[r["vec_id"]]))[0]
         assert r["n_items"] == len(p) > 10 and r["items_sha256"] == hashlib.sha256(",".join(map(str, p.tolist())).encode()).hexdigest()
+
+
+def test_all_copies_of_a_query_are_returned(spark):
+    x = ch.encode(song(1, 4))
+    rows = [(i, x) for i in range(24)] + [(30, ch.encode(song(8, 4)))]
+    got = {r["vec_id"]: r["matches"] for r in ch.identify(spark.createDataFrame(rows, "vec_id bigint, audio binary"), lambda v: v, key="vec_id", column="audio").collect()}
+    assert [m["id"] for m in got[0]] == list(range(1, 24)) and [m["rank"] for m in got[0]] == list(range(1, 24))
