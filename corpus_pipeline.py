@@ -4,8 +4,10 @@ are mixed to their target weights, and what is left is encoded.
 Each stage takes (spark, docs, sf_dir) and returns a frame, which is written as Parquet and read again as the docs of the
 next. All but the last return the columns of documents. Labels come from the table labels in sf_dir.
 
-Nulls: null texts count as empty, except that lines are not taken from them. Documents without an id can't be told apart,
-so near-duplicate removal keeps them all; of repeated ids it keeps one row. Empty tables give empty results.
+Nulls: null texts count as empty, except that lines are not taken from them. Documents without an id are told apart by
+their text. Repeated rows are copies of each other; different texts under one id are different documents, and all stay
+unless they are near copies. Of near copies that tie, the smallest id stays. Texts are whole at any length. Extra columns go through all stages but
+the last, whatever their names. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -20,12 +22,6 @@ from litmill.llm import line_dedup, mixing, sentencepiece_codec, similar, toxici
 from litmill.llm._base import shared_folder, table
 
 
-#: Candidates of near copies: of four fingerprints one is at 7 bits or less, and all together at 60 of 256; unrelated documents
-#: have half of the bits apart. Near copies are those candidates that share 0.8 of their five-word shingles; the fingerprints
-#: are of three words, as fingerprints of five would find fewer of them.
-NEAR = {"d": 7, "tables": 4, "total": 60}
-
-
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.reject(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
@@ -36,9 +32,7 @@ def boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    stay = similar.near_copies(docs.where(F.col("doc_id").isNotNull()), **NEAR).select(F.col("kept_key").alias("doc_id")).distinct()
-    kept = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    return similar.keep_one(docs)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

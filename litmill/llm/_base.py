@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the word rules: the space and 0x09 to 0x0D.
 SPACES = " \t\n\x0b\x0c\r"
-#: Rows that a Python stage holds at a time.
-ROWS_AT_ONCE = 256
+#: Rows, and bytes of their texts and lists, that a Python stage takes at a time; a row that is longer goes alone.
+ROWS_AT_ONCE, BYTES_AT_ONCE = 256, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,15 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def map_rows(df: DataFrame, schema: str, start: Callable[[], Callable[..., Iterable[tuple]]]) -> DataFrame:
     """Run ``start()`` once a task and the function it returns on every row; that one yields result rows.
 
-    Rows go through Arrow in slices of ROWS_AT_ONCE, so what a task holds is bounded by the slice.
+    Rows go through Arrow in slices, so what a task holds beside Spark's batch is bounded by a slice, or by one long row.
     """
     out = pa.schema([pa.field(f.name, _arrow(f.dataType)) for f in _struct(schema)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = start()
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                part = batch.slice(at, ROWS_AT_ONCE)
+            for part in slices(batch):
                 got = [y for x in zip(*(c.to_pylist() for c in part.columns), strict=True) for y in row(*x)]
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*got, strict=True), out, strict=True)], schema=out)
@@ -37,6 +38,18 @@ def map_rows(df: DataFrame, schema: str, start: Callable[[], Callable[..., Itera
     return df.mapInArrow(run, schema)
 
 
+def slices(batch: pa.RecordBatch, rows: int = ROWS_AT_ONCE, size: int = BYTES_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of ``rows`` rows at most, whose strings have ``size`` bytes at most, or of one row."""
+    lengths = [pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False) for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type)]
+    ends = sum(lengths).cumsum() if lengths else np.zeros(batch.num_rows, np.int64)
+    at = 0
+    while at < batch.num_rows:
+        gone = ends[at - 1] if at else 0
+        stop = max(at + 1, min(at + rows, int(np.searchsorted(ends, gone + size, "right"))))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def _struct(schema: str):
     from pyspark.sql.types import StructType
 
@@ -56,17 +69,26 @@ ROWS_A_FILE = 100_000
 def materialise(df: DataFrame, most: int | None = None) -> DataFrame:
     """Write a frame once to the shared checkpoint folder and read on from there, so that later jobs neither repeat it nor need its executors.
 
-    most: a bound of its rows, if there is one; then it goes to no more files than they need.
+    most: a bound of its rows, if there is one; then it goes to no more files than they need, or than there are cores.
     """
     session = df.sparkSession
-    if most is not None:
-        df = df.coalesce(1 + most // ROWS_A_FILE)
     context = session.sparkContext
+    if most is not None:
+        df = df.coalesce(max(1 + most // ROWS_A_FILE, context.defaultParallelism))
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(session))
     return df.checkpoint(eager=True)
 
 
+#: Rows of a few numbers or short names that are sent to every executor at most.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """The written frame, marked to be sent to every executor if it has ``most`` rows or fewer; joins shuffle it otherwise."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def fold(column: str, parts: int):
     """crc32 of the column as text, modulo ``parts``: the folds that the contracts name."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % parts

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from litmill.llm._base import materialise
+from litmill.llm._base import materialise, small
 from litmill.llm.components import components
 
 
@@ -27,22 +27,27 @@ def class_links(rows: DataFrame, pairs: Callable[[list[np.ndarray]], Iterable[tu
 
     pairs: from the data of some rows to places of linked ones. limit: the sum of sizes that one search holds, about.
     """
-    sizes = rows.groupBy("class").agg(F.count("*").alias("_n"), F.min("id").alias("head"), F.ceil(F.sum("size") / limit).alias("parts")).where("_n > 1").drop("_n")
-    rows = materialise(rows.join(sizes, "class").withColumn("block", F.pmod(F.xxhash64("id"), "parts")))
-    is_head = F.col("id") == F.col("head")
+    rows = materialise(rows)
+    # Only classes over the limit are cut, and there are no more of them than the limit goes into all sizes; so rows of a
+    # common class are not brought together to learn of its size.
+    sizes = rows.groupBy("class").agg(F.min("id").alias("head"), F.ceil(F.sum("size") / limit).alias("parts")).where("parts > 1")
+    rows = rows.join(small(materialise(sizes)), "class", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("bigint")))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), "parts"))
+    is_head = F.col("id").eqNullSafe(F.col("head"))
     first = rows.select("class", "id", "data", F.explode(F.when(is_head, _upto("parts")).otherwise(F.array("block"))).alias("cell"))
     links = materialise(_search(first, pairs))
-    large = rows.where("parts > 1")
+    large = materialise(rows.where("parts > 1"))
     if large.isEmpty():
         return links
     joined = components(links).withColumnRenamed("node", "id")
     large = materialise(large.join(joined, "id", "left").withColumn("label", F.coalesce("component", "id")))
     heads = large.where(is_head).select("class", F.col("label").alias("main")).distinct()
-    large = large.join(heads, "class")
+    large = large.join(small(heads), "class")
     rest = large.where("label <> main")
     left = materialise(rest.groupBy("class").agg(F.ceil(F.sum("size") / limit).alias("rests")))
     if left.isEmpty():
         return links
+    left = small(left)
     here = large.join(left, "class").select("class", "id", "data", "block", F.explode(_upto("rests")).alias("rest"))
     there = rest.join(left, "class").select("class", "id", "data", F.explode(_upto("parts")).alias("block"), F.pmod(F.xxhash64("id", F.lit(1)), "rests").alias("rest"))
     return links.unionByName(materialise(_search(here.unionByName(there).withColumn("cell", F.struct("block", "rest")), pairs)))
@@ -90,6 +95,13 @@ class Forest:
             x = up[x]
         return x
 
+    def roots(self) -> np.ndarray:
+        """The root of every place."""
+        up = np.array(self.up)
+        while not np.array_equal(above := up[up], up):
+            up = above
+        return up
+
     def join(self, x: int, y: int) -> bool:
         r, s = self.root(x), self.root(y)
         self.up[max(r, s)] = min(r, s)

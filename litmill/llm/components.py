@@ -2,8 +2,8 @@
 
 Each round moves every node's links to the smallest neighbour it knows, first for larger neighbours, then for smaller
 ones. The number of rounds grows with the logarithm of the longest path. Only sums and joins by node are used: no list
-of a node's neighbours is ever gathered, so a node with very many links is no heavier than others (its rows are split
-by adaptive execution).
+of a node's neighbours is ever gathered. A node with very many links, as the smallest one of a large group has, is summed
+in each task first; its smallest neighbour is sent to the tasks that hold its links, which stay where they are.
 """
 
 from __future__ import annotations
@@ -13,14 +13,17 @@ from pyspark.sql import functions as F
 
 from litmill.llm._base import materialise
 
+#: Links that make a node a hub, and hubs there can be: a node has that many links, or that part of all.
+HUB_LINKS, HUBS = 1_000, 10_000
 
-def _star(links: DataFrame, *, large: bool) -> DataFrame:
-    """links: u > v, distinct. Result in the same form."""
-    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    if not large:
-        both = links
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    joined = both.join(least, "u")
+
+def _star(links: DataFrame, n: int, *, large: bool) -> DataFrame:
+    """links: u > v, distinct, no more than ``n``. Result in the same form."""
+    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else links
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("links"))
+    hub = F.col("links") >= max(HUB_LINKS, -(-2 * n // HUBS))  # so there are HUBS of them at most
+    hubs, others = F.broadcast(least.where(hub).drop("links")), least.where(~hub).drop("links")
+    joined = both.join(hubs, "u").unionByName(both.join(hubs, "u", "left_anti").join(others, "u"))
     if large:
         moved = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -32,11 +35,10 @@ def components(links: DataFrame) -> DataFrame:
     """links: columns a, b. Result: node, component (the smallest node reachable), for nodes with a link."""
     now = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now = materialise(now)
-    before = None
-    n = now.count()
-    while True:
-        now = materialise(_star(_star(now, large=True), large=False), 2 * n)  # no star has more links than twice those it is made of
-        mark = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
+    before, n = None, now.count()
+    while n:
+        now = materialise(_star(_star(now, n, large=True), 2 * n, large=False), 2 * n)  # no star has more links than twice those it is made of
+        *mark, n = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)), F.count("*")).first()
         if mark == before:
             break
         before = mark

@@ -1,12 +1,21 @@
 """Near copies by exact similarity: the share of five-word shingles that two texts have in common, of all that either has.
 
-SimHash fingerprints give the candidates: texts that their links join are one class. In a class, texts link if their
-similarity is LEAST or more, whatever their fingerprints. Only texts of classes with several are read again.
+SimHash fingerprints of four words give the candidates: texts that their links join are one class. In a class, texts link
+if their similarity is LEAST or more, whatever their fingerprints. Only texts of classes with several are read again.
+
+A change of one word breaks three of the three-word shingles and five of the five-word ones. So fingerprints are of three
+words: texts that share LEAST of their five-word shingles have 0.88 of the others in common, and AGREE of their bits agree
+on average; they are that far apart with a spread of 5 bits of 256, and nearly never over DISTANCE. Unlike texts differ in
+half of the bits.
 
 Two texts of LEAST or more share a shingle among the rarest fifth of each (with one more), so an index of those finds all
 pairs; a text is compared with those of a set that it is joined to only until one links.
 
-Nulls: a null text counts as empty. Texts of the same words are one node; texts without words are copies of each other only.
+Nulls: a null text counts as empty; rows without a key are told apart by their text. Texts of the same words are one node;
+texts without words are copies of each other only. Of near copies the smallest key stays, and of one key's texts the one
+with the smallest hash; a null key is the smallest. Very long texts are hashed some shingles at a time, and their own
+shingles are one list. Columns other than the key and the text are not read, so their names can't clash. Empty tables
+give empty results.
 """
 
 from __future__ import annotations
@@ -25,6 +34,8 @@ WORDS = 5
 LEAST = (4, 5)
 #: Shingles that one search holds, about.
 SHINGLES = 1 << 20
+#: Words of a fingerprint, bits that candidates differ in at most, and the part of the bits that agree at LEAST.
+TABLES, DISTANCE, AGREE = 4, 48, 0.883
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -89,12 +100,12 @@ def similar_pairs(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return out
 
 
-def near_copies(docs: DataFrame, *, d: int, tables: int, total: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, th (Spark's xxhash64 of the text), kept_key, kept_th: a row for each row, with the one of its near copies that has the smallest key."""
+def near_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, th (Spark's xxhash64 of the text), kept_key, kept_th: a row for each row, with the one of its near copies that stays."""
 
     def mark():
         def row(k, h, t):
-            yield k, h, _same(_words(t)), [simhash._signed(f) for f in simhash.fingerprint(t or "", tables=tables)]
+            yield k, h, _same(_words(t)), [simhash._signed(f) for f in simhash.fingerprint(t or "", tables=TABLES)]
 
         return row
 
@@ -107,18 +118,30 @@ def near_copies(docs: DataFrame, *, d: int, tables: int, total: int, key: str =
 
         return row
 
-    hashed = docs.select(key, F.xxhash64(text).alias("th"), F.col(text).alias("_text"))
+    hashed = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
     kind = dict(docs.dtypes)[key]
-    marked = materialise(map_rows(hashed, f"{key} {kind}, th bigint, id binary, fps array<bigint>", mark))
-    texts = marked.groupBy("id", "fps").agg(F.min(F.struct(key, "th")).alias("first"))
+    marked = materialise(map_rows(hashed, f"key {kind}, th bigint, id binary, fps array<bigint>", mark))
+    texts = marked.groupBy("id", "fps").agg(F.min(F.struct("key", "th")).alias("first"))
     nodes = materialise(texts.groupBy("fps").agg(F.min("id").alias("id"), F.count("*").alias("n")))
-    joined = materialise(components(simhash.near_links(nodes.select("id", "fps"), d, total=total)).withColumnRenamed("node", "id"))
+    joined = materialise(components(simhash.wide_links(nodes.select("id", "fps"), TABLES, DISTANCE, AGREE)).withColumnRenamed("node", "id"))
     classes = nodes.join(joined, "id", "left").where("component is not null or n > 1").select("fps", F.coalesce("component", "id").alias("class"))
-    doubtful = texts.join(classes, "fps").select("id", "class", F.col("first")[key].alias("_key"), F.col("first")["th"].alias("_th"))
-    read = hashed.join(doubtful, (F.col(key) == F.col("_key")) & (F.col("th") == F.col("_th"))).select("_text", "id", "class")
+    doubtful = texts.join(classes, "fps").select("id", "class", F.col("first.key").alias("_key"), F.col("first.th").alias("_th"))
+    read = hashed.join(doubtful, F.col("key").eqNullSafe(F.col("_key")) & (F.col("th") == F.col("_th"))).select("text", "id", "class")
     sets = map_rows(read, "class binary, id binary, size bigint, data array<bigint>", cut)
     alike = components(class_links(sets, similar_pairs, SHINGLES)).withColumnRenamed("node", "id")
     least = texts.join(alike, "id", "left").select("id", "first", F.coalesce("component", "id").alias("component"))
     kept = least.groupBy("component").agg(F.min("first").alias("kept"))
-    of = least.join(kept, "component").select("id", F.col("kept")[key].alias("kept_key"), F.col("kept")["th"].alias("kept_th"))
-    return marked.join(of, "id").select(key, "th", "kept_key", "kept_th")
+    of = least.join(kept, "component").select("id", F.col("kept.key").alias("kept_key"), F.col("kept.th").alias("kept_th"))
+    return marked.join(of, "id").select(F.col("key").alias(key), "th", "kept_key", "kept_th")
+
+
+def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group of near copies, with all its columns. Of rows with one key and text, the one that hashes lowest."""
+    found = materialise(near_copies(docs, key=key, text=text))
+    stay = found.where(F.col(key).eqNullSafe(F.col("kept_key")) & (F.col("th") == F.col("kept_th")))
+    stay = stay.groupBy(F.col(key).alias("stay_key"), F.col("th").alias("stay_th")).agg(F.count("*").alias("stay_rows"))
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(text).alias("th"))
+    same = F.col("row")[key].eqNullSafe(F.col("stay_key")) & (F.col("th") == F.col("stay_th"))
+    once = rows.join(stay.where("stay_rows = 1"), same, "left_semi").select("row.*")
+    repeated = rows.join(stay.where("stay_rows > 1"), same).groupBy("stay_key", "stay_th").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return once.unionByName(repeated.select("row.*"))

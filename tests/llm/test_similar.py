@@ -58,9 +58,9 @@ def test_documents_that_are_no_near_copies_stay(spark, sf, monkeypatch):
     far = [x if i % 17 else f"other{i}" for i, x in enumerate(t)]  # fingerprints are close, most shingles are not shared
     rows = [(1, " ".join(t)), (2, " ".join(near)), (3, " ".join(far)), (4, " ".join(t).upper()), (5, "")]
     codes = {k: simhash.fingerprint(x, tables=4) for k, x in rows}
-    monkeypatch.setattr(corpus_pipeline, "NEAR", corpus_pipeline.NEAR | {"d": 12, "total": 90})
-    apart = [bin(a ^ b).count("1") for a, b in zip(codes[1], codes[3], strict=True)]
-    assert min(apart) <= 12 and sum(apart) <= 90 and brute(rows[:3])[3] == 3
+    monkeypatch.setattr(similar, "DISTANCE", 90)
+    apart = sum(bin(a ^ b).count("1") for a, b in zip(codes[1], codes[3], strict=True))
+    assert apart <= 90 and brute(rows[:3])[3] == 3
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, sf).collect()) == [1, 3, 5]
 
@@ -81,3 +81,14 @@ def test_large_classes_are_cut_without_loss(spark, monkeypatch):
         for r in similar.class_links(frame, similar.similar_pairs, limit).collect():
             forest.join(place[r["a"]], place[r["b"]])
         assert {k: rows[forest.root(place[k])][0] for k, _ in rows} == brute(rows)
+
+
+def test_keys_that_repeat_or_are_null(spark):
+    a, b, c = ("".join(f"{x}{i} " for i in range(30)) for x in "abc")
+    rows = [(1, a, "x", 0), (1, b, "y", 1), (1, a, "z", 2), (None, c, "x", 3), (None, c, "x", 4), (None, b, "x", 5), (4, None, None, 6), (5, "", None, 7), (6, "q " * 400_000, None, 8), (7, "q " * 400_000, "th", 9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, th string, stay_key int")
+    got = similar.keep_one(docs)
+    assert got.columns == docs.columns
+    got = {(r["doc_id"], r["text"]) for r in got.collect()} if got.count() == 5 else got.collect()
+    assert got == {(1, a), (None, c), (None, b), (4, None), (6, "q " * 400_000)}
+    assert similar.keep_one(docs.where("false")).count() == 0
