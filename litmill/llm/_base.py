@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -66,18 +67,26 @@ def _arrow(kind) -> pa.DataType:
 ROWS_A_FILE = 100_000
 
 
+def _few_files(df: DataFrame, most: int | None) -> DataFrame:
+    return df if most is None else df.coalesce(max(1 + most // ROWS_A_FILE, df.sparkSession.sparkContext.defaultParallelism))
+
+
 def materialise(df: DataFrame, most: int | None = None) -> DataFrame:
     """Write a frame once to the shared checkpoint folder and read on from there, so that later jobs neither repeat it nor need its executors.
 
     most: a bound of its rows, if there is one; then it goes to no more files than they need, or than there are cores.
     """
     session = df.sparkSession
-    context = session.sparkContext
-    if most is not None:
-        df = df.coalesce(max(1 + most // ROWS_A_FILE, context.defaultParallelism))
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(session))
-    return df.checkpoint(eager=True)
+    if session.sparkContext.getCheckpointDir() is None:
+        session.sparkContext.setCheckpointDir(shared_folder(session))
+    return _few_files(df, most).checkpoint(eager=True)
+
+
+def written(df: DataFrame, most: int | None = None) -> DataFrame:
+    """As materialise(), but as a Parquet table, which is smaller where columns repeat themselves or few of them are read again."""
+    path = f"{shared_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    _few_files(df, most).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 #: Rows of a few numbers or short names that are sent to every executor at most.

@@ -8,44 +8,44 @@ Below the empty context all symbols left are equally likely. A text's symbols ar
 
 Every symbol that a context has seen was seen by its suffixes too. So what a longer context excludes from its suffix
 is one sum of counts and one number of symbols, and the code length of a symbol is a sum over the contexts it falls
-through. pretrained scores use counts over all training texts; adaptive_log10() learns from the text itself as it goes.
+through. score() uses counts over all training texts; adaptive() learns from each text itself as it goes.
 
-Counting is one pass with sums in each task before the shuffle. The tables go to every executor if they hold no more
-than BROADCAST_GRAMS entries, and otherwise the distinct grams of each document are joined to them, level by level.
-
-The unigram base score takes the frequent words' counts from a broadcast table, which can't hold over 1 / FREQUENT
-words as each has at least that share of all tokens, and joins the rest by a 64-bit hash of the word.
+On the cluster, texts are dealt to blocks by a hash. A block asks once for each distinct gram (a context and its symbol)
+and word that it has, with the count of its training texts. The sums of these counts over the blocks are the model; the
+trie's levels follow from them by windows over contexts, which have SYMBOLS rows at most, and each distinct gram's code
+length is worked out once, whatever the number of its places. The answers go back to the blocks that asked, and a block
+is scored with what it was sent. No table of the model is ever whole in one place, and all sizes take this one path.
 
 Nulls: a null text counts as empty; an empty text has one token and one symbol, the end. A null key is in no training
-fold. Repeated rows get the same scores. With nothing to train on, all symbols are equally likely. Other columns are
-left out.
+fold. Repeated rows get the same scores; equal counts need no order. A very long text is gathered some symbols at a time. With nothing to train on, all
+symbols are equally likely. Columns other than the key and the text are left out, so their names can't clash. An empty
+table gives an empty one.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from litmill.llm._base import materialise, table
+from litmill.llm._base import map_rows, small, table, written
 
 ORDER = 5
 #: Symbols: 0 before a text, bytes plus 1, the end. In 9 bits each, a gram is the symbol with its context above it.
 WIDTH, END, SYMBOLS = 9, 257, 257
-BROADCAST_GRAMS = 6_000_000
-FREQUENT = 2e-6
-#: Positions and words that a task gathers before it sums them, and distinct ones before it passes them on.
-GATHER, HOLD = 1 << 21, 4_000_000
-HOLD_WORDS = 300_000
-#: Documents that are scored at a time.
-AT_ONCE = 128
+#: Bytes of text to a block, and the least if there would be fewer blocks than cores.
+BLOCK_BYTES, LEAST_BLOCK = 64 << 20, 4 << 20
+#: Bytes of text that a task packs together for a block, and that it holds in all.
+PACK, HOLD = 1 << 20, 32 << 20
+#: Symbols whose grams are worked on at a time, and rows that a task hands over at a time.
+GATHER, ROWS = 1 << 21, 1 << 16
 GRAM, WORD, DOCS = 0, 1, 2
-_NO_WORD, _ONE = np.zeros(1, np.int64), np.ones(1, np.int64)
 
 
 def grams_of(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,176 +94,195 @@ def _in_training(key, folds: int, held: int) -> bool:
     return key is not None and zlib.crc32(str(key).encode()) % folds != held
 
 
-def count(docs: DataFrame, *, order: int = ORDER, folds: int = 10, held: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """kind, key, n: counts of grams of the full order and of words, and the number of documents, over the training texts."""
+def packs(docs: DataFrame, blocks: int, key: str, text: str) -> DataFrame:
+    """block, keys, lengths, body: texts of one block, compressed together, so that moving them costs less."""
+    kind = dict(docs.dtypes)[key]
+    id_type = to_arrow_type(docs.schema[key].dataType)
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.pmod(F.xxhash64(key, text), F.lit(blocks)).cast("int").alias("block"), F.col(key).alias("key"), body.cast("binary").alias("body"))
+
+    def run(batches):
+        codec = pa.Codec("zstd", compression_level=3)
+        held: dict[int, tuple[list, list]] = defaultdict(lambda: ([], []))
+        sizes: Counter = Counter()
+
+        def pack(block: int):
+            keys, texts = held.pop(block)
+            sizes.pop(block)
+            whole = b"".join(texts)
+            columns = [pa.array([block], pa.int32()), pa.array([keys], pa.list_(id_type)), pa.array([list(map(len, texts))], pa.list_(pa.int32())), pa.array([codec.compress(whole, asbytes=True)], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["block", "keys", "lengths", "body"])
+
+        total = 0
+        for batch in batches:
+            for b, k, t in zip(batch.column(0).to_numpy().tolist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                t = t.as_py()
+                keys, texts = held[b]
+                keys.append(k)
+                texts.append(t)
+                sizes[b] += len(t) + 64
+                total += len(t) + 64
+                if sizes[b] > PACK or total > HOLD:
+                    for own in [b] if total <= HOLD else list(held):
+                        total -= sizes[own]
+                        yield pack(own)
+        for own in list(held):
+            yield pack(own)
+
+    return rows.mapInArrow(run, f"block int, keys array<{kind}>, lengths array<int>, body binary")
+
+
+def _unpacked(part: pa.RecordBatch | pa.Table):
+    """Keys and texts of each pack."""
+    codec = pa.Codec("zstd")
+    for keys, lengths, body in zip(part["keys"].to_pylist(), part["lengths"].to_pylist(), part["body"], strict=True):
+        whole = codec.decompress(body.as_buffer(), sum(lengths), asbytes=True)
+        ends = np.cumsum(lengths).tolist()
+        yield keys, [whole[e - n : e] for e, n in zip(ends, lengths, strict=True)]
+
+
+def _runs(texts: list[bytes]):
+    """The texts in runs of about GATHER symbols."""
+    at = size = 0
+    for i, t in enumerate(texts):
+        size += len(t) + 1
+        if size > GATHER:
+            yield texts[at : i + 1]
+            at, size = i + 1, 0
+    if at < len(texts):
+        yield texts[at:]
+
+
+def questions(packed: DataFrame, order: int, folds: int, held: int) -> DataFrame:
+    """block, kind, key, n: each distinct gram and word of a block, and how often its training texts have it; their number."""
 
     def run(batches):
-        words: Counter = Counter()
+        block = None
+        words: dict[bool, Counter] = {}
         grams: list[tuple[np.ndarray, np.ndarray]] = []
-        waiting: list[bytes] = []
-        size = docs_seen = 0
+        docs = 0
 
         def rows(kind, keys, n):
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int64)), pa.array(keys), pa.array(n)], names=["kind", "key", "n"])
-
-        def gather():
-            nonlocal waiting, size, grams
-            if waiting:
-                u, c = np.unique(grams_of(waiting, order)[0], return_counts=True)
-                grams.append((u, c.astype(np.int64)))
-                waiting, size = [], 0
-                if sum(len(u) for u, _ in grams) > 2 * len(grams[0][0]) + GATHER:
-                    grams = [_summed(*map(list, zip(*grams, strict=True)))]
-
-        def out_grams():
-            nonlocal grams
-            if grams:
-                u, c = _summed(*map(list, zip(*grams, strict=True)))
-                grams = []
-                yield rows(GRAM, u.view(np.int64), c)
+            for i in range(0, len(keys), ROWS):
+                k = len(keys[i : i + ROWS])
+                columns = [pa.array(np.full(k, block, np.int32)), pa.array(np.full(k, kind, np.int32)), pa.array(keys[i : i + ROWS]), pa.array(n[i : i + ROWS])]
+                yield pa.RecordBatch.from_arrays(columns, names=["block", "kind", "key", "n"])
 
-        def out_words():
-            if words:
-                yield rows(WORD, np.array([word_hash(w) for w in words], np.int64), np.array(list(words.values()), np.int64))
-                words.clear()
+        def close():
+            nonlocal grams, docs
+            if grams:
+                k, n = _summed(*map(list, zip(*grams, strict=True)))
+                yield from rows(GRAM, k.view(np.int64), n)
+                own = words[True]
+                names = list(own.keys() | words[False].keys())
+                yield from rows(WORD, np.array([word_hash(w) for w in names], np.int64), np.array([own[w] for w in names], np.int64))
+                yield from rows(DOCS, np.array([0], np.int64), np.array([docs], np.int64))
+            grams, docs = [], 0
+            words.update({True: Counter(), False: Counter()})
 
         for batch in batches:
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if not _in_training(k, folds, held):
-                    continue
-                b = (t.as_py() or "").encode("utf-8")
-                docs_seen += 1
-                words.update(b.lower().split())
-                waiting.append(b)
-                size += len(b) + 1
-                if size > GATHER:
-                    gather()
-                    if sum(len(u) for u, _ in grams) > HOLD:
-                        yield from out_grams()
-                if len(words) > HOLD_WORDS:
-                    yield from out_words()
-        gather()
-        yield from out_grams()
-        yield from out_words()
-        if docs_seen:
-            yield rows(DOCS, np.array([0], np.int64), np.array([docs_seen], np.int64))
-
-    return docs.select(key, text).mapInArrow(run, "kind bigint, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-
-
-class Tables:
-    """The trie as sorted arrays; level j has the grams whose contexts have j symbols."""
-
-    def __init__(self, grams: np.ndarray, counts: np.ndarray, order: int):
-        order_ = np.argsort(grams)
-        self.order = order
-        self.grams, self.counts = [grams[order_]], [counts[order_].astype(np.float64)]
-        for j in range(order - 1, -1, -1):
-            k, c = _summed([self.grams[0] & _mask(j + 1)], [self.counts[0]])
-            self.grams.insert(0, k)
-            self.counts.insert(0, c)
-        self.contexts, self.total, self.distinct, self.excluded = [], [], [], []
-        for j in range(order + 1):
-            g, c = self.grams[j], self.counts[j]
-            u, at, n = np.unique(g >> np.uint64(WIDTH), return_index=True, return_counts=True)
-            self.contexts.append(u)
-            self.total.append(np.add.reduceat(c, at) if len(at) else c)
-            self.distinct.append(n.astype(np.float64))
-            if j and len(at):
-                less = self.counts[j - 1][np.searchsorted(self.grams[j - 1], g & _mask(j))]
-                self.excluded.append(np.add.reduceat(less, at))
-            else:
-                self.excluded.append(np.zeros(len(u)))
-        #: In the longest contexts nothing is excluded, so what a known gram costs there is one number.
-        inv = np.repeat(np.arange(len(self.contexts[order])), self.distinct[order].astype(np.int64))
-        self.cost = (np.log10(self.total[order] + self.distinct[order])[inv] - np.log10(self.counts[order])).astype(np.float32)
-        self.slots: np.ndarray | None = None
-
-    def open(self) -> None:
-        """Lay the grams of the full order out in an open-addressed table."""
-        if self.slots is not None:
-            return
-        keys = self.grams[self.order]
+            for i in range(batch.num_rows):
+                part = batch.slice(i, 1)
+                if (b := part["block"][0].as_py()) != block:
+                    yield from close()
+                    block = b
+                for keys, texts in _unpacked(part):
+                    learnt = [_in_training(k, folds, held) for k in keys]
+                    docs += sum(learnt)
+                    for use in (True, False):
+                        own = [t for t, x in zip(texts, learnt, strict=True) if x == use]
+                        for t in own:
+                            words[use].update(t.lower().split())
+                        for some in _runs(own):
+                            u, c = np.unique(grams_of(some, order)[0], return_counts=True)
+                            grams.append((u, c.astype(np.int64) * use))
+                    if sum(len(u) for u, _ in grams) > 2 * len(grams[0][0]) + GATHER:
+                        grams = [_summed(*map(list, zip(*grams, strict=True)))]
+        yield from close()
+
+    return packed.sortWithinPartitions("block").mapInArrow(run, "block int, kind int, key bigint, n bigint")
+
+
+def _part(symbols: int) -> Column:
+    return F.lit((1 << (WIDTH * symbols)) - 1)
+
+
+def levels(grams: DataFrame, order: int, n: int) -> list[DataFrame]:
+    """grams: g, c of the full order, ``n`` of them; c may be 0. Result: of each order, from 0 on, g and its count c; of its
+    context the total t, the distinct symbols d, and e, what these add up to one level below; up, the count of g there."""
+    out = []
+    for j in range(order, -1, -1):
+        below, context = Window.partitionBy(F.col("g").bitwiseAND(_part(j))), Window.partitionBy(F.shiftright("g", WIDTH))
+        own = grams.withColumn("up", F.sum("c").over(below) if j else F.lit(0).cast("bigint"))
+        own = own.withColumn("t", F.sum("c").over(context)).withColumn("d", F.count_if(F.col("c") > 0).over(context)).withColumn("e", F.sum(F.when(F.col("c") > 0, F.col("up")).otherwise(0)).over(context))
+        out.insert(0, written(own, n))
+        grams = out[0].groupBy(F.col("g").bitwiseAND(_part(j)).alias("g")).agg(F.max("up").alias("c"))
+    return out
+
+
+def code_lengths(grams: DataFrame, order: int, n: int) -> DataFrame:
+    """grams: g, c of the full order, ``n`` of them. Result: g, cost: -log10 of the probability of its symbol in its context."""
+    tables = levels(grams, order, n)
+    seen = F.col("c") > 0
+    total, distinct = F.col("t") - F.col("less"), F.col("d") - F.col("fewer")
+    step = F.when(distinct > 0, F.log10(total + distinct) - F.log10(F.when(seen, F.col("c")).otherwise(distinct))).otherwise(0.0)
+    zero = F.lit(0).cast("bigint")
+    left = tables[order].select("g", F.lit(0.0).alias("cost"), zero.alias("less"), zero.alias("fewer"), "c", "t", "d", "e")
+    done = []
+    for j in range(order, -1, -1):
+        if j < order:
+            of = tables[j].select(F.col("g").alias("h"), "c", "t", "d", "e")
+            left = left.join(small(of), F.col("g").bitwiseAND(_part(j + 1)) == F.col("h")).drop("h")
+        left = left.withColumn("cost", F.col("cost") + step)
+        done.append(left.where(seen).select("g", "cost"))
+        left = left.where(~seen).select("g", "cost", F.col("e").alias("less"), F.col("d").alias("fewer"))
+    symbols = tables[0].agg(F.count_if(seen)).first()[0]
+    done.append(left.select("g", (F.col("cost") + F.lit(math.log10(max(SYMBOLS - symbols, 1)))).alias("cost")))
+    all_ = done[0]
+    for x in done[1:]:
+        all_ = all_.unionByName(x)
+    return all_
+
+
+class Lookup:
+    """Numbers by key, in an open-addressed table; every key that is asked for is there."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
         bits = max(4, int(len(keys) * 1.4).bit_length())
         self.shift, self.wrap = np.uint64(64 - bits), np.int64((1 << bits) - 1)
-        slots, cost = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.float32)  # no gram is 0, as its symbol isn't
+        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits)
+        free = np.ones(1 << bits, bool)
         left, at = np.arange(len(keys)), self._slot(keys)
         while len(left):
-            free = slots[at] == 0
-            slots[at[free]] = keys[left[free]]  # of several for one slot, the last stays
-            won = slots[at] == keys[left]
-            cost[at[won]] = self.cost[left[won]]
+            into = at[free[at]]
+            self.keys[into] = keys[left[free[at]]]  # of several for one slot, the last stays
+            free[into] = False
+            won = self.keys[at] == keys[left]
+            self.values[at[won]] = values[left[won]]
             left, at = left[~won], (at[~won] + 1) & self.wrap
-        self.slots, self.slot_cost = slots, cost
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
-    def lengths(self, g: np.ndarray) -> np.ndarray:
-        """-log10 of the probability of each gram's symbol in its context."""
-        self.open()
-        at = self._slot(g)
-        found = self.slots[at]
-        cost = self.slot_cost[at].astype(np.float64)
-        left = np.flatnonzero(found != g)
+    def __getitem__(self, keys: np.ndarray) -> np.ndarray:
+        at = self._slot(keys)
+        out = self.values[at]
+        left = np.flatnonzero(self.keys[at] != keys)
         at = at[left]
-        missing = []
         while len(left):
-            empty = self.slots[at] == 0
-            missing.append(left[empty])
-            left, at = left[~empty], (at[~empty] + 1) & self.wrap
-            hit = self.slots[at] == g[left]
-            cost[left[hit]] = self.slot_cost[at[hit]]
-            left, at = left[~hit], at[~hit]
-        if missing:
-            left = np.concatenate(missing)
-            cost[left] = self._fall(g[left])
-        return cost
-
-    def _fall(self, g: np.ndarray) -> np.ndarray:
-        """For grams that the full order lacks: the escapes down to the context that has the symbol, and its code there."""
-        cost = np.zeros(len(g))
-        left = np.arange(len(g))
-        less, fewer = np.zeros(len(g)), np.zeros(len(g))
-        for j in range(self.order, -1, -1):
-            if not len(left):
-                return cost
-            here = g[left] & _mask(j + 1)
-            at, known = _find(self.contexts[j], here >> np.uint64(WIDTH))
-            total = np.where(known, _take(self.total[j], at) - less, 0.0)
-            distinct = np.where(known, _take(self.distinct[j], at) - fewer, 0.0)
-            place, seen = _find(self.grams[j], here)
-            able = distinct > 0
-            with np.errstate(divide="ignore", invalid="ignore"):
-                code = np.log10(total + distinct) - np.log10(_take(self.counts[j], place))
-                escape = np.log10(total + distinct) - np.log10(distinct)
-            cost[left] += np.where(able, np.where(seen, code, escape), 0.0)
-            less, fewer = np.where(known, _take(self.excluded[j], at), 0.0), np.where(known, _take(self.distinct[j], at), 0.0)
-            left, less, fewer = left[~seen], less[~seen], fewer[~seen]
-        rest = SYMBOLS - (len(self.grams[0]) if len(self.grams) else 0)
-        cost[left] += math.log10(max(rest, 1))
-        return cost
-
-    def log10(self, texts: list[bytes]) -> np.ndarray:
-        if not texts:
-            return np.zeros(0)
-        g, n = grams_of(texts, self.order)
-        return -np.add.reduceat(self.lengths(g), np.concatenate([[0], np.cumsum(n)[:-1]]))
-
-
-def _mask(symbols: int) -> np.uint64:
-    return np.uint64((1 << (WIDTH * symbols)) - 1)
-
-
-def _find(sorted_: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(sorted_):
-        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
-    at = np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)
-    return at, sorted_[at] == x
-
-
-def _take(values: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return values[at] if len(values) else np.zeros(len(at))
+            at = (at + 1) & self.wrap
+            out[left] = self.values[at]
+            more = self.keys[at] != keys[left]
+            left, at = left[more], at[more]
+        return out
+
+
+def log10_scores(costs: Lookup, texts: list[bytes], order: int) -> list[float]:
+    out: list[float] = []
+    for some in _runs(texts):
+        g, n = grams_of(some, order)
+        out += (-np.add.reduceat(costs[g], np.concatenate([[0], np.cumsum(n)[:-1]]))).tolist()
+    return out
 
 
 def adaptive_log10(text: bytes, order: int = ORDER) -> float:
@@ -293,140 +312,63 @@ def adaptive_log10(text: bytes, order: int = ORDER) -> float:
     return total
 
 
-def _scalars(docs: DataFrame, score, frequent, folds: int, held: int, key: str, text: str) -> DataFrame:
-    """A row a document: the model's score if tables were sent, and the base score's part of the frequent words."""
+def adaptive(docs: DataFrame, *, order: int = ORDER, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, score: adaptive_log10() of each text, a row a document. It walks symbols one by one, and is for short texts."""
 
-    def run(batches):
-        tables = score.value if score else None
-        hashes, values, end_base, end_known = frequent.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, AT_ONCE):
-                part = batch.slice(at, AT_ONCE)
-                keys = part.column(0).to_pylist()
-                texts = [(t or "").encode("utf-8") for t in part.column(1).to_pylist()]
-                n, got, base = [], [], []
-                for t in texts:
-                    w, c = words_of(t)
-                    place, hit = _find(hashes, w)
-                    n.append(int(c.sum()) + 1)
-                    got.append(int(c[hit].sum()) + end_known)
-                    base.append(float((values[place[hit]] * c[hit]).sum()) + end_base)
-                found = tables.log10(texts) if tables is not None else np.full(len(texts), np.nan)
-                marks = [not _in_training(k, folds, held) for k in keys]
-                cols = [part.column(0), pa.array([word_hash(t) for t in texts], pa.int64()), pa.array(marks), pa.array(n, pa.int64()), pa.array(got, pa.int64()), pa.array(base, pa.float64()), pa.array(found)]
-                yield pa.RecordBatch.from_arrays(cols, names=["key", "th", "held_out", "n_tokens", "f_known", "f_base", "score"])
-
-    kind = dict(docs.dtypes)[key]
-    return docs.select(F.col(key).alias("key"), text).mapInArrow(run, f"key {kind}, th bigint, held_out boolean, n_tokens bigint, f_known bigint, f_base double, score double")
+    def start():
+        def row(k, t):
+            yield k, adaptive_log10((t or "").encode("utf-8"), order)
 
+        return row
 
-def _rare_words(docs: DataFrame, frequent, key: str, text: str) -> DataFrame:
-    """key, th, word, n: the words that are not frequent, summed in each document; a row with a null word marks each row of docs."""
-
-    def run(batches):
-        hashes = frequent.value[0]
-        for batch in batches:
-            for at in range(0, batch.num_rows, AT_ONCE):
-                part = batch.slice(at, AT_ONCE)
-                where, lengths, words, counts = [], [], [], []
-                for t in part.column(1).to_pylist():
-                    b = (t or "").encode("utf-8")
-                    w, c = words_of(b)
-                    rare = ~_find(hashes, w)[1]
-                    where.append(word_hash(b))
-                    words += [_NO_WORD, w[rare]]
-                    counts += [_ONE, c[rare]]
-                    lengths.append(1 + int(rare.sum()))
-                lengths = np.array(lengths)
-                first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-                all_ = np.concatenate(words)
-                mark = np.zeros(len(all_), bool)
-                mark[first] = True
-                cols = [part.column(0).take(pa.array(np.repeat(np.arange(len(lengths)), lengths))), pa.array(np.repeat(np.array(where, np.int64), lengths)), pa.array(all_, mask=mark), pa.array(np.concatenate(counts))]
-                yield pa.RecordBatch.from_arrays(cols, names=["key", "th", "word", "n"])
-
-    return docs.select(F.col(key).alias("key"), text).mapInArrow(run, f"key {dict(docs.dtypes)[key]}, th bigint, word bigint, n bigint")
-
-
-def _joined_scores(docs: DataFrame, grams: DataFrame, order: int, key: str, text: str) -> DataFrame:
-    """key, th, score: by joins of each document's distinct grams to the model's levels, whatever the model's size."""
-
-    def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                one = batch.slice(i, 1)
-                b = (one.column(1)[0].as_py() or "").encode("utf-8")
-                u, c = np.unique(grams_of([b], order)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([one.column(0).take(pa.array(np.zeros(len(u), np.int32))), pa.array(np.full(len(u), word_hash(b), np.int64)), pa.array(u.view(np.int64)), pa.array(c.astype(np.int64))], names=["key", "th", "g", "n"])
-
-    parts = docs.select(F.col(key).alias("key"), text).dropDuplicates().mapInArrow(run, f"key {dict(docs.dtypes)[key]}, th bigint, g bigint, n bigint")
-    levels = [grams.select(F.col("key").alias("g"), F.col("n").cast("double").alias("c"))]
-    for j in range(order - 1, -1, -1):
-        levels.insert(0, levels[0].groupBy(F.col("g").bitwiseAND(F.lit(int(_mask(j + 1)))).alias("g")).agg(F.sum("c").alias("c")))
-    levels = [materialise(x) for x in levels]
-    left = parts.select("key", "th", "g", "n", F.lit(0.0).alias("cost"), F.lit(0.0).alias("less"), F.lit(0.0).alias("fewer"))
-    done = []
-    for j in range(order, -1, -1):
-        context = F.shiftright("g", WIDTH)
-        stats = levels[j].groupBy(context.alias("x")).agg(F.sum("c").alias("t"), F.count("*").cast("double").alias("d"))
-        if j:
-            up = levels[j - 1].select(F.col("g").alias("h"), F.col("c").alias("e"))
-            gone = levels[j].select(context.alias("x"), F.col("g").bitwiseAND(F.lit(int(_mask(j)))).alias("h")).join(up, "h").groupBy("x").agg(F.sum("e").alias("e"))
-            stats = stats.join(gone, "x")
-        else:
-            stats = stats.withColumn("e", F.lit(0.0))
-        here = left.withColumn("h", F.col("g").bitwiseAND(F.lit(int(_mask(j + 1))))).withColumn("x", F.shiftright("h", WIDTH))
-        here = here.join(stats, "x", "left").join(levels[j].select(F.col("g").alias("h"), "c"), "h", "left")
-        total, distinct = F.coalesce(F.col("t") - F.col("less"), F.lit(0.0)), F.coalesce(F.col("d") - F.col("fewer"), F.lit(0.0))
-        step = F.when(distinct > 0, F.log10(total + distinct) - F.log10(F.coalesce("c", distinct))).otherwise(0.0)
-        here = materialise(here.select("key", "th", "g", "n", (F.col("cost") + step).alias("cost"), F.coalesce("e", F.lit(0.0)).alias("less"), F.coalesce("d", F.lit(0.0)).alias("fewer"), F.col("c").isNotNull().alias("seen")))
-        done.append(here.where("seen").select("key", "th", (F.col("n") * F.col("cost")).alias("cost")))
-        left = here.where("not seen").drop("seen")
-    rest = levels[0].agg(F.greatest(SYMBOLS - F.count("*"), F.lit(1)).alias("r"))
-    done.append(left.join(F.broadcast(rest)).select("key", "th", (F.col("n") * (F.col("cost") + F.log10("r"))).alias("cost")))
-    all_ = done[0]
-    for x in done[1:]:
-        all_ = all_.unionByName(x)
-    return all_.groupBy("key", "th").agg((-F.sum("cost")).alias("score"))
+    return map_rows(docs.select(key, text), f"{key} {dict(docs.dtypes)[key]}, score double", start)
 
 
-def score(docs: DataFrame, *, order: int = ORDER, folds: int = 10, held: int = 0, key: str = "doc_id", text: str = "text", broadcast_grams: int = BROADCAST_GRAMS, frequent_share: float = FREQUENT) -> DataFrame:
+def score(docs: DataFrame, *, order: int = ORDER, folds: int = 10, held: int = 0, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score, score: a row a document, learnt from the rows not held out."""
-    spark = docs.sparkSession
-    counted = materialise(count(docs, order=order, folds=folds, held=held, key=key, text=text))
-    sums = {r["kind"]: r for r in counted.groupBy("kind").agg(F.sum("n").alias("s"), F.count("*").alias("n")).collect()}
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // block_bytes), min(docs.sparkSession.sparkContext.defaultParallelism, size // LEAST_BLOCK))
+    packed = packs(docs, blocks, key, text)
+    asked = questions(packed.repartitionById(blocks, "block"), order, folds, held).groupBy("kind", "key").agg(F.sum("n").alias("n"), F.collect_list("block").alias("blocks"))
+    asked = written(asked)
+    sums = {r["kind"]: r for r in asked.groupBy("kind").agg(F.sum("n").alias("s"), F.count_if(F.col("n") > 0).alias("known"), F.count("*").alias("n")).collect()}
     trained = int(sums[DOCS]["s"]) if DOCS in sums else 0
     tokens = (int(sums[WORD]["s"]) if WORD in sums else 0) + trained
-    distinct = (int(sums[WORD]["n"]) if WORD in sums else 0) + (trained > 0)
-    n_grams = int(sums[GRAM]["n"]) if GRAM in sums else 0
+    distinct = (int(sums[WORD]["known"]) if WORD in sums else 0) + (trained > 0)
     norm = math.log10(tokens + 0.1 * (distinct + 1))
-    words = counted.where(F.col("kind") == WORD)
-    # No more words than 1 / frequent_share can have that share of all tokens.
-    common = words.where(F.col("n") >= frequent_share * tokens).select("key", "n").toArrow().sort_by("key")
-    values = np.log10(common["n"].to_numpy() + 0.1) - norm
-    frequent = spark.sparkContext.broadcast((common["key"].to_numpy(), values, math.log10(trained + 0.1) - norm, int(trained > 0)))
-    sent = None
-    if n_grams <= broadcast_grams:
-        got = counted.where(F.col("kind") == GRAM).select("key", "n").toArrow()
-        sent = spark.sparkContext.broadcast(Tables(got["key"].to_numpy().view(np.uint64), got["n"].to_numpy(), order))
-    scalars = _scalars(docs, sent, frequent, folds, held, key, text)
-    rare = _rare_words(docs, frequent, key, text)
-    rare = rare.join(words.select(F.col("key").alias("word"), F.col("n").alias("c")), "word", "left")
-    each = F.log10(F.coalesce(F.col("c"), F.lit(0)) + F.lit(0.1)) - F.lit(norm)
-    rare = rare.groupBy("key", "th").agg(
-        F.sum(F.when(F.col("word").isNull(), F.lit(1)).otherwise(0)).alias("rows"),
-        F.sum(F.when(F.col("word").isNotNull(), F.col("n") * each).otherwise(0.0)).alias("r_base"),
-        F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("r_known"),
-    )
-    rare = rare.select(F.col("key").alias("k"), F.col("th").alias("h"), (F.col("r_base") / F.col("rows")).alias("r_base"), (F.col("r_known") / F.col("rows")).cast("long").alias("r_known"))
-    both = scalars.join(rare, scalars["key"].eqNullSafe(F.col("k")) & (scalars["th"] == F.col("h")))
-    if sent is None:
-        far = _joined_scores(docs, counted.where(F.col("kind") == GRAM), order, key, text).select(F.col("key").alias("k2"), F.col("th").alias("h2"), F.col("score").alias("far"))
-        both = both.join(far, both["key"].eqNullSafe(F.col("k2")) & (both["th"] == F.col("h2"))).withColumn("score", F.col("far"))
-    return both.select(
-        F.col("key").alias(key), "held_out", "n_tokens", (F.col("f_known") + F.col("r_known")).alias("n_known"),
-        F.lit(tokens).cast("long").alias("train_tokens"), (F.col("f_base") + F.col("r_base")).alias("base_score"), "score",
-    )
+    end = math.log10(trained + 0.1) - norm
+
+    grams = asked.where(F.col("kind") == GRAM)
+    costs = code_lengths(grams.select(F.col("key").alias("g"), F.col("n").alias("c")), order, int(sums[GRAM]["n"]) if GRAM in sums else 0)
+    costs = grams.join(costs, grams["key"] == costs["g"]).select("kind", "key", F.col("cost").alias("value"), "blocks")
+    words = asked.where(F.col("kind") == WORD).select("kind", "key", F.col("n").cast("double").alias("value"), "blocks")
+    replies = costs.unionByName(words).select(F.explode("blocks").alias("block"), "kind", "key", "value")
+
+    id_type = to_arrow_type(docs.schema[key].dataType)
+
+    def work(own: pa.Table, sent: pa.Table) -> pa.Table:
+        kinds, keys, values = (sent[c].to_numpy() for c in ("kind", "key", "value"))
+        of = kinds == GRAM
+        grams = Lookup(keys[of].view(np.uint64), values[of])
+        counts = Lookup(keys[~of].view(np.uint64), values[~of])
+        out: tuple[list, ...] = ([], [], [], [], [], [])
+        for keys, texts in _unpacked(own):
+            n, known, base = [], [], []
+            for t in texts:
+                w, c = words_of(t)
+                found = counts[w.view(np.uint64)]
+                n.append(int(c.sum()) + 1)
+                known.append(int(c[found > 0].sum()) + (trained > 0))
+                base.append(float(((np.log10(found + 0.1) - norm) * c).sum()) + end)
+            marks = [not _in_training(k, folds, held) for k in keys]
+            for column, got in zip(out, (keys, marks, n, known, base, log10_scores(grams, texts, order)), strict=True):
+                column += got
+        types = [id_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        return pa.table([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["key", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    schema = f"key {dict(docs.dtypes)[key]}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
+    found = packed.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(work, schema)
+    return found.select(F.col("key").alias(key), "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op6_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:

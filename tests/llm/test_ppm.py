@@ -43,22 +43,38 @@ def plain(texts, order):
 TEXTS = [b"", b"abab", b"abracadabra", b"the cat sat on the mat", bytes(range(256)), b"a" * 300, "é ü ß".encode()]
 
 
+def lengths(spark, train, more, order):
+    """Code lengths of all grams of training texts and of further ones."""
+    k, n = np.unique(ppm.grams_of(train, order)[0], return_counts=True)
+    counts = dict(zip(k.tolist(), n.tolist(), strict=True))
+    rows = [(g, counts.get(g, 0)) for g in counts.keys() | set(more)]
+    got = ppm.code_lengths(spark.createDataFrame(rows, "g bigint, c bigint"), order, len(rows)).collect()
+    assert len(got) == len(rows)
+    return ppm.Lookup(np.array([r["g"] for r in got], np.uint64), np.array([r["cost"] for r in got]))
+
+
 @pytest.mark.parametrize("order", [0, 1, 3, 5])
-def test_tables_agree_with_nested_counts(order):
+def test_code_lengths_agree_with_nested_counts(spark, order):
     train = [TEXTS[1], TEXTS[2], TEXTS[3], TEXTS[5]]
-    k, n = np.unique(ppm.grams_of(train, order)[0], return_counts=True)
-    got = ppm.Tables(k, n, order).log10(TEXTS)
+    got = ppm.log10_scores(lengths(spark, train, ppm.grams_of(TEXTS, order)[0].tolist(), order), TEXTS, order)
     want = [plain(train, order)(t) for t in TEXTS]
-    assert got == pytest.approx(want, rel=1e-6)
+    assert got == pytest.approx(want, rel=1e-12)
+
 
+def test_probabilities_of_all_symbols_sum_to_one(spark):
+    contexts = [sum((b + 1) << (9 * (3 - i)) for i, b in enumerate(c)) for c in (b"abr", b"zzz", b"cab", b"xra")]
+    grams = np.array([[c | s for s in range(1, 258)] for c in contexts], np.uint64)
+    t = lengths(spark, [b"abracadabra", b"abacus"], grams.ravel().tolist(), 3)
+    for g in grams:
+        assert (10.0 ** -t[g]).sum() == pytest.approx(1, rel=1e-12)
 
-def test_probabilities_of_all_symbols_sum_to_one():
-    k, n = np.unique(ppm.grams_of([b"abracadabra", b"abacus"], 3)[0], return_counts=True)
-    t = ppm.Tables(k, n, 3)
-    for context in (b"abr", b"zzz", b"cab", b"xra"):
-        c = sum((b + 1) << (9 * (3 - i)) for i, b in enumerate(context))
-        g = np.array([c | s for s in range(1, 258)], np.uint64)
-        assert (10.0 ** -t.lengths(g)).sum() == pytest.approx(1, rel=1e-5)
+
+def test_lookup_holds_all_keys():
+    rng = np.random.default_rng(3)
+    keys = np.unique(np.concatenate([rng.integers(0, 2**63, 50_000).astype(np.uint64), np.arange(3, dtype=np.uint64)]))
+    rng.shuffle(keys)
+    values = rng.random(len(keys))
+    assert (ppm.Lookup(keys, values)[keys] == values).all()
 
 
 def test_adaptive_learns_repeats():
@@ -80,25 +96,37 @@ def base(rows):
     return out, train
 
 
-@pytest.mark.parametrize("options", [{}, {"broadcast_grams": 0, "order": 2}, {"frequent_share": 1.0}])
+@pytest.mark.parametrize("options", [{}, {"order": 2}, {"block_bytes": 10_000}])
 def test_query_agrees_with_plain_versions(spark, sf, options):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 40" if options else "doc_id < 60")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = docs.where("doc_id < 60") if options else docs
     rows = [(r["doc_id"], (r["text"] or "").encode()) for r in docs.collect()]
     want, train = base(rows)
     score = plain(train, options.get("order", ppm.ORDER))
-    got = {r["doc_id"]: r for r in ppm.score(docs, **options).collect()}
+    got = {r["doc_id"]: r for r in (ppm.score(docs, **options) if options else ppm.op6_ppm(spark, sf)).collect()}
     assert got.keys() == want.keys()
     for k, t in rows:
         r = got[k]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == want[k][:3]
-        assert r["base_score"] == pytest.approx(want[k][3], rel=1e-9)
+        assert r["base_score"] == pytest.approx(want[k][3], rel=1e-11)
         assert r["held_out"] == (zlib.crc32(str(k).encode()) % 10 == 0)
-        assert r["score"] == pytest.approx(score(t), rel=1e-5)
+        assert r["score"] == pytest.approx(score(t), rel=1e-11)
+
+
+def test_scores_do_not_depend_on_the_blocks(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = [sorted(tuple(r) for r in ppm.score(docs, block_bytes=b).collect()) for b in (1 << 30, 20_000)]
+    assert got[0] == got[1]
+
+
+def test_adaptive_scores(spark):
+    docs = spark.createDataFrame([(1, "abcabc"), (None, None)], "doc_id bigint, text string")
+    assert {r["doc_id"]: r["score"] for r in ppm.adaptive(docs).collect()} == {1: ppm.adaptive_log10(b"abcabc"), None: ppm.adaptive_log10(b"")}
 
 
 def test_nulls_repeats_and_empty_tables(spark):
     rows = [(1, None, 3), (2, "", 4), (3, "a b a", 5), (3, "a b a", 5), (3, "c", 6), (None, "x", 1), (9, "a " * 30_000, 1)]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string, score int")
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, key int")
     got = ppm.score(docs).collect()
     assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in got) == [(0, 2), (1, 1), (2, 1), (3, 2), (3, 4), (3, 4), (9, 30_001)]
     assert len({(r["score"], r["base_score"], r["n_known"]) for r in got if r["n_tokens"] == 4}) == 1
