@@ -1,8 +1,8 @@
 r"""Chat formatting with typed content parts, as DataFrame functions only.
 
-A turn's content is an array of parts. A visitor walks them in order: text parts are escaped, the others leave a
+A turn's content is an array of parts. A visitor walks them in order: text parts are taken over, the others leave a
 placeholder in the text and an entry in the conversation's list of attachments, with the number of tokens that the
-placeholder stands for. The turns of a conversation are put between marks:
+placeholder stands for. A content is escaped as one string, so nothing can be forged from pieces of several parts. The turns of a conversation are put between marks:
 
     ### role:
     content
@@ -16,8 +16,8 @@ The loss mask is a list of spans of the formatted string, in code points: the co
 
 Nulls: null texts and roles count as empty, null parts as none; a null kind is text. Kinds without a rule get a
 placeholder without tokens. Rows of one turn are put in the order of role and content; null turns come first. A null
-conversation is one of its own. Extra columns are left out. An empty table gives no conversation. A conversation is one
-string of the result, so its rows meet in one task; rows are rendered before that.
+conversation is one of its own. Extra columns are left out, so their names can't clash. An empty table gives no conversation. A conversation is one
+string of the result, so its rows meet in one task, however long its texts; rows are rendered before that.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ PARTS = "array<struct<kind:string,text:string,uri:string,size:bigint>>"
 #: Tokens of a part: its size times the first number over the second, rounded up. Sizes: patches, milliseconds, pages.
 TOKENS = {"image": (1, 1), "audio": (1, 40), "document": (256, 1)}
 HEAD, BODY, TAIL = "### ", ":\n", "\n</turn>\n"
+#: What stands for a placeholder's beginning and end, and for a null character of a text, until a content is escaped.
+OPEN, CLOSE, NUL = "\0o", "\0c", "\0t"
 
 
 def escape(text: Column) -> Column:
@@ -54,9 +56,16 @@ def _kind(part: Column) -> Column:
 
 
 def _visit_text(part: Column) -> Column:
-    """What a part leaves in the text."""
+    """What a part leaves in the text, before it is escaped."""
     name = F.regexp_replace(_kind(part), "[^A-Za-z0-9_-]", "_")
-    return F.when(_kind(part) == "text", escape(F.coalesce(part["text"], F.lit("")))).otherwise(F.concat(F.lit("<|"), name, F.lit("|>")))
+    return F.when(_kind(part) == "text", F.replace(F.coalesce(part["text"], F.lit("")), F.lit("\0"), F.lit(NUL))).otherwise(F.concat(F.lit(OPEN), name, F.lit(CLOSE)))
+
+
+def _render(parts: Column) -> Column:
+    text = escape(F.array_join(F.transform(parts, _visit_text), ""))
+    for short, long in ((OPEN, "<|"), (CLOSE, "|>"), (NUL, "\0")):
+        text = F.replace(text, F.lit(short), F.lit(long))
+    return text
 
 
 def _visit_attachment(part: Column) -> Column:
@@ -77,7 +86,7 @@ def format_chat(turns: DataFrame, *, conv: str = "conv_id", turn: str = "turn",
         F.struct(
             F.col(turn).alias("turn"),
             F.concat(F.lit(HEAD), F.replace(escape(who), F.lit(":"), F.lit(r"\c")), F.lit(BODY)).alias("head"),
-            F.array_join(F.transform(content, _visit_text), "").alias("content"),
+            _render(content).alias("content"),
             who.isin(*learn).alias("learnt"),
             F.transform(F.filter(content, lambda p: _kind(p) != "text"), _visit_attachment).alias("attachments"),
         ).alias("t"),
