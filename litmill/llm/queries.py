@@ -24,4 +24,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op2_chat": chat.OP2_SQL,
     "op3_line_dedup": line_dedup.OP3_SQL,
+    "op7_mixing": mixing.OP7_SQL,
 }

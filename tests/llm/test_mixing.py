@@ -60,8 +60,9 @@ def test_many_equal_documents_come_near_the_target(spark):
 
 
 def test_nulls_repeats_clashing_names_and_empty_tables(spark):
-    rows = [(1, None, "a", 9), (2, "x y", None, 9), (2, "x y", None, 9), (None, "\x0bq\t", "b", 9), (4, "w " * 50_000, "b", 9)]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, size int")
+    names = ("key", "size", "chance", "rate", "mark", "copies", "of", "row", "col", "source_size", "target")
+    rows = [(1, None, "a"), (2, "x y", None), (2, "x y", None), (None, "\x0bq\t", "b"), (4, "w " * 50_000, "b")]
+    docs = spark.createDataFrame([(*r, *names) for r in rows], "doc_id bigint, text string, source string, " + ", ".join(f"{n} string" for n in names))
     assert sorted(r["size"] for r in mixing.plan(docs).collect()) == [0, 1, 2, 2, 50_000]
     assert mixing.mix(docs).columns == docs.columns
     none = docs.where(F.lit(False))
@@ -79,3 +80,21 @@ def test_copies_come_as_often_as_the_fraction_asks(spark):
     docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.concat(F.lit("s"), F.col("id") % 2).alias("source"))
     for r in mixing.plan(docs).groupBy("target", "source_size").agg(F.avg("copies").alias("c")).collect():
         assert r["c"] == pytest.approx(r["target"] / r["source_size"], rel=0.001)
+
+
+def test_every_document_gets_its_copy_with_the_probability_of_the_fraction(spark):
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 7 + 1).cast("int")).alias("text"), F.concat(F.lit("s"), F.col("id") % 2).alias("source"))
+    seeds, seen = 40, {}
+    for seed in range(seeds):
+        for r in mixing.plan(docs, seed=seed).collect():
+            rate = r["target"] / r["source_size"]
+            n, _ = seen.get(r["doc_id"], (0, 0))
+            seen[r["doc_id"]] = (n + r["copies"] - int(rate), rate - int(rate))
+    for n, fraction in seen.values():
+        assert abs(n / seeds - fraction) <= 4.5 * (fraction * (1 - fraction) / seeds) ** 0.5
+
+
+def test_rows_without_a_key_draw_by_their_text(spark):
+    docs = spark.range(4000).select(F.lit(None).cast("bigint").alias("doc_id"), F.concat(F.lit("a b c"), "id").alias("text"), F.concat(F.lit("s"), F.col("id") % 2).alias("source"))
+    got = mixing.plan(docs).groupBy("target").agg(F.sum("taken").alias("t")).collect()
+    assert len(got) == 2 and all(r["t"] == pytest.approx(r["target"], rel=0.01) for r in got)
