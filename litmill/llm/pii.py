@@ -6,10 +6,11 @@ signs. Each transducer carries for every character that it emits where the sourc
 patterns find in the rewritten text maps back to a span of source characters. Such spans are added to the base ones.
 
 Offsets are code points, ends exclusive. Texts without any trigger of a transducer are not rewritten. The scans are
-linear in the text, also in long runs of digits or of address characters.
+linear in the text, also in long runs of digits or of address characters and among many spans; names, hosts and texts of
+any length are read whole.
 
-Nulls: a null text counts as empty and has no spans. Repeated rows give repeated results. Columns other than the key and
-the text are left out.
+Nulls: a null text counts as empty and has no spans. Repeated rows give repeated results. Spans that start together go by
+kind. Columns other than the key and the text are left out, so their names can't clash. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -121,10 +122,13 @@ DIGIT_WORDS = (
 )
 DIGIT_OF = {w: str(d) for d, words in enumerate(DIGIT_WORDS) for w in words}
 _WORD = "(?:" + "|".join(sorted(DIGIT_OF, key=len, reverse=True)) + ")"
-#: At least this many digit words in a row are read as digits.
-LEAST_SPELLED = 3
-SPELLED = re.compile(rf"\b(?:plus[\s-]+)?{_WORD}(?:(?:[\s,-]+|[\s-]*(?:\b(?:dot|point|punkt|punto)\b|\.)[\s-]*){_WORD}){{{LEAST_SPELLED - 1},}}\b", re.I)
-_PIECE = re.compile(rf"plus|dot|point|punkt|punto|\.|{_WORD}|[\s,-]+", re.I)
+_DOT_WORD = r"\b(?:dot|point|punkt|punto)\b"
+_NUMBER = rf"(?:\b{_WORD}\b|[0-9]+)"
+#: Digit words and numbers in a row, between them white space, signs that phone numbers hold, or dots.
+RUN = re.compile(rf"(?:\bplus[\s-]+|\+\s*)?\(?{_NUMBER}(?:(?:[\s-]*(?:{_DOT_WORD}|\.)[\s-]*|[\s,()-]*){_NUMBER})+", re.I)
+_PIECE = re.compile(rf"(?P<plus>\bplus[\s-]+)|(?P<dot>[\s-]*{_DOT_WORD}[\s-]*)|(?P<word>\b{_WORD}\b)|(?P<number>[0-9]+)|(?P<gap>[\s,-]+)|(?P<sign>[.()+])", re.I)
+#: So many digit words make a run one that is spelled; fewer do if a dot is.
+LEAST_SPELLED = 2
 
 _AT = r"(?:at|arroba|ät)"
 _DOT = r"(?:dot|punkt|punto|point)"
@@ -147,27 +151,27 @@ ADDRESS = re.compile(
 )
 _DOTS = re.compile(rf"{_OPEN}{_DOT}{_CLOSE}|\s+{_DOT}\s+|{_OPEN}\.{_CLOSE}|\s+\.\s+", re.I)
 NUMERIC_DOT = re.compile(rf"(?<=[0-9])(?:{_OPEN}(?:{_DOT}|\.){_CLOSE}|\s+{_DOT}\s+)(?=[0-9])", re.I)
-#: Names are looked for in stretches of so many characters around a sign, so that a text without addresses costs little.
-SIGN = re.compile(rf"[\[({{<]\s*(?:{_AT}|@)\s*[\])}}>]|\s(?:{_AT})\s|@", re.I)
-AROUND = 320
+SIGN = re.compile(rf"[\[({{<]\s*(?:{_AT}|@)\s*[\])}}>]|\s(?:{_AT})(?=\s)|@", re.I)
 
 
 #: All characters of _glyphs() are among these.
 _BEYOND = re.compile("[\xad\u0100-\U0010ffff]")
 _DOT_WORDS = ("dot", "punkt", "punto", "point")
-_SPELLING = frozenset(DIGIT_OF) | frozenset(_DOT_WORDS)
-_THREE = b"\x01" * LEAST_SPELLED
+_SPELLING = dict.fromkeys(DIGIT_OF, 1) | dict.fromkeys(_DOT_WORDS, 2)
+#: A digit word beside another one, a word for the dot, or a number.
+_BESIDE = re.compile(b"\x01[\x01\x02\x03]|[\x02\x03]\x01")
+_JOINS = str.maketrans("-,.()+", "      ")
+_AT_GAP = re.compile(r"@\s")
 
 
 def _may_spell(low: str) -> bool:
-    """Whether enough words in a row are digits or dots; what joins them in a run is white space, commas, hyphens or dots."""
-    words = low.replace("-", " ").replace(",", " ").replace(".", " ").split()
-    return _THREE in bytes(map(_SPELLING.__contains__, words))
+    """Whether a digit word stands beside what it can be read with."""
+    return _BESIDE.search(bytes(_SPELLING.get(w) or 3 * ("0" <= w[0] <= "9") for w in low.translate(_JOINS).split())) is not None
 
 
 def _may_hide(t: str, low: str) -> bool:
-    """Whether there is what every form of a written-out sign needs: a bracket, a word for the dot, or an ending with an at."""
-    return any(c in t for c in "[({<") or any(w in low for w in _DOT_WORDS) or "@ " in t or any(w in low for w in ENDINGS) and any(w in low for w in ("at", "arroba", "ät"))
+    """Whether there is what every form of a written-out sign needs: a bracket, a word for the dot, a gap behind an @, or an ending with an at."""
+    return any(c in t for c in "[({<") or any(w in low for w in _DOT_WORDS) or "@" in t and _AT_GAP.search(t) is not None or any(w in low for w in ENDINGS) and any(w in low for w in ("at", "arroba", "ät"))
 
 
 class Tape:
@@ -204,37 +208,50 @@ def _unglyph(t: Tape) -> Tape:
 
 
 def _unspell(t: Tape) -> Tape:
-    edits = []
     if not _may_spell(t.text.lower()):
         return t
-    for m in SPELLED.finditer(t.text):
-        for p in _PIECE.finditer(t.text, m.start(), m.end()):
-            low = p[0].lower()
-            new = DIGIT_OF.get(low) or ("+" if low == "plus" else "." if re.fullmatch(_DOT, low) else "." if low == "." else "")
-            edits.append((p.start(), p.end(), new))
+    edits = []
+    for m in RUN.finditer(t.text):
+        pieces = list(_PIECE.finditer(t.text, m.start(), m.end()))
+        spelled = [p.lastgroup == "word" for p in pieces]
+        if sum(spelled) < (1 if any(p.lastgroup == "dot" for p in pieces) else LEAST_SPELLED):
+            continue
+        for i, p in enumerate(pieces):
+            if p.lastgroup == "plus":
+                edits.append((p.start(), p.end(), "+"))
+            elif p.lastgroup == "dot":
+                edits.append((p.start(), p.end(), "."))
+            elif p.lastgroup == "word":
+                edits.append((p.start(), p.end(), DIGIT_OF[p[0].lower()]))
+            elif p.lastgroup == "gap" and spelled[i - 1] and spelled[i + 1]:  # a run neither starts nor ends with a gap
+                edits.append((p.start(), p.end(), ""))
     return t.rewrite(edits)
 
 
 def _undot(t: Tape) -> Tape:
-    if not _may_hide(t.text, t.text.lower()):
+    text = t.text
+    if not _may_hide(text, text.lower()):
         return t
     edits, free = [], 0
-    for sign in SIGN.finditer(t.text):
+    for sign in SIGN.finditer(text):
         if sign.start() < free:
             continue
-        low = max(free, sign.start() - AROUND)
-        least = max(free, low - AROUND)
-        while low > least and t.text[low - 1] in LOCAL:  # so as not to start inside a name
-            low -= 1
-        for m in ADDRESS.finditer(t.text, low, min(len(t.text), sign.end() + AROUND)):
+        end = sign.start()
+        while end > free and text[end - 1].isspace():
+            end -= 1
+        start = end
+        while start > free and text[start - 1] in LOCAL:
+            start -= 1
+        if start < end and (m := ADDRESS.match(text, start)):
             k = next(k for k in (2, 4, 6, 8) if m[k])
             edits.append((m.start(k), m.end(k), "@"))
-            edits += [(d.start(), d.end(), ".") for d in _DOTS.finditer(t.text, m.start(k + 1), m.end(k + 1))]
+            edits += [(d.start(), d.end(), ".") for d in _DOTS.finditer(text, m.start(k + 1), m.end(k + 1))]
             free = m.end()
-            break
-    taken = [(a, b) for a, b, _ in edits]
-    for m in NUMERIC_DOT.finditer(t.text):
-        if not any(a < m.end() and m.start() < b for a, b in taken):
+    taken, at = edits.copy(), 0
+    for m in NUMERIC_DOT.finditer(text):
+        while at < len(taken) and taken[at][1] <= m.start():  # both are in order
+            at += 1
+        if at == len(taken) or taken[at][0] >= m.end():
             edits.append((m.start(), m.end(), "."))
     return t.rewrite(sorted(edits))
 
@@ -254,7 +271,16 @@ def disguised(t: str) -> list[tuple[int, int, int]]:
 def scan(t: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and all spans: the base ones and those in disguise that no base span of the kind contains."""
     base = find(t)
-    more = [x for x in disguised(t) if not any(x[1] == k and a <= x[0] and x[2] <= b for a, k, b in base)]
+    of_kind: list[list[tuple[int, int, int]]] = [[] for _ in KINDS]
+    for x in base:
+        of_kind[x[1]].append(x)
+    at, more = [0] * len(KINDS), []
+    for a, k, b in disguised(t):  # in order, as the base spans of a kind are, which also lie apart
+        own = of_kind[k]
+        while at[k] < len(own) and own[at[k]][2] <= a:
+            at[k] += 1
+        if at[k] == len(own) or not (own[at[k]][0] <= a and b <= own[at[k]][2]):
+            more.append((a, k, b))
     return base, sorted(base + more)
 
 
