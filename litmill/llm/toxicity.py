@@ -14,7 +14,10 @@ Context: a hit counts less where the window of words around it quotes or reports
 
 Each document's evidence is the sum of its hits' weights. Labels, languages, sources and keys are no input of a score.
 Nulls: a null text counts as empty; empty texts get the score of no evidence. Rows of labels with nulls are not learnt
-from. Repeated rows get the same scores. Other columns are left out.
+from; of several labels of one key the highest counts. Repeated rows get the same scores; of entries that a word ties
+between, the first counts. Very long texts are scored whole, a row at a time. score() leaves other columns out, and
+reject() keeps them, whatever their names. Without labels the lexicon is the list to start from; an empty table gives an
+empty one.
 """
 
 from __future__ import annotations
@@ -32,8 +35,8 @@ from litmill.llm._base import Remember, fold, map_rows, table
 
 #: Labelled rows that are learnt from at most; of more, those whose keys hash lowest.
 SAMPLE_ROWS = 20_000
-#: Entries learnt at most, the best tied first; least ties and documents of one.
-ENTRIES, LEAST_TIE, LEAST_DOCS = 5_000, 25.0, 4
+#: Least tie of an entry, and the documents that must have it; what passes is bounded by the sample.
+LEAST_TIE, LEAST_DOCS = 25.0, 4
 #: The least share of toxic documents' surroundings among all that an entry is found in.
 PRECISION = 0.8
 STEMS = (4, 5, 6, 7)
@@ -43,9 +46,6 @@ THRESHOLD = 0.7
 PRIOR, PRIOR_ROWS = (-3.0, 1.6), 4.0
 HEAVIEST, SEED_WEIGHT, MISSPELT = 5.0, 3.0, 0.5
 QUOTED, ADDRESSED = 0.3, 1.25
-MOST_EVIDENCE = 12.0
-#: Rounds of looking for entries whose misspelt forms other documents have.
-ROUNDS = 4
 
 # Words to start from, before any label is seen.
 SEEDS = (
@@ -211,7 +211,7 @@ class Lexicon:
         """Sum of weights, number of hits, number of misspelt ones."""
         found = self.hits(text)
         total = sum(self.list[k][2] * (MISSPELT if e else 1.0) * f for _, k, e, f in found)
-        return min(total, MOST_EVIDENCE), len(found), sum(e > 0 for _, _, e, _ in found)
+        return total, len(found), sum(e > 0 for _, _, e, _ in found)
 
     def score(self, evidence: float) -> float:
         return 1 / (1 + math.exp(-(self.curve[0] + self.curve[1] * evidence)))
@@ -257,7 +257,7 @@ def _features(sample: DataFrame) -> DataFrame:
             for y, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 y = int(y > 0)
                 words = {bare(w) for w in (t or "").split()} - {""}
-                found = {(w, False) for w in words if len(w) <= 40}
+                found = {(w, False) for w in words}
                 found |= {(w[:n], True) for w in words for n in STEMS if len(w) >= n}
                 counts[y].update(found)
                 docs[y] += 1
@@ -378,18 +378,15 @@ def learn(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
             tie = _tie(F.col("n0"), F.col("n1"), all0, all1)
             toxic = F.col("n1") / all1 > F.col("n0") / all0
             best = counted.where((F.col("word") != "") & (F.col("n1") >= LEAST_DOCS) & toxic).withColumn("tie", tie).where(F.col("tie") >= LEAST_TIE)
-            found = best.orderBy(F.desc("tie"), "word", "stem").limit(ENTRIES).select("word", "stem", "n0", "n1").collect()
-            learnt = _entries(_in_contexts(sample, [tuple(r) for r in found]), all0, all1)
+            found = sorted(tuple(r) for r in best.select("word", "stem", "n0", "n1").collect())
+            learnt = _entries(_in_contexts(sample, found), all0, all1)
             entries = [e for e in entries if e[0] not in {x[0] for x in learnt}] + learnt
         counted.unpersist()
         if not entries:
             return Lexicon([("\0", False, 0.0)])
         exact: frozenset[str] = frozenset()
-        for _ in range(ROUNDS):  # a form is counted for one entry at a time, so the next may show only then
-            more = _loose(sample, Lexicon(entries, exact), all0)
+        while more := _loose(sample, Lexicon(entries, exact), all0):  # a form is counted for one entry at a time, so the next may show only then
             exact |= more
-            if not more:
-                break
         lexicon = Lexicon(entries, exact)
         points = [(r["e"], r["y"]) for r in _evidence(sample.select("y", "text"), lexicon, "y").select("e", "y").collect()]  # at most ``rows``
         # Toxic rows without any evidence say nothing about how much evidence it takes, and may be labelled by mistake.

@@ -1,4 +1,8 @@
+import math
 import random
+import re
+import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -82,12 +86,142 @@ def test_held_out_labels_have_no_influence(spark):
     assert a.list == b.list and a.curve == b.curve
 
 
-def test_query(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
+def plain_bare(word):
+    w = word.lower()
+    return w if w.isalnum() else re.sub(r"^[\W_]+|[\W_]+$", "", w)
+
+
+def plain_distances(word, entry):
+    """Of each beginning of the word, the edits from the entry; looks and letters held down are free."""
+    row = list(range(len(entry) + 1))
+    out = [row[-1]]
+    for x in word:
+        alike = x + tox.LOOKS.get(x, "")
+        new = [row[0] + 1]
+        for j, y in enumerate(entry, 1):
+            new.append(min(row[j - 1] + (y not in alike), row[j] + (y not in alike), new[-1] + 1))
+        row = new
+        out.append(row[-1])
+    return out
+
+
+def plain_match(word, entries, exact):
+    """The entry with the fewest edits, then the first; a stem may end before the word does."""
+    best = None
+    for i, (text, stem, _) in enumerate(entries):
+        edits = 0 if text in exact or stem and len(text) < 6 or len(text) <= 4 else 1 if len(text) <= 8 else 2
+        if not stem and abs(len(word) - len(text)) > edits and not any(a == b for a, b in zip(word, word[1:], strict=False)):
+            continue
+        found = plain_distances(word, text)
+        e = min(found) if stem else found[-1]
+        if e <= edits and (best is None or e < best[1]):
+            best = (i, e)
+    return best
+
+
+def plain_evidence(text, entries, exact, seen):
+    words = text.split()
+    total, loose = 0.0, set()
+    for i, w in enumerate(words):
+        b = plain_bare(w)
+        if b not in seen:
+            seen[b] = plain_match(b, entries, exact) if b else None
+        if seen[b]:
+            near = [plain_bare(x) for j, x in enumerate(words[max(0, i - 4) : i + 5], max(0, i - 4)) if j != i]
+            opened = any(x[0] in tox.OPENING for x in words[max(0, i - 4) : i + 1])
+            closed = any(x.rstrip(".,;:!?")[-1:] in tox.CLOSING for x in words[i : i + 5])
+            quoted = opened and closed or any(x in tox.REPORTING for x in near)
+            factor = 0.3 if quoted else 1.25 if any(x in tox.ADDRESSING for x in near) else 1.0
+            total += entries[seen[b][0]][2] * factor * (0.5 if seen[b][1] else 1)
+            if seen[b][1]:
+                loose.add(entries[seen[b][0]][0])
+    return total, loose
+
+
+def plain_learn(rows):
+    """rows: texts and labels. The entries, those without edits, and the curve, by plain counting."""
+    counts = {}
+    all_ = [sum(y <= 0 for _, y in rows), sum(y > 0 for _, y in rows)]
+    for t, y in rows:
+        words = {plain_bare(w) for w in t.split()} - {""}
+        for x in {(w, False) for w in words} | {(w[:n], True) for w in words for n in (4, 5, 6, 7) if len(w) >= n}:
+            counts.setdefault(x, [0, 0])[y > 0] += 1
+
+    def tie(n0, n1):
+        out = 0.0
+        for seen, of in ((n0, all_[0]), (n1, all_[1])):
+            for x, row in ((seen, n0 + n1), (of - seen, sum(all_) - n0 - n1)):
+                out += 2 * x * math.log(x / (row * of / sum(all_))) if x else 0
+        return out
+
+    def weight(n0, n1):
+        return min(5.0, math.log((n1 + 0.5) / (all_[1] + 1)) - math.log((n0 + 0.5) / (all_[0] + 1)))
+
+    found = {x: n for x, n in counts.items() if n[1] >= 4 and n[1] / all_[1] > n[0] / all_[0] and tie(*n) >= 25}
+    near = {x: (set(), set()) for x in found}
+    for t, y in rows:
+        words = [plain_bare(w) for w in t.split()]
+        for i, w in enumerate(words):
+            for x in [(w, False), *((w[:n], True) for n in (4, 5, 6, 7) if len(w) >= n)]:
+                if x in near:
+                    near[x][y > 0].add((words[i - 1] if i else "", words[i + 1] if i + 1 < len(words) else ""))
+    found = {x: n for x, n in found.items() if len(near[x][1]) >= 4 and len(near[x][1]) >= 0.8 * len(near[x][0]) + 0.8 * len(near[x][1])}
+    kept = {}
+    for w in sorted((w for w, s in found if s), key=lambda w: (-tie(*found[w, True]) * (1 + 0.03 * (len(w) - 4)), w)):
+        if not any(k.startswith(w) or w.startswith(k) for k in kept):
+            kept[w] = (True, weight(*found[w, True]))
+    for w in sorted(w for w, s in found if not s):
+        stem = next((w[:n] for n in range(len(w), 0, -1) if kept.get(w[:n], (False,))[0]), None)
+        if stem is None or found[w, False][1] >= 0.5 * found[stem, True][1] and len(w) <= len(stem) + 3 and w != stem:
+            kept[w] = (False, weight(*found[w, False]))
+    seeds = {w: weight(*counts[w, False]) if sum(counts.get((w, False), (0, 0))) >= 5 else 3.0 for w in tox.SEEDS}
+    entries = {w: (False, x) for w, x in seeds.items() if x > 1} | {w: e for w, e in kept.items() if e[1] > 1}
+    entries = sorted((w, s, x) for w, (s, x) in entries.items())
+    exact = set()
+    while True:
+        seen, hits = {}, Counter()
+        for t, y in rows:
+            if y <= 0:
+                hits.update(plain_evidence(t, entries, exact, seen)[1])
+        more = {w for w, n in hits.items() if n > max(1.0, all_[0] / 2000)}
+        if not more:
+            break
+        exact |= more
+    points = [(plain_evidence(t, entries, exact, seen)[0], y > 0) for t, y in rows]
+    points = [(e, y) for e, y in points if e > 0 or not y]
+
+    def slope(b):  # of the penalised likelihood
+        off = [p - 1 / (1 + math.exp(-b[0] - b[1] * e)) for e, p in points]
+        return [sum(off) - (b[0] + 3.0), sum(o * e for o, (e, _) in zip(off, points, strict=True)) - (b[1] - 1.6)]
+
+    return entries, exact, slope
+
+
+def test_query_agrees_with_a_plain_version(spark, sf):
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = [(docs[k], y) for k, y in labels.items() if k in docs and zlib.crc32(str(k).encode()) % 3 != 1]
+    assert 0 < sum(y for _, y in rows) < len(rows)
+    entries, exact, slope = plain_learn(rows)
+    lexicon = tox.learn(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    assert [(w, s) for w, s, _ in lexicon.list] == [(w, s) for w, s, _ in entries] and lexicon.exact == exact
+    assert [x for *_, x in lexicon.list] == pytest.approx([x for *_, x in entries])
+    assert slope(lexicon.curve) == pytest.approx([0, 0], abs=1e-6)  # the curve is at its best
     got = tox.op1_toxicity(spark, sf)
     assert got.columns[:4] == ["doc_id", "held_out", "score", "predicted"]
-    rows = got.collect()
-    assert len(rows) == docs.count() and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in rows)
+    got, seen = got.collect(), {}
+    assert sorted(r["doc_id"] for r in got) == sorted(docs)
+    for r in got:
+        e, _ = plain_evidence(docs[r["doc_id"]], entries, exact, seen)
+        want = 1 / (1 + math.exp(-lexicon.curve[0] - lexicon.curve[1] * e))
+        assert r["score"] == pytest.approx(want) and r["predicted"] == (r["score"] >= 0.7) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+
+
+def test_reject_keeps_columns_of_any_name(spark):
+    rows = [(1, "moron scum idiot", "a", 1.0), (2, None, "b", 2.0), (3, "fine", "c", 3.0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, e string, score double")
+    got = tox.reject(docs, tox.Lexicon([("moron", False, 5.0), ("scum", False, 5.0)]))
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == rows[1:]
 
 
 def test_nulls_repeats_clashing_names_and_empty_tables(spark):
