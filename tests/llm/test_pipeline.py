@@ -1,44 +1,53 @@
 import hashlib
-from collections import Counter
+import math
+from collections import Counter, defaultdict
 
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from litmill.llm import mixing, sentencepiece_codec, simhash, toxicity
+from litmill.llm import mixing, sentencepiece_codec, toxicity
 from tests.llm.test_line_dedup import plain as plain_lines
+from tests.llm.test_mixing import water
+from tests.llm.test_similar import brute as near_copies
+from tests.llm.test_toxicity import plain_evidence, plain_learn
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 
-def classes(fps):
-    """Each document's class: the smallest id that links reach."""
-    up = {k: k for k in fps}
-
-    def root(x):
-        while up[x] != x:
-            x = up[x]
-        return x
-
-    for a in fps:
-        for b in fps:
-            apart = [bin(x ^ y).count("1") for x, y in zip(fps[a], fps[b], strict=True)]
-            if a < b and min(apart) <= corpus_pipeline.NEAR["d"] and sum(apart) <= corpus_pipeline.NEAR["total"]:
-                r, s = root(a), root(b)
-                up[max(r, s)] = min(r, s)
-    return {k: root(k) for k in fps}
+def plain_copies(rows):
+    """rows: key, text, source. How often each key is taken."""
+    size = {k: len([w for w in t.translate(str.maketrans("\t\n\x0b\x0c\r", "     ")).split(" ") if w]) for k, t, _ in rows}
+    draw = {k: int(hashlib.sha256(f"{mixing.SEED}:{k}".encode()).hexdigest()[:12], 16) / 2**48 for k, *_ in rows}
+    of = defaultdict(list)
+    for k, _, s in rows:
+        of[s].append(k)
+    targets, out = water({s: sum(size[k] for k in keys) for s, keys in of.items()}), {}
+    for s, keys in of.items():
+        words = sum(size[k] for k in keys)
+        rate = targets[s] / words if words else 0.0
+        asked = (rate - int(rate + 1e-12)) * words
+        under, places = 0, [(abs(asked), 0.0)]
+        for b in sorted({int(draw[k] * mixing.BINS) for k in keys}):
+            under += sum(size[k] for k in keys if int(draw[k] * mixing.BINS) == b)
+            places.append((abs(under - asked), (b + 1) / mixing.BINS))
+        mark = min(places)[1]
+        out |= {k: min(3, int(rate + 1e-12) + (draw[k] < mark)) for k in keys}
+    return out
 
 
 def brute(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = {r["doc_id"]: r for r in docs.collect()}
-    lexicon = toxicity.learn(docs, spark.read.parquet(f"{sf}/labels.parquet"))
-    rows = {k: r for k, r in rows.items() if lexicon.score(lexicon.evidence(r["text"])[0]) < toxicity.THRESHOLD}
+    marked = [(rows[r["doc_id"]]["text"] or "", r["toxic"]) for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r["doc_id"] in rows and corpus_fold(r["doc_id"]) != 1]
+    entries, exact, slope = plain_learn(marked)
+    curve = toxicity.learn(docs, spark.read.parquet(f"{sf}/labels.parquet")).curve
+    assert slope(curve) == pytest.approx([0, 0], abs=1e-6)
+    seen = {}
+    rows = {k: r for k, r in rows.items() if 1 / (1 + math.exp(-curve[0] - curve[1] * plain_evidence(r["text"] or "", entries, exact, seen)[0])) < 0.7}
     clean = {k: t for k, t, _ in plain_lines([(k, r["text"], r["source"]) for k, r in rows.items()], 5)}
-    fps = {k: simhash.fingerprint(t, tables=corpus_pipeline.NEAR["tables"]) for k, t in clean.items()}
-    kept = sorted(set(classes(fps).values()))
-    left = spark.createDataFrame([(k, clean[k], rows[k]["source"]) for k in kept], "doc_id bigint, text string, source string")
-    copies = {r["doc_id"]: r["copies"] for r in mixing.plan(left).collect()}
+    kept = sorted(set(near_copies(sorted(clean.items())).values()))
+    copies = plain_copies([(k, clean[k], rows[k]["source"]) for k in kept])
     lib = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.default_model())
     out = Counter()
     for k in kept:
@@ -48,6 +57,12 @@ def brute(spark, sf):
     return +out
 
 
+def corpus_fold(key):
+    import zlib
+
+    return zlib.crc32(str(key).encode()) % 3
+
+
 def test_run_agrees_with_brute_force(spark, sf):
     got = Counter(tuple(r) for r in corpus_pipeline.run(spark, sf).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect())
     assert got == brute(spark, sf)
@@ -55,7 +70,9 @@ def test_run_agrees_with_brute_force(spark, sf):
 
 def test_stages_keep_columns_and_take_odd_tables(spark, sf):
     rows = [(1, None, "en", "a", 0), (2, "", None, None, 0), (2, "", None, None, 0), (None, "x y", "en", "b", 3), (5, "moron scum idiot", "en", "b", 9), (7, "w " * 40_000, "de", "c", None)]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    names = ("key", "th", "id", "row", "marks", "clean", "chance", "rate", "copies", "score", "e", "label", "kept", "component", "stay_key")
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"{n} string" for n in names)
+    docs = spark.createDataFrame([(*r, *names) for r in rows], schema)
     for frame in (docs, docs.where(F.lit(False))):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             frame = stage(spark, frame, sf)
