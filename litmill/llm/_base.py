@@ -63,29 +63,30 @@ def _arrow(kind) -> pa.DataType:
     return to_arrow_type(kind)
 
 
-#: Rows to a file of a frame whose size is known.
-ROWS_A_FILE = 100_000
+#: Rows to a file, of a few numbers each, and documents to a task that reads or makes them.
+ROWS_A_FILE, DOCS_A_FILE = 100_000, 10_000
 
 
-def _few_files(df: DataFrame, most: int | None) -> DataFrame:
-    return df if most is None else df.coalesce(max(1 + most // ROWS_A_FILE, df.sparkSession.sparkContext.defaultParallelism))
+def _few_files(df: DataFrame, most: int | None, a_file: int) -> DataFrame:
+    return df if most is None else df.coalesce(max(1 + most // a_file, df.sparkSession.sparkContext.defaultParallelism))
 
 
-def materialise(df: DataFrame, most: int | None = None) -> DataFrame:
+def materialise(df: DataFrame, most: int | None = None, a_file: int = ROWS_A_FILE) -> DataFrame:
     """Write a frame once to the shared checkpoint folder and read on from there, so that later jobs neither repeat it nor need its executors.
 
-    most: a bound of its rows, if there is one; then it goes to no more files than they need, or than there are cores.
+    most: a bound of its rows, or of what they are made of, if there is one; then it goes to no more files, and comes from
+    no more tasks, than they need at ``a_file`` each, or than there are cores. Small files cost a process each.
     """
     session = df.sparkSession
     if session.sparkContext.getCheckpointDir() is None:
         session.sparkContext.setCheckpointDir(shared_folder(session))
-    return _few_files(df, most).checkpoint(eager=True)
+    return _few_files(df, most, a_file).checkpoint(eager=True)
 
 
-def written(df: DataFrame, most: int | None = None) -> DataFrame:
+def written(df: DataFrame, most: int | None = None, a_file: int = ROWS_A_FILE) -> DataFrame:
     """As materialise(), but as a Parquet table, which is smaller where columns repeat themselves or few of them are read again."""
     path = f"{shared_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
-    _few_files(df, most).write.parquet(path)
+    _few_files(df, most, a_file).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

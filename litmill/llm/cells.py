@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from litmill.llm._base import materialise, small
+from litmill.llm._base import ROWS_A_FILE, materialise, small
 from litmill.llm.components import components
 
 
@@ -22,29 +22,30 @@ def _upto(n: str) -> Column:
     return F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1)
 
 
-def class_links(rows: DataFrame, pairs: Callable[[list[np.ndarray]], Iterable[tuple[int, int]]], limit: int) -> DataFrame:
-    """rows: class, id, size, data (array<bigint>). Result: a, b, enough of the links to join what ``pairs`` links in a class.
+def class_links(rows: DataFrame, pairs: Callable[[list[np.ndarray]], Iterable[tuple[int, int]]], limit: int, a_file: int = ROWS_A_FILE) -> DataFrame:
+    """rows: class, id, size, data (array<bigint>), written. Result: a, b, enough of the links to join what ``pairs`` links in a class.
 
     pairs: from the data of some rows to places of linked ones. limit: the sum of sizes that one search holds, about.
     """
-    rows = materialise(rows)
+    n, whole = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     # Only classes over the limit are cut, and there are no more of them than the limit goes into all sizes; so rows of a
     # common class are not brought together to learn of its size.
     sizes = rows.groupBy("class").agg(F.min("id").alias("head"), F.ceil(F.sum("size") / limit).alias("parts")).where("parts > 1")
-    rows = rows.join(small(materialise(sizes)), "class", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("bigint")))
+    sizes = materialise(sizes, whole // limit)
+    if sizes.isEmpty():
+        return materialise(_search(rows.withColumn("cell", F.lit(0)), pairs), n, a_file)
+    rows = rows.join(small(sizes), "class", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("bigint")))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), "parts"))
     is_head = F.col("id").eqNullSafe(F.col("head"))
     first = rows.select("class", "id", "data", F.explode(F.when(is_head, _upto("parts")).otherwise(F.array("block"))).alias("cell"))
-    links = materialise(_search(first, pairs))
-    large = materialise(rows.where("parts > 1"))
-    if large.isEmpty():
-        return links
+    links = materialise(_search(first, pairs), n + whole // limit, a_file)
+    large = rows.where("parts > 1")
     joined = components(links).withColumnRenamed("node", "id")
-    large = materialise(large.join(joined, "id", "left").withColumn("label", F.coalesce("component", "id")))
+    large = materialise(large.join(joined, "id", "left").withColumn("label", F.coalesce("component", "id")), n, a_file)
     heads = large.where(is_head).select("class", F.col("label").alias("main")).distinct()
     large = large.join(small(heads), "class")
     rest = large.where("label <> main")
-    left = materialise(rest.groupBy("class").agg(F.ceil(F.sum("size") / limit).alias("rests")))
+    left = materialise(rest.groupBy("class").agg(F.ceil(F.sum("size") / limit).alias("rests")), whole // limit)
     if left.isEmpty():
         return links
     left = small(left)
@@ -63,7 +64,7 @@ def _search(dealt: DataFrame, pairs: Callable) -> DataFrame:
         key, ids, data = None, [], []
 
         def work():
-            got = [(ids[x], ids[y]) for x, y in pairs(data)] if len(ids) > 1 else []
+            got = [(ids[x], ids[y]) for x, y in stars(pairs(data), ids)] if len(ids) > 1 else []
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c in zip(*got, strict=True)], names=["a", "b"])
 
@@ -82,6 +83,18 @@ def _search(dealt: DataFrame, pairs: Callable) -> DataFrame:
     return dealt.mapInArrow(run, f"a {kind_of}, b {kind_of}")
 
 
+def stars(links: Iterable[tuple[int, int]], ids: list) -> list[tuple[int, int]]:
+    """Links from every place that ``links`` join to the place of the smallest id that it is joined to, which saves rounds later."""
+    forest = Forest(len(ids))
+    for x, y in links:
+        forest.join(x, y)
+    root, least = forest.roots().tolist(), {}
+    for x, r in enumerate(root):
+        if r not in least or ids[x] < ids[least[r]]:
+            least[r] = x
+    return [(x, least[r]) for x, r in enumerate(root) if least[r] != x]
+
+
 class Forest:
     """Sets of places that are joined one by one."""
 

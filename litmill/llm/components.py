@@ -20,10 +20,13 @@ HUB_LINKS, HUBS = 1_000, 10_000
 def _star(links: DataFrame, n: int, *, large: bool) -> DataFrame:
     """links: u > v, distinct, no more than ``n``. Result in the same form."""
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else links
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("links"))
+    least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("links")), 2 * n)
     hub = F.col("links") >= max(HUB_LINKS, -(-2 * n // HUBS))  # so there are HUBS of them at most
     hubs, others = F.broadcast(least.where(hub).drop("links")), least.where(~hub).drop("links")
-    joined = both.join(hubs, "u").unionByName(both.join(hubs, "u", "left_anti").join(others, "u"))
+    if least.where(hub).isEmpty():
+        joined = both.join(others, "u")
+    else:
+        joined = both.join(hubs, "u", "left_anti").join(others, "u").unionByName(both.join(hubs, "u"))
     if large:
         moved = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -32,15 +35,19 @@ def _star(links: DataFrame, n: int, *, large: bool) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """links: columns a, b. Result: node, component (the smallest node reachable), for nodes with a link."""
+    """links: columns a, b of written frames. Result: node, component (the smallest node reachable), for nodes with a link."""
+    n = links.count()
     now = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now = materialise(now)
-    before, n = None, now.count()
-    while n:
-        now = materialise(_star(_star(now, n, large=True), 2 * n, large=False), 2 * n)  # no star has more links than twice those it is made of
-        *mark, n = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)), F.count("*")).first()
-        if mark == before:
-            break
-        before = mark
+    now = materialise(now, n)
+    while not _done(now):
+        # Each star is written by itself, which keeps plans small. None has more links than twice those it is made of.
+        for large in (True, False):
+            n = now.count()
+            now = materialise(_star(now, n, large=large), 2 * n)
     roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def _done(links: DataFrame) -> bool:
+    """Whether every node has one link down, to a node that has none."""
+    return links.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").isEmpty() and links.join(links.select(F.col("u").alias("v")).distinct(), "v", "left_semi").isEmpty()

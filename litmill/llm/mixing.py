@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from litmill.llm._base import SPACES, materialise, table
+from litmill.llm._base import DOCS_A_FILE, SPACES, materialise, table
 
 WEIGHTS = (5, 2, 1)
 MOST = 3.0
@@ -74,10 +74,11 @@ def chance(key: Column, text: Column, seed: int = SEED) -> Column:
 
 def rates_of(sized: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
     """sized: source, size, chance. Result: of, source_size, weight, target, rate, mark, a row a source, written once."""
-    bins = materialise(sized.groupBy("source", F.floor(F.col("chance") * BINS).alias("bin")).agg(F.sum("size").alias("s")))
+    rows = sized.count()
+    bins = materialise(sized.groupBy("source", F.floor(F.col("chance") * BINS).alias("bin")).agg(F.sum("size").alias("s")), rows)
     found = targets(bins.groupBy("source").agg(F.sum("s").alias("source_size")), weights=weights, most=most)
     found = found.withColumnRenamed("source", "of").withColumn("rate", F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)))
-    found = materialise(found.withColumn("asked", (F.col("rate") - F.floor("rate")) * F.col("source_size")))
+    found = materialise(found.withColumn("asked", (F.col("rate") - F.floor("rate")) * F.col("source_size")), rows)
     # Words under each place where the mark can be, and how far they are from what is asked for; nothing is under 0.
     # Sums run within shelves of bins, and over a source's shelves, so that no task has a whole source.
     shelf = F.floor(F.col("bin") / SHELF)
@@ -108,7 +109,7 @@ def _sized(docs: DataFrame, key: str, text: str, source: str, seed: int) -> Data
 
 def plan(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: float = MOST, seed: int = SEED, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """key, size, source_size, target, copies, taken: a row a document."""
-    sized = materialise(_sized(docs, key, text, source, seed))
+    sized = materialise(_sized(docs, key, text, source, seed), docs.count(), DOCS_A_FILE)
     found = _copies(sized, rates_of(sized, weights=weights, most=most), most)
     return found.select(F.col("key").alias(key), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 

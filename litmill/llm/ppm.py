@@ -41,6 +41,8 @@ ORDER = 5
 WIDTH, END, SYMBOLS = 9, 257, 257
 #: Bytes of text to a block, and the least if there would be fewer blocks than cores.
 BLOCK_BYTES, LEAST_BLOCK = 64 << 20, 4 << 20
+#: Bytes of text to a file of what is asked about it.
+FILE_BYTES = 16 << 20
 #: Bytes of text that a task packs together for a block, and that it holds in all.
 PACK, HOLD = 1 << 20, 32 << 20
 #: Symbols whose grams are worked on at a time, and rows that a task hands over at a time.
@@ -330,7 +332,7 @@ def score(docs: DataFrame, *, order: int = ORDER, folds: int = 10, held: int = 0
     blocks = max(1, -(-size // block_bytes), min(docs.sparkSession.sparkContext.defaultParallelism, size // LEAST_BLOCK))
     packed = packs(docs, blocks, key, text)
     asked = questions(packed.repartitionById(blocks, "block"), order, folds, held).groupBy("kind", "key").agg(F.sum("n").alias("n"), F.collect_list("block").alias("blocks"))
-    asked = written(asked)
+    asked = written(asked, size, FILE_BYTES)
     sums = {r["kind"]: r for r in asked.groupBy("kind").agg(F.sum("n").alias("s"), F.count_if(F.col("n") > 0).alias("known"), F.count("*").alias("n")).collect()}
     trained = int(sums[DOCS]["s"]) if DOCS in sums else 0
     tokens = (int(sums[WORD]["s"]) if WORD in sums else 0) + trained

@@ -26,8 +26,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from litmill.llm._base import map_rows, materialise, table
-from litmill.llm.cells import Forest, class_links
+from litmill.llm._base import DOCS_A_FILE, map_rows, materialise, table
+from litmill.llm.cells import Forest, class_links, stars
 from litmill.llm.components import components
 
 BITS = 64
@@ -203,9 +203,9 @@ def near_links(nodes: DataFrame, d: int = 2, *, group: int = GROUP) -> DataFrame
     mask = F.col("mask")
     key = F.xxhash64("mask", F.col("w0").bitwiseAND(mask))
     todo = nodes.select("id", F.col("fp").alias("w0"), F.explode(F.array(*(F.lit(_signed(m)) for m in masks))).alias("mask"))
-    links, crowds = None, []
+    links, crowds, n = None, [], len(masks) * nodes.count()
     for round_ in range(ROUNDS + 1):
-        found = materialise(_search(todo.withColumn("key", key), 1, d, group))
+        found = materialise(_search(todo.withColumn("key", key), 1, d, group), n)
         got, now = found.where("b is not null").select("a", "b"), found.where("b is null").select(F.col("a").alias("id"), "key", "mask", "w0")
         links = got if links is None else links.unionByName(got)
         left = [r["mask"] for r in now.select("mask").distinct().collect()]  # at most the masks of one round
@@ -216,7 +216,7 @@ def near_links(nodes: DataFrame, d: int = 2, *, group: int = GROUP) -> DataFrame
             break
         # What is still free of each mask is cut once more; the masks of a round depend on the number of bits only.
         cut = F.create_map(*(x for m in again for x in (F.lit(m), F.array(*(F.lit(_signed((m & FULL) | k)) for k in blocks(FULL & ~(m & FULL), parts))))))
-        todo = now.where(mask.isin(again)).select("id", "w0", F.explode(cut[mask]).alias("mask"))
+        todo, n = now.where(mask.isin(again)).select("id", "w0", F.explode(cut[mask]).alias("mask")), parts * now.count()
     for crowd in crowds:
         links = links.unionByName(_crowded_links(crowd, 1, d, group))
     return links
@@ -244,7 +244,7 @@ def sampled_masks(n: int, words: int, agree: float, *, per_key: int = PER_KEY, r
 
 
 def wide_links(nodes: DataFrame, words: int, d: int, agree: float, *, per_key: int = PER_KEY, recall: float = RECALL, group: int = GROUP) -> DataFrame:
-    """nodes: id, fps (array of ``words`` words), a row for each distinct fps. Result: a, b, ids of links at distance ``d`` or less.
+    """nodes: id, fps (array of ``words`` words), a row for each distinct fps, written. Result: a, b, ids of links at distance ``d`` or less.
 
     For distances that no blocks can bound: fingerprints meet if they agree in all bits of a key. A key has as many bits
     as leave about ``per_key`` unlike fingerprints together, so it grows with the logarithm of their number, and there are
@@ -252,13 +252,14 @@ def wide_links(nodes: DataFrame, words: int, d: int, agree: float, *, per_key: i
     probability ``agree``. So the rows to a document grow with a small power of the number of documents, and the part of
     links found does not depend on it.
     """
-    nodes = materialise(nodes)
     w = [F.col("fps")[i] for i in range(words)]
-    masks = sampled_masks(nodes.count(), words, agree, per_key=per_key, recall=recall)
+    n = nodes.count()
+    masks = sampled_masks(n, words, agree, per_key=per_key, recall=recall)
     keys = F.array(*(F.xxhash64(F.lit(i), *(x.bitwiseAND(F.lit(_signed(m))) for x, m in zip(w, own, strict=True) if m)) for i, own in enumerate(masks)))
     dealt = nodes.select("id", *(x.alias(f"w{i}") for i, x in enumerate(w)), F.lit(0).cast("bigint").alias("mask"), F.explode(keys).alias("key"))
-    found = materialise(_search(dealt, words, d, group))
-    return found.where("b is not null").select("a", "b").unionByName(_crowded_links(found.where("b is null").withColumnRenamed("a", "id"), words, d, group))
+    found = materialise(_search(dealt, words, d, group), n * len(masks))
+    links, crowded = found.where("b is not null").select("a", "b"), found.where("b is null").withColumnRenamed("a", "id")
+    return links if crowded.isEmpty() else links.unionByName(_crowded_links(crowded, words, d, group))
 
 
 def _crowded_links(rows: DataFrame, words: int, d: int, group: int) -> DataFrame:
@@ -299,6 +300,7 @@ def _search(dealt: DataFrame, words: int, d: int, group: int) -> DataFrame:
                 codes = np.stack([np.concatenate([x.to_numpy(zero_copy_only=False) for x in c]) for c in columns[1:]], axis=1).view(np.uint64)
                 links = spanning_links(codes, d)
                 if links:
+                    links = stars(links, pa.concat_arrays(columns[0]).to_pylist())
                     a.extend(base + x for x, _ in links)
                     b.extend(base + y for _, y in links)
                     ids.extend(columns[0])
@@ -339,8 +341,9 @@ def _search(dealt: DataFrame, words: int, d: int, group: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, d: int = 2, words: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, fp, component_id: the smallest key within reach by links, the row's own included."""
-    marked = materialise(fingerprints(docs, words=words, key=key, text=text))
-    nodes = materialise(marked.groupBy("fp").agg(F.min("key").alias("id")))
+    n = docs.count()
+    marked = materialise(fingerprints(docs, words=words, key=key, text=text), n, DOCS_A_FILE)
+    nodes = materialise(marked.groupBy("fp").agg(F.min("key").alias("id")), n)
     joined = components(near_links(nodes.where("id is not null"), d))
     classed = nodes.join(joined.withColumnRenamed("node", "id"), "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     return marked.join(classed, "fp").select(F.col("key").alias(key), "fp", "component_id")

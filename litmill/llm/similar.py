@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litmill.llm import simhash
-from litmill.llm._base import map_rows, materialise
+from litmill.llm._base import DOCS_A_FILE, map_rows, materialise
 from litmill.llm.cells import Forest, class_links
 from litmill.llm.components import components
 
@@ -120,15 +120,16 @@ def near_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
 
     hashed = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
     kind = dict(docs.dtypes)[key]
-    marked = materialise(map_rows(hashed, f"key {kind}, th bigint, id binary, fps array<bigint>", mark))
+    n = docs.count()
+    marked = materialise(map_rows(hashed, f"key {kind}, th bigint, id binary, fps array<bigint>", mark), n, DOCS_A_FILE)
     texts = marked.groupBy("id", "fps").agg(F.min(F.struct("key", "th")).alias("first"))
-    nodes = materialise(texts.groupBy("fps").agg(F.min("id").alias("id"), F.count("*").alias("n")))
-    joined = materialise(components(simhash.wide_links(nodes.select("id", "fps"), TABLES, DISTANCE, AGREE)).withColumnRenamed("node", "id"))
+    nodes = materialise(texts.groupBy("fps").agg(F.min("id").alias("id"), F.count("*").alias("n")), n)
+    joined = components(simhash.wide_links(nodes.select("id", "fps"), TABLES, DISTANCE, AGREE)).withColumnRenamed("node", "id")
     classes = nodes.join(joined, "id", "left").where("component is not null or n > 1").select("fps", F.coalesce("component", "id").alias("class"))
     doubtful = texts.join(classes, "fps").select("id", "class", F.col("first.key").alias("_key"), F.col("first.th").alias("_th"))
     read = hashed.join(doubtful, F.col("key").eqNullSafe(F.col("_key")) & (F.col("th") == F.col("_th"))).select("text", "id", "class")
-    sets = map_rows(read, "class binary, id binary, size bigint, data array<bigint>", cut)
-    alike = components(class_links(sets, similar_pairs, SHINGLES)).withColumnRenamed("node", "id")
+    sets = materialise(map_rows(read, "class binary, id binary, size bigint, data array<bigint>", cut), n, DOCS_A_FILE)
+    alike = components(class_links(sets, similar_pairs, SHINGLES, DOCS_A_FILE)).withColumnRenamed("node", "id")
     least = texts.join(alike, "id", "left").select("id", "first", F.coalesce("component", "id").alias("component"))
     kept = least.groupBy("component").agg(F.min("first").alias("kept"))
     of = least.join(kept, "component").select("id", F.col("kept.key").alias("kept_key"), F.col("kept.th").alias("kept_th"))
@@ -137,7 +138,7 @@ def near_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
 
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group of near copies, with all its columns. Of rows with one key and text, the one that hashes lowest."""
-    found = materialise(near_copies(docs, key=key, text=text))
+    found = materialise(near_copies(docs, key=key, text=text), docs.count())
     stay = found.where(F.col(key).eqNullSafe(F.col("kept_key")) & (F.col("th") == F.col("kept_th")))
     stay = stay.groupBy(F.col(key).alias("stay_key"), F.col("th").alias("stay_th")).agg(F.count("*").alias("stay_rows"))
     rows = docs.select(F.struct("*").alias("row"), F.xxhash64(text).alias("th"))
