@@ -6,13 +6,15 @@ image, compare energies of neighbouring areas; each answer is put in one of four
 neighbouring ranges differ in one. Sixteen filters make one packed 32-bit item for each position.
 
 Two recordings align at the offset that most equal items agree on (a histogram of offsets); there the bit error rate over
-the overlap says whether they are the same. The stated queries meet all recordings in blocks: a block of queries is an
-index from item to places, so a recording costs its hits only. Every alignment is kept, unless only the best are asked for.
+the overlap says whether they are the same. Recordings with one fingerprint are one class, searched once under its smallest
+id. The stated queries' items are joined to all items, so what is met are equal items only, and the offsets of each pair
+of classes are counted before their fingerprints are compared. Every alignment is kept, unless only the best are asked for.
 
 Nulls: a null recording, one that is no 16-bit PCM WAVE file, or one shorter than the filters has no items and no matches.
 Silent positions are in the fingerprint but are no evidence of an offset. Rows with one id are recordings of their own;
-a query has no match with its own id. Null ids have fingerprints and take no part in the search. Other columns are left
-out.
+null ids have fingerprints and take no part in the search. Of offsets that tie, the one with the fewest errors counts, then
+the one nearest to 0. Very long recordings are cut into frames a few at a time. Other columns are left out, so their names
+can't clash; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -20,16 +22,13 @@ from __future__ import annotations
 import io
 import math
 import wave
-from array import array
 from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
-from litmill.llm._base import map_rows, materialise, table
+from litmill.llm._base import DOCS_A_FILE, map_rows, materialise, table
 
 RATE, FRAME, HOP = 11_025, 4096, 1365
 LOWEST, HIGHEST = 28.0, 3520.0
@@ -37,7 +36,6 @@ SMOOTH = np.array([0.25, 0.75, 1.0, 0.75, 0.25])
 WIDTH, CLASSES = 16, 12
 RANGES = np.array([-0.15, 0.0, 0.15])
 GRAY = np.array([0, 1, 3, 2], np.uint32)
-BLOCK, QUERIES = 4096, 2048
 #: Equal items at one offset that make a candidate, positions that must overlap, and the error rate up to which two align.
 LEAST_COMMON, LEAST_OVERLAP, MOST_ERRORS = 3, 8, 0.25
 
@@ -158,35 +156,6 @@ def _best(offsets: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[int, int,
     return (o, common, n, e) if n >= LEAST_OVERLAP and e <= MOST_ERRORS * 32 * n else None
 
 
-class Index:
-    """From item to the places in a block of queries that have it."""
-
-    def __init__(self, prints: list[tuple[np.ndarray, np.ndarray]]):
-        self.prints = prints
-        q = np.repeat(np.arange(len(prints)), [len(p) for p, _ in prints])
-        pos = np.concatenate([np.arange(len(p)) for p, _ in prints] or [np.zeros(0, np.int64)])
-        item = np.concatenate([p for p, _ in prints] or [np.zeros(0, np.uint32)])
-        ok = np.concatenate([s for _, s in prints] or [np.zeros(0, bool)])
-        order = np.argsort(item[ok], kind="stable")
-        self.item, self.q, self.pos = item[ok][order], q[ok][order], pos[ok][order]
-
-    def matches(self, b: np.ndarray, sound: np.ndarray):
-        """For each query with enough hits, its place and alignment with b."""
-        own = np.flatnonzero(sound)
-        first, last = np.searchsorted(self.item, b[own], "left"), np.searchsorted(self.item, b[own], "right")
-        n = last - first
-        if n.sum() < LEAST_COMMON:
-            return
-        at = np.repeat(first - np.concatenate([[0], n.cumsum()[:-1]]), n) + np.arange(n.sum())
-        q, offset = self.q[at], self.pos[at] - np.repeat(own, n)
-        order = np.argsort(q, kind="stable")
-        q, offset = q[order], offset[order]
-        cuts = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1], [True]]))
-        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-            if e - s >= LEAST_COMMON and (got := _best(offset[s:e], self.prints[q[s]][0], b)):
-                yield int(q[s]), got
-
-
 def fingerprints(rows: DataFrame, audio_of: Callable, *, key: str, column: str) -> DataFrame:
     """id, items array<bigint>, sound array<boolean>; ``audio_of`` gives a file's bytes from the column's value."""
 
@@ -200,79 +169,59 @@ def fingerprints(rows: DataFrame, audio_of: Callable, *, key: str, column: str)
     return map_rows(rows.select(F.col(key).alias("id"), column), f"id {dict(rows.dtypes)[key]}, items array<bigint>, sound array<boolean>", start)
 
 
-def _prints(items_: pa.ChunkedArray, sound: pa.ChunkedArray) -> list[tuple[np.ndarray, np.ndarray]]:
-    return [(np.array(p, np.int64).astype(np.uint32), np.array(s, bool)) for p, s in zip(items_.to_pylist(), sound.to_pylist(), strict=True)]
+def classed(prints: DataFrame) -> DataFrame:
+    """prints with sha (of the items) and class_id (the smallest id with the same fingerprint; null without items or id)."""
+    sha = F.sha2(F.concat_ws(",", F.col("items").cast("array<string>"), F.col("sound").cast("array<string>")), 256)
+    rows = prints.withColumn("sha", sha)
+    of = rows.where(F.col("id").isNotNull() & (F.size("items") > 0)).groupBy("sha").agg(F.min("id").alias("class_id"))
+    rows = rows.join(of, "sha", "left")
+    return rows.withColumn("class_id", F.when(F.col("id").isNotNull(), F.col("class_id")))
 
 
 def search(prints: DataFrame, *, every: int = 50, best: int | None = None) -> DataFrame:
-    """query_id, rank, id, offset, common, overlap, errors: each query's alignments, or its ``best`` ones, by error rate, overlap and id."""
-    usable = prints.where(F.col("id").isNotNull() & (F.size("items") > 0))
-    kind = dict(prints.dtypes)["id"]
+    """prints: as classed() gives them, written. Result: query_class, rank, match_class, copies, offset, common, overlap,
+    errors: the alignments of each class with a query, or its ``best`` ones, by error rate, overlap and id; copies: its rows."""
     is_query = F.pmod("id", F.lit(every)) == 0
-    n, m = usable.agg(F.count("*"), F.count_if(is_query)).first()
-    blocks, parts = max(1, math.ceil(n / BLOCK)), max(1, math.ceil(m / QUERIES))
-
-    def number(salt: int, count: int):
-        return F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(count).cast("bigint"))
-
-    def every_one(count: int):
-        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint")))
-
-    held = usable.withColumn("block", number(1, blocks)).withColumn("part", every_one(parts))
-    # Both sides come from one frame, so one takes other names.
-    asked = usable.where(is_query).select(F.col("id").alias("query_id"), F.col("items").alias("q_items"), F.col("sound").alias("q_sound"), number(2, parts).alias("q_part"), every_one(blocks).alias("q_block"))
-    schema = f"query_id {kind}, id {kind}, offset bigint, common bigint, overlap bigint, errors bigint"
-
-    names = ["query_id", "id", "offset", "common", "overlap", "errors"]
-    id_type = to_arrow_type(prints.schema["id"].dataType)
-
-    def pair(left: pa.Table, right: pa.Table) -> pa.Table:
-        found: dict[int, list] = {}
-        all_ = [array("q") for _ in range(6)]  # places of query and recording, and the alignment
-        ids, qids = [], []
-        if left.num_rows and right.num_rows:  # a side without rows has no columns
-            ids, qids = left["id"].to_pylist(), right["query_id"].to_pylist()
-            index = Index(_prints(right["q_items"], right["q_sound"]))
-            for at, (i, (p, s)) in enumerate(zip(ids, _prints(left["items"], left["sound"]), strict=True)):
-                for q, (o, c, w, e) in index.matches(p, s):
-                    if qids[q] == i:
-                        continue
-                    if best is None:
-                        for column, x in zip(all_, (q, at, o, c, w, e), strict=True):
-                            column.append(x)
-                    else:
-                        own = found.setdefault(q, [])
-                        own.append((e / w, -w, i, o, c, w, e))
-                        if len(own) > 4 * best:
-                            found[q] = sorted(own)[:best]
-        if best is None:
-            kept = [pa.array(qids, id_type).take(pa.array(all_[0], pa.int64())), pa.array(ids, id_type).take(pa.array(all_[1], pa.int64()))]
-            return pa.table(kept + [pa.array(x, pa.int64()) for x in all_[2:]], names=names)
-        out = [(qids[q], x[2], *x[3:]) for q, own in found.items() for x in sorted(own)[:best]]
-        kinds = [id_type] * 2 + [pa.int64()] * 4
-        return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=names)
-
-    met = held.groupBy("block", "part").cogroup(asked.groupBy("q_block", "q_part")).applyInArrow(pair, schema)
-    by = Window.partitionBy("query_id").orderBy(F.col("errors") / F.col("overlap"), F.desc("overlap"), "id", "offset", "common")
-    ranked = met.withColumn("rank", F.row_number().over(by))
+    rows = prints.where("class_id is not null")
+    classes = rows.groupBy("class_id").agg(F.min(F.struct("items", "sound")).alias("p"), F.count("*").alias("copies"), F.max(is_query).alias("asked"))
+    classes = materialise(classes.select("class_id", "p.*", "copies", "asked"), prints.count(), DOCS_A_FILE)
+    places = classes.select("class_id", "asked", F.posexplode(F.arrays_zip("items", "sound")).alias("at", "x")).where("x.sound").select("class_id", "asked", "at", F.col("x.items").alias("item"))
+    own = places.where("asked").select(F.col("class_id").alias("query_class"), F.col("at").alias("query_at"), "item")
+    hits = own.join(places, "item").where(F.col("query_class") != F.col("class_id"))
+    offsets = hits.groupBy("query_class", "class_id", (F.col("query_at") - F.col("at")).alias("offset")).agg(F.count("*").alias("common")).where(F.col("common") >= LEAST_COMMON)
+    most = F.max("common").over(Window.partitionBy("query_class", "class_id"))
+    offsets = offsets.withColumn("most", most).where("common = most").drop("most")
+    queries = classes.select(F.col("class_id").alias("query_class"), F.col("items").alias("a"))
+    pairs = offsets.join(classes.select("class_id", F.col("items").alias("b"), "copies"), "class_id").join(queries, "query_class")
+    start, stop = F.greatest(F.lit(0), "offset"), F.least(F.size("a"), F.col("offset") + F.size("b"))
+    overlap = F.greatest(stop - start, F.lit(0))
+    apart = F.zip_with(F.slice("a", start + 1, F.col("overlap")), F.slice("b", start - F.col("offset") + 1, F.col("overlap")), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    pairs = pairs.withColumn("overlap", overlap).withColumn("errors", F.aggregate(apart, F.lit(0), lambda n, x: n + x).cast("bigint"))
+    rate = F.col("errors") / F.greatest(F.col("overlap"), F.lit(1))
+    pairs = pairs.groupBy("query_class", F.col("class_id").alias("match_class"), "copies").agg(F.min(F.struct(rate.alias("rate"), F.abs("offset").alias("far"), "offset", "common", "overlap", "errors")).alias("x")).select("query_class", "match_class", "copies", "x.offset", "x.common", "x.overlap", "x.errors")
+    # A class with several rows also matches itself.
+    sounding = F.size(F.filter("sound", lambda x: x)).cast("bigint")
+    itself = classes.where("asked and copies > 1").select(F.col("class_id").alias("query_class"), F.col("class_id").alias("match_class"), (F.col("copies") - 1).alias("copies"), F.lit(0).alias("offset"), sounding.alias("common"), F.size("items").alias("overlap"), F.lit(0).cast("bigint").alias("errors"))
+    found = pairs.unionByName(itself.where(F.col("common") >= LEAST_COMMON))
+    found = found.where((F.col("overlap") >= LEAST_OVERLAP) & (F.col("errors") <= MOST_ERRORS * 32 * F.col("overlap")))
+    by = Window.partitionBy("query_class").orderBy(F.col("errors") / F.col("overlap"), F.desc("overlap"), "match_class")
+    ranked = found.withColumn("rank", F.row_number().over(by))
     return ranked if best is None else ranked.where(F.col("rank") <= best)
 
 
 def identify(rows: DataFrame, audio_of: Callable, *, key: str, column: str, every: int = 50, best: int | None = None) -> DataFrame:
-    """key, n_items, items_sha256, matches (null unless a query): a row a recording."""
-    made = materialise(fingerprints(rows, audio_of, key=key, column=column))
-    found = search(made, every=every, best=best)
+    """key, n_items, items_sha256, class_id and, of queries, a row for each alignment: rank, match_class, copies (of the match, without
+    the query itself), offset, common, overlap, bit_error_rate; null for other rows and where there is none."""
+    n = rows.count()
+    made = materialise(fingerprints(rows, audio_of, key=key, column=column), n, DOCS_A_FILE)
+    made = materialise(classed(made), n, DOCS_A_FILE)
     rate = F.round(F.col("errors") / (F.col("overlap") * 32), 6)
-    lists = found.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "id", "offset", "common", "overlap", rate.alias("bit_error_rate")))).alias("matches"))
-    out = made.join(lists, made["id"] == lists["query_id"], "left")
-    is_query = F.col("id").isNotNull() & (F.pmod("id", F.lit(every)) == 0)
-    none = F.array().cast(lists.schema["matches"].dataType)
-    return out.select(
-        F.col("id").alias(key),
-        F.size("items").cast("bigint").alias("n_items"),
-        F.sha2(F.array_join(F.col("items").cast("array<string>"), ","), 256).alias("items_sha256"),
-        F.when(is_query, F.coalesce("matches", none)).alias("matches"),
-    )
+    found = search(made, every=every, best=best).select(F.col("query_class").alias("class_id"), "rank", "match_class", "copies", "offset", "common", "overlap", rate.alias("bit_error_rate"))
+    out = made.select("id", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join(F.col("items").cast("array<string>"), ","), 256).alias("items_sha256"), "class_id")
+    is_query = F.col("class_id").isNotNull() & (F.pmod("id", F.lit(every)) == 0)
+    asked = out.where(is_query).join(found, "class_id", "left")
+    rest = out.where(~is_query)
+    return asked.unionByName(rest, allowMissingColumns=True).withColumnRenamed("id", key)
 
 
 #: A tune of a vector: notes of so many samples, one for each two numbers.

@@ -50,4 +50,4 @@ def components(links: DataFrame) -> DataFrame:
 
 def _done(links: DataFrame) -> bool:
     """Whether every node has one link down, to a node that has none."""
-    return links.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").isEmpty() and links.join(links.select(F.col("u").alias("v")).distinct(), "v", "left_semi").isEmpty()
+    return links.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").isEmpty() and links.select("v").distinct().join(links.select(F.col("u").alias("v")).distinct(), "v", "left_semi").isEmpty()

@@ -57,48 +57,73 @@ def test_rates_channels_and_what_cannot_be_read():
     assert len(silent[0]) and not silent[1].any() and ch.align(*silent, *silent) is None
 
 
-def brute(rows, every, best):
-    prints = [(k, ch.fingerprint(v)) for k, v in rows]
+def brute(rows, every, best=None):
+    """Of each query: match class, its copies, offset, common, overlap, errors."""
+    prints = [(k, ch.fingerprint(v)) for k, v in rows if k is not None]
+    of = {}
+    for k, p in prints:
+        if len(p[0]):
+            of.setdefault((p[0].tobytes(), p[1].tobytes()), []).append((k, p))
+    classes = [(min(k for k, _ in x), len(x), x[0][1]) for x in of.values()]
     out = {}
     for q, a in prints:
-        if q is not None and q % every == 0:
-            got = [(r[3] / r[2], -r[2], k, *r) for k, b in prints if k is not None and k != q and (r := ch.align(*a, *b))]
-            out.setdefault(q, []).extend(sorted(got)[:best])
+        if q % every == 0 and len(a[0]):
+            own = min(k for k, _ in of[a[0].tobytes(), a[1].tobytes()])
+            got = []
+            for c, n, b in classes:
+                if (r := ch.align(*a, *b)) and (c != own or n > 1):
+                    got.append((r[3] / r[2], -r[2], c, n - (c == own), *r))
+            out[q] = [g[2:] for g in sorted(got)[:best]]
     return out
 
 
-@pytest.mark.parametrize("block", [7, 4096])
-def test_search_agrees_with_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(ch, "BLOCK", block)
-    monkeypatch.setattr(ch, "QUERIES", 3)
+def found(frame, every):
+    out = {}
+    for r in frame.collect():
+        if r["vec_id"] is not None and r["vec_id"] % every == 0 and r["class_id"] is not None:
+            own = out.setdefault(r["vec_id"], set())
+            if r["rank"] is not None:
+                own.add((r["rank"], r["match_class"], r["copies"], r["offset"], r["common"], r["overlap"], round(r["bit_error_rate"] * 32 * r["overlap"])))
+        else:
+            assert r["rank"] is None and r["match_class"] is None
+    return {k: [x[1:] for x in sorted(v)] for k, v in out.items()}
+
+
+@pytest.mark.parametrize("best", [None, 4])
+def test_search_agrees_with_brute_force(spark, best):
+    names = ("id", "items", "sound", "sha", "class_id", "rank")
     rows = []
     for i in range(40):
         x = song(i % 9, 7)
-        rows.append((i, ch.encode(x[(i % 5) * ch.HOP :]), "clash"))
-    rows += [(None, rows[0][1], ""), (50, None, ""), (51, b"junk", "")]
-    df = spark.createDataFrame(rows, "vec_id bigint, audio binary, matches string")
-    got = ch.identify(df, lambda v: v, key="vec_id", column="audio", every=5, best=4).collect()
-    want = brute([r[:2] for r in rows], 5, 4)
-    assert len(got) == len(rows)
-    for r in got:
-        if r["vec_id"] is None or r["vec_id"] % 5:
-            assert r["matches"] is None
-        else:
-            assert [(m["id"], m["offset"], m["common"], m["overlap"]) for m in r["matches"]] == [(w[2], *w[3:6]) for w in want[r["vec_id"]]]
+        rows.append((i, ch.encode(x[(i % 5) * ch.HOP :])))
+    rows += [(None, rows[0][1]), (50, None), (51, b"junk"), (55, ch.encode(np.zeros(5 * ch.RATE))), (60, rows[10][1]), (61, rows[10][1])]
+    df = spark.createDataFrame([(*r, *names) for r in rows], "vec_id bigint, audio binary, " + ", ".join(f"{n} string" for n in names))
+    got = ch.identify(df, lambda v: v, key="vec_id", column="audio", every=5, best=best)
+    assert found(got, 5) == brute(rows, 5, best)
+    assert got.select("vec_id").distinct().count() == len(rows)
     assert ch.identify(df.where(F.lit(False)), lambda v: v, key="vec_id", column="audio").count() == 0
 
 
-def test_query(spark, sf):
+def test_query_agrees_with_brute_force(spark, sf):
     table = {r["vec_id"]: r["embedding"] for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
-    got = ch.op9_chroma(spark, sf).collect()
-    assert len(got) == len(table)
-    for r in got[:20]:
+    got = ch.op9_chroma(spark, sf)
+    assert found(got, 50) == brute([(k, ch.tune(v)) for k, v in table.items()], 50)
+    rows = got.collect()
+    assert {r["vec_id"] for r in rows} == table.keys()
+    for r in rows:
         p = ch.fingerprint(ch.tune(table[r["vec_id"]]))[0]
         assert r["n_items"] == len(p) > 10 and r["items_sha256"] == hashlib.sha256(",".join(map(str, p.tolist())).encode()).hexdigest()
 
 
-def test_all_copies_of_a_query_are_returned(spark):
-    x = ch.encode(song(1, 4))
-    rows = [(i, x) for i in range(24)] + [(30, ch.encode(song(8, 4)))]
-    got = {r["vec_id"]: r["matches"] for r in ch.identify(spark.createDataFrame(rows, "vec_id bigint, audio binary"), lambda v: v, key="vec_id", column="audio").collect()}
-    assert [m["id"] for m in got[0]] == list(range(1, 24)) and [m["rank"] for m in got[0]] == list(range(1, 24))
+def test_copies_are_one_match_with_their_number(spark):
+    x, y = ch.encode(song(1, 4)), ch.encode(song(8, 4))
+    rows = [(i, x) for i in range(24)] + [(30, y), (50, y)]
+    got = ch.identify(spark.createDataFrame(rows, "vec_id bigint, audio binary"), lambda v: v, key="vec_id", column="audio")
+    assert [x[:2] for x in found(got, 50)[0]] == [(0, 23)] and [x[:2] for x in found(got, 50)[50]] == [(30, 1)]
+
+
+def test_a_long_recording(spark):
+    x = song(2, 240)
+    rows = [(0, ch.encode(x)), (1, ch.encode(x[100 * ch.HOP : 300 * ch.HOP]))]
+    got = found(ch.identify(spark.createDataFrame(rows, "vec_id bigint, audio binary"), lambda v: v, key="vec_id", column="audio"), 50)
+    assert [x[:3] for x in got[0]] == [(1, 1, 100)]
