@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from litmill.functions import text as T
 from litmill.operators import coding
 from litmill.operators.relations import absent
-from litmill.sources.services import _element, _elements, inner_text
 
 # Words that a text needs to count as one, and outcomes that need a person.
 LEAST_WORDS = 250
@@ -51,18 +52,31 @@ def fetch_missing(candidates: DataFrame, cache: DataFrame, client: Callable[[str
     return wanted.repartition(workers).mapInPandas(run, "pmcid string, xml string, error string")
 
 
-def article_text(xml: Column) -> Column:
-    """Title, then each section's title and text; the whole body where there are no sections."""
-    body = _element(xml, "body")
-    title = inner_text(_element(xml, "article-title"))
+def _joined(node: ElementTree.Element | None) -> str:
+    return "" if node is None else " ".join(t.strip() for t in node.itertext() if t.strip())
+
+
+def _article(xml: str | None) -> str | None:
+    try:
+        root = ElementTree.fromstring(xml or "")
+    except ElementTree.ParseError:
+        return None
+    body = root.find(".//body")
+    parts = [_joined(root.find(".//article-title"))]
+    for section in body.iter("sec") if body is not None else ():
+        title, whole = _joined(section.find("title")), _joined(section)
+        parts.append(f"{title}\n{whole}" if title else whole)
+    return "\n\n".join(p for p in parts if p) or _joined(body)
 
-    def section(s: Column) -> Column:
-        head = inner_text(_element(s, "title"))
-        return F.when(head != "", F.concat(head, F.lit("\n"), inner_text(s))).otherwise(inner_text(s))
 
-    parts = F.concat(F.array(title), F.transform(_elements(body, "sec"), section))
-    kept = F.filter(parts, lambda p: p != "")
-    return F.when(F.size(kept) > 0, F.array_join(kept, "\n\n")).otherwise(inner_text(body))
+def _articles(xml: pd.Series) -> pd.Series:
+    return xml.map(_article)
+
+
+def article_text(xml: Column) -> Column:
+    """Title, then each section's title and text, sections inside others again by themselves; the whole body where there
+    are none. Null for what is no XML. Sections nest, which patterns can't follow, so a parser reads them in Arrow batches."""
+    return F.pandas_udf(_articles, StringType())(xml)
 
 
 def status(pmcid: Column, wanted: Column, cached: Column, text: Column, least: int = LEAST_WORDS) -> Column:

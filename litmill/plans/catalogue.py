@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from litmill.functions import text as T
-from litmill.operators import agreement, coding, dedupe, enrich, frequency, landscape, sampling, semantic
+from litmill.operators import agreement, coding, dedupe, enrich, frequency, fulltext, landscape, sampling, semantic
 from litmill.operators import relations as R
 from litmill.operators import vocabulary as V
 from litmill.operators.rules import Rule, RuleSet, has, rule_table
@@ -619,3 +619,140 @@ def enrich_repair(spark, sf):
 def revenue_rollup(spark, sf):
     li = table(spark, sf, "lineitem").join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return li.rollup("r_name", "n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))
+
+
+#: A text in plain letters, for building payloads of documents.
+PLAIN = "trim(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g'))"
+
+
+def plain(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", "source", F.trim(F.regexp_replace("text", "[^A-Za-z0-9]+", " ")).alias("t"))
+
+
+@query(f"""SELECT doc_id, 'Of ' || doc_id || chr(10) || chr(10) || 'One' || chr(10) || concat_ws(' ', 'One', nullif(t, ''), 'Two', 'é<', nullif(t, ''), 'end') || chr(10) || chr(10) || 'Two' || chr(10) || concat_ws(' ', 'Two', 'é<', nullif(t, ''))
+  || chr(10) || chr(10) || 'three' AS body FROM (SELECT doc_id, {PLAIN} AS t FROM documents)""")
+def fulltext_sections(spark, sf):
+    """Sections inside sections, characters by number, a section without a title."""
+    t = F.col("t")
+    xml = F.concat(F.lit("<a><front><article-title>Of <b>"), F.col("doc_id").cast("string"), F.lit("</b></article-title></front><body><sec><title>One</title><p>"), t, F.lit("</p><sec><title>Two</title><p>&#233;&lt; <i/>"), t, F.lit("</p></sec><p>end</p></sec><sec><p>three</p></sec></body></a>"))
+    xml = F.regexp_replace(xml, "&lt; <i/>", "&lt;<i/>")
+    return plain(spark, sf).select("doc_id", fulltext.article_text(xml).alias("body"))
+
+
+@query(f"""SELECT 'pubmed_' || doc_id AS record_id, concat_ws(' ', nullif(t, ''), 'é & &#65; €') AS title, concat_ws(chr(10), CASE WHEN t <> '' THEN 'BODY: ' || t END, 'End.') AS abstract, CAST(2000 + doc_id % 25 AS INTEGER) AS year, 'Ann Dee | ' || source AS authors
+  FROM (SELECT doc_id, source, {PLAIN} AS t FROM documents)""")
+def pubmed_articles(spark, sf):
+    """An article for each document: empty elements that close themselves, labels, characters by number."""
+    def text(*parts):
+        return F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+
+    t = F.col("t")
+    xml = text(
+        "<Set><PubmedArticle><MedlineCitation><PMID>", F.col("doc_id").cast("string"), "</PMID><Article><Journal><JournalIssue><PubDate><Year>", (2000 + F.col("doc_id") % 25).cast("string"),
+        "</Year></PubDate></JournalIssue></Journal><ArticleTitle>", t, " &#xE9; &amp; &amp;#65; &#8364;</ArticleTitle><Abstract><AbstractText Label=\"AIM\"/><AbstractText Label=\"BODY\">", t,
+        "</AbstractText><AbstractText>End.</AbstractText></Abstract><AuthorList><Author><LastName>Dee</LastName><ForeName>Ann</ForeName></Author><Author><CollectiveName>", F.col("source"),
+        "</CollectiveName></Author></AuthorList></Article></MedlineCitation><PubmedData/></PubmedArticle></Set>",
+    )
+    got = services.parse_pubmed(services.articles(plain(spark, sf).select(xml.alias("payload"))))
+    return got.select("record_id", "title", "abstract", "year", T.packed(F.col("authors")).alias("authors"))
+
+
+@query("""SELECT CASE WHEN p_partkey % 3 = 0 THEN 'wos_' || p_partkey || '_1' ELSE 'WOS:' || p_partkey END AS record_id, p_name AS title, p_brand AS journal, CAST(1990 + p_size AS INTEGER) AS year,
+  'A, ' || p_brand || ' | B' AS authors, 2 AS author_count, 'A, ' || p_brand AS first_author, '10.1/' || p_partkey AS doi FROM part""")
+def wos_parse(spark, sf):
+    author = lambda d, w, f: F.struct(d.alias("displayName"), w.alias("wosStandard"), f.alias("fullName"))
+    none, empty = F.lit(None).cast("string"), F.lit("")
+    title = F.when(F.col("p_partkey") % 2 == 0, F.to_json(F.struct(F.col("p_name").alias("value")))).otherwise(F.col("p_name"))
+    hit = F.struct(
+        F.when(F.col("p_partkey") % 3 > 0, F.concat(F.lit("WOS:"), F.col("p_partkey").cast("string"))).alias("uid"), title.alias("title"),
+        F.struct(F.concat(F.lit("10.1/"), F.col("p_partkey").cast("string")).alias("doi")).alias("identifiers"),
+        F.struct(F.array(author(F.concat(F.lit("A, "), F.col("p_brand")), none, none), author(empty, F.lit("B"), none), author(empty, empty, none)).alias("authors")).alias("names"),
+        F.struct(F.col("p_brand").alias("sourceTitle"), (1990 + F.col("p_size")).cast("string").alias("publishYear")).alias("source"),
+    )
+    pages = table(spark, sf, "part").select(F.col("p_partkey").alias("page"), F.to_json(F.struct(F.array(hit).alias("hits"))).alias("payload"))
+    return services.parse_wos(pages).select("record_id", "title", "journal", "year", T.packed(F.col("authors")).alias("authors"), "author_count", "first_author", "doi")
+
+
+@query("""SELECT CASE WHEN p_partkey % 3 = 0 THEN 'psycinfo_' || p_partkey || '_1' ELSE 'E' || p_partkey END AS record_id, p_name AS title, p_type AS abstract, CAST(1990 + p_size AS INTEGER) AS year, p_brand AS authors FROM part""")
+def eds_parse(spark, sf):
+    title = lambda kind, t: F.struct(F.lit(kind).alias("Type"), t.alias("TitleFull"))
+    bib = F.struct(
+        F.when(F.col("p_partkey") % 2 == 0, F.array(title("other", F.lit("x")), title("main", F.col("p_name")))).otherwise(F.array(title("other", F.col("p_name")))).alias("Titles"),
+        F.array(F.struct(F.struct(F.lit("").alias("NameFull"), F.col("p_brand").alias("Y1")).alias("Name"))).alias("Authors"), (1990 + F.col("p_size")).cast("string").alias("PublicationYear"),
+    )
+    info = F.struct(F.when(F.col("p_partkey") % 3 > 0, F.concat(F.lit("E"), F.col("p_partkey").cast("string"))).alias("RecordID"), F.struct(bib.alias("BibEntity")).alias("BibRecord"))
+    item = lambda name, data: F.struct(F.lit(name).alias("Name"), data.alias("Data"))
+    record = F.struct(info.alias("RecordInfo"), F.array(item("Title", F.lit("no")), item("Abstract", F.col("p_type"))).alias("Items"))
+    pages = table(spark, sf, "part").select(F.col("p_partkey").alias("page"), F.to_json(F.struct(F.struct(F.struct(F.array(record).alias("Records")).alias("Data")).alias("SearchResult"))).alias("payload"))
+    return services.parse_eds(pages).select("record_id", "title", "abstract", "year", T.packed(F.col("authors")).alias("authors"))
+
+
+@query("""SELECT fulltext_status, count(*) AS n, round_even(coalesce(avg(n), 0), 1) AS mean_word_count, CAST(count(*) FILTER (fulltext_status IN ('manual_retrieval_required', 'pmc_linked_fetch_failed', 'pmc_fulltext_low_content_manual_check')) AS BIGINT) AS manual_retrieval_n FROM (
+  SELECT CASE WHEN doc_id % 5 = 0 THEN 'manual_retrieval_required' WHEN doc_id % 5 = 1 THEN 'pmc_linked_fetch_failed' WHEN n < 250 THEN 'pmc_fulltext_low_content_manual_check' WHEN doc_id % 2 = 0 THEN 'pmc_fulltext_cached' ELSE 'pmc_fulltext_fetched' END AS fulltext_status,
+    CASE WHEN doc_id % 5 <= 1 THEN 0 ELSE n END AS n FROM (SELECT doc_id, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS n FROM documents)) GROUP BY 1""")
+def fulltext_validation(spark, sf):
+    d = table(spark, sf, "documents").withColumn("text", F.when(F.col("doc_id") % 5 > 1, F.col("text")))
+    pmcid = F.when(F.col("doc_id") % 5 > 0, F.concat(F.lit("PMC"), F.col("doc_id").cast("string"))).otherwise("")
+    made = d.select(fulltext.status(pmcid, F.lit(True), F.col("doc_id") % 2 == 0, F.col("text")).alias("fulltext_status"), F.coalesce(T.word_count(F.col("text")), F.lit(0)).alias("fulltext_word_count"))
+    return fulltext.validation(made.withColumn("manual_retrieval_needed", F.when(F.col("fulltext_status").isin(*fulltext.MANUAL), "yes").otherwise("no")))
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'PMC' || c_custkey WHEN 1 THEN 'PMC9' || c_custkey WHEN 2 THEN 'PMC8' || c_custkey ELSE '' END AS pmcid,
+  CASE c_custkey % 4 WHEN 0 THEN 'stage2_existing_pmcid' WHEN 1 THEN 'pubmed_elink' WHEN 2 THEN 'europepmc' ELSE 'none' END AS retrieval_source FROM customer""")
+def resolve_sources(spark, sf):
+    c = table(spark, sf, "customer").select("c_custkey", F.col("c_custkey").cast("string").alias("record_id"), F.col("c_custkey").cast("string").alias("pmid"))
+    own = c.withColumn("pmcid", F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit(" PMC"), "pmid")).when(F.col("c_custkey") % 4 == 1, "").otherwise(F.lit(None)))
+    links = c.where("c_custkey % 4 = 1").select("pmid", F.concat(F.lit("PMC9"), "pmid").alias("linked"))
+    searched = c.where("c_custkey % 4 >= 2").select("record_id", F.when(F.col("c_custkey") % 4 == 2, F.concat(F.lit("PMC8"), "pmid")).otherwise("none").alias("found"))
+    return fulltext.resolve(own, links, searched).select("c_custkey", "pmcid", "retrieval_source")
+
+
+@query("""SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'Anon.' WHEN 1 THEN s_name WHEN 2 THEN s_name || ' & Bo' ELSE s_name || ' et al.' END AS label, CASE s_suppkey % 3 WHEN 0 THEN 9999 WHEN 1 THEN 2020 ELSE 1999 END AS year,
+  CASE s_suppkey % 4 WHEN 0 THEN '---' WHEN 1 THEN 'B' WHEN 2 THEN 'P, S' ELSE 'B, P, S' END AS cell, CASE WHEN s_suppkey % 2 = 0 THEN 'https://doi.org/10.1/x' ELSE '' END AS doi_url, CASE WHEN s_suppkey % 2 = 0 AND s_suppkey > 0 THEN 'https://pubmed.ncbi.nlm.nih.gov/' || s_suppkey || '/' ELSE '' END AS pmid_url FROM supplier""")
+def citation_labels(spark, sf):
+    k, name = F.col("s_suppkey"), F.col("s_name")
+    authors = F.when(k % 4 == 0, " | ").when(k % 4 == 1, F.concat(F.lit("Ann B. "), name)).when(k % 4 == 2, F.concat(name, F.lit(", A | Cy  Bo"))).otherwise(F.concat(name, F.lit(", A|B|C")))
+    yes = lambda test: F.when(test, " Yes").otherwise("no")
+    year = F.when(k % 3 == 1, "2020.0").when(k % 3 == 0, "n.d.").otherwise("x")
+    own = table(spark, sf, "supplier").withColumn("year", F.when(k % 3 == 2, "1999").otherwise(year))
+    cell = T.domain_cell(yes(k % 2 == 1), yes(k % 4 >= 2), yes(k % 4 >= 2))
+    return own.select(
+        "s_suppkey", T.author_label(authors).alias("label"), T.sort_year(k.cast("string"), F.col("year")).alias("year"), cell.alias("cell"),
+        T.doi_url(F.when(k % 2 == 0, " 10.1/x")).alias("doi_url"), T.pmid_url(F.when(k % 2 == 0, F.concat(k.cast("string"), F.lit(".0"))).otherwise("-3")).alias("pmid_url"),
+    )
+
+
+@query("SELECT n_name, n, round(n / max(n) OVER (PARTITION BY r), 9) AS relative, round(90 + 360.0 * coalesce(sum(n) OVER (ORDER BY n_name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(n) OVER (), 6) AS start_angle FROM (SELECT n_name, n_regionkey AS r, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2)")
+def profile_angles(spark, sf):
+    n = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name", F.col("n_regionkey").alias("r")).agg(F.count("*").alias("n"))
+    shares = n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    drawn = frequency.sweep(shares.withColumn("relative", frequency.relative_to_largest("n", "r")), "n_name", "share")
+    return drawn.select("n_name", "n", F.round("relative", 9).alias("relative"), F.round("start_angle", 6).alias("start_angle"))
+
+
+@query("SELECT round(sum(n) FILTER (k <= 3) / sum(n), 9) AS share FROM (SELECT n, row_number() OVER (ORDER BY n DESC) AS k FROM (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1))")
+def top_three_share(spark, sf):
+    n = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"))
+    return n.agg(F.round(frequency.top_share(n), 9).alias("share"))
+
+
+@query("WITH g AS (SELECT -0.5 + i / 39.0 AS v FROM range(40) t(i)) SELECT round(a.v, 6) AS gx, round(b.v, 6) AS gy, round(avg(exp(-((x - a.v) ** 2 + (y - b.v) ** 2) / 0.18)) / (2 * pi() * 0.09), 6) AS density FROM g a, g b, (SELECT CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings) GROUP BY 1, 2")
+def density_grid(spark, sf):
+    d = landscape.density(table(spark, sf, "embeddings"), F.col("embedding")[0].cast("double"), F.col("embedding")[1].cast("double"), low=-0.5, high=0.5)
+    return d.select(*(F.round(c, 6).alias(c) for c in ("gx", "gy", "density")))
+
+
+@query("""SELECT vec_id, CASE WHEN top - second < 0.05 THEN 'balanced' WHEN a = top THEN 'bio-dominant' WHEN b = top THEN 'psych-dominant' ELSE 'social-dominant' END AS balance FROM (
+  SELECT *, greatest(a, b, c) AS top, a + b + c - greatest(a, b, c) - least(a, b, c) AS second FROM (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CAST(embedding[3] AS DOUBLE) AS c FROM embeddings))""")
+def domain_balance(spark, sf):
+    a, b, c = (F.col("embedding")[i].cast("double") for i in range(3))
+    return table(spark, sf, "embeddings").select("vec_id", coding.balance(a, b, c).alias("balance"))
+
+
+@query("""SELECT doc_id, CASE WHEN t AND a THEN 'title and abstract' WHEN t THEN 'title only' WHEN a THEN 'abstract only' ELSE 'unclear' END AS location, labels FROM (
+  SELECT doc_id, doc_id % 3 = 0 AS t, doc_id % 2 = 0 AS a, CASE WHEN doc_id % 2 = 0 THEN 'a b | c' ELSE 'c' END AS labels FROM documents)""")
+def mention_location(spark, sf):
+    d, named = table(spark, sf, "documents"), F.lit(" A BioPsychoSocial view")
+    put = lambda test: F.when(test, F.concat("source", named)).otherwise(F.col("source"))
+    lists = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit(" A  b"), F.lit("C"), F.lit(""), F.lit("a b"))).otherwise(F.array(F.lit("c "), F.lit("C")))
+    return d.select("doc_id", T.bps_location(put(F.col("doc_id") % 3 == 0), put(F.col("doc_id") % 2 == 0)).alias("location"), T.packed(T.normal_list(lists)).alias("labels"))

@@ -83,9 +83,22 @@ def page_requests(total: int, size: int, most: int | None = None, **fixed) -> li
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"))
 
 
+def _numbered(text: Column) -> Column:
+    """Characters in place of their numbers, decimal or hexadecimal."""
+
+    def one(piece: Column) -> Column:
+        code = F.regexp_extract(piece, r"^([0-9]{1,7}|x[0-9A-Fa-f]{1,6});", 1)
+        number = F.when(code.startswith("x"), F.substring(code, 2, 6)).otherwise(F.hex(code.try_cast("bigint")))
+        character = F.decode(F.unhex(F.lpad(number, 8, "0")), "UTF-32")
+        return F.when(code == "", F.concat(F.lit("&#"), piece)).otherwise(F.concat(character, piece.substr(F.length(code) + 2, F.length(piece))))
+
+    pieces = F.split(text, "&#")
+    return F.when(F.contains(text, F.lit("&#")), F.concat(F.get(pieces, 0), F.array_join(F.transform(F.slice(pieces, 2, F.size(pieces)), one), ""))).otherwise(text)
+
+
 def inner_text(xml: Column) -> Column:
     """Text of a fragment with its tags gone."""
-    t = F.regexp_replace(T.blank(xml), r"<[^>]*>", " ")
+    t = _numbered(F.regexp_replace(T.blank(xml), r"<[^>]*>", " "))
     for name, sign in ENTITIES:
         t = F.replace(t, F.lit(name), F.lit(sign))
     return T.squeeze(t)
@@ -93,11 +106,11 @@ def inner_text(xml: Column) -> Column:
 
 def _element(xml: Column, name: str) -> Column:
     """Inner XML of the first element of a name."""
-    return F.regexp_extract(xml, rf"(?s)<{name}(?:\s[^>]*)?>(.*?)</{name}>", 1)
+    return F.regexp_extract(xml, rf"(?s)<{name}(?:\s[^>]*)?(?<!/)>(.*?)</{name}>", 1)
 
 
 def _elements(xml: Column, name: str) -> Column:
-    return F.regexp_extract_all(xml, F.lit(rf"(?s)(<{name}(?:\s[^>]*)?>.*?</{name}>)"), F.lit(1))
+    return F.regexp_extract_all(xml, F.lit(rf"(?s)(<{name}(?:\s[^>]*)?(?<!/)>.*?</{name}>)"), F.lit(1))
 
 
 def _texts(xml: Column, name: str) -> Column:
