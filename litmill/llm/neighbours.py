@@ -12,8 +12,8 @@ held in blocks of about BLOCK rows, by a hash, so one value that very many rows
 first searches the cell it falls in, which bounds its k-th distance, and then the cells that the test doesn't rule out.
 Within a block the lower part of the tree leads the search. Queries meet blocks in parts of QUERIES.
 
-Vectors that are null, zero, hold nulls or non-finite components, or have another length than most, take no part, nor do
-null ids. Of rows with one id, one is the query; none is its own neighbour. Ties go to the smaller id; equal vectors get
+Vectors that are null, zero, or hold nulls or non-finite components take no part, nor do null ids. A vector that is shorter
+than the longest counts as if zeros followed. Of rows with one id, one is the query; none is its own neighbour. Ties go to the smaller id; equal vectors get
 equal products. Empty tables give empty results. Other columns are left out.
 """
 
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from litmill.llm._base import materialise, table
+from litmill.llm._base import DOCS_A_FILE, materialise, table
 
 DIMS, SURE, SEED = 8, 0.97, 11
 BLOCK, LEAF, QUERIES, SAMPLE, CELLS = 8192, 128, 16_384, 20_000, 2_048
@@ -162,8 +162,8 @@ def _usable(vectors: DataFrame, key: str, vector: str) -> tuple[DataFrame, int]:
     rows = vectors.select(F.col(key).alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
     odd = F.exists("v", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
     rows = rows.where(~odd & F.exists("v", lambda e: e != 0))
-    top = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return (rows.where(F.size("v") == top["n"]) if top else rows), (top["n"] if top else 0)
+    longest = rows.agg(F.max(F.size("v"))).first()[0] or 0
+    return rows.withColumn("v", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(longest) - F.size("v")))), longest
 
 
 def nearest(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 20, block: int = BLOCK) -> DataFrame:
@@ -191,7 +191,7 @@ def nearest(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at), pa.array(home), pa.array(list(points), pa.list_(pa.float64()))], names=["id", "v", "cell", "home", "p"])
 
     kind = dict(vectors.dtypes)[key]
-    placed = materialise(rows.mapInArrow(place, f"id {kind}, v array<double>, cell bigint, home bigint, p array<double>"))
+    placed = materialise(rows.mapInArrow(place, f"id {kind}, v array<double>, cell bigint, home bigint, p array<double>"), n, DOCS_A_FILE)
     sides = [f(F.col("p")[d]).alias(f"{name}{d}") for name, f in (("l", F.min), ("h", F.max)) for d in range(DIMS)]
     boxes = placed.groupBy("cell").agg(F.count("*").alias("n"), *sides).collect()  # CELLS rows at most
     parts = {r["cell"]: max(1, math.ceil(r["n"] / block)) for r in boxes}
@@ -225,7 +225,7 @@ def nearest(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding
         keys = ["cell", "block", "part"]
         return held.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(pair, schema)
 
-    near = materialise(run(queries.where(F.col("home").isin(list(parts))).select("id", "v", F.col("home").alias("cell"), F.lit(float("inf")).alias("reach"))))
+    near = materialise(run(queries.where(F.col("home").isin(list(parts))).select("id", "v", F.col("home").alias("cell"), F.lit(float("inf")).alias("reach"))), k * n_queries)
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     kth = near.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("least"))
     cells = np.array([r["cell"] for r in boxes], np.int64)

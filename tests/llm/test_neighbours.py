@@ -67,3 +67,8 @@ def test_what_takes_no_part_and_few_candidates(spark):
     assert got(nn.nearest(df)) == {0: [(-5.0, 7), (-5.0, 8), (-5.0, 8), (0.0, 20)], 20: [(0.0, 0), (0.0, 7), (0.0, 8), (0.0, 8)]}
     assert nn.nearest(df.where(F.lit(False))).count() == 0
     assert nn.nearest(df.where("vec_id = 0")).count() == 0
+
+
+def test_shorter_vectors_count_as_if_zeros_followed(spark):
+    rows = [(0, [1.0, 2.0], 1, ""), (1, [3.0], 1, ""), (20, [2.0, -1.0, 4.0], 1, "")]
+    assert got(nn.nearest(spark.createDataFrame(rows, SCHEMA))) == {0: [(-3.0, 1), (0.0, 20)], 20: [(-6.0, 1), (0.0, 0)]}
