@@ -64,7 +64,7 @@ def _arrow(kind) -> pa.DataType:
 
 
 #: Rows to a file, of a few numbers each, and documents to a task that reads or makes them.
-ROWS_A_FILE, DOCS_A_FILE = 100_000, 10_000
+ROWS_A_FILE, DOCS_A_FILE = 100_000, 20_000
 
 
 def _few_files(df: DataFrame, most: int | None, a_file: int) -> DataFrame:
