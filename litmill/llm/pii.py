@@ -160,13 +160,18 @@ _DOT_WORDS = ("dot", "punkt", "punto", "point")
 _SPELLING = dict.fromkeys(DIGIT_OF, 1) | dict.fromkeys(_DOT_WORDS, 2)
 #: A digit word beside another one, a word for the dot, or a number.
 _BESIDE = re.compile(b"\x01[\x01\x02\x03]|[\x02\x03]\x01")
-_JOINS = str.maketrans("-,.()+", "      ")
+_JOINS = "-,.()+"
 _AT_GAP = re.compile(r"@\s")
 
 
 def _may_spell(low: str) -> bool:
     """Whether a digit word stands beside what it can be read with."""
-    return _BESIDE.search(bytes(_SPELLING.get(w) or 3 * ("0" <= w[0] <= "9") for w in low.translate(_JOINS).split())) is not None
+    for c in _JOINS:
+        low = low.replace(c, " ")
+    words = low.split()
+    if not any(map(DIGIT_OF.__contains__, words)):
+        return False
+    return _BESIDE.search(bytes(_SPELLING.get(w) or 3 * ("0" <= w[0] <= "9") for w in words)) is not None
 
 
 def _may_hide(t: str, low: str) -> bool:
