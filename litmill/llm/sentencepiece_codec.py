@@ -31,7 +31,7 @@ class Codec:
     """Encodes and decodes as the library does for a BPE model with byte fallback and the identity normaliser."""
 
     #: Chunks and pairs to remember, and the longest of the chunks, in characters.
-    REMEMBER, PAIRS, LONGEST = 170_000, 90_000, 40
+    REMEMBER, PAIRS, LONGEST = 170_000, 180_000, 40
 
     def __init__(self, model_path: str):
         import ahocorasick
@@ -74,8 +74,10 @@ class Codec:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _compatible(self, pair: tuple[int, int]) -> bool:
-        a, b = self.pieces[pair[0]], self.pieces[pair[1]]
+    def _compatible(self, pair: int) -> bool:
+        """pair: the first id times the size of the vocabulary, plus the second."""
+        left, right = divmod(pair, len(self.pieces))
+        a, b = self.pieces[left], self.pieces[right]
         return self._merged(a + b) == [a, b]
 
     def _entry(self, chunk: str) -> str:
@@ -90,14 +92,14 @@ class Codec:
         """Ids of a string that starts with the marks of its spaces."""
         n = len(text)
         last = [-1] * (n + 1)  # -1: the prefix ends in a character that the vocabulary doesn't have
-        pairs, sizes = self.pairs, self.sizes
+        pairs, sizes, all_ = self.pairs, self.sizes, len(self.pieces)
         for end, (length, token) in self.automaton.iter(text):
             end += 1
             if last[end] < 0:
                 before = end - length
                 left = last[before] if before else -1
                 # Under 0: the text's start, or a character outside the vocabulary, which never merges.
-                if left < 0 or pairs[left, token]:
+                if left < 0 or pairs[left * all_ + token]:
                     last[end] = token
         ids: list[int] = []
         at = n
