@@ -508,11 +508,13 @@ def tfidf_terms(spark, sf):
     return w.select("item_id", "term", F.round("weight", 6).alias("weight"))
 
 
-@query("WITH " + _TFIDF.format(key="item_id", text="text", table="benchmark") + " SELECT a.id AS item_id, b.id AS anchor, round(sum(a.weight * b.weight), 6) AS cosine FROM w a JOIN w b ON a.term = b.term WHERE b.id % 10 = 0 GROUP BY 1, 2")
+@query("WITH " + _TFIDF.format(key="id", text="text", table="(SELECT 'd' || doc_id AS id, text FROM documents UNION ALL SELECT 'b' || item_id, text FROM benchmark)") + " SELECT a.id AS id, b.id AS anchor, round(sum(a.weight * b.weight), 6) AS cosine FROM w a JOIN w b ON a.term = b.term WHERE a.id LIKE 'd%' AND b.id LIKE 'b%' GROUP BY 1, 2")
 def tfidf_cosine(spark, sf):
-    w = semantic.tfidf(table(spark, sf, "benchmark"), key="item_id", text="text", pattern="[a-z]{2,}")
-    a = w.where("item_id % 10 = 0").withColumnRenamed("item_id", "a_id")
-    return semantic.tfidf_cosines(w, a, key="item_id", anchor_key="a_id").select("item_id", "anchor", F.round("cosine", 6).alias("cosine"))
+    """All documents against all benchmark items, weighed over both."""
+    named = lambda table_, letter, key: table(spark, sf, table_).select(F.concat(F.lit(letter), F.col(key).cast("string")).alias("id"), "text")
+    w = semantic.tfidf(named("documents", "d", "doc_id").unionByName(named("benchmark", "b", "item_id")), key="id", text="text", pattern="[a-z]{2,}")
+    a = w.where(F.col("id").startswith("b")).withColumnRenamed("id", "a_id")
+    return semantic.tfidf_cosines(w.where(F.col("id").startswith("d")), a, key="id", anchor_key="a_id").select("id", "anchor", F.round("cosine", 6).alias("cosine"))
 
 
 @query()
