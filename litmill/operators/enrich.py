@@ -17,6 +17,7 @@ from litmill.functions import text as T
 from litmill.operators import coding
 from litmill.operators import vocabulary as V
 from litmill.operators.relations import latest, require_same_keys
+from litmill.operators.settled import settled
 from litmill.sources.services import with_retries
 
 Enricher = Callable[[list[dict]], str]
@@ -121,7 +122,8 @@ def code(base: DataFrame, enricher: Enricher | None = None, *, batch: int = BATC
     if enricher is None:
         return coding.code_by_rules(base), None
     fields = [c for c in ("record_id", "title", "abstract", "publication_types", "journal", "year") if c in base.columns]
-    asked = ask(base, enricher, fields, batch=batch, workers=workers).persist()
+    # Requests cost and may be answered otherwise the next time, so answers are written before they are used.
+    asked = settled(ask(base, enricher, fields, batch=batch, workers=workers))
     coded = repair(base, answers(asked))
     require_same_keys(base, coded, "record_id")
     log = asked.select(F.size("keys").alias("records"), "keys", F.when(F.col("error").isNull(), "ok").otherwise("failed").alias("status"), "error")

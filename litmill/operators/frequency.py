@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from litmill.operators.settled import settled
+
 
 #: Columns that a crosstab may have.
 MOST_COLUMNS = 10_000
@@ -74,10 +77,41 @@ def top_crosstab(df: DataFrame, rows: str, columns: str, k: int = 8) -> DataFram
 
 
 def summary(df: DataFrame, column: str, *keys: str, at: Sequence[float] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
-    """Number, sum, mean, extremes and quantiles (linear between values)."""
+    """Number, sum, mean, extremes and quantiles (linear between values), a row a group."""
     c = F.col(column)
-    marks = [F.percentile(c, F.lit(p)).alias(f"p{int(round(p * 100)):02d}") for p in at]
-    return df.groupBy(*keys).agg(F.count(c).alias("n"), F.sum(c).alias("total"), F.avg(c).alias("mean"), F.min(c).alias("least"), F.max(c).alias("most"), *marks)
+    plain = df.groupBy(*keys).agg(F.count(c).alias("n"), F.sum(c).alias("total"), F.avg(c).alias("mean"), F.min(c).alias("least"), F.max(c).alias("most"))
+    marks = quantiles(df, column, *keys, at=at)
+    names = [f"p{int(round(p * 100)):02d}" for p in at]
+    if not keys:
+        return plain.join(marks, F.lit(True), "left").select(*plain.columns, *names)  # one row each
+    marks = marks.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys))
+    return plain.join(marks, same, "left").select(*plain.columns, *names)
+
+
+def quantiles(df: DataFrame, column: str, *keys: str, at: Sequence[float]) -> DataFrame:
+    """Exact quantiles, linear between values, of the groups that have values: the keys, then p and the percent.
+
+    No task holds a group: equal values are counted first, the distinct ones are range-partitioned, and the sums of the
+    ranges tell which of them hold the wanted places. Only those are summed value by value.
+    """
+    names = [f"p{int(round(p * 100)):02d}" for p in at]
+    counts = df.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    placed = settled(counts.repartitionByRange(*keys, "_v").withColumn("_part", F.spark_partition_id()))
+    group = Window.partitionBy(*keys) if keys else Window.partitionBy()
+    upto = F.sum("_in").over(group.orderBy("_part"))
+    ranges = placed.groupBy(*keys, "_part").agg(F.sum("_n").alias("_in"))
+    ranges = ranges.withColumns({"_before": upto - F.col("_in"), "_all": F.sum("_in").over(group)})
+    # A quantile lies between the values at two places, weighed by how near they are.
+    x = [F.lit(float(p)) * (F.col("_all") - 1) for p in at]
+    wanted = [F.struct(F.lit(i).alias("i"), edge(p).cast("bigint").alias("place"), weight.alias("w")) for i, p in enumerate(x) for edge, weight in ((F.floor, F.lit(1.0) - (p - F.floor(p))), (lambda p: F.floor(p) + 1, p - F.floor(p)))]
+    held = F.filter(F.array(*wanted), lambda s: (s["w"] > 0) & (s["place"] >= F.col("_before")) & (s["place"] < F.col("_before") + F.col("_in")))
+    ranges = ranges.select(*(F.col(k).alias(f"_of_{k}") for k in keys), F.col("_part").alias("_range"), "_before", held.alias("_held")).where(F.size("_held") > 0)
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys), F.col("_part") == F.col("_range"))
+    run = F.col("_before") + F.sum("_n").over(Window.partitionBy(*keys, "_part").orderBy("_v"))
+    here = placed.join(ranges, same).withColumn("_upto", run)
+    hits = here.select(*keys, "_v", F.explode(F.filter("_held", lambda s: (s["place"] < F.col("_upto")) & (s["place"] >= F.col("_upto") - F.col("_n")))).alias("_h"))
+    return hits.groupBy(*keys).agg(*(F.sum(F.when(F.col("_h.i") == i, F.col("_v") * F.col("_h.w"))).alias(name) for i, name in enumerate(names)))
 
 
 def mass_by(df: DataFrame, key: str, mass: str, order: DataFrame) -> DataFrame:
@@ -109,15 +143,15 @@ def top_per_group(df: DataFrame, key: str, k: int, *order: Column) -> DataFrame:
 def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
     """A running number over all rows in an order that ends in something unique.
 
-    One task would have to count all rows otherwise: rows are range-partitioned by the order, and each range starts at
-    the number of rows in the ranges before it.
+    One task would have to count all rows otherwise: rows are range-partitioned by the order and written with their place
+    in their range, and each range starts at the number of rows in the ranges before it. Rows move once.
     """
-    spread = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = spread.withColumn("_part", F.spark_partition_id())
-    local = placed.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    sizes = placed.groupBy("_part").agg(F.count("*").alias("_size"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_size")
-    return local.join(before, "_part").withColumn(name, (F.col("_before") + F.col("_in")).cast("bigint")).drop("_part", "_in", "_before")
+    placed = settled(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part, within = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_size"))
+    before = sizes.select("_part", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_before"))
+    # A row a range, so as few as there were tasks.
+    return placed.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + within + 1).drop("_part", "_at", "_before")
 
 
 def rolling_mean(counts: DataFrame, order: str, value: str, *, each_side: int = 1) -> DataFrame:

@@ -19,18 +19,25 @@ LEAST_WORDS = 250
 MANUAL = ("manual_retrieval_required", "pmc_linked_fetch_failed", "pmc_fulltext_low_content_manual_check")
 
 
+def _last(rows: DataFrame, key: str, **columns: str) -> DataFrame:
+    """A row a key: the last by ``ord`` if the rows have it, and of those the greatest, so that reruns agree."""
+    order = [F.col("ord")] if "ord" in rows.columns else []
+    best = F.max(F.struct(*order, *(F.col(c) for c in columns))).alias("_best")
+    return rows.groupBy(key).agg(best).select(key, *(F.col(f"_best.{c}").alias(name) for c, name in columns.items()))
+
+
 def resolve(candidates: DataFrame, links: DataFrame | None = None, searched: DataFrame | None = None) -> DataFrame:
     """Adds pmcid and retrieval_source: the record's own id, or that of a link by pmid, or of a search by record.
 
-    links: pmid, linked; searched: record_id, found.
+    links: pmid, linked; searched: record_id, found; of several for one key the last counts, by ord if there is one.
     """
     out = candidates
     own, linked, found = F.when(T.strip(T.blank(F.col("pmcid"))) != "", T.strip(F.col("pmcid"))), F.lit(None).cast("string"), F.lit(None).cast("string")
     if links is not None:
-        out = out.join(links.select("pmid", F.col("linked").alias("_linked")).dropDuplicates(["pmid"]), "pmid", "left")
+        out = out.join(_last(links, "pmid", linked="_linked"), "pmid", "left")
         linked = F.when(F.col("_linked") != "", F.col("_linked"))
     if searched is not None:
-        out = out.join(searched.select("record_id", F.col("found").alias("_found")).dropDuplicates(["record_id"]), "record_id", "left")
+        out = out.join(_last(searched, "record_id", found="_found"), "record_id", "left")
         found = F.when(F.col("_found").startswith("PMC"), F.col("_found"))
     source = F.when(own.isNotNull(), "stage2_existing_pmcid").when(linked.isNotNull(), "pubmed_elink").when(found.isNotNull(), "europepmc").otherwise("none")
     return out.withColumns({"retrieval_source": source, "pmcid": F.coalesce(own, linked, found, F.lit(""))}).drop("_linked", "_found")
@@ -94,7 +101,7 @@ def status(pmcid: Column, wanted: Column, cached: Column, text: Column, least: i
 
 def manifest(candidates: DataFrame, texts: DataFrame, *, fetched: bool = True) -> DataFrame:
     """candidates: resolved records; texts: pmcid, text, cached. One row a candidate, in the order of work."""
-    j = candidates.join(texts.select("pmcid", "text", "cached").dropDuplicates(["pmcid"]), "pmcid", "left")
+    j = candidates.join(_last(texts, "pmcid", text="text", cached="cached"), "pmcid", "left")
     j = j.withColumn("fulltext_status", status(F.col("pmcid"), F.lit(fetched), F.coalesce("cached", F.lit(False)), F.col("text")))
     need = F.col("fulltext_status").isin(*MANUAL)
     seen = coding.fulltext_relevance(F.col("title"), F.col("abstract"), F.col("review_type"))

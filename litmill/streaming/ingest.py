@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from litmill.functions import text as T
-from litmill.operators.relations import upsert
+from litmill.operators.relations import latest
 from litmill.sources.files import exists
 
+#: The column that says which batch a row came with.
+BATCH = "_batch"
+
 
 def arriving(spark: SparkSession, folder: str, schema: str, kind: str = "parquet") -> DataFrame:
     return spark.readStream.schema(schema).format(kind).load(folder)
@@ -26,28 +32,45 @@ def windowed_counts(events: DataFrame, *, time: str, key: str, size: str = "5 mi
     return events.withWatermark(time, late).groupBy(F.window(time, size), key).agg(F.count("*").alias("n"))
 
 
-def keep_last(spark: SparkSession, target: str, keys: list[str], order: str):
-    """A sink that writes a new version of a table for each batch, in which the last row of a key counts.
+def keep_last(target: str, keys: list[str], order: str, stream: str):
+    """A sink that adds each batch to a table, in which the last row of a key counts; current() reads it.
 
-    Versions are numbered by batch, so a batch that is run again writes the same version; the last is current().
+    A batch writes its own folder, named by stream and number, and no other rows: one that is run again writes the same.
     """
 
     def put(batch: DataFrame, number: int) -> None:
-        before = f"{target}/v{number - 1}"
-        rows = upsert(spark.read.parquet(before), batch, keys, F.col(order)) if number and exists(spark, before) else upsert(batch.limit(0), batch, keys, F.col(order))
-        rows.write.mode("overwrite").parquet(f"{target}/v{number}")
+        latest(batch.withColumn(BATCH, F.lit(number).cast("bigint")), keys, F.col(order)).write.mode("overwrite").parquet(f"{target}/{stream}-{number}")
 
     return put
 
 
 def run_upserts(records: DataFrame, target: str, keys: list[str], order: str, checkpoint: str) -> StreamingQuery:
-    """Takes everything that is there in batches, then stops."""
-    sink = keep_last(records.sparkSession, target, keys, order)
+    """Takes everything that is there in batches, then stops. Streams with other checkpoints add to the same table."""
+    sink = keep_last(target, keys, order, hashlib.sha256(checkpoint.encode()).hexdigest()[:12])
     return records.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current(spark: SparkSession, target: str) -> DataFrame:
-    path = spark._jvm.org.apache.hadoop.fs.Path(target)
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
-    last = max(int(s.getPath().getName()[1:]) for s in found if s.getPath().getName()[1:].isdigit())
-    return spark.read.parquet(f"{target}/v{last}")
+def current(spark: SparkSession, target: str, keys: list[str], order: str) -> DataFrame:
+    """The table: a row a key, the greatest by order, and of equal ones that of the later batch."""
+    return latest(_added(spark, target), keys, F.col(order), F.col(BATCH)).drop(BATCH)
+
+
+def compact(spark: SparkSession, target: str, keys: list[str], order: str) -> None:
+    """Puts all batches so far into one folder. A row is only taken away after it has been written again."""
+    before = [p for p in _folders(spark, target)]
+    made = f"{target}/all-{uuid.uuid4().hex}"
+    latest(_added(spark, target), keys, F.col(order), F.col(BATCH)).write.parquet(made)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    for old in before:
+        path(old).getFileSystem(spark._jsc.hadoopConfiguration()).delete(path(old), True)
+
+
+def _added(spark: SparkSession, target: str) -> DataFrame:
+    return spark.read.option("mergeSchema", "true").parquet(*_folders(spark, target))
+
+
+def _folders(spark: SparkSession, target: str) -> list[str]:
+    """Those that were written to the end."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    system = path(target).getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(str(s.getPath()) for s in system.listStatus(path(target)) if exists(spark, f"{s.getPath()}/_SUCCESS"))

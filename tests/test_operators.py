@@ -200,3 +200,36 @@ def test_every_record_gets_one_decision(spark, sf):
 
     got = coding.screen(catalogue.studies(spark, sf))
     assert got.count() == catalogue.studies(spark, sf).count() and got.where("stage1_decision not in ('include', 'exclude', 'unclear')").count() == 0
+
+
+def test_quantiles_are_exact_and_split_over_ranges(spark):
+    import numpy as np
+
+    values = {"a": [float(i * 7919 % 503) for i in range(503)], "b": [5.0] * 400 + [1.0], None: [2.5], "c": [-1.0, 4.0]}
+    data = [(k, v) for k, vs in values.items() for v in vs] + [("a", None), ("none", None)]
+    df = spark.createDataFrame(data, "k string, v double").repartition(5)
+    at = (0.0, 0.05, 0.5, 0.95, 1.0)
+    got = {r["k"]: r for r in frequency.summary(df, "v", "k", at=at).collect()}
+    assert set(got) == {"a", "b", "c", None, "none"} and got["none"]["n"] == 0 and got["none"]["p50"] is None
+    for k, vs in values.items():
+        assert got[k]["n"] == len(vs)
+        assert np.allclose([got[k][f"p{int(round(p * 100)):02d}"] for p in at], np.quantile(vs, at))
+    whole = frequency.summary(df, "v").first()
+    assert np.isclose(whole["p25"], np.quantile([v for _, v in data if v is not None], 0.25))
+    assert frequency.summary(df.where("false"), "v").first()["p50"] is None
+
+
+def test_ranks_of_a_hot_key_in_ranges(spark):
+    df = spark.range(3000).select(F.col("id"), F.when(F.col("id") % 3 > 0, "hot").otherwise(F.col("id").cast("string")).alias("k"), (F.col("id") * 7919 % 3001).alias("o"))
+    order = [F.desc("o"), F.asc("id")]
+    one, many = (rows(dedupe.ranked(df, "k", "n", order, limit).select("id", "n").orderBy("id")) for limit in (10_000, 100))
+    assert one == many and max(n for _, n in one) == 2000
+
+
+def test_last_of_several_links(spark):
+    from litmill.operators import fulltext
+
+    c = spark.createDataFrame([("r1", "1", ""), ("r2", "2", None)], "record_id string, pmid string, pmcid string")
+    links = spark.createDataFrame([("1", "PMC9", 1), ("1", "PMC2", 2), ("2", "PMC5", 1)], "pmid string, linked string, ord int")
+    assert [r["pmcid"] for r in fulltext.resolve(c, links).orderBy("record_id").collect()] == ["PMC2", "PMC5"]
+    assert [r["pmcid"] for r in fulltext.resolve(c, links.drop("ord")).orderBy("record_id").collect()] == ["PMC9", "PMC5"]

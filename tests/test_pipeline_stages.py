@@ -61,7 +61,13 @@ def test_streams(spark, tmp_path):
     ingest.run_upserts(source, f"{tmp_path}/out", ["doi"], "n", f"{tmp_path}/cp").awaitTermination()
     add("2", [("10.1/a", "A again", 2020, "2026-01-02 00:00:00", 2)])
     ingest.run_upserts(source, f"{tmp_path}/out", ["doi"], "n", f"{tmp_path}/cp").awaitTermination()
-    assert {r["doi"]: r["title"] for r in ingest.current(spark, f"{tmp_path}/out").collect()} == {"10.1/a": "A again", "10.1/b": "B"}
+    assert {r["doi"]: r["title"] for r in ingest.current(spark, f"{tmp_path}/out", ["doi"], "n").collect()} == {"10.1/a": "A again", "10.1/b": "B"}
+    # Another stream adds to the table; what is older than what is there doesn't count.
+    ingest.run_upserts(source, f"{tmp_path}/out", ["doi"], "n", f"{tmp_path}/cp2").awaitTermination()
+    before = sorted(ingest.current(spark, f"{tmp_path}/out", ["doi"], "n").collect())
+    ingest.compact(spark, f"{tmp_path}/out", ["doi"], "n")
+    assert len(ingest._folders(spark, f"{tmp_path}/out")) == 1
+    assert sorted(ingest.current(spark, f"{tmp_path}/out", ["doi"], "n").collect()) == before and len(before) == 2
     for name, df, mode in (("firsts", ingest.first_seen(source, time="seen"), "append"), ("counts", ingest.windowed_counts(source, time="seen", key="doi"), "complete")):
         df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
     assert spark.table("firsts").count() == 2 and spark.table("counts").agg(F.sum("n")).first()[0] == 3
