@@ -29,13 +29,15 @@ def ranked(rows: DataFrame, key: str, name: str, order: list[Column], one_task:
     Keys of over ``one_task`` rows, such as that of all records with neither DOI nor title, are range-partitioned by the
     order; each range of a key starts at the key's rows before it. Both ways give the same numbers.
     """
-    heavy = settled(rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > one_task).select(key))
+    # Hashes are counted, which are short; a key that shares a heavy one's is ranked as one, with the same result.
+    heavy = settled(rows.groupBy(F.xxhash64(key).alias("_heavy")).agg(F.count("*").alias("_n")).where(F.col("_n") > one_task).select("_heavy"))
+    is_heavy = F.xxhash64(key) == F.col("_heavy")
     w = Window.partitionBy(key)
     if heavy.isEmpty():
         return rows.withColumn(name, F.row_number().over(w.orderBy(*order)))
     # At most a heavy key for every ``one_task`` rows, so a few even of billions.
-    light = rows.join(F.broadcast(heavy), key, "left_anti").withColumn(name, F.row_number().over(w.orderBy(*order)))
-    placed = settled(rows.join(F.broadcast(heavy), key, "left_semi").repartitionByRange(F.col(key), *order).withColumn("_part", F.spark_partition_id()))
+    light = rows.join(F.broadcast(heavy), is_heavy, "left_anti").withColumn(name, F.row_number().over(w.orderBy(*order)))
+    placed = settled(rows.join(F.broadcast(heavy), is_heavy, "left_semi").repartitionByRange(F.col(key), *order).withColumn("_part", F.spark_partition_id()))
     sizes = placed.groupBy(key, "_part").agg(F.count("*").alias("_size"))
     before = sizes.select(key, "_part", (F.sum("_size").over(w.orderBy("_part")) - F.col("_size")).alias("_before"))
     within = F.row_number().over(Window.partitionBy(key, "_part").orderBy(*order))

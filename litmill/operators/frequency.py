@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from litmill.operators.settled import settled
 
 
+#: Distinct values to a block, as a power of two, of those among which quantiles are looked for.
+BLOCK_BITS = 12
 #: Columns that a crosstab may have.
 MOST_COLUMNS = 10_000
 
@@ -92,12 +94,12 @@ def summary(df: DataFrame, column: str, *keys: str, at: Sequence[float] = (0.05,
 def quantiles(df: DataFrame, column: str, *keys: str, at: Sequence[float]) -> DataFrame:
     """Exact quantiles, linear between values, of the groups that have values: the keys, then p and the percent.
 
-    No task holds a group: equal values are counted first, the distinct ones are range-partitioned, and the sums of the
-    ranges tell which of them hold the wanted places. Only those are summed value by value.
+    No task holds a group: equal values are counted first, the distinct ones are range-partitioned and sorted, and the
+    sums of blocks of them tell which hold the wanted places. Only those are summed value by value.
     """
     names = [f"p{int(round(p * 100)):02d}" for p in at]
     counts = df.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
-    placed = settled(counts.repartitionByRange(*keys, "_v").withColumn("_part", F.spark_partition_id()))
+    placed = settled(counts.repartitionByRange(*keys, "_v").sortWithinPartitions(*keys, "_v").withColumn("_part", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS)))
     group = Window.partitionBy(*keys) if keys else Window.partitionBy()
     upto = F.sum("_in").over(group.orderBy("_part"))
     ranges = placed.groupBy(*keys, "_part").agg(F.sum("_n").alias("_in"))
