@@ -13,6 +13,8 @@ from pyspark.sql.types import StringType
 from litmill.functions import text as T
 from litmill.operators import coding
 from litmill.operators.relations import absent
+from litmill.operators.settled import settled
+from litmill.sources.services import TRIES, with_retries
 
 # Words that a text needs to count as one, and outcomes that need a person.
 LEAST_WORDS = 250
@@ -43,6 +45,54 @@ def resolve(candidates: DataFrame, links: DataFrame | None = None, searched: Dat
     return out.withColumns({"retrieval_source": source, "pmcid": F.coalesce(own, linked, found, F.lit(""))}).drop("_linked", "_found")
 
 
+LINKS = "linksets array<struct<linksetdbs: array<struct<linkname: string, links: array<string>>>>>"
+RESULTS = "resultList struct<result: array<struct<pmcid: string>>>"
+
+
+def ask(rows: DataFrame, key: str, request: Column, client: Callable[[dict], str], *, workers: int = 4, tries: int = TRIES) -> DataFrame:
+    """key, payload, error: one request a row, a map of strings; written, so that none is asked again by a later use."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for k, r in zip(f["key"], f["request"], strict=True):
+                try:
+                    row = (k, with_retries(client, dict(r), tries=tries), None)
+                except Exception as e:
+                    row = (k, None, f"{type(e).__name__}: {e}")
+                yield pd.DataFrame([row], columns=["key", "payload", "error"])
+
+    wanted = rows.select(F.col(key).alias("key"), request.alias("request")).repartition(workers)
+    return settled(wanted.mapInPandas(run, "key string, payload string, error string")).withColumnRenamed("key", key)
+
+
+def linked(candidates: DataFrame, client: Callable[[dict], str], **how) -> DataFrame:
+    """pmid, linked: the first full text that the links of a record without an own id name."""
+    need = candidates.where((T.strip(T.blank(F.col("pmcid"))) == "") & (T.strip(T.blank(F.col("pmid"))) != "")).select(T.strip(F.col("pmid")).alias("pmid")).distinct()
+    request = F.create_map(*map(F.lit, ("dbfrom", "pubmed", "db", "pmc", "retmode", "json", "id")), F.col("pmid"))
+    found = F.flatten(F.transform(F.from_json("payload", LINKS)["linksets"], lambda s: F.coalesce(s["linksetdbs"], F.array())))
+    first = F.get(F.filter(found, lambda d: (d["linkname"] == "pubmed_pmc") & (F.size(d["links"]) > 0)), 0)["links"]
+    return ask(need, "pmid", request, client, **how).select("pmid", F.concat(F.lit("PMC"), F.get(first, 0)).alias("linked"))
+
+
+def searched(candidates: DataFrame, client: Callable[[dict], str], **how) -> DataFrame:
+    """record_id, found: the first full text that a search by pmid or DOI finds; a search that fails finds none."""
+    pmid, doi = (T.strip(T.blank(F.col(c))) for c in ("pmid", "doi"))
+    query = F.concat_ws(" OR ", F.when(pmid != "", F.concat(F.lit("EXT_ID:"), pmid, F.lit(" AND SRC:MED"))), F.when(doi != "", F.concat(F.lit('DOI:"'), doi, F.lit('"'))))
+    need = candidates.where((pmid != "") | (doi != "")).select("record_id", query.alias("query"))
+    request = F.create_map(*map(F.lit, ("format", "json", "pageSize", "5", "query")), F.col("query"))
+    ids = F.transform(F.from_json("payload", RESULTS)["resultList"]["result"], lambda r: T.strip(T.blank(r["pmcid"])))
+    return ask(need, "record_id", request, client, **how).select("record_id", F.get(F.filter(ids, lambda i: i.startswith("PMC")), 0).alias("found"))
+
+
+def resolve_by_requests(candidates: DataFrame, links: Callable[[dict], str] | None, searches: Callable[[dict], str] | None, **how) -> DataFrame:
+    """resolve() with what the given clients answer; the second is only asked for records that the first leaves open."""
+    by_link = linked(candidates, links, **how) if links else None
+    if searches is None:
+        return resolve(candidates, by_link)
+    still = resolve(candidates, by_link).where(F.col("pmcid") == "")
+    return resolve(candidates, by_link, searched(still, searches, **how))
+
+
 def fetch_missing(candidates: DataFrame, cache: DataFrame, client: Callable[[str], str], *, workers: int = 4) -> DataFrame:
     """pmcid, xml, error of the texts that the cache lacks, each fetched once."""
     wanted = absent(candidates.where(F.col("pmcid") != "").select("pmcid").distinct(), cache, "pmcid")

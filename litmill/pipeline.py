@@ -26,6 +26,8 @@ class Workspace:
     enricher: enrich.Enricher | None = None
     embed: Callable | None = None
     fetcher: Callable[[str], str] | None = None
+    links: Callable[[dict], str] | None = None
+    searches: Callable[[dict], str] | None = None
     made: list[str] = field(default_factory=list)
 
     def path(self, name: str) -> str:
@@ -79,8 +81,19 @@ def extract(w: Workspace) -> dict:
     return {"stage2_records": out.count(), "violations": enrich.violations(out).count()}
 
 
+def assist(w: Workspace) -> dict:
+    """The enricher's coding by itself, for an audit: coded records, requests, and what is missing or not allowed."""
+    if w.enricher is None:
+        raise KeyError("enricher")
+    coded, log = enrich.code(coding.base(w.read("stage1_screening")), w.enricher)
+    out = w.write("stage2_llm_coding", coded.where(F.col("coding_method") == "llm_structured"))
+    requests = w.write("stage2_llm_requests", log)
+    odd = w.write("stage2_llm_violations", enrich.violations(out))
+    return {"stage2_llm_rows": out.count(), "requests": requests.count(), "failed": requests.where(F.col("status") == "failed").count(), "violations": odd.count()}
+
+
 def prepare_fulltexts(w: Workspace) -> dict:
-    wanted = fulltext.resolve(w.read("stage2_coding").where(F.col("stage3_candidate") == "yes"))
+    wanted = fulltext.resolve_by_requests(w.read("stage2_coding").where(F.col("stage3_candidate") == "yes"), w.links, w.searches)
     cache = w.read("fulltext_cache", (("pmcid", "string"), ("xml", "string")))
     texts = cache.select("pmcid", fulltext.article_text(F.col("xml")).alias("text"), F.lit(True).alias("cached"))
     if w.fetcher is not None:

@@ -13,6 +13,10 @@ TITLES = [
 ]
 
 
+def own_clients():
+    return {"enricher": lambda batch: json.dumps({"records": [{"record_id": r["record_id"], "review_type": "systematic review"} for r in batch]})}
+
+
 def workspace(spark, root):
     rows = [(f"r{i}", t, "Objective: to see. METHODS: x", f"10.1/{i % 5 if i < 7 else i}", 2000 + i, ["Ames, A"]) for i, t in enumerate(TITLES * 4)]
     df = spark.createDataFrame(rows, "record_id string, title string, abstract string, doi string, year int, authors array<string>").withColumns({"database": F.lit("PubMed"), "query_key": F.lit("q"), "pmcid": F.concat(F.lit("PMC"), "record_id")})
@@ -48,6 +52,11 @@ def test_command_line(spark, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out) == json.loads(json.dumps(got)) and got["combined_records"] == 25
     assert cli.main(["--workspace", str(tmp_path), "search-wos", "--query-key", "k"], {"search-wos": lambda w, k: {"key": k}}) == {"status": "ok", "key": "k"}
     assert cli.main(["--workspace", "x", "check-api-access"], {"probes": {"a": lambda: 1}}) == {"a": "ok"}
+    assert cli.main(["--workspace", str(tmp_path), "assist-stage2-llm"]) == {"status": "missing_credentials", "detail": "'enricher'"}
+    for stage in ("prepare-screening", "screen-stage1"):
+        cli.main(["--workspace", str(tmp_path), stage])
+    got = cli.main(["--workspace", str(tmp_path), "--clients", "tests.test_pipeline_stages:own_clients", "assist-stage2-llm"])
+    assert got["status"] == "ok" and got["stage2_llm_rows"] > 0 == got["failed"]
 
 
 def test_streams(spark, tmp_path):

@@ -168,3 +168,40 @@ def test_sinks(spark, tmp_path):
     assert a["cite"] == "\\href{https://doi.org/10.1/x}{Ames \\& Bo (2021)}" and (a["type"], a["pain"], a["domains"], a["typology"]) == ("Systematic review", "Primary", "B, S", "Multifactorial")
     assert b["cite"] == "\\href{https://pubmed.ncbi.nlm.nih.gov/9/}{D (n.d.)}" and b["year"] == 9999
     assert T.SHORT_FUNCTION["rhetorical label"] == "rhetorical"
+
+
+def test_settings_and_vectors(spark, tmp_path):
+    import numpy as np
+
+    from litmill.sources import config
+
+    (tmp_path / "a.json").write_text('{"a": [1, "\u00e9"]}', encoding="utf-8")
+    assert config.read_json(spark, f"{tmp_path}/a.json") == {"a": [1, "\u00e9"]}
+    pytest.importorskip("yaml")
+    (tmp_path / "a.yaml").write_text("paths:\n  out: x\n")
+    (tmp_path / "none.yaml").write_text("# nothing\n")
+    assert config.read_yaml(spark, f"{tmp_path}/a.yaml") == {"paths": {"out": "x"}} and config.read_yaml(spark, f"{tmp_path}/none.yaml") == {}
+    np.save(tmp_path / "v.npy", np.array([[1, 2], [3, 4]], dtype="float32"))
+    assert [tuple(r["vector"]) for r in config.read_vectors(spark, f"{tmp_path}/v.npy").orderBy("place").collect()] == [(1.0, 2.0), (3.0, 4.0)]
+
+
+def test_full_texts_are_looked_for_by_requests(spark):
+    import json
+
+    from litmill.operators import fulltext
+
+    def links(request):
+        found = {"1": ["77", "78"], "2": []}[request["id"]]
+        return json.dumps({"linksets": [{"linksetdbs": [{"linkname": "pubmed_pmc_refs", "links": ["9"]}, {"linkname": "pubmed_pmc", "links": found}]}]})
+
+    def searches(request):
+        if "10.1/bad" in request["query"]:
+            raise OSError("no answer")
+        assert request["query"] in ('EXT_ID:2 AND SRC:MED OR DOI:"10.1/b"', 'DOI:"10.1/d"')
+        return json.dumps({"resultList": {"result": [{"id": "x"}, {"pmcid": "PMC5"}, {"pmcid": "PMC6"}]}})
+
+    data = [("a", "1", "10.1/a", ""), ("b", "2", "10.1/b", None), ("c", "3", "", "PMC3"), ("d", "", "10.1/d", ""), ("e", None, "10.1/bad", ""), ("f", None, None, None)]
+    c = spark.createDataFrame(data, "record_id string, pmid string, doi string, pmcid string")
+    got = {r["record_id"]: (r["pmcid"], r["retrieval_source"]) for r in fulltext.resolve_by_requests(c, links, searches, tries=1).collect()}
+    assert got == {"a": ("PMC77", "pubmed_elink"), "b": ("PMC5", "europepmc"), "c": ("PMC3", "stage2_existing_pmcid"), "d": ("PMC5", "europepmc"), "e": ("", "none"), "f": ("", "none")}
+    assert fulltext.resolve_by_requests(c, None, None).where("pmcid <> ''").count() == 1
