@@ -758,3 +758,103 @@ def mention_location(spark, sf):
     put = lambda test: F.when(test, F.concat("source", named)).otherwise(F.col("source"))
     lists = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit(" A  b"), F.lit("C"), F.lit(""), F.lit("a b"))).otherwise(F.array(F.lit("c "), F.lit("C")))
     return d.select("doc_id", T.bps_location(put(F.col("doc_id") % 3 == 0), put(F.col("doc_id") % 2 == 0)).alias("location"), T.packed(T.normal_list(lists)).alias("labels"))
+
+
+_YES = {d: f"CASE WHEN {_or(terms)} THEN 'yes' ELSE 'no' END" for d, terms in (("bio", V.BIO_TERMS), ("psych", V.PSYCH_TERMS), ("social", V.SOCIAL_TERMS))}
+_FLAG = f"CASE {_PAIN} WHEN 'chronic secondary musculoskeletal pain' THEN 'yes' WHEN 'mixed or unspecified chronic pain' THEN 'unclear' ELSE 'no' END"
+
+
+@query(f"""WITH {STUDIES}, c AS (SELECT record_id, {_FLAG} AS flag, {" AND ".join(f"{y} = 'yes'" for y in _YES.values())} AS whole FROM studies)
+  SELECT record_id, CASE WHEN flag = 'no' THEN 'no' ELSE 'yes' END AS candidate, CASE WHEN flag = 'no' THEN 'low' ELSE 'medium' END AS priority, '' AS typology, 'rule_based_fallback' AS method,
+  CASE flag WHEN 'yes' THEN 'high' WHEN 'unclear' THEN 'medium' ELSE 'low' END AS batch_priority, CASE WHEN whole THEN 'multifactorial signal' ELSE 'pseudo-bps or partial signal' END AS batch_typology, 'llm_batch_fallback' AS batch_method FROM c""")
+def rules_only(spark, sf):
+    """Coding by rules alone, and as for records that an answer leaves out."""
+    s = studies(spark, sf)
+    alone = coding.code_by_rules(s).select("record_id", F.col("stage3_candidate").alias("candidate"), F.col("stage3_priority").alias("priority"), F.col("provisional_typology").alias("typology"), F.col("coding_method").alias("method"))
+    left_out = coding.code_by_rules(s, batch_fallback=True).select("record_id", *(F.col(c).alias(n) for c, n in (("stage3_priority", "batch_priority"), ("provisional_typology", "batch_typology"), ("coding_method", "batch_method"))))
+    return alone.join(left_out, "record_id")
+
+
+def _relevance_sql(chronic: str, *more: tuple[str, str]) -> str:
+    tests = [("contains(t, 'withdrawn') OR contains(t, 'retracted')", "withdrawn_or_retracted_signal"), ("NOT contains(t, 'pain')", "pain_focus_not_explicit"), (f"NOT {chronic}", "chronicity_not_explicit"), *more]
+    return "list_filter([" + ", ".join(f"CASE WHEN {test} THEN '{label}' END" for test, label in tests) + "], lambda x: x IS NOT NULL)"
+
+
+@query(f"""WITH {STUDIES}, s AS (SELECT record_id, lower(title || chr(10) || CASE record_id % 4 WHEN 0 THEN 'RETRACTED' WHEN 1 THEN 'unpersistented' ELSE abstract END) AS t, {_TYPES} AS type, {_PAIN} AS pain, {_FLAG} AS flag,
+    CASE record_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'manual_retrieval_required' ELSE 'pmc_fulltext_cached' END AS status FROM studies),
+  f AS (SELECT record_id, {_relevance_sql("(contains(t, 'chronic') OR contains(t, 'persistent') OR contains(t, 'long-term'))", ("type = 'other evidence synthesis'", "review_design_unclear"))} AS fulltext,
+    {_relevance_sql("regexp_matches(t, '(^|[^a-z0-9_])(chronic|persistent|long-term)($|[^a-z0-9_])')", ("pain = 'unclear'", "pain_category_unclear"), ("flag <> 'no' AND status <> 'pmc_fulltext_cached'", "stage3_fulltext_manual_check_pending"))} AS audit FROM s)
+  SELECT record_id, array_to_string(fulltext, '|') AS fulltext_flags, array_to_string(audit, '|') AS audit_flags,
+    CASE WHEN list_has_any(fulltext, ['withdrawn_or_retracted_signal', 'pain_focus_not_explicit']) THEN 'high' WHEN len(fulltext) > 0 THEN 'medium' ELSE 'low' END AS fulltext_priority,
+    CASE WHEN list_has_any(audit, ['withdrawn_or_retracted_signal', 'pain_focus_not_explicit']) THEN 'high' WHEN len(audit) > 0 THEN 'medium' ELSE 'low' END AS audit_priority FROM f""")
+def relevance_flags(spark, sf):
+    """What people have to look at: of full texts by what is anywhere in the text, of the audit by whole words."""
+    c = coding.code_by_rules(studies(spark, sf))
+    k = F.col("record_id")
+    abstract = F.when(k % 4 == 0, "RETRACTED").when(k % 4 == 1, "unpersistented").otherwise(F.col("abstract"))
+    status = F.when(k % 3 == 1, "manual_retrieval_required").when(k % 3 == 2, "pmc_fulltext_cached")
+    full = coding.fulltext_relevance(F.col("title"), abstract, F.col("review_type"))
+    audit = coding.audit_relevance(F.col("title"), abstract, F.col("icd11_pain_category"), F.col("stage3_candidate"), status)
+    both = c.select("record_id", full.alias("f"), audit.alias("a"))
+    return both.select("record_id", F.array_join("f.flags", "|").alias("fulltext_flags"), F.array_join("a.flags", "|").alias("audit_flags"), F.col("f.priority").alias("fulltext_priority"), F.col("a.priority").alias("audit_priority"))
+
+
+@query("""WITH c AS (SELECT event_id AS k, ['rhetorical label signal', 'multifactorial signal', 'pseudo-bps or partial signal', 'potential integrative signal'][event_id % 4 + 1] AS kind,
+    ['unclear', 'rhetorical label', 'explanatory framework'][event_id % 3 + 1] AS f, event_id % 5 > 0 AS bio, event_id % 7 > 0 AS social FROM events), l AS (SELECT k, list_filter([CASE WHEN k % 2 = 0 THEN 'own' END,
+    CASE WHEN contains(kind, 'rhetorical') OR f = 'rhetorical label' THEN 'tokenistic_bps' END, CASE WHEN contains(kind, 'rhetorical') OR f = 'rhetorical label' THEN 'vague_definition' END,
+    CASE WHEN kind IN ('multifactorial signal', 'pseudo-bps or partial signal') AND f = 'unclear' THEN 'parallel_listing_without_integration' END, CASE WHEN kind IN ('multifactorial signal', 'pseudo-bps or partial signal') AND f = 'unclear' THEN 'mechanistic_absence' END,
+    CASE WHEN NOT bio THEN 'missing_biology' END, CASE WHEN NOT social THEN 'missing_social' END], lambda x: x IS NOT NULL) AS l FROM c)
+  SELECT CASE WHEN len(l) = 0 THEN 'none' ELSE array_to_string(l, '|') END AS flags, count(*) AS n FROM l GROUP BY 1""")
+def implied_flags(spark, sf):
+    k = F.col("event_id")
+    one = lambda *names: F.element_at(F.array(*map(F.lit, names)), (k % len(names) + 1).cast("int"))
+    own = F.when(k % 2 == 0, F.array(F.lit("none"), F.lit(" Own"), F.lit("own"))).otherwise(F.array(F.lit("none")))
+    kind = one("rhetorical label signal", "multifactorial signal", "pseudo-bps or partial signal", "potential integrative signal")
+    flags = coding.problem_flags(own, kind, one("unclear", "rhetorical label", "explanatory framework"), F.when(k % 5 > 0, "yes").otherwise("no"), F.when(k % 7 > 0, "yes").otherwise("unclear"))
+    return table(spark, sf, "events").select(F.array_join(flags, "|").alias("flags")).groupBy("flags").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT p_partkey AS record_id, field, value FROM part, (VALUES ('review_type', 'odd', 4), ('stage3_priority', 'urgent', 6), ('bio_mentioned', NULL, 9), ('conceptual_problem_flags', 'none | made up', 10)) v(field, value, every) WHERE p_partkey % every = 0""")
+def answer_violations(spark, sf):
+    """Spoilt fields are found, and none of those that rules code."""
+    k = F.col("record_id")
+    flags = F.when(k % 10 == 0, F.array(F.lit("none"), F.lit("made up"))).otherwise(F.col("conceptual_problem_flags"))
+    spoilt = coding.code_by_rules(studies(spark, sf), batch_fallback=True).withColumns({
+        "review_type": F.when(k % 4 == 0, "odd").otherwise(F.col("review_type")), "stage3_priority": F.when(k % 6 == 0, "urgent").otherwise(F.col("stage3_priority")),
+        "bio_mentioned": F.when(k % 9 > 0, F.col("bio_mentioned")), "conceptual_problem_flags": flags,
+    })
+    return enrich.violations(spoilt)
+
+
+@query(ORACLE_SQL["agreement_kappa"].replace("SELECT 'ok' AS status", "SELECT 'stage1' AS stage, 'ok' AS status") + " UNION ALL SELECT 'stage2', 'not_ready', 0, NULL, NULL UNION ALL SELECT 'stage3', 'empty', 0, NULL, NULL")
+def reliability_stages(spark, sf):
+    """A stage that is coded twice, one whose second rater is missing, one without rows."""
+    own = table(spark, sf, "labels")
+    return agreement.report({"stage1": (own, "quality", "toxic"), "stage2": (own, "quality", "second"), "stage3": (own.where("false"), "quality", "toxic")})
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '' WHEN c_custkey % 3 = 1 THEN 'The ' || lower(c_mktsegment) || ' of ' || c_name || '!'
+  ELSE regexp_extract(substr(s, 1, 217), '^(.*) [^ ]*$', 1) || '...' END AS sentence FROM (SELECT c_custkey, c_mktsegment, c_name, 'A ' || repeat(c_name || ' and ', 20) || 'no more.' AS s FROM customer)""")
+def opening_sentence(spark, sf):
+    k, name = F.col("c_custkey"), F.col("c_name")
+    one = F.concat(F.lit(" OBJECTIVE:  aim : the "), F.lower("c_mktsegment"), F.lit("\n of "), name, F.lit("! And a second one."))
+    text = F.when(k % 3 == 0, " Background: ").when(k % 3 == 1, one).otherwise(F.concat(F.lit("a "), F.repeat(F.concat(name, F.lit(" and ")), 20), F.lit("no more")))
+    return table(spark, sf, "customer").select("c_custkey", T.first_sentence(text).alias("sentence"))
+
+
+@query(f"""WITH {RECORDS}, {STUDIES}, k AS (SELECT row_number() OVER (PARTITION BY {TITLE} || '::' || year ORDER BY database, doc_id) AS n FROM records), s AS (SELECT {_steps(1, 'include')} AS d, {_FLAG} AS flag FROM studies),
+  m AS (SELECT doc_id % 5 = 0 AS manual, doc_id % 5 > 0 AND len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) >= 250 AS open FROM documents), v AS (
+  SELECT 'combined_records' AS node, count(*) AS n FROM k UNION ALL SELECT 'deduplicated_records', count(*) FILTER (n = 1) FROM k UNION ALL SELECT 'duplicates_removed', count(*) FILTER (n > 1) FROM k
+  UNION ALL SELECT 'included_records', count(*) FILTER (d = 'include') FROM s UNION ALL SELECT 'excluded_records', count(*) FILTER (d = 'exclude') FROM s UNION ALL SELECT 'unclear_records', count(*) FILTER (d = 'unclear') FROM s
+  UNION ALL SELECT 'stage2_records', count(*) FROM s UNION ALL SELECT 'stage3_expected', count(*) FILTER (flag <> 'no') FROM s UNION ALL SELECT 'stage3_candidates', count(*) FROM m
+  UNION ALL SELECT 'stage3_pmc_open_fulltexts', count(*) FILTER (open) FROM m UNION ALL SELECT 'stage3_manual_retrieval_required', count(*) FILTER (NOT open) FROM m),
+  u AS (SELECT node, replace(node, '_', ' ') AS label, n FROM v UNION ALL SELECT 'database:' || database, database, count(*) FROM records WHERE database IS NOT NULL GROUP BY database)
+  SELECT node, label, n, format('{{:,}}', n) AS shown FROM u""")
+def flow_values(spark, sf):
+    r = dedupe.rank_duplicates(records(spark, sf), F.col("doc_id"))
+    d = table(spark, sf, "documents")
+    pmcid = F.when(F.col("doc_id") % 5 > 0, "PMC1").otherwise("")
+    made = d.select(fulltext.status(pmcid, F.lit(True), F.col("doc_id") % 2 == 0, F.col("text")).alias("fulltext_status"))
+    made = made.withColumn("manual_retrieval_needed", F.when(F.col("fulltext_status").isin(*fulltext.MANUAL), "yes").otherwise("no"))
+    counts = frequency.pipeline_counts(r, coding.screen(studies(spark, sf)), coding.code_by_rules(studies(spark, sf)), made)
+    return frequency.flow_nodes(counts, frequency.value_counts(r, "database"))
