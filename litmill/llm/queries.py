@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from litmill.llm import chat, chroma, line_dedup, mixing, neighbours, pii, ppm, sentencepiece_codec, simhash, toxicity
+from litmill.llm import chat, chroma, line_dedup, mixing, neighbours, pii, ppm, quality_rules, sentencepiece_codec, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -19,10 +19,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_neighbours": neighbours.op8_neighbours,
     "op9_chroma": chroma.op9_chroma,
     "op10_sentencepiece": sentencepiece_codec.op10_sentencepiece,
+    "op11_quality": quality_rules.op11_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_chat": chat.OP2_SQL,
     "op3_line_dedup": line_dedup.OP3_SQL,
     "op7_mixing": mixing.OP7_SQL,
+    "op11_quality": quality_rules.OP11_SQL,
 }
