@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from litmill.llm import chat, chroma, lexical, line_dedup, mixing, neighbours, pii, ppm, quality_rules, sentencepiece_codec, simhash, toxicity
+from litmill.llm import chat, chroma, lexical, line_dedup, mixing, neighbours, pii, ppm, quality_rules, repair, sentencepiece_codec, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chroma": chroma.op9_chroma,
     "op10_sentencepiece": sentencepiece_codec.op10_sentencepiece,
     "op11_quality": quality_rules.op11_quality,
+    "op12_repair": repair.op12_repair,
     "op13_lexical": lexical.op13_lexical,
 }
 
@@ -28,5 +29,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": line_dedup.OP3_SQL,
     "op7_mixing": mixing.OP7_SQL,
     "op11_quality": quality_rules.OP11_SQL,
+    "op12_repair": repair.OP12_SQL,
     "op13_lexical": lexical.OP13_SQL,
 }

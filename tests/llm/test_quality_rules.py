@@ -86,7 +86,7 @@ def test_junk_goes_and_clean_texts_stay(spark):
 
 
 def test_nulls_repeats_guards_clashing_names_and_empty_tables(spark):
-    long = " ".join(f"the word{i} of it" for i in range(600))
+    long = " ".join(f"the word{i} of item{i}" for i in range(600))
     rows = [(1, long, "en"), (1, long, "en"), (None, long + " end.", "en"), (2, None, "en"), (3, "", None), (4, long.upper() + "!!!", "en"), (5, " ".join(f"u{i}" for i in range(60)), "few")]
     docs = spark.createDataFrame([(*r, *NAMES) for r in rows], SCHEMA)
     refs = qr.references(docs.where("doc_id = 1 or lang is null or lang = 'few'"))
