@@ -55,8 +55,11 @@ def _mixed(h: np.ndarray, table: int) -> np.ndarray:
     return g ^ (g >> np.uint64(31))
 
 
-def fingerprint(text: str, words: int = 3, seed: int = 42, tables: int = 1) -> list[int]:
-    """The SimHash of a text's ``words``-word shingles, hashed by XXH64, in ``tables`` 64-bit words."""
+def fingerprint(text: str, words: int = 3, seed: int = 42, tables: int = 1, distinct: bool = False) -> list[int]:
+    """The SimHash of a text's ``words``-word shingles, hashed by XXH64, in ``tables`` 64-bit words.
+
+    distinct: a shingle votes once, however often it stands in the text; then all hashes of a text are held at a time.
+    """
     from xxhash import xxh64_intdigest
 
     w = text.encode("utf-8").lower().split()  # of bytes: ASCII letters and ASCII white space only
@@ -69,12 +72,16 @@ def fingerprint(text: str, words: int = 3, seed: int = 42, tables: int = 1) -> l
         at += len(x) + 1
     starts = first[: max(1, len(w) - words + 1)]
     ends = [x - 1 for x in first[words:]] + [len(joined)]
-    count = np.zeros((tables, BITS), dtype=np.int64)
-    for k in range(0, len(starts), AT_ONCE):
-        h = np.array([xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts[k : k + AT_ONCE], ends[k : k + AT_ONCE], strict=True)], dtype="<u8")
+    count, votes = np.zeros((tables, BITS), dtype=np.int64), len(starts)
+    hashes = (np.array([xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts[k : k + AT_ONCE], ends[k : k + AT_ONCE], strict=True)], dtype="<u8") for k in range(0, votes, AT_ONCE))
+    if distinct:
+        whole = np.unique(np.concatenate(list(hashes)))
+        votes = len(whole)
+        hashes = (whole[k : k + AT_ONCE] for k in range(0, votes, AT_ONCE))
+    for h in hashes:
         for t in range(tables):
             count[t] += np.unpackbits(_mixed(h, t).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(count * 2 > len(starts), axis=1, bitorder="little").view("<u8").ravel().tolist()
+    return np.packbits(count * 2 > votes, axis=1, bitorder="little").view("<u8").ravel().tolist()
 
 
 def fingerprints(docs: DataFrame, *, words: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,12 +1,13 @@
 """Near copies by exact similarity: the share of five-word shingles that two texts have in common, of all that either has.
 
-SimHash fingerprints of four words give the candidates: texts that their links join are one class. In a class, texts link
+SimHash fingerprints of four 64-bit words give the candidates: texts that their links join are one class. In a class, texts link
 if their similarity is LEAST or more, whatever their fingerprints. Only texts of classes with several are read again.
 
-A change of one word breaks three of the three-word shingles and five of the five-word ones. So fingerprints are of three
-words: texts that share LEAST of their five-word shingles have 0.88 of the others in common, and AGREE of their bits agree
-on average; they are that far apart with a spread of 5 bits of 256, and nearly never over DISTANCE. Unlike texts differ in
-half of the bits.
+Fingerprints are votes of the distinct three-word shingles, as the similarity is one of distinct shingles: a phrase that a text
+repeats counts once in both. Three words are broken by no more changes than five, so texts at LEAST have as much of
+them in common or more: AGREE of their bits agree on average (1 - arccos(8 / 9) / pi for texts of one length, less for those
+of a dozen words, where few votes tie). They are that far apart with a spread of 6 bits of 256, and over DISTANCE once in
+10,000. Unlike texts differ in half of the bits.
 
 Two texts of LEAST or more share a shingle among the rarest fifth of each (with one more), so an index of those finds all
 pairs; a text is compared with those of a set that it is joined to only until one links.
@@ -35,7 +36,7 @@ LEAST = (4, 5)
 #: Shingles that one search holds, about.
 SHINGLES = 1 << 20
 #: Words of a fingerprint, bits that candidates differ in at most, and the part of the bits that agree at LEAST.
-TABLES, DISTANCE, AGREE = 4, 48, 0.883
+TABLES, DISTANCE, AGREE = 4, 60, 0.845
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -105,7 +106,7 @@ def near_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
 
     def mark():
         def row(k, h, t):
-            yield k, h, _same(_words(t)), [simhash._signed(f) for f in simhash.fingerprint(t or "", tables=TABLES)]
+            yield k, h, _same(_words(t)), [simhash._signed(f) for f in simhash.fingerprint(t or "", tables=TABLES, distinct=True)]
 
         return row
 

@@ -45,7 +45,7 @@ def brute(spark, sf):
     assert slope(curve) == pytest.approx([0, 0], abs=1e-6)
     seen = {}
     rows = {k: r for k, r in rows.items() if 1 / (1 + math.exp(-curve[0] - curve[1] * plain_evidence(r["text"] or "", entries, exact, seen)[0])) < 0.7}
-    clean = {k: t for k, t, _ in plain_lines([(k, r["text"], r["source"]) for k, r in rows.items()], 5)}
+    clean = {k: t for k, t, _ in plain_lines([(k, r["text"], r["source"]) for k, r in rows.items()], 5, True)}
     kept = sorted(set(near_copies(sorted(clean.items())).values()))
     copies = plain_copies([(k, clean[k], rows[k]["source"]) for k in kept])
     lib = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.default_model())

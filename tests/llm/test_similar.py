@@ -57,7 +57,7 @@ def test_documents_that_are_no_near_copies_stay(spark, sf, monkeypatch):
     near = [*t[:150], "new", *t[151:]]
     far = [x if i % 17 else f"other{i}" for i, x in enumerate(t)]  # fingerprints are close, most shingles are not shared
     rows = [(1, " ".join(t)), (2, " ".join(near)), (3, " ".join(far)), (4, " ".join(t).upper()), (5, "")]
-    codes = {k: simhash.fingerprint(x, tables=4) for k, x in rows}
+    codes = {k: simhash.fingerprint(x, tables=4, distinct=True) for k, x in rows}
     monkeypatch.setattr(similar, "DISTANCE", 90)
     apart = sum(bin(a ^ b).count("1") for a, b in zip(codes[1], codes[3], strict=True))
     assert apart <= 90 and brute(rows[:3])[3] == 3
@@ -71,6 +71,42 @@ def test_stage_agrees_with_brute_force_by_similarity_alone(spark, sf):
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, sf).collect()) == sorted(want)
 
 
+def test_texts_that_repeat_themselves_are_found(spark):
+    rnd = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    rows = []
+    for i in range(20):
+        t = rnd.choices(words, k=200)
+        rows += [(10 * i, " ".join(t)), (10 * i + 1, " ".join(t + t[20:25] * 400)), (10 * i + 2, " ".join(t[:190] + t * 3)), (10 * i + 3, " ".join([*t[:100], *(f"new{j}" for j in range(20 * (i % 3))), *t[100:]]))]
+    want = brute(rows)
+    assert len(set(want.values())) < len(rows) / 2
+    found = {r["doc_id"]: r["kept_key"] for r in similar.near_copies(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert found == want
+
+
+def linked_pairs(rows):
+    """All pairs of unlike texts at LEAST or more, by their distinct shingles."""
+    g = [(k, grams(t)) for k, t in rows]
+    return {(a, b) for i, (a, x) in enumerate(g) for b, y in g[i + 1 :] if 5 * len(x & y) >= 4 * len(x | y) and x != y}
+
+
+def test_short_texts_and_tails_are_found_nearly_always(spark):
+    rnd = random.Random(9)
+    words = [f"w{i}" for i in range(2000)]
+    rows = []
+    for i in range(1500):
+        n = 6 + i % 35
+        t = rnd.choices(words, k=n)
+        cut = rnd.randrange(1, max(2, n // 8))
+        rows += [(2 * i, " ".join(t)), (2 * i + 1, " ".join(rnd.choice([t[cut:], t + rnd.choices(words, k=cut), t[:-cut] + rnd.choices(words, k=1)])))]
+    want = set()
+    for i in range(0, len(rows), 2):
+        want |= linked_pairs(rows[i : i + 2])
+    found = {r["doc_id"]: r["kept_key"] for r in similar.near_copies(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    hit = sum(found[a] == found[b] for a, b in want)
+    assert len(want) > 300 and hit >= 0.95 * len(want)
+
+
 def test_large_classes_are_cut_without_loss(spark, monkeypatch):
     rows = rows_of(5)
     sets = [(b"all", i, len(s), s.tolist()) for i, s in ((k, similar.shingles(similar._words(t))) for k, t in rows)]
