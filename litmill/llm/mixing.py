@@ -5,12 +5,12 @@ source's target goes over ``most`` times its size; what is over is shared among
 A source's rate is its target over its size: each of its documents is taken floor(rate) times, and once more with a
 probability of the fraction, decided by a hash of the document's key and a seed, so that reruns agree.
 
-The draw is stratified. A document's number is the share of its source's words that lie under its hash; as hashes are in
-random order, it is spread evenly from 0 to 1 over seeds, so it is under the fraction with the fraction's probability, and
-the copy is made then. Unlike independent numbers, which let a few long documents carry a small source far off (by up to
-69 % of its target on the test tables), these leave the words taken within a document of what is asked for. A
-number is under the fraction if the hash is under the mark where that share reaches the fraction; so a source needs only
-its mark, the place among BINS that comes nearest.
+The draw is systematic. A source's documents lie on a circle of its words, in the order of their hashes; a hash of the seed
+and the source turns it, and a document is copied if its start then lies in the first part of the circle, as long as
+the fraction. Over seeds the turn is even, so each copy has just the fraction's probability, in a source of one
+document too; and the copies are an arc, so their words are those asked for to within a document. Independent
+draws let a few long documents carry a small source far off (by up to 69 % of its target on the test tables). As hashes are
+dealt to BINS, the documents of a bin have one start. An arc is at most two ranges of bins, which is all that a source needs.
 
 Nulls: a null text has size 0, a null source is a source of its own, and rows without a key draw by their text. Sources
 without words have target and rate 0. Repeated keys decide alike. A very long text is one row, its words are counted in
@@ -26,8 +26,8 @@ from litmill.llm._base import DOCS_A_FILE, SPACES, materialise, table
 
 WEIGHTS = (5, 2, 1)
 MOST = 3.0
-#: Ranges of the hash in which a source's words are summed: the places where a mark can be, and the most rows a source has
-#: from then on, so that the largest source is summed in many tasks.
+#: Ranges of the hash in which a source's words are summed: the places where a document can start, and the most rows a
+#: source has from then on, so that the largest source is summed in many tasks.
 BINS, SHELF = 1 << 16, 1 << 8
 SEED = 7
 #: Sources, and characters of their names, up to which their rates are sent to every executor.
@@ -66,30 +66,44 @@ def targets(sizes: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: float
     return ranked.select("source", "source_size", "weight", target.alias("target"))
 
 
-def chance(key: Column, text: Column, seed: int = SEED) -> Column:
-    """48 bits of a hash of the key, or of the text if there is no key: a number from 0 up to but not 1."""
-    name = F.coalesce(key.cast("string"), F.concat(F.lit("text "), F.sha2(F.coalesce(text, F.lit("")), 256)))
+def _unit(name: Column, seed: int) -> Column:
+    """48 bits of a hash: a number from 0 up to but not 1."""
     return F.conv(F.substr(F.sha2(F.concat(F.lit(f"{seed}:"), name), 256), F.lit(1), F.lit(12)), 16, 10).cast("bigint") / F.lit(float(1 << 48))
 
 
-def rates_of(sized: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
-    """sized: source, size, chance. Result: of, source_size, weight, target, rate, mark, a row a source, written once."""
+def chance(key: Column, text: Column, seed: int = SEED) -> Column:
+    """A number from 0 up to but not 1 by the key, or by the text if there is no key."""
+    return _unit(F.coalesce(key.cast("string"), F.concat(F.lit("text "), F.sha2(F.coalesce(text, F.lit("")), 256))), seed)
+
+
+def turn(source: Column, seed: int = SEED) -> Column:
+    """How far a source's circle is turned."""
+    return _unit(F.coalesce(F.concat(F.lit("source "), source.cast("string")), F.lit("no source")), seed)
+
+
+def rates_of(sized: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: float = MOST, seed: int = SEED) -> DataFrame:
+    """sized: source, size, chance. Result: of, source_size, weight, target, rate, low, high, wrap, a row a source, written once.
+
+    Bins from low to high and those up to wrap are copied once more.
+    """
     rows = sized.count()
     bins = materialise(sized.groupBy("source", F.floor(F.col("chance") * BINS).alias("bin")).agg(F.sum("size").alias("s")), rows)
     found = targets(bins.groupBy("source").agg(F.sum("s").alias("source_size")), weights=weights, most=most)
     found = found.withColumnRenamed("source", "of").withColumn("rate", F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)))
-    found = materialise(found.withColumn("asked", (F.col("rate") - F.floor("rate")) * F.col("source_size")), rows)
-    # Words under each place where the mark can be, and how far they are from what is asked for; nothing is under 0.
-    # Sums run within shelves of bins, and over a source's shelves, so that no task has a whole source.
+    found = found.withColumns({"asked": (F.col("rate") - F.floor("rate")) * F.col("source_size"), "ahead": turn(F.col("of"), seed) * F.col("source_size")})
+    found = materialise(found, rows)
+    # Words before each bin: sums run within shelves of bins, and over a source's shelves, so that no task has a whole source.
     shelf = F.floor(F.col("bin") / SHELF)
     shelves = bins.groupBy(F.col("source").alias("of"), shelf.alias("shelf")).agg(F.sum("s").alias("s"))
     shelves = shelves.select("of", "shelf", (F.sum("s").over(Window.partitionBy("of").orderBy("shelf")) - F.col("s")).alias("before"))
-    shelves = shelves.join(found.select(F.col("of").alias("own"), "asked"), F.col("of").eqNullSafe(F.col("own"))).drop("own")
-    within = bins.select("source", "bin", shelf.alias("at"), F.sum("s").over(Window.partitionBy("source", shelf).orderBy("bin")).alias("within"))
-    places = within.join(shelves, F.col("source").eqNullSafe(F.col("of")) & (F.col("at") == F.col("shelf"))).select("of", "bin", "asked", (F.col("before") + F.col("within")).alias("under"))
-    off = places.groupBy("of").agg(F.min(F.struct(F.abs(F.col("under") - F.col("asked")).alias("off"), (F.col("bin") + 1).alias("at"))).alias("best"), F.min("asked").alias("none"))
-    marks = off.select(F.col("of").alias("for"), F.when(F.col("none") <= F.col("best.off"), 0.0).otherwise(F.col("best.at") / BINS).alias("mark"))
-    return materialise(found.drop("asked").join(marks, F.col("of").eqNullSafe(F.col("for"))).drop("for"), found.count())
+    shelves = shelves.join(found.select(F.col("of").alias("own"), "asked", "ahead", "source_size"), F.col("of").eqNullSafe(F.col("own"))).drop("own")
+    within = bins.select("source", "bin", shelf.alias("at"), (F.sum("s").over(Window.partitionBy("source", shelf).orderBy("bin")) - F.col("s")).alias("within"))
+    places = within.join(shelves, F.col("source").eqNullSafe(F.col("of")) & (F.col("at") == F.col("shelf")))
+    turned = F.col("before") + F.col("within") + F.col("ahead")
+    round_ = turned >= F.col("source_size")
+    taken = F.when(round_, turned - F.col("source_size")).otherwise(turned) < F.col("asked")
+    arcs = places.groupBy(F.col("of").alias("for")).agg(*(f(F.when(taken & side, F.col("bin"))).alias(name) for name, f, side in (("low", F.min, round_), ("high", F.max, round_), ("wrap", F.max, ~round_))))
+    return materialise(found.drop("asked", "ahead").join(arcs, F.col("of").eqNullSafe(F.col("for"))).drop("for"), found.count())
 
 
 def _copies(rows: DataFrame, rates: DataFrame, most: float) -> DataFrame:
@@ -99,7 +113,9 @@ def _copies(rows: DataFrame, rates: DataFrame, most: float) -> DataFrame:
     """
     n, chars = rates.agg(F.count("*"), F.coalesce(F.sum(F.length("of")), F.lit(0))).first()
     rates = F.broadcast(rates) if n <= BROADCAST_SOURCES and chars <= BROADCAST_CHARS else rates
-    copies = F.least(F.floor("rate") + (F.col("chance") < F.col("mark")).cast("long"), F.lit(int(most)).cast("long"))
+    bin_ = F.floor(F.col("chance") * BINS)
+    more = F.coalesce(bin_.between(F.col("low"), F.col("high")), F.lit(False)) | F.coalesce(bin_ <= F.col("wrap"), F.lit(False))
+    copies = F.least(F.floor("rate") + more.cast("long"), F.lit(int(most)).cast("long"))
     return rows.join(rates, rows["source"].eqNullSafe(rates["of"]), "left").withColumn("copies", copies)
 
 
@@ -110,13 +126,13 @@ def _sized(docs: DataFrame, key: str, text: str, source: str, seed: int) -> Data
 def plan(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: float = MOST, seed: int = SEED, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """key, size, source_size, target, copies, taken: a row a document."""
     sized = materialise(_sized(docs, key, text, source, seed), docs.count(), DOCS_A_FILE)
-    found = _copies(sized, rates_of(sized, weights=weights, most=most), most)
+    found = _copies(sized, rates_of(sized, weights=weights, most=most, seed=seed), most)
     return found.select(F.col("key").alias(key), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: float = MOST, seed: int = SEED, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The documents themselves, each as often as the plan takes it; columns as they were."""
-    rates = rates_of(_sized(docs, key, text, source, seed), weights=weights, most=most)
+    rates = rates_of(_sized(docs, key, text, source, seed), weights=weights, most=most, seed=seed)
     rows = docs.select(F.struct("*").alias("row"), F.col(source).alias("source"), chance(F.col(key), F.col(text), seed).alias("chance"))
     taken = _copies(rows, rates, most).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return taken.select("row.*")
@@ -148,13 +164,12 @@ WITH sized AS (
 ), bins AS (
   SELECT source, CAST(floor(chance * {BINS}) AS BIGINT) AS bin, sum(size) AS s FROM sized GROUP BY ALL
 ), places AS (
-  SELECT b.source, bin, (r.rate - floor(r.rate)) * r.source_size AS asked, sum(s) OVER (PARTITION BY b.source ORDER BY bin)::DOUBLE AS under
+  SELECT b.source, bin, r.rate, r.source_size, (r.rate - floor(r.rate)) * r.source_size AS asked, sum(s) OVER (PARTITION BY b.source ORDER BY bin)::BIGINT - s::BIGINT
+    + CAST('0x' || substr(sha256('{SEED}:' || coalesce('source ' || b.source, 'no source')), 1, 12) AS BIGINT) / {float(1 << 48)} * r.source_size AS turned
   FROM bins b JOIN rates r ON b.source IS NOT DISTINCT FROM r.source
-), nearest AS (
-  SELECT source, bin + 1 AS place, asked, abs(under - asked) AS off, row_number() OVER (PARTITION BY source ORDER BY abs(under - asked), bin) AS n FROM places
-), marks AS (
-  SELECT source, CASE WHEN asked <= off THEN 0.0 ELSE place / {float(BINS)} END AS mark FROM nearest WHERE n = 1
+), taken AS (
+  SELECT source, bin, CASE WHEN turned >= source_size THEN turned - source_size ELSE turned END < asked AS more FROM places
 )
-SELECT d.doc_id, d.size, r.source_size, r.target, CAST((floor(r.rate) + CASE WHEN d.chance < m.mark THEN 1 ELSE 0 END) * d.size AS BIGINT) AS taken
-FROM sized d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source JOIN marks m ON d.source IS NOT DISTINCT FROM m.source
+SELECT d.doc_id, d.size, r.source_size, r.target, CAST(least(floor(r.rate) + CASE WHEN more THEN 1 ELSE 0 END, {int(MOST)}) * d.size AS BIGINT) AS taken
+FROM sized d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source JOIN taken t ON d.source IS NOT DISTINCT FROM t.source AND CAST(floor(d.chance * {BINS}) AS BIGINT) = t.bin
 """

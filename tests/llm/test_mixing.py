@@ -1,9 +1,11 @@
+import hashlib
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from litmill.llm import mixing
+from tests import harness
 
 
 def water(sizes, weights=(5, 2, 1), most=3):
@@ -60,7 +62,7 @@ def test_many_equal_documents_come_near_the_target(spark):
 
 
 def test_nulls_repeats_clashing_names_and_empty_tables(spark):
-    names = ("key", "size", "chance", "rate", "mark", "copies", "of", "row", "col", "source_size", "target")
+    names = ("key", "size", "chance", "rate", "low", "high", "wrap", "copies", "of", "row", "col", "source_size", "target")
     rows = [(1, None, "a"), (2, "x y", None), (2, "x y", None), (None, "\x0bq\t", "b"), (4, "w " * 50_000, "b")]
     docs = spark.createDataFrame([(*r, *names) for r in rows], "doc_id bigint, text string, source string, " + ", ".join(f"{n} string" for n in names))
     assert sorted(r["size"] for r in mixing.plan(docs).collect()) == [0, 1, 2, 2, 50_000]
@@ -72,29 +74,59 @@ def test_nulls_repeats_clashing_names_and_empty_tables(spark):
 def test_long_documents_do_not_carry_a_source_off(spark):
     docs = spark.range(800).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), F.when(F.col("id") % 40 < 4, 4000).otherwise(50).cast("int")).alias("text"), F.concat(F.lit("s"), F.col("id") % 4).alias("source"))
     for r in mixing.plan(docs).groupBy(F.col("doc_id") % 4, "source_size", "target").agg(F.sum("taken").alias("t"), F.max("size").alias("longest"), F.min("copies").alias("least"), F.max("copies").alias("most")).collect():
-        assert abs(r["t"] - r["target"]) <= r["longest"] / 2
+        assert abs(r["t"] - r["target"]) <= r["longest"]
         assert int(r["target"] / r["source_size"]) <= r["least"] <= r["most"] <= int(r["target"] / r["source_size"]) + 1
 
 
 def test_copies_come_as_often_as_the_fraction_asks(spark):
     docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.concat(F.lit("s"), F.col("id") % 2).alias("source"))
     for r in mixing.plan(docs).groupBy("target", "source_size").agg(F.avg("copies").alias("c")).collect():
-        assert r["c"] == pytest.approx(r["target"] / r["source_size"], rel=0.001)
+        assert r["c"] == pytest.approx(r["target"] / r["source_size"], rel=0.002)
 
 
 def test_every_document_gets_its_copy_with_the_probability_of_the_fraction(spark):
-    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 7 + 1).cast("int")).alias("text"), F.concat(F.lit("s"), F.col("id") % 2).alias("source"))
-    seeds, seen = 40, {}
-    for seed in range(seeds):
-        for r in mixing.plan(docs, seed=seed).collect():
-            rate = r["target"] / r["source_size"]
-            n, _ = seen.get(r["doc_id"], (0, 0))
-            seen[r["doc_id"]] = (n + r["copies"] - int(rate), rate - int(rate))
-    for n, fraction in seen.values():
-        assert abs(n / seeds - fraction) <= 4.5 * (fraction * (1 - fraction) / seeds) ** 0.5
+    # As each source is turned by its own name, 1,800 sources are as many draws, for sources of one, two and three documents.
+    kinds = [(40,), (30, 10), (20, 15, 5)]
+    rows = [(10 * i + k, "w " * n, f"s{i:04}") for i in range(1800) for k, n in enumerate(kinds[i // 3 % 3])]
+    seen = {}
+    for r in mixing.plan(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect():
+        rate, i = r["target"] / r["source_size"], r["doc_id"] // 10
+        seen.setdefault((i // 3 % 3, r["doc_id"] % 10, round(rate, 6)), []).append(r["copies"] - int(rate))
+    assert len(seen) == 18
+    for (_, _, rate), got in seen.items():
+        fraction = rate - int(rate)
+        assert abs(sum(got) / len(got) - fraction) <= 4.5 * (fraction * (1 - fraction) / len(got)) ** 0.5 + 1e-9
+
+
+def test_small_sources_draw_as_the_fraction_asks_over_many_seeds():
+    """The draw itself, in plain numbers, for one to three documents and 4,000 seeds."""
+    for sizes in ([400], [400, 30], [5, 50, 500]):
+        words = sum(sizes)
+        for fraction in (0.05, 0.3, 0.5, 0.9):
+            got = [0] * len(sizes)
+            for seed in range(4000):
+                order = sorted(range(len(sizes)), key=lambda k: draw(str(k), seed))  # noqa: B023
+                at, ahead, taken = 0, draw("source s", seed) * words, 0
+                for k in order:
+                    hit = (at + ahead) % words < fraction * words
+                    got[k] += hit
+                    taken += hit * sizes[k]
+                    at += sizes[k]
+                assert abs(taken - fraction * words) <= max(sizes)
+            for n in got:
+                assert abs(n / 4000 - fraction) <= 4.5 * (fraction * (1 - fraction) / 4000) ** 0.5
+
+
+def draw(name, seed):
+    return int(hashlib.sha256(f"{seed}:{name}".encode()).hexdigest()[:12], 16) / 2**48
 
 
 def test_rows_without_a_key_draw_by_their_text(spark):
     docs = spark.range(4000).select(F.lit(None).cast("bigint").alias("doc_id"), F.concat(F.lit("a b c"), "id").alias("text"), F.concat(F.lit("s"), F.col("id") % 2).alias("source"))
     got = mixing.plan(docs).groupBy("target").agg(F.sum("taken").alias("t")).collect()
     assert len(got) == 2 and all(r["t"] == pytest.approx(r["target"], rel=0.01) for r in got)
+
+
+def test_query_agrees_with_its_sql(spark):
+    for sf_dir in ("/root/testdata/sf0.001", "/root/testdata/sf0.01"):
+        assert harness.differences(spark, harness.connect(sf_dir), sf_dir, mixing.op7_mixing, mixing.OP7_SQL) == ""

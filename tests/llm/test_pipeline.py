@@ -27,12 +27,13 @@ def plain_copies(rows):
         words = sum(size[k] for k in keys)
         rate = targets[s] / words if words else 0.0
         asked = (rate - int(rate + 1e-12)) * words
-        under, places = 0, [(abs(asked), 0.0)]
+        ahead, before = int(hashlib.sha256(f"{mixing.SEED}:{'no source' if s is None else f'source {s}'}".encode()).hexdigest()[:12], 16) / 2**48 * words, 0
         for b in sorted({int(draw[k] * mixing.BINS) for k in keys}):
-            under += sum(size[k] for k in keys if int(draw[k] * mixing.BINS) == b)
-            places.append((abs(under - asked), (b + 1) / mixing.BINS))
-        mark = min(places)[1]
-        out |= {k: min(3, int(rate + 1e-12) + (draw[k] < mark)) for k in keys}
+            here = [k for k in keys if int(draw[k] * mixing.BINS) == b]
+            start = before + ahead
+            more = (start - words if start >= words else start) < asked
+            out |= {k: min(3, int(rate + 1e-12) + more) for k in here}
+            before += sum(size[k] for k in here)
     return out
 
 
