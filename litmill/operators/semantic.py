@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from litmill.functions import text as T
+from litmill.operators.settled import settled
 from litmill.operators.vocabulary import ONTOLOGY
 
 DOMAINS = ("biological", "psychological", "social")
@@ -194,6 +195,52 @@ def tfidf_cosines(weights: DataFrame, anchors: DataFrame, *, key: str, anchor_ke
     return weights.join(a, "term").groupBy(key, "anchor").agg(F.sum(F.col("weight") * F.col("_a")).alias("cosine"))
 
 
+#: A term in more than this part of the documents is left for last.
+HOT = 0.02
+#: Digits by which cosines are told apart.
+DIGITS = 9
+
+
+def top_cosines(weights: DataFrame, anchors: DataFrame, k: int, *, key: str, anchor_key: str, hot: float = HOT) -> DataFrame:
+    """anchor, rank, key, cosine: of each anchor the k documents of the highest cosines above 0; equal ones, to DIGITS, by key.
+
+    weights: key, term, weight; anchors: anchor_key, term, weight; none negative. Documents are counted through the index of
+    rare terms first; each anchor's k-th best sum so far is a floor. Of its common terms, the commonest are left out while
+    what they can add at most (the anchor's weight times the term's largest) stays under the floor: a document with none of the others can't be
+    among the best. The rest are summed too, and the few documents that can still pass the floor get what was left out from
+    their own weights. So common terms meet all documents only for anchors that are about nothing else.
+    """
+    w = weights.select(F.col(key).alias("key"), "term", "weight")
+    a = settled(anchors.select(F.col(anchor_key).alias("anchor"), "term", F.col("weight").alias("aw")))
+    asked = a.select("term").distinct()
+    w = settled(w.join(asked, "term", "left_semi"))
+    n = w.select("key").distinct().count()
+    stats = w.groupBy("term").agg(F.count("*").alias("df"), F.max("weight").alias("most"))
+    a = settled(a.join(stats, "term").withColumns({"bound": F.col("aw") * F.col("most"), "is_hot": F.col("df") > hot * n}))
+    floor_order = Window.partitionBy("anchor").orderBy(F.col("s").desc(), F.col("key"))
+
+    def summed(some: DataFrame) -> DataFrame:
+        return w.join(some.select("anchor", "term", "aw"), "term").groupBy("anchor", "key").agg(F.sum(F.col("weight") * F.col("aw")).alias("s"))
+
+    def floors(partial: DataFrame) -> DataFrame:
+        return partial.withColumn("place", F.row_number().over(floor_order)).where(F.col("place") == k).select("anchor", F.col("s").alias("floor"))
+
+    slack = F.lit(10.0 ** (1 - DIGITS))
+    rare = settled(summed(a.where(~F.col("is_hot"))))
+    common = a.where("is_hot").join(floors(rare), "anchor", "left")
+    upto = F.sum("bound").over(Window.partitionBy("anchor").orderBy(F.col("df").desc(), "term"))
+    common = settled(common.withColumn("left_out", F.coalesce(upto < F.col("floor") - slack, F.lit(False))))
+    partial = settled(rare.unionByName(summed(common.where(~F.col("left_out")))).groupBy("anchor", "key").agg(F.sum("s").alias("s")))
+    out = common.where("left_out")
+    more = out.groupBy("anchor").agg(F.sum("bound").alias("more"))
+    able = partial.join(more, "anchor", "left").join(floors(partial), "anchor", "left").where(F.col("floor").isNull() | (F.col("s") + F.coalesce("more", F.lit(0.0)) >= F.col("floor") - slack))
+    able = settled(able.select("anchor", "key", "s"))
+    rest = able.join(out.select("anchor", "term", "aw"), "anchor").join(w, ["key", "term"]).groupBy("anchor", "key").agg(F.sum(F.col("weight") * F.col("aw")).alias("s"))
+    whole = able.unionByName(rest).groupBy("anchor", "key").agg(F.round(F.sum("s"), DIGITS).alias("cosine")).where("cosine > 0")
+    ranked = whole.withColumn("rank", F.row_number().over(Window.partitionBy("anchor").orderBy(F.col("cosine").desc(), "key"))).where(F.col("rank") <= k)
+    return ranked.select(F.col("anchor").alias(anchor_key), "rank", F.col("key").alias(key), "cosine")
+
+
 @dataclass
 class Loadings:
     """What run() gives."""

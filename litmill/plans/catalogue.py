@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from litmill.functions import text as T
-from litmill.operators import agreement, coding, dedupe, enrich, frequency, fulltext, landscape, sampling, semantic
+from litmill.operators import agreement, coding, dedupe, enrich, frequency, fulltext, groups, landscape, sampling, semantic, tsne
 from litmill.operators import relations as R
 from litmill.operators import vocabulary as V
 from litmill.operators.rules import Rule, RuleSet, has, rule_table
+from litmill.operators.settled import settled
 from litmill.sources import files, services
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -517,6 +518,44 @@ def tfidf_cosine(spark, sf):
     return semantic.tfidf_cosines(w.where(F.col("id").startswith("d")), a, key="id", anchor_key="a_id").select("id", "anchor", F.round("cosine", 6).alias("cosine"))
 
 
+@query("WITH " + _TFIDF.format(key="id", text="text", table="(SELECT 'd' || doc_id AS id, text FROM documents UNION ALL SELECT 'b' || item_id, text FROM benchmark)") + """, s AS (
+  SELECT a.id AS anchor, b.id AS id, round(sum(a.weight * b.weight), 9) AS cosine FROM w a JOIN w b ON a.term = b.term WHERE a.id LIKE 'b%' AND b.id LIKE 'd%' GROUP BY 1, 2)
+  SELECT anchor, CAST(row_number() OVER o AS INTEGER) AS rank, id, round(cosine, 6) AS cosine FROM s WHERE cosine > 0 WINDOW o AS (PARTITION BY anchor ORDER BY cosine DESC, id) QUALIFY row_number() OVER o <= 10""")
+def tfidf_topk(spark, sf):
+    """The ten nearest of all documents for each benchmark item, found by bounds."""
+    named = lambda table_, letter, key: table(spark, sf, table_).select(F.concat(F.lit(letter), F.col(key).cast("string")).alias("id"), "text")
+    w = settled(semantic.tfidf(named("documents", "d", "doc_id").unionByName(named("benchmark", "b", "item_id")), key="id", text="text", pattern="[a-z]{2,}"))
+    a = w.where(F.col("id").startswith("b")).withColumnRenamed("id", "anchor")
+    return semantic.top_cosines(w.where(F.col("id").startswith("d")), a, 10, key="id", anchor_key="anchor").withColumn("cosine", F.round("cosine", 6))
+
+
+@query()
+def sparse_components(spark, sf):
+    """Coordinates of all benchmark items on the first eight components of their TF-IDF vectors."""
+    w = semantic.tfidf(table(spark, sf, "benchmark"), key="item_id", text="text", pattern="[a-z]{2,}")
+    found, _ = landscape.sparse_components(w, 8, row="item_id", term="term", center=True)
+    return found
+
+
+@query()
+def tsne_landscape(spark, sf):
+    return tsne.project(table(spark, sf, "embeddings"), "vec_id", "embedding").select("vec_id", *(F.round(c, 4).alias(c) for c in ("tsne_x", "tsne_y")))
+
+
+@query()
+def supplier_groups(spark, sf):
+    """Suppliers that serve the same orders, by groups of the graph of all lines."""
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("suppliers"))
+    return groups.communities(R.pairs(lines, "l_orderkey", "suppliers"))[0].select(F.col("node").alias("s_suppkey"), "community")
+
+
+@query()
+def concept_groups(spark, sf):
+    """Groups and places of labels that documents share."""
+    edges = settled(cooccurrence_edges(spark, sf))
+    return groups.communities(edges)[0].join(groups.layout(edges), "node").select("node", "community", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+
+
 @query()
 def pca_landscape(spark, sf):
     return landscape.coordinates(table(spark, sf, "embeddings"), "embedding").select("vec_id", "label", F.round("pca_x", 4).alias("pca_x"), F.round("pca_y", 4).alias("pca_y"))
@@ -744,6 +783,21 @@ def density_grid(spark, sf):
     return d.select(*(F.round(c, 6).alias(c) for c in ("gx", "gy", "density")))
 
 
+@query("""WITH p AS (SELECT label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings WHERE embedding[1] IS NOT NULL AND embedding[2] IS NOT NULL),
+  m AS (SELECT label, count(*) AS n, var_samp(x) * 0.09 AS a, covar_samp(x, y) * 0.09 AS b, var_samp(y) * 0.09 AS c FROM p GROUP BY label HAVING count(*) >= 6),
+  o AS (SELECT label, n, b / a AS shear, sqrt(a) / 16 AS dx, sqrt(c - b * b / a) / 16 AS dy, a * (1 - 1 / 1536.0) AS a, (c - b * b / a) * (1 - 1 / 1536.0) AS c FROM m WHERE a > 0 AND a * c - b * b > a * c * 1e-12),
+  u AS (SELECT p.label, x / dx AS u, (y - shear * x) / dy AS v FROM p JOIN o ON p.label IS NOT DISTINCT FROM o.label),
+  k AS (SELECT label, floor(u) + i AS cx, floor(v) + j AS cy, sum((CASE i WHEN 1 THEN u - floor(u) ELSE 1 - u + floor(u) END) * (CASE j WHEN 1 THEN v - floor(v) ELSE 1 - v + floor(v) END)) AS w
+    FROM u, range(2) AS r(i), range(2) AS q(j) GROUP BY ALL), g AS (SELECT -0.5 + i / 19.0 AS g FROM range(20) t(i)),
+  r AS (SELECT k.label, g AS gx, cy, sum(w * exp(-((g - cx * dx) ** 2) / (2 * a))) AS w FROM k JOIN o ON k.label IS NOT DISTINCT FROM o.label, g GROUP BY ALL)
+  SELECT r.label, round(gx, 6) AS gx, round(g, 6) AS gy, round(sum(w * exp(-((g - shear * gx - cy * dy) ** 2) / (2 * c)) / (n * 2 * pi() * sqrt(a * c))), 6) AS density FROM r JOIN o ON r.label IS NOT DISTINCT FROM o.label, g GROUP BY r.label, gx, g""")
+def density_binned(spark, sf):
+    """Densities of the vectors of each label, with the covariance of its own, from cells."""
+    x, y = (F.col("embedding")[i] for i in range(2))
+    d = landscape.kde(table(spark, sf, "embeddings"), x, y, factor=0.3, xs=(-0.5, 0.5, 20), ys=(-0.5, 0.5, 20), by=("label",))
+    return d.select("label", *(F.round(c, 6).alias(c) for c in ("gx", "gy", "density")))
+
+
 @query("""SELECT vec_id, CASE WHEN top - second < 0.05 THEN 'balanced' WHEN a = top THEN 'bio-dominant' WHEN b = top THEN 'psych-dominant' ELSE 'social-dominant' END AS balance FROM (
   SELECT *, greatest(a, b, c) AS top, a + b + c - greatest(a, b, c) - least(a, b, c) AS second FROM (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CAST(embedding[3] AS DOUBLE) AS c FROM embeddings))""")
 def domain_balance(spark, sf):
