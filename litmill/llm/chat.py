@@ -12,7 +12,9 @@ What looks like a mark inside a text is escaped so that it can be read back: ``<
 becomes ``\l|``, ``### `` becomes ``\h## ``, a colon in a role ``\c``, and a backslash before b, l, h or c ``\b``. No
 mark is left in an escaped text and every escape has one reading.
 
-The loss mask is a list of spans of the formatted string, in code points: the content of each assistant turn.
+The loss mask is a list of spans of the formatted string, in code points, each with its turn's place: the content of each
+assistant turn. Spans come from running sums over a conversation's turns, and are read by their turns, so that the work
+grows with a conversation's length and not with its square.
 
 Nulls: null texts and roles count as empty, null parts as none; a null kind is text. Kinds without a rule get a
 placeholder without tokens. Rows of one turn are put in the order of role and content; null turns come first. A null
@@ -22,7 +24,7 @@ string of the result, so its rows meet in one task, however long its texts; rows
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from litmill.llm._base import table
@@ -77,7 +79,7 @@ def _visit_attachment(part: Column) -> Column:
 
 
 def format_chat(turns: DataFrame, *, conv: str = "conv_id", turn: str = "turn", role: str = "role", parts: str = "parts", learn: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """conv, n_turns, formatted, loss_spans array<struct<start,end>>, attachments array<struct<kind,uri,tokens>>, expanded_tokens."""
+    """conv, n_turns, formatted, loss_spans array<struct<start,end,turn>>, attachments array<struct<kind,uri,tokens>>, expanded_tokens."""
     content = F.array_compact(F.coalesce(F.col(parts), F.array().cast(PARTS)))
     who = F.coalesce(F.col(role), F.lit(""))
     # Only rendered strings go through the shuffle.
@@ -91,21 +93,22 @@ def format_chat(turns: DataFrame, *, conv: str = "conv_id", turn: str = "turn",
             F.transform(F.filter(content, lambda p: _kind(p) != "text"), _visit_attachment).alias("attachments"),
         ).alias("t"),
     )
-    grouped = rendered.groupBy("conv").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    order = [F.col(f"t.{c}").asc_nulls_first() for c in ("turn", "head", "content", "learnt")]
+    upto = F.sum(F.length("t.head") + F.length("t.content") + F.lit(len(TAIL))).over(Window.partitionBy("conv").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    place = F.row_number().over(Window.partitionBy("conv").orderBy(*order))
+    rendered = rendered.select("conv", "t", (upto - len(TAIL)).cast("int").alias("end"), (place - 1).alias("place"))
+    # The same partitioning as the window's: rows don't move again.
+    grouped = rendered.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("place", "end", "t"))).alias("turns"))
 
-    def span(acc: Column, t: Column) -> Column:
-        start = acc["at"] + F.length(t["head"])
-        end = start + F.length(t["content"])
-        spans = F.when(t["learnt"], F.concat(acc["spans"], F.array(F.struct(start.alias("start"), end.alias("end"))))).otherwise(acc["spans"])
-        return F.struct((end + len(TAIL)).cast("int").alias("at"), spans.alias("spans"))
+    def span(x: Column) -> Column:
+        return F.struct((x["end"] - F.length(x["t"]["content"])).alias("start"), x["end"].alias("end"), x["place"].alias("turn"))
 
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-    attachments = F.flatten(F.transform("turns", lambda t: t["attachments"]))
+    attachments = F.flatten(F.transform("turns", lambda x: x["t"]["attachments"]))
     return grouped.select(
         F.col("conv").alias(conv),
         F.size("turns").cast("bigint").alias("n_turns"),
-        F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["content"], F.lit(TAIL))), "").alias("formatted"),
-        F.aggregate("turns", first, span)["spans"].alias("loss_spans"),
+        F.array_join(F.transform("turns", lambda x: F.concat(x["t"]["head"], x["t"]["content"], F.lit(TAIL))), "").alias("formatted"),
+        F.transform(F.filter("turns", lambda x: x["t"]["learnt"]), span).alias("loss_spans"),
         attachments.alias("attachments"),
         F.aggregate(attachments, F.lit(0).cast("bigint"), lambda s, a: s + a["tokens"]).alias("expanded_tokens"),
     )
@@ -124,8 +127,13 @@ def read_back(formatted: Column) -> Column:
     return F.transform(whole, turn)
 
 
+def masked_turns(turns: Column, spans: Column) -> Column:
+    """The texts under the loss mask, with nothing between, by their turns. turns: a column of what read_back() gives."""
+    return F.array_join(F.transform(spans, lambda s: F.get(turns, s["turn"])["text"]), "")
+
+
 def under_mask(formatted: Column, spans: Column) -> Column:
-    """The texts under the loss mask, unescaped, with nothing between."""
+    """The same by code points; each span is looked for from the start of the string."""
     return F.array_join(F.transform(spans, lambda s: unescape(formatted.substr(s["start"] + 1, s["end"] - s["start"]))), "")
 
 
@@ -137,7 +145,8 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     own = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(OWN).alias("text"))
     made = format_chat(rows.unionByName(own).select("conv_id", "turn", "role", text_part(F.col("text")).alias("parts")))
-    read = made.select("conv_id", "formatted", read_back(F.col("formatted")).alias("turns"), under_mask(F.col("formatted"), F.col("loss_spans")).alias("loss"), "expanded_tokens")
+    read = made.select("conv_id", "formatted", read_back(F.col("formatted")).alias("turns"), "loss_spans")
+    read = read.select("conv_id", "formatted", "turns", masked_turns(F.col("turns"), F.col("loss_spans")).alias("loss"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id",

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -13,12 +14,12 @@ def test_texts_with_marks_read_back(spark):
     bits = ["\\", "b", "l", "h", "c", "### ", "#", "</turn>", "\n", "<|image|>", "<", ":", "é", "😀", "user", " ok", "\n</turn>\n### user:\n"]
     texts = ["".join(random.choices(bits, k=random.randrange(12))) for _ in range(600)] + [None, "", "x" * 200_000]
     rows = [(i // 3, i, random.choice(["user", "assistant", "a:b\\c\n### ", None]), [("text", t, None, None)], "clash") for i, t in enumerate(texts)]
-    made = chat.format_chat(spark.createDataFrame(rows, SCHEMA)).select("conv_id", chat.read_back(F.col("formatted")).alias("t"), chat.under_mask(F.col("formatted"), F.col("loss_spans")).alias("m"))
-    got = {r["conv_id"]: r for r in made.collect()}
+    made = chat.format_chat(spark.createDataFrame(rows, SCHEMA)).select("conv_id", chat.read_back(F.col("formatted")).alias("t"), chat.under_mask(F.col("formatted"), F.col("loss_spans")).alias("m"), "loss_spans")
+    got = {r["conv_id"]: r for r in made.withColumn("m2", chat.masked_turns(F.col("t"), F.col("loss_spans"))).collect()}
     for c in {r[0] for r in rows}:
         own = [r for r in rows if r[0] == c]
         assert [(t["role"], t["text"]) for t in got[c]["t"]] == [(r[2] or "", r[3][0][1] or "") for r in own]
-        assert got[c]["m"] == "".join(r[3][0][1] or "" for r in own if r[2] == "assistant")
+        assert got[c]["m"] == "".join(r[3][0][1] or "" for r in own if r[2] == "assistant") == got[c]["m2"]
 
 
 def test_nothing_is_forged_across_parts(spark):
@@ -67,3 +68,18 @@ def test_nulls_repeats_and_empty_tables(spark):
     got = {r["conv_id"]: r["formatted"] for r in chat.format_chat(df).collect()}
     assert got == {None: "### :\n\n</turn>\n" * 2, 2: "### user:\nfirst\n</turn>\n### user:\n\n</turn>\n"}
     assert chat.format_chat(df.where(F.lit(False))).count() == 0
+
+
+def test_time_grows_with_the_turns_and_not_their_square(spark, tmp_path):
+    def took(n):
+        path = f"{tmp_path}/{n}"
+        turns = spark.range(n).select(F.lit(1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("words of turn "), "id").alias("text"))
+        turns.write.parquet(f"{path}/conversations.parquet")
+        began = time.perf_counter()
+        r = next(r for r in chat.op2_chat(spark, path).collect() if r["conv_id"] == 1)
+        assert r["n_turns"] == n and r["loss_chars"] == sum(len(f"words of turn {i}") for i in range(1, n, 2))
+        return time.perf_counter() - began
+
+    took(2_000)
+    few = took(4_000)
+    assert took(16_000) <= 4 * few + 2
