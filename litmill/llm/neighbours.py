@@ -7,10 +7,12 @@ order of their distance from a query's projection, and points of these cells are
 ends once a point at no more than the distance of the k-th best so far would, with probability SURE, have been projected
 nearer than the next cell.
 
-On the cluster, the tree's upper part is cut from a bounded sample of projections; every row goes to its cell. Cells are
+On the cluster, the tree's upper part is cut from a bounded sample of projections; every row goes to its cell. There are as
+many cells as leave BLOCK rows in each, up to CELLS. Cells are
 held in blocks of about BLOCK rows, by a hash, so one value that very many rows share fills many blocks. A query
 first searches the cell it falls in, which bounds its k-th distance, and then the cells that the test doesn't rule out.
-Within a block the lower part of the tree leads the search. Queries meet blocks in parts of QUERIES.
+Within a block the lower part of the tree leads the search. Rows of a cell that no query goes to stay where they are; the others
+move once. A task holds a block's rows while the queries that go to it pass by, QUERIES at a time.
 
 Vectors that are null, zero, or hold nulls or non-finite components take no part, nor do null ids. A vector that is shorter
 than the longest counts as if zeros followed. Of rows with one id, one is the query; none is its own neighbour. Ties go to the smaller id; equal vectors get
@@ -30,7 +32,11 @@ from pyspark.sql.pandas.types import to_arrow_type
 from litmill.llm._base import DOCS_A_FILE, materialise, table
 
 DIMS, SURE, SEED = 8, 0.97, 11
-BLOCK, LEAF, QUERIES, SAMPLE, CELLS = 8192, 128, 16_384, 20_000, 2_048
+BLOCK, LEAF, QUERIES, CELLS = 8192, 128, 16_384, 1 << 16
+#: Projections of the sample that the upper tree is cut from: so many for each cell, and at least.
+PER_CELL, SAMPLE = 8, 20_000
+#: Part of the largest product possible by which products may be off.
+ROUNDING = 1e-12
 #: Queries whose products with a block are held at once.
 AT_ONCE = 256
 
@@ -140,7 +146,8 @@ def search_block(projection: Projection, ids: np.ndarray, x: np.ndarray, qids: n
                 d_k[rows] = np.minimum(d_k[rows], np.where(np.isfinite(least), projection.squared(q2[rows], np.where(np.isfinite(least), least, 0)), np.inf))
         # What is farther than the k-th best that is known already is not passed on.
         least = np.maximum(best.min(axis=1), np.where(np.isfinite(reach[first : first + AT_ONCE]), (q2 + projection.norm2 - reach[first : first + AT_ONCE]) / 2, -np.inf))
-        a, b = np.nonzero((product >= np.where(np.isfinite(least), least - 1e-9, -np.inf)[:, None]) & np.isfinite(product))
+        slack = ROUNDING * np.sqrt(q2 * projection.norm2)
+        a, b = np.nonzero((product >= np.where(np.isfinite(least), least - slack, -np.inf)[:, None]) & np.isfinite(product))
         exact = np.empty(len(a))
         for s in range(0, len(a), 1 << 14):  # summed in one order for every row, so that equal vectors tie
             exact[s : s + (1 << 14)] = (own[a[s : s + (1 << 14)]] * x[b[s : s + (1 << 14)]]).sum(axis=1)
@@ -166,6 +173,16 @@ def _usable(vectors: DataFrame, key: str, vector: str) -> tuple[DataFrame, int]:
     return rows.withColumn("v", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(longest) - F.size("v")))), longest
 
 
+def _dealt(placed: DataFrame, queries: DataFrame, asked: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (kind 0) and queries (kind 1) as they meet, with cell and block: a row once, a query once for each block that it searches."""
+    blocks = F.broadcast(blocks)  # a row a cell
+    wanted = F.broadcast(materialise(asked.select("cell").distinct().join(blocks, "cell"), CELLS))
+    held = placed.join(wanted, "cell").select("cell", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), F.lit(0).alias("kind"), "id", "v", F.lit(None).cast("double").alias("reach"))
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
+    dealt = asked.join(blocks, "cell").join(queries.select("id", "v"), "id").select("cell", every.alias("block"), F.lit(1).alias("kind"), "id", "v", "reach")
+    return held, dealt
+
+
 def nearest(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 20, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products of each query, the rows whose id ``every`` divides."""
     spark = vectors.sparkSession
@@ -176,10 +193,17 @@ def nearest(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, e: s + e * e))
     n, top = rows.agg(F.count("*"), F.max(norm)).first()
     projection = Projection(length, top)
-    share = min(1.0, SAMPLE / n)
-    chosen = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("v").limit(2 * SAMPLE).toArrow()
     depth = max(0, min(int(math.log2(CELLS)), math.ceil(math.log2(max(1, n / block)))))
-    sent = spark.sparkContext.broadcast((projection, Cells(projection.points(_matrix(chosen["v"], length)), depth)))
+    size = max(SAMPLE, PER_CELL << depth)
+    share = min(1.0, size / n)
+
+    def project(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(list(projection.points(_matrix(batch.column(0), length))), pa.list_(pa.float64()))], names=["p"])
+
+    chosen = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("v").limit(2 * size)
+    sample = _matrix(chosen.mapInArrow(project, "p array<double>").toArrow()["p"], DIMS)
+    sent = spark.sparkContext.broadcast((projection, Cells(sample, depth)))
 
     def place(batches):
         projection, cells = sent.value
@@ -194,38 +218,53 @@ def nearest(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding
     placed = materialise(rows.mapInArrow(place, f"id {kind}, v array<double>, cell bigint, home bigint, p array<double>"), n, DOCS_A_FILE)
     sides = [f(F.col("p")[d]).alias(f"{name}{d}") for name, f in (("l", F.min), ("h", F.max)) for d in range(DIMS)]
     boxes = placed.groupBy("cell").agg(F.count("*").alias("n"), *sides).collect()  # CELLS rows at most
-    parts = {r["cell"]: max(1, math.ceil(r["n"] / block)) for r in boxes}
-    n_of = F.create_map(*(F.lit(x) for c, p in parts.items() for x in (c, p)))
+    blocks = materialise(placed.groupBy("cell").agg(F.ceil(F.count("*") / block).alias("blocks")), len(boxes))
     is_query = F.pmod("id", F.lit(every)) == 0
     n_queries = placed.where(is_query).count()
-    query_parts = max(1, math.ceil(n_queries / QUERIES))
-
-    def part_of(column):
-        return F.pmod(F.xxhash64(column, F.lit(SEED)), F.lit(query_parts))
-
-    held = placed.select("id", "v", "cell", F.pmod(F.xxhash64("id"), n_of[F.col("cell")]).alias("block"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(query_parts - 1).cast("bigint"))).alias("part"))
     queries = placed.where(is_query).groupBy("id").agg(F.min(F.struct("v", "home")).alias("x")).select("id", "x.v", "x.home")
 
     id_type = to_arrow_type(vectors.schema[key].dataType)
 
     def run(asked: DataFrame) -> DataFrame:
-        """asked: id, v, cell, reach. Every block of the cell is searched."""
-        dealt = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), n_of[F.col("cell")].cast("bigint") - 1))).withColumn("part", part_of("id"))
-
-        def pair(left: pa.Table, right: pa.Table) -> pa.Table:
-            if left.num_rows and right.num_rows:
-                ids, qids = left["id"].to_numpy(), right["id"].to_numpy()
-                a, b, s = search_block(sent.value[0], ids, _matrix(left["v"], length), qids, _matrix(right["v"], length), right["reach"].to_numpy(), k)
-                ids, qids = ids[b], qids[a]
-            else:
-                ids, qids, s = [], [], []  # a side without rows has no columns
-            kinds = [id_type, id_type, pa.float64()]
-            return pa.table([pa.array(c, t) for c, t in zip((qids, ids, s), kinds, strict=True)], names=["query_id", "vec_id", "score"])
-
-        keys = ["cell", "block", "part"]
-        return held.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(pair, schema)
-
-    near = materialise(run(queries.where(F.col("home").isin(list(parts))).select("id", "v", F.col("home").alias("cell"), F.lit(float("inf")).alias("reach"))), k * n_queries)
+        """asked: id, cell, reach, written. Every block of the cell is searched."""
+        held, dealt = _dealt(placed, queries, asked, blocks)
+
+        def search(rows: list[pa.RecordBatch], asked: list[pa.RecordBatch]):
+            if not rows or not asked:
+                return
+            left, right = pa.Table.from_batches(rows), pa.Table.from_batches(asked)
+            ids, qids = left["id"].to_numpy(), right["id"].to_numpy()
+            a, b, s = search_block(sent.value[0], ids, _matrix(left["v"], length), qids, _matrix(right["v"], length), right["reach"].to_numpy(), k)
+            for at in range(0, len(a), 1 << 16):
+                one = slice(at, at + (1 << 16))
+                kinds = [id_type, id_type, pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((qids[a[one]], ids[b[one]], s[one]), kinds, strict=True)], names=["query_id", "vec_id", "score"])
+
+        def walk(batches):
+            of, rows, asked, n = None, [], [], 0
+            for batch in batches:
+                keys = np.stack([batch.column(c).to_numpy() for c in range(3)], axis=1)
+                cuts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1), [True]])) if len(keys) else []
+                for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
+                    cell, block_, which = keys[start].tolist()
+                    part = batch.slice(start, stop - start)
+                    if (cell, block_) != of:
+                        yield from search(rows, asked)
+                        of, rows, asked, n = (cell, block_), [], [], 0
+                    if which == 0:
+                        rows.append(part)
+                        continue
+                    asked.append(part)
+                    n += part.num_rows
+                    if n >= QUERIES:
+                        yield from search(rows, asked)
+                        asked, n = [], 0
+            yield from search(rows, asked)
+
+        both = held.unionByName(dealt).repartition("cell", "block").sortWithinPartitions("cell", "block", "kind")
+        return both.mapInArrow(walk, schema)
+
+    near = materialise(run(materialise(queries.select("id", F.col("home").alias("cell"), F.lit(float("inf")).alias("reach")), n_queries)), k * n_queries)
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     kth = near.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("least"))
     cells = np.array([r["cell"] for r in boxes], np.int64)
@@ -246,10 +285,10 @@ def nearest(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding
             a, b = np.nonzero(go)
             for s in range(0, len(a), 4096):
                 i = pa.array(a[s : s + 4096])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(i), batch.column(1).take(i), pa.array(cells[b[s : s + 4096]]), pa.array(reach[a[s : s + 4096]])], names=["id", "v", "cell", "reach"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(i), pa.array(cells[b[s : s + 4096]]), pa.array(reach[a[s : s + 4096]])], names=["id", "cell", "reach"])
 
-    routed = queries.join(kth, "id", "left").select("id", "v", "home", "least").mapInArrow(route, f"id {kind}, v array<double>, cell bigint, reach double")
-    both = near.unionByName(run(routed))
+    routed = queries.join(kth, "id", "left").select("id", "v", "home", "least").mapInArrow(route, f"id {kind}, cell bigint, reach double")
+    both = near.unionByName(run(materialise(routed)))
     return both.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -72,3 +72,41 @@ def test_what_takes_no_part_and_few_candidates(spark):
 def test_shorter_vectors_count_as_if_zeros_followed(spark):
     rows = [(0, [1.0, 2.0], 1, ""), (1, [3.0], 1, ""), (20, [2.0, -1.0, 4.0], 1, "")]
     assert got(nn.nearest(spark.createDataFrame(rows, SCHEMA))) == {0: [(-3.0, 1), (0.0, 20)], 20: [(-6.0, 1), (0.0, 0)]}
+
+
+def test_long_vectors_tie_by_exact_products():
+    rng = np.random.default_rng(9)
+    x = np.repeat(rng.standard_normal((60, 16)) * 1e6, 50, axis=0)
+    q = rng.standard_normal((200, 16)) * 1e6
+    ids, qids = rng.permutation(len(x)), np.arange(10_000, 10_200)
+    a, b, s = nn.search_block(nn.Projection(16, float(np.linalg.norm(np.concatenate([x, q]), axis=1).max())), ids, x, qids, q, np.full(200, np.inf), 20)
+    for i in range(200):
+        exact = (q[i] * x).sum(axis=1)
+        want = np.lexsort((ids, -exact))[:20]
+        assert ids[b[a == i]].tolist() == ids[want].tolist() and s[a == i].tolist() == exact[want].tolist()
+
+
+def test_rows_move_as_often_at_any_size(spark, monkeypatch):
+    moved, dealt = [], nn._dealt
+
+    def counted(placed, *rest):
+        held, asked = dealt(placed, *rest)
+        moved.append((held.count(), placed.count()))
+        return held, asked
+
+    monkeypatch.setattr(nn, "_dealt", counted)
+    monkeypatch.setattr(nn, "QUERIES", 50)
+    for n in (1_000, 8_000):
+        rng = np.random.default_rng(10)
+        rows = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((40, 6))[rng.integers(0, 40, n)] * 5 + rng.standard_normal((n, 6)) * 0.1)]
+        nn.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), block=250).count()
+        assert len(moved) == 2 and all(held <= every == n for held, every in moved)
+        moved.clear()
+
+
+def test_extra_columns_may_have_any_name(spark):
+    names = ("id", "v", "cell", "home", "p", "block", "part", "reach", "blocks", "parts", "query_id", "rank")
+    rng = np.random.default_rng(12)
+    rows = [(i, rng.standard_normal(4).tolist(), *names) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, " + ", ".join(f"{n} string" for n in names))
+    assert nn.nearest(df, k=3).count() == 9
