@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from litmill.functions import text as T
 from litmill.operators.relations import project, stack
+from litmill.sources import sheets
 from litmill.sources.schema import LISTS, RECORD, ddl
 
 
@@ -19,25 +20,25 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def _typed(text: Column, name: str, kind: str) -> Column:
+    """A cell's text as a column of records; blank is null, lists are packed by bars."""
+    c = F.when(T.strip(text) != "", text)
+    if kind.startswith("array"):
+        return T.unpacked(c)
+    if kind == "int":
+        return T.year_of(c)
+    if name == "pmid":
+        return F.regexp_replace(c, r"\.0$", "")
+    return c.try_cast(kind) if kind != "string" else c
+
+
 def read_csv(spark: SparkSession, path: str, columns) -> DataFrame:
     """Columns by name with their types; blank is null, lists are packed by bars. A missing path is an empty frame."""
     if not exists(spark, path):
         return spark.createDataFrame([], ddl(columns))
     raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
 
-    def typed(name: str, kind: str) -> Column:
-        if name not in raw.columns:
-            return F.lit(None).cast(kind).alias(name)
-        c = F.when(T.strip(F.col(name)) != "", F.col(name))
-        if kind.startswith("array"):
-            return T.unpacked(c).alias(name)
-        if kind == "int":
-            return T.year_of(c).alias(name)
-        if name == "pmid":
-            return F.regexp_replace(c, r"\.0$", "").alias(name)
-        return (c.try_cast(kind) if kind != "string" else c).alias(name)
-
-    return raw.select(*(typed(n, t) for n, t in columns))
+    return raw.select(*((_typed(F.col(n), n, t) if n in raw.columns else F.lit(None).cast(t)).alias(n) for n, t in columns))
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -138,18 +139,12 @@ def with_text_blob(records: DataFrame) -> DataFrame:
 
 
 def read_excel(spark: SparkSession, path: str, columns=RECORD) -> DataFrame:
-    """A workbook's first sheet; needs openpyxl on the driver, which is not part of Spark."""
-    try:
-        import openpyxl  # noqa: F401
-    except ImportError as e:
-        raise RuntimeError("reading workbooks needs openpyxl; convert to CSV instead") from e
-    import pandas as pd
-
-    rows = pd.read_excel(path, dtype=str).fillna("")
-    return project(spark.createDataFrame(rows) if len(rows) else spark.createDataFrame([], ddl(columns)), columns)
+    """A workbook's first sheet, as read_csv() reads a table."""
+    kinds = dict(columns)
+    return sheets.read_table(spark, path, [(n, "string") for n, _ in columns]).select(*(_typed(F.col(n), n, kinds[n]).alias(n) for n, _ in columns))
 
 
-READERS = {".csv": lambda s, p: project(read_csv(s, p, RECORD), RECORD), ".ris": read_ris, ".nbib": read_nbib, ".xlsx": read_excel, ".xls": read_excel}
+READERS = {".csv": lambda s, p: project(read_csv(s, p, RECORD), RECORD), ".ris": read_ris, ".nbib": read_nbib, ".xlsx": lambda s, p: project(read_excel(s, p), RECORD)}
 
 
 def read_folder(spark: SparkSession, folder: str) -> tuple[DataFrame, list[str]]:
