@@ -179,7 +179,8 @@ class FuzzyTrie:
 class Lexicon:
     """Entries with weights, matched through misspellings; scores whole texts."""
 
-    REMEMBER = 60_000
+    #: Words that are remembered, about, and their characters at most; longer ones, as encoded data, are matched anew.
+    REMEMBER, LONGEST = 60_000, 64
 
     def __init__(self, entries: list[tuple[str, bool, float]], exact: frozenset[str] = frozenset(), curve: tuple[float, float] = PRIOR):
         """entries: text, whether a stem, weight; exact: the entries that take no edits."""
@@ -188,7 +189,7 @@ class Lexicon:
 
     def _open(self) -> None:
         self.trie = FuzzyTrie([(t, stem, 0 if t in self.exact or stem and len(t) < 6 else edits_of(t)) for t, stem, _ in self.list])
-        self.seen = Remember(self._match, self.REMEMBER)
+        self.seen = Remember(self._match, self.REMEMBER, keep=lambda word: len(word) <= self.LONGEST)
 
     def _match(self, word: str) -> tuple[int, int] | None:
         w = bare(word)
@@ -229,14 +230,18 @@ def _context(words: list[str], at: int) -> float:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, folds: int, held: int, rows: int) -> DataFrame:
-    """y, text: at most ``rows`` labelled rows outside the held-out fold. Their keys are few enough to send everywhere."""
+    """y, text: at most ``rows`` labelled documents outside the held-out fold. Their keys are few enough to send everywhere.
+
+    Of rows that share a key, the one whose text hashes lowest is the document.
+    """
     usable = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & (fold(key, folds) != held))
     usable = usable.groupBy(F.col(key).alias("_key")).agg(F.max(label).alias("y"))
     n = usable.count()
     if n > 2 * rows:  # so that no task sorts more than a few times as many
         usable = usable.where(F.pmod(F.xxhash64("_key"), F.lit(1 << 30)) < int((1 << 30) * 1.5 * rows / n))
     chosen = usable.orderBy(F.xxhash64("_key"), "_key").limit(rows)
-    return docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).join(F.broadcast(chosen), "_key").select("y", "text")
+    rows_of = docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).join(F.broadcast(chosen), "_key")
+    return rows_of.groupBy("_key").agg(F.max("y").alias("y"), F.min_by("text", F.xxhash64("text")).alias("text")).select("y", "text")
 
 
 def _features(sample: DataFrame) -> DataFrame:

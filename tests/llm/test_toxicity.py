@@ -233,3 +233,17 @@ def test_nulls_repeats_clashing_names_and_empty_tables(spark):
         got = tox.score(docs, tox.learn(docs, labels)).collect()
         assert sorted((r["doc_id"] or 0, r["predicted"]) for r in got) == [(0, 0), (1, 0), (2, 0), (3, 1), (3, 1), (5, 0)]
     assert tox.score(docs.where(F.lit(False)), tox.learn(docs.where(F.lit(False)), odd)).count() == 0
+
+
+def test_long_words_are_not_remembered():
+    lexicon = tox.Lexicon([("moron", False, 3.0)])
+    blobs = [f"{i:05}" + "QUJD" * 500 for i in range(300)]
+    assert lexicon.evidence(" ".join([*blobs, "you", "moron"]))[1] == 1
+    assert set(lexicon.seen) <= {"you", "moron"}
+
+
+def test_rows_of_one_key_are_one_document_of_the_sample(spark):
+    docs = spark.range(3_000).select(F.when(F.col("id") < 2_900, 4).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    labels = docs.select("doc_id").distinct().withColumn("toxic", (F.col("doc_id") % 2).cast("int"))
+    sample = tox._sample(docs, labels, "doc_id", "text", "toxic", 3, 1, 50).collect()
+    assert len(sample) == 50
