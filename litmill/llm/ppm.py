@@ -10,7 +10,8 @@ Every symbol that a context has seen was seen by its suffixes too. So what a lon
 is one sum of counts and one number of symbols, and the code length of a symbol is a sum over the contexts it falls
 through. score() uses counts over all training texts; adaptive() learns from each text itself as it goes.
 
-On the cluster, texts are dealt to blocks by a hash. A block asks once for each distinct gram (a context and its symbol)
+On the cluster, texts are dealt to blocks by a hash of their row, not of its values, so that a row repeated very often
+fills many blocks; they are packed and written, and read from there. A block asks once for each distinct gram (a context and its symbol)
 and word that it has, with the count of its training texts. The sums of these counts over the blocks are the model; the
 trie's levels follow from them by windows over contexts, which have SYMBOLS rows at most, and each distinct gram's code
 length is worked out once, whatever the number of its places. The answers go back to the blocks that asked, and a block
@@ -101,7 +102,7 @@ def packs(docs: DataFrame, blocks: int, key: str, text: str) -> DataFrame:
     kind = dict(docs.dtypes)[key]
     id_type = to_arrow_type(docs.schema[key].dataType)
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.pmod(F.xxhash64(key, text), F.lit(blocks)).cast("int").alias("block"), F.col(key).alias("key"), body.cast("binary").alias("body"))
+    rows = docs.select(F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.col(key)), F.lit(blocks)).cast("int").alias("block"), F.col(key).alias("key"), body.cast("binary").alias("body"))
 
     def run(batches):
         codec = pa.Codec("zstd", compression_level=3)
@@ -330,7 +331,7 @@ def score(docs: DataFrame, *, order: int = ORDER, folds: int = 10, held: int = 0
     """key, held_out, n_tokens, n_known, train_tokens, base_score, score: a row a document, learnt from the rows not held out."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     blocks = max(1, -(-size // block_bytes), min(docs.sparkSession.sparkContext.defaultParallelism, size // LEAST_BLOCK))
-    packed = packs(docs, blocks, key, text)
+    packed = written(packs(docs, blocks, key, text), size, FILE_BYTES)  # a row's place decides, so it is dealt once
     asked = questions(packed.repartitionById(blocks, "block"), order, folds, held).groupBy("kind", "key").agg(F.sum("n").alias("n"), F.collect_list("block").alias("blocks"))
     asked = written(asked, size, FILE_BYTES)
     sums = {r["kind"]: r for r in asked.groupBy("kind").agg(F.sum("n").alias("s"), F.count_if(F.col("n") > 0).alias("known"), F.count("*").alias("n")).collect()}

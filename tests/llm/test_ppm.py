@@ -132,3 +132,12 @@ def test_nulls_repeats_and_empty_tables(spark):
     assert len({(r["score"], r["base_score"], r["n_known"]) for r in got if r["n_tokens"] == 4}) == 1
     assert ppm.score(docs.where(F.lit(False))).count() == 0
     assert ppm.score(docs.where("doc_id is null")).first()["score"] == pytest.approx(-2 * math.log10(257))
+
+
+def test_a_row_repeated_very_often_fills_many_blocks(spark):
+    docs = spark.range(300_000).select(F.lit(3).cast("bigint").alias("doc_id"), F.lit("the same text").alias("text"))
+    sizes = [r["n"] for r in ppm.packs(docs, 12, "doc_id", "text").groupBy("block").agg(F.sum(F.size("keys")).alias("n")).collect()]
+    assert len(sizes) == 12 and sum(sizes) == 300_000 and max(sizes) <= 1.1 * 25_000
+    some = docs.limit(20_000)
+    got = ppm.score(some, block_bytes=20_000).distinct().collect()
+    assert len(got) == 1 and got[0]["n_tokens"] == got[0]["n_known"] == 4 and got[0]["train_tokens"] == 4 * 20_000
