@@ -222,9 +222,9 @@ def first_sentence(text: Column, longest: int = 220) -> Column:
     return let(clean(text), lambda c: _sentence(c, longest))
 
 
-def fulltext_objective(text: Column) -> Column:
-    """The objective that the head of a full text states; empty if none does."""
-    head = squeeze(F.substring(blank(text), 1, FULLTEXT_HEAD))
+def fulltext_objective(text: Column, head: int | None = FULLTEXT_HEAD) -> Column:
+    """The objective that a full text states in its first ``head`` characters, or anywhere if None; empty if none is."""
+    head = squeeze(blank(text) if head is None else F.substring(blank(text), 1, head))
     return first_sentence(blank(let(head, lambda h: first_match(h, FULLTEXT_OBJECTIVE_PATTERNS, "(?i)"))), 190)
 
 

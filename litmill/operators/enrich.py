@@ -47,7 +47,10 @@ CHOICES = {
 
 
 def ask(records: DataFrame, enricher: Enricher, fields: Sequence[str], *, batch: int = BATCH, workers: int = WORKERS, tries: int = 1) -> DataFrame:
-    """answer, error, keys: a row a request. ``workers`` tasks ask, so that a service's limits hold."""
+    """answer, error, keys: a row a request, asked now and written, as requests cost and may be answered otherwise the next time.
+
+    ``workers`` tasks ask, so that a service's limits hold.
+    """
     fields = list(fields)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -70,7 +73,7 @@ def ask(records: DataFrame, enricher: Enricher, fields: Sequence[str], *, batch:
         if waiting:
             yield send()
 
-    return records.select(*fields).repartition(workers).mapInPandas(run, "answer string, error string, keys array<string>")
+    return settled(records.select(*fields).repartition(workers).mapInPandas(run, "answer string, error string, keys array<string>"))
 
 
 def answers(asked: DataFrame) -> DataFrame:
@@ -81,6 +84,49 @@ def answers(asked: DataFrame) -> DataFrame:
     return latest(each.where(F.col("record_id") != ""), ("record_id",), F.col("n")).drop("n")
 
 
+def _read(asked: DataFrame) -> DataFrame:
+    """keys, n, path, record (variant), fault: a row a record, or one with a fault for an answer that holds none."""
+    whole = F.try_parse_json(T.blank(T.bare_json(F.col("answer"))))
+    rows = asked.where("answer is not null").select("keys", "answer", whole.alias("whole"), F.monotonically_increasing_id().alias("at"))
+    inner = F.try_variant_get("whole", "$.records", "array<variant>")
+    form = F.when(F.col("whole").isNull(), "no JSON").when(F.schema_of_variant("whole").startswith("ARRAY"), "list").when(inner.isNotNull(), "records").otherwise("no records")
+    rows = rows.withColumn("form", form)
+    held = F.when(F.col("form") == "list", F.try_variant_get("whole", "$", "array<variant>")).when(F.col("form") == "records", inner)
+    each = rows.where(F.col("form").isin("list", "records")).select("at", "keys", "form", F.posexplode(held).alias("n", "record"))
+    path = F.concat(F.when(F.col("form") == "list", "$[").otherwise("$.records["), F.col("n").cast("string"), F.lit("]"))
+    none = rows.where(~F.col("form").isin("list", "records")).select("at", "keys", F.lit(0).alias("n"), F.lit("$").alias("path"), F.lit(None).cast("variant").alias("record"), F.col("form").alias("fault"), F.col("answer").alias("raw"))
+    return each.select("at", "keys", "n", path.alias("path"), "record", F.lit(None).cast("string").alias("fault"), F.to_json("record").alias("raw")).unionByName(none)
+
+
+def sorted_answers(asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Typed records, the last of repeated ones, and the quarantine: keys, path, reason, value of all that has not the form of an answer.
+
+    A field of another type goes to the quarantine with its path, and the rest of its record stays, with null in its place.
+    Records that are no objects or have no id, and answers that are no JSON (as those cut short) or hold no records, go as a
+    whole. Fields that no answer should have are listed too, and are left out. asked: of ask(), written.
+    """
+    fields = [x.strip().split(" ", 1) for x in ANSWER.split(", ")]
+    rows = settled(_read(asked))
+    is_object = F.schema_of_variant("record").startswith("OBJECT")
+    given = {name: F.try_variant_get("record", f"$.{name}", "variant") for name, _ in fields}
+    empty = {name: v.isNull() | F.is_variant_null(v) for name, v in given.items()}
+    typed = {name: F.try_variant_get("record", f"$.{name}", kind) for name, kind in fields}
+    kind_of = {name: F.schema_of_variant(v) for name, v in given.items()}
+    # A number or object is no text, though it can be cast to one; a list holds texts or nothing.
+    right = {name: kind_of[name].isin("ARRAY<STRING>", "ARRAY<VOID>") if kind.startswith("array") else kind_of[name] == "STRING" for name, kind in fields}
+    key = F.when(right["record_id"], T.strip(T.blank(typed["record_id"])))
+    whole = F.when(F.col("fault").isNotNull(), F.col("fault")).when(~is_object, "no object").when(F.coalesce(key, F.lit("")) == "", "no record_id")
+    rows = rows.withColumn("whole", whole)
+    good = rows.where("whole is null")
+    columns = [F.when(~empty[n] & right[n], typed[n]).alias(n) for n, _ in fields if n != "record_id"]
+    made = latest(good.select("at", "n", key.alias("record_id"), *columns), ("record_id",), F.col("at"), F.col("n")).drop("at", "n")
+    odd = [F.when(~empty[n] & ~right[n], F.struct(F.concat("path", F.lit(f".{n}")).alias("path"), F.concat(F.lit(f"no {kind}: "), F.lower(kind_of[n])).alias("reason"), F.to_json(given[n]).alias("value"))) for n, kind in fields]
+    names = F.map_keys(F.try_variant_get("record", "$", "map<string, variant>"))
+    unknown = F.transform(F.array_except(names, F.array(*(F.lit(n) for n, _ in fields))), lambda x: F.struct(F.concat("path", F.lit("."), x).alias("path"), F.lit("unknown field").alias("reason"), F.lit(None).cast("string").alias("value")))
+    parts = good.select("keys", F.explode(F.concat(F.array_compact(F.array(*odd)), unknown)).alias("x")).select("keys", "x.*")
+    return made, rows.where("whole is not null").select("keys", "path", F.col("whole").alias("reason"), F.col("raw").alias("value")).unionByName(parts)
+
+
 def _struct(ddl: str) -> str:
     return ", ".join(f"{a}: {b}" for a, b in (x.strip().split(" ", 1) for x in ddl.split(", ")))
 
@@ -122,8 +168,7 @@ def code(base: DataFrame, enricher: Enricher | None = None, *, batch: int = BATC
     if enricher is None:
         return coding.code_by_rules(base), None
     fields = [c for c in ("record_id", "title", "abstract", "publication_types", "journal", "year") if c in base.columns]
-    # Requests cost and may be answered otherwise the next time, so answers are written before they are used.
-    asked = settled(ask(base, enricher, fields, batch=batch, workers=workers))
+    asked = ask(base, enricher, fields, batch=batch, workers=workers)
     coded = repair(base, answers(asked))
     require_same_keys(base, coded, "record_id")
     log = asked.select(F.size("keys").alias("records"), "keys", F.when(F.col("error").isNull(), "ok").otherwise("failed").alias("status"), "error")

@@ -128,9 +128,29 @@ def within_band(columns: Sequence[Column], centre: float, width: float) -> Colum
     return F.greatest(*(F.abs(c - centre) for c in columns)) <= width
 
 
-def top_share(counts: DataFrame, k: int = 3) -> Column:
-    """Over a frame with n: the share of the k largest, as an aggregate."""
-    return F.expr(f"aggregate(slice(sort_array(collect_list(n), false), 1, {k}), 0D, (s, x) -> s + x) / sum(n)")
+def top_share(counts: DataFrame, k: int = 3) -> DataFrame:
+    """Of a frame with n: share, that of the k largest; each task passes on its k largest only."""
+    top = counts.orderBy(F.desc("n")).limit(k).agg(F.sum("n").alias("_top"))
+    return counts.agg(F.sum("n").alias("_all")).join(F.broadcast(top)).select((F.col("_top") / F.col("_all").cast("double")).alias("share"))
+
+
+def quantile_sketches(df: DataFrame, value: str, *keys: str, size: int = 2000) -> DataFrame:
+    """keys, n, sketch (binary): of each group a KLL sketch of its values, merged from those of the tasks.
+
+    Quantiles from it are off by a rank of about 1.7 / size of the group at most, in 99 of 100 cases: 0.1 % at 2,000. It takes a few
+    thousand numbers whatever the group, and sketches of parts can be kept and merged. Nulls are left out.
+    """
+    x = F.col(value).cast("double")
+    return df.where(x.isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), F.kll_sketch_agg_double(x, F.lit(size)).alias("sketch"))
+
+
+def merged_sketches(sketches: DataFrame, *keys: str, size: int = 2000) -> DataFrame:
+    """As quantile_sketches() of all rows, from sketches of parts of them."""
+    return sketches.groupBy(*keys).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch", F.lit(size)).alias("sketch"))
+
+
+def sketch_quantile(sketch: Column, share: float) -> Column:
+    return F.kll_sketch_get_quantile_double(sketch, F.lit(float(share)))
 
 
 def relative_to_largest(value: str, key: str) -> Column:

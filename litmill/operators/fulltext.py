@@ -94,7 +94,7 @@ def resolve_by_requests(candidates: DataFrame, links: Callable[[dict], str] | No
 
 
 def fetch_missing(candidates: DataFrame, cache: DataFrame, client: Callable[[str], str], *, workers: int = 4) -> DataFrame:
-    """pmcid, xml, error of the texts that the cache lacks, each fetched once."""
+    """pmcid, xml, error of the texts that the cache lacks, each fetched once, now, and written."""
     wanted = absent(candidates.where(F.col("pmcid") != "").select("pmcid").distinct(), cache, "pmcid")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -106,7 +106,7 @@ def fetch_missing(candidates: DataFrame, cache: DataFrame, client: Callable[[str
                     row = (k, None, f"{type(e).__name__}: {e}")
                 yield pd.DataFrame([row], columns=["pmcid", "xml", "error"])
 
-    return wanted.repartition(workers).mapInPandas(run, "pmcid string, xml string, error string")
+    return settled(wanted.repartition(workers).mapInPandas(run, "pmcid string, xml string, error string"))
 
 
 def _joined(node: ElementTree.Element | None) -> str:

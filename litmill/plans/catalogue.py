@@ -5,9 +5,10 @@ Each exercises operators of the package on whole tables; the names of their colu
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from litmill.functions import text as T
@@ -568,61 +569,78 @@ def kernel_values(spark, sf):
     return e.groupBy((F.col("vec_id") % 20).alias("gx"), (F.floor(F.col("vec_id") / 20) % 20).alias("gy")).agg(F.round(F.avg(F.exp(-((F.col("x") - at) ** 2))), 6).alias("v"))
 
 
-RIS = """TY  - JOUR
-TI  - A first title
-  that goes on
-AU  - Ames, A
-AU  - Bo, B
-PY  - 2019/03/
-DO  - 10.1/a
-ER  - 
-
-TY  - JOUR
-T1  - Second
-N2  - Text
-Y1  - 2020
-ER  - 
-TY  - LOST
-"""  # noqa: W291
-NBIB = """PMID- 11
-TI  - One title
-      goes on
-AU  - Cole C
-DP  - 2018 May
-MH  - Pain
-MH  - Care
-
-PMID- 12
-TI  - Two
-DEP - 20170102
-"""
+def _written(*parts: str) -> Column:
+    """Text made of literals and, in braces, expressions."""
+    return F.concat(*(F.expr(f"cast({p[1:-1]} AS string)") if re.fullmatch(r"\{[\w +]+\}", p) else F.lit(p) for p in parts))
 
 
-@query("SELECT * FROM (VALUES ('manual_demo_1', 'A first title that goes on', 2019, '10.1/a', 'Ames, A | Bo, B'), ('manual_demo_2', 'Second', 2020, '', '')) v(record_id, title, year, doi, authors)")
+@query("""SELECT 'manual_' || p_partkey || '_1' AS record_id, p_name || ' that goes on' AS title, CAST(1990 + p_size AS INTEGER) AS year, '10.1/' || p_partkey AS doi, 'Ames, ' || p_brand || ' | Bo, B' AS authors FROM part
+  UNION ALL SELECT 'manual_' || p_partkey || '_2', 'Second ' || p_partkey, 2020, '', '' FROM part""")
 def ris_parse(spark, sf):
-    t = spark.range(1).select(F.lit("demo.ris").alias("file"), F.lit("demo").alias("stem"), F.lit(RIS).alias("text"))
+    """A file for each part, with two records and a cut one."""
+    text = _written(
+        "TY  - JOUR\nTI  - ", "{p_name}", "\n  that goes on\nAU  - Ames, ", "{p_brand}", "\nAU  - Bo, B\nPY  - ", "{1990 + p_size}", "/03/\nDO  - 10.1/", "{p_partkey}",
+        "\nER  - \n\nTY  - JOUR\nT1  - Second ", "{p_partkey}", "\nN2  - Text\nY1  - 2020\nER  - \nTY  - LOST\n",
+    )
+    t = table(spark, sf, "part").select(_written("{p_partkey}", ".ris").alias("file"), _written("{p_partkey}").alias("stem"), text.alias("text"))
     return files.parse_ris(t).select("record_id", "title", "year", "doi", T.packed(F.col("authors")).alias("authors"))
 
 
-@query("SELECT * FROM (VALUES ('manual_demo_1', '11', 'One title goes on', 2018, 'Pain | Care'), ('manual_demo_2', '12', 'Two', 2017, '')) v(record_id, pmid, title, year, mesh)")
+@query("""SELECT 'manual_' || p_partkey || '_1' AS record_id, CAST(p_partkey AS VARCHAR) AS pmid, p_name || ' goes on' AS title, CAST(1990 + p_size AS INTEGER) AS year, p_brand || ' | Care' AS mesh FROM part
+  UNION ALL SELECT 'manual_' || p_partkey || '_2', '9' || p_partkey, 'Two', 2017, '' FROM part""")
 def nbib_parse(spark, sf):
-    t = spark.range(1).select(F.lit("demo.nbib").alias("file"), F.lit("demo").alias("stem"), F.lit(NBIB).alias("text"))
+    text = _written("PMID- ", "{p_partkey}", "\nTI  - ", "{p_name}", "\n      goes on\nAU  - Cole C\nDP  - ", "{1990 + p_size}", " May\nMH  - ", "{p_brand}", "\nMH  - Care\n\nPMID- 9", "{p_partkey}", "\nTI  - Two\nDEP - 20170102\n")
+    t = table(spark, sf, "part").select(_written("{p_partkey}", ".nbib").alias("file"), _written("{p_partkey}").alias("stem"), text.alias("text"))
     return files.parse_nbib(t).select("record_id", "pmid", "title", "year", T.packed(F.col("mesh_terms")).alias("mesh"))
 
 
-XML = """<Set><PubmedArticle><MedlineCitation><PMID Version="1">7</PMID><Article><Journal><JournalIssue><PubDate><Year>2021</Year><Month>Mar</Month></PubDate></JournalIssue><Title>J</Title></Journal>
-<ArticleTitle>Of <i>mixed</i> content</ArticleTitle><Abstract><AbstractText Label="AIM">To see.</AbstractText><AbstractText>More &amp; more.</AbstractText></Abstract>
-<AuthorList><Author><LastName>Dee</LastName><ForeName>Eva</ForeName></Author><Author><CollectiveName>Group</CollectiveName></Author></AuthorList>
-<PublicationTypeList><PublicationType>Retracted Publication</PublicationType></PublicationTypeList></Article></MedlineCitation>
-<PubmedData><ArticleIdList><ArticleId IdType="doi">10.2/b</ArticleId></ArticleIdList></PubmedData></PubmedArticle></Set>"""
-
-
-@query("SELECT 'pubmed_7' AS record_id, 'Of mixed content' AS title, 'AIM: To see.' || chr(10) || 'More & more.' AS abstract, 2021 AS year, '2021-Mar' AS publication_date, 'Eva Dee | Group' AS authors, '10.2/b' AS doi, 'retracted_or_retraction_notice' AS flag")
+@query("""SELECT 'pubmed_' || p_partkey AS record_id, 'Of ' || p_name || ' content' AS title, 'AIM: To see ' || p_brand || '.' || chr(10) || 'More & more.' AS abstract, CAST(1990 + p_size AS INTEGER) AS year, (1990 + p_size) || '-Mar' AS publication_date,
+  'Eva Dee | Group' AS authors, '10.2/' || p_partkey AS doi, 'retracted_or_retraction_notice' AS flag FROM part""")
 def pubmed_xml(spark, sf):
-    p = services.parse_pubmed(services.articles(spark.range(1).select(F.lit(XML).alias("payload"))))
+    """An answer for each part, with mixed content and labels."""
+    payload = _written(
+        '<Set><PubmedArticle><MedlineCitation><PMID Version="1">', "{p_partkey}", "</PMID><Article><Journal><JournalIssue><PubDate><Year>", "{1990 + p_size}", "</Year><Month>Mar</Month></PubDate></JournalIssue><Title>J</Title></Journal>\n<ArticleTitle>Of <i>",
+        "{p_name}", '</i> content</ArticleTitle><Abstract><AbstractText Label="AIM">To see ', "{p_brand}", ".</AbstractText><AbstractText>More &amp; more.</AbstractText></Abstract>\n<AuthorList><Author><LastName>Dee</LastName><ForeName>Eva</ForeName></Author>"
+        "<Author><CollectiveName>Group</CollectiveName></Author></AuthorList>\n<PublicationTypeList><PublicationType>Retracted Publication</PublicationType></PublicationTypeList></Article></MedlineCitation>\n"
+        '<PubmedData><ArticleIdList><ArticleId IdType="doi">10.2/', "{p_partkey}", "</ArticleId></ArticleIdList></PubmedData></PubmedArticle></Set>",
+    )
+    p = services.parse_pubmed(services.articles(table(spark, sf, "part").select(payload.alias("payload"))))
     return p.select("record_id", "title", "abstract", "year", "publication_date", T.packed(F.col("authors")).alias("authors"), "doi", F.col("publication_status_flag").alias("flag"))
 
 
+@query("""WITH a AS (SELECT p_partkey AS k, p_partkey % 7 AS form FROM part) SELECT k, '$' AS path, 'no JSON' AS reason FROM a WHERE form = 1 UNION ALL SELECT k, '$', 'no records' FROM a WHERE form = 2
+  UNION ALL SELECT k, '$[0].review_type', 'no string: object<deep: bigint>' FROM a WHERE form = 3 UNION ALL SELECT k, '$[0].extra', 'unknown field' FROM a WHERE form = 3
+  UNION ALL SELECT k, '$.records[1]', 'no record_id' FROM a WHERE form = 4 UNION ALL SELECT k, '$.records[0].psychological_concepts', 'no array<string>: string' FROM a WHERE form = 5
+  UNION ALL SELECT k, '$.records[0]', 'no object' FROM a WHERE form = 6""")
+def answer_quarantine(spark, sf):
+    """Answers for each part, cut short, nested otherwise or with fields of other types; the rest of them is typed."""
+    one = ('{"record_id": "', "{p_partkey}", '", "review_type": ')
+    forms = [
+        _written('{"records": [', *one, '"scoping review"}]}'),
+        _written('{"records": [', *one, '"scoping'),
+        _written('{"answer": ', *one, '"scoping review"}}'),
+        _written("[", *one, '{"deep": 1}, "extra": [1]}]'),
+        _written("```json\n", '{"records": [', *one, '"other"}, {"review_type": "lost"}]}', "\n```"),
+        _written('{"records": [', *one, 'null, "psychological_concepts": "fear"}]}'),
+        _written('{"records": ["', "{p_partkey}", '"]}'),
+    ]
+    answer = F.element_at(F.array(*forms), (F.col("p_partkey") % 7 + 1).cast("int"))
+    asked = table(spark, sf, "part").select(answer.alias("answer"), F.lit(None).cast("string").alias("error"), F.array(F.col("p_partkey").cast("string")).alias("keys"))
+    return enrich.sorted_answers(asked)[1].select(F.col("keys")[0].cast("bigint").alias("k"), "path", "reason")
+
+
+@query("SELECT l_returnflag, q, true AS within FROM (SELECT DISTINCT l_returnflag FROM lineitem), (VALUES (0.01), (0.25), (0.5), (0.75), (0.99)) v(q)")
+def quantile_sketch(spark, sf):
+    """Whether quantiles of sketches, merged from those of the suppliers, are within a rank of one in a hundred of the exact ones."""
+    lines = table(spark, sf, "lineitem").select("l_returnflag", "l_suppkey", F.col("l_extendedprice").cast("double").alias("x"))
+    parts = frequency.quantile_sketches(lines, "x", "l_returnflag", "l_suppkey")
+    merged = frequency.merged_sketches(parts, "l_returnflag")
+    each = F.array(*(F.struct(F.lit(q).alias("q"), frequency.sketch_quantile(F.col("sketch"), q).alias("got")) for q in (0.01, 0.25, 0.5, 0.75, 0.99)))
+    asked = settled(merged.select("l_returnflag", "n", F.explode(each).alias("e")).select("l_returnflag", "n", "e.*"))
+    ranks = lines.join(F.broadcast(asked), "l_returnflag").groupBy("l_returnflag", "q", "n").agg(F.count_if(F.col("x") < F.col("got")).alias("below"), F.count_if(F.col("x") <= F.col("got")).alias("upto"))
+    return ranks.select("l_returnflag", F.col("q").cast("decimal(3,2)").alias("q"), ((F.col("below") / F.col("n") <= F.col("q") + 0.01) & (F.col("upto") / F.col("n") >= F.col("q") - 0.01)).alias("within"))
+
+
 @query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'scoping or mapping review' WHEN 1 THEN 'systematic review' WHEN 2 THEN 'background framing' ELSE 'unclear' END AS label FROM events""")
 def choice_normaliser(spark, sf):
     raw = F.element_at(F.array(*map(F.lit, (" Scoping  Review", "systematic_review", "Background", "something else"))), (F.col("event_id") % 4 + 1).cast("int"))
@@ -774,7 +792,7 @@ def profile_angles(spark, sf):
 @query("SELECT round(sum(n) FILTER (k <= 3) / sum(n), 9) AS share FROM (SELECT n, row_number() OVER (ORDER BY n DESC) AS k FROM (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1))")
 def top_three_share(spark, sf):
     n = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"))
-    return n.agg(F.round(frequency.top_share(n), 9).alias("share"))
+    return frequency.top_share(n).select(F.round("share", 9).alias("share"))
 
 
 @query("WITH g AS (SELECT -0.5 + i / 39.0 AS v FROM range(40) t(i)) SELECT round(a.v, 6) AS gx, round(b.v, 6) AS gy, round(avg(exp(-((x - a.v) ** 2 + (y - b.v) ** 2) / 0.18)) / (2 * pi() * 0.09), 6) AS density FROM g a, g b, (SELECT CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings) GROUP BY 1, 2")

@@ -14,6 +14,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from litmill.functions import text as T
 from litmill.operators.relations import project, upsert
+from litmill.operators.settled import settled
 from litmill.sources.schema import MANIFEST, MANIFEST_KEYS, RECORD
 
 Client = Callable[[dict], str]
@@ -67,8 +68,9 @@ def page_source(client: Client, requests: Sequence[dict], *, name: str = "pages"
 
 
 def fetch(spark: SparkSession, client: Client, requests: Sequence[dict], *, name: str = "pages", pause: float = PAUSE) -> DataFrame:
+    """page, payload of every request, asked now and written."""
     spark.dataSource.register(page_source(client, requests, name=name, pause=pause))
-    return spark.read.format(name).load()
+    return settled(spark.read.format(name).load())
 
 
 def page_requests(total: int, size: int, most: int | None = None, **fixed) -> list[dict]:

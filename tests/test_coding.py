@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,3 +157,24 @@ def test_answers_are_repaired_and_failures_fall_back(spark):
 def test_model_choice():
     assert enrich.pick_model(["a/mini", "g/gemini-1-flash", "g/gemini-2-flash"], None, "d") == "g/gemini-2-flash"
     assert enrich.pick_model(["a/mini"], None, "d") == "a/mini" and enrich.pick_model([], None, "d") == "d" and enrich.pick_model(["x"], "own", "d") == "own"
+
+
+def test_answers_of_another_form_go_to_the_quarantine(spark):
+    good = {"record_id": " a ", "review_type": "scoping review", "psychological_concepts": ["fear"], "icd11": None}
+    answers = [
+        json.dumps({"records": [good, {**good, "record_id": "b", "bio_mentioned": {"deep": [1]}, "theoretical_frameworks": "one", "extra": 5}]}),
+        json.dumps([{**good, "record_id": "a", "review_type": "later"}, 7, {"review_type": "x"}, {"record_id": 3}]),
+        json.dumps({"records": [good]})[:-20], "```json\n" + json.dumps([{"record_id": "c", "conceptual_problem_flags": [1]}]) + "\n```", json.dumps({"records": "none"}), "", None, "[]",
+    ]
+    asked = spark.createDataFrame([(a, None, [str(i)]) for i, a in enumerate(answers)], "answer string, error string, keys array<string>").coalesce(1)
+    typed, odd = enrich.sorted_answers(asked)
+    got = {r["record_id"]: r for r in typed.collect()}
+    assert got.keys() == {"a", "b", "c"}
+    assert (got["a"]["review_type"], got["a"]["psychological_concepts"], got["a"]["icd11"]) == ("later", ["fear"], None)
+    assert (got["b"]["review_type"], got["b"]["bio_mentioned"], got["b"]["theoretical_frameworks"], got["c"]["conceptual_problem_flags"]) == ("scoping review", None, None, None)
+    assert {(r["keys"][0], r["path"], r["reason"].split(":")[0], r["value"]) for r in odd.collect()} == {
+        ("0", "$.records[1].bio_mentioned", "no string", '{"deep":[1]}'), ("0", "$.records[1].theoretical_frameworks", "no array<string>", '"one"'), ("0", "$.records[1].extra", "unknown field", None),
+        ("1", "$[1]", "no object", "7"), ("1", "$[2]", "no record_id", '{"review_type":"x"}'), ("1", "$[3]", "no record_id", '{"record_id":3}'),
+        ("2", "$", "no JSON", answers[2]), ("3", "$[0].conceptual_problem_flags", "no array<string>", "[1]"), ("4", "$", "no records", answers[4]), ("5", "$", "no JSON", ""),
+    }
+    assert typed.columns == enrich.answers(asked).columns

@@ -1,3 +1,4 @@
+import bisect
 import math
 import random
 
@@ -49,7 +50,7 @@ def test_windows_over_all_rows(spark):
     s = spark.createDataFrame([("x", 2.0), ("x", 4.0), ("y", 0.0)], "k string, v double").withColumn("r", frequency.relative_to_largest("v", "k"))
     assert sorted(r["r"] or 0 for r in s.collect()) == [0, 0.5, 1.0]
     c = spark.createDataFrame([(5,), (1,), (3,), (1,)], "n int")
-    assert c.agg(frequency.top_share(c, 2).alias("s")).first()["s"] == pytest.approx(0.8)
+    assert frequency.top_share(c, 2).first()["share"] == pytest.approx(0.8)
 
 
 @pytest.mark.parametrize(
@@ -233,3 +234,20 @@ def test_last_of_several_links(spark):
     links = spark.createDataFrame([("1", "PMC9", 1), ("1", "PMC2", 2), ("2", "PMC5", 1)], "pmid string, linked string, ord int")
     assert [r["pmcid"] for r in fulltext.resolve(c, links).orderBy("record_id").collect()] == ["PMC2", "PMC5"]
     assert [r["pmcid"] for r in fulltext.resolve(c, links.drop("ord")).orderBy("record_id").collect()] == ["PMC9", "PMC5"]
+
+
+def test_sketches_of_parts_give_quantiles_of_the_whole(spark):
+    rows = spark.range(60_000).select((F.col("id") % 3).alias("g"), (F.col("id") % 11).alias("part"), F.when(F.col("id") % 100 > 0, F.pow(F.pmod(F.xxhash64("id"), F.lit(10_000)) / 100.0, F.lit(2.0))).alias("x"))
+    parts = frequency.quantile_sketches(rows, "x", "g", "part")
+    merged = frequency.merged_sketches(parts, "g")
+    shares = (0.001, 0.1, 0.5, 0.9, 0.999)
+    values = {g: sorted(r["x"] for r in rows.where(F.col("g") == g).where("x is not null").collect()) for g in range(3)}
+    for r in merged.select("g", "n", *(frequency.sketch_quantile(F.col("sketch"), q).alias(f"q{i}") for i, q in enumerate(shares))).collect():
+        own = values[r["g"]]
+        assert r["n"] == len(own)
+        for i, q in enumerate(shares):
+            assert bisect.bisect_left(own, r[f"q{i}"]) / len(own) - 0.01 <= q <= bisect.bisect_right(own, r[f"q{i}"]) / len(own) + 0.01
+    loadings = rows.where("x is not null").select(F.lit("d").alias("domain"), F.col("g").cast("string").alias("part"), F.col("x").alias("loading"))
+    exact, near = ({r["part"]: r["median_loading"] for r in semantic.part_summary(loadings, sketch=k).collect()} for k in (None, 2000))
+    assert all(abs(bisect.bisect_left(values[int(p)], near[p]) - bisect.bisect_left(values[int(p)], exact[p])) <= 0.01 * 20_000 for p in exact)
+    assert frequency.quantile_sketches(rows.where("x is null"), "x", "g").count() == 0
