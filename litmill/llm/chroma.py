@@ -25,7 +25,7 @@ import wave
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from litmill.llm._base import DOCS_A_FILE, map_rows, materialise, table
@@ -178,6 +178,20 @@ def classed(prints: DataFrame) -> DataFrame:
     return rows.withColumn("class_id", F.when(F.col("id").isNotNull(), F.col("class_id")))
 
 
+def _runs(classes: DataFrame) -> DataFrame:
+    """class_id, asked, item, start, stop: where a sounding item stays the same, as in a held chord, which is one row whatever its length."""
+    n = F.size("items")
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+    def goes_on(i: Column, j: Column) -> Column:
+        return F.coalesce(F.get("sound", j) & (F.get("items", i) == F.get("items", j)), F.lit(False))
+
+    starts = F.filter(places, lambda i: F.get("sound", i) & ~goes_on(i, i - 1))
+    stops = F.filter(places, lambda i: F.get("sound", i) & ~goes_on(i, i + 1))
+    rows = classes.select("class_id", "asked", "items", F.arrays_zip(starts.alias("start"), stops.alias("stop")).alias("runs"))
+    return rows.select("class_id", "asked", "items", F.explode("runs").alias("r")).select("class_id", "asked", F.get("items", F.col("r.start")).alias("item"), "r.start", "r.stop")
+
+
 def search(prints: DataFrame, *, every: int = 50, best: int | None = None) -> DataFrame:
     """prints: as classed() gives them, written. Result: query_class, rank, match_class, copies, offset, common, overlap,
     errors: the alignments of each class with a query, or its ``best`` ones, by error rate, overlap and id; copies: its rows."""
@@ -185,10 +199,14 @@ def search(prints: DataFrame, *, every: int = 50, best: int | None = None) -> Da
     rows = prints.where("class_id is not null")
     classes = rows.groupBy("class_id").agg(F.min(F.struct("items", "sound")).alias("p"), F.count("*").alias("copies"), F.max(is_query).alias("asked"))
     classes = materialise(classes.select("class_id", "p.*", "copies", "asked"), prints.count(), DOCS_A_FILE)
-    places = classes.select("class_id", "asked", F.posexplode(F.arrays_zip("items", "sound")).alias("at", "x")).where("x.sound").select("class_id", "asked", "at", F.col("x.items").alias("item"))
-    own = places.where("asked").select(F.col("class_id").alias("query_class"), F.col("at").alias("query_at"), "item")
-    hits = own.join(places, "item").where(F.col("query_class") != F.col("class_id"))
-    offsets = hits.groupBy("query_class", "class_id", (F.col("query_at") - F.col("at")).alias("offset")).agg(F.count("*").alias("common")).where(F.col("common") >= LEAST_COMMON)
+    runs = _runs(classes)
+    own = runs.where("asked").select(F.col("class_id").alias("query_class"), "item", F.col("start").alias("q_start"), F.col("stop").alias("q_stop"))
+    hits = own.join(runs, "item").where(F.col("query_class") != F.col("class_id"))
+    # Of two runs of an item, the offsets at which they lie on each other, and at how many positions.
+    at = F.explode(F.sequence(F.col("q_start") - F.col("stop"), F.col("q_stop") - F.col("start")))
+    hits = hits.select("*", at.alias("offset"))
+    meet = F.least(F.col("q_stop"), F.col("stop") + F.col("offset")) - F.greatest(F.col("q_start"), F.col("start") + F.col("offset")) + 1
+    offsets = hits.groupBy("query_class", "class_id", "offset").agg(F.sum(meet).cast("bigint").alias("common")).where(F.col("common") >= LEAST_COMMON)
     most = F.max("common").over(Window.partitionBy("query_class", "class_id"))
     offsets = offsets.withColumn("most", most).where("common = most").drop("most")
     queries = classes.select(F.col("class_id").alias("query_class"), F.col("items").alias("a"))

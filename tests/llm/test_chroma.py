@@ -127,3 +127,16 @@ def test_a_long_recording(spark):
     rows = [(0, ch.encode(x)), (1, ch.encode(x[100 * ch.HOP : 300 * ch.HOP]))]
     got = found(ch.identify(spark.createDataFrame(rows, "vec_id bigint, audio binary"), lambda v: v, key="vec_id", column="audio"), 50)
     assert [x[:3] for x in got[0]] == [(1, 1, 100)]
+
+
+def test_a_held_chord_is_a_run(spark):
+    rng = np.random.default_rng(7)
+    held = np.repeat(rng.integers(0, 1 << 31, 6), [300, 1, 40, 700, 1, 5])
+    sound = rng.random(len(held)) > 0.01
+    prints = [(0, held, sound), (1, held[100:], sound[100:]), (2, np.roll(held, 13), np.roll(sound, 13)), (3, held[::-1].copy(), sound[::-1].copy()), (4, np.full(500, held[0]), np.ones(500, bool)), (5, held[:0], sound[:0])]
+    frame = spark.createDataFrame([(k, a.tolist(), s.tolist()) for k, a, s in prints], "id bigint, items array<bigint>, sound array<boolean>")
+    made = ch.materialise(ch.classed(frame))
+    assert ch._runs(made.withColumn("asked", F.lit(True)).where("class_id is not null")).count() < 150
+    got = {(r["query_class"], r["match_class"]): (r["offset"], r["common"], r["overlap"], r["errors"]) for r in ch.search(made, every=1).collect()}
+    want = {(x, y): r for x, a, s in prints for y, b, t in prints if x != y and len(a) and len(b) and (r := ch.align(a, s, b, t))}
+    assert got == want and len(want) > 6
