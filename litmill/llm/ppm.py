@@ -41,7 +41,7 @@ ORDER = 5
 #: Symbols: 0 before a text, bytes plus 1, the end. In 9 bits each, a gram is the symbol with its context above it.
 WIDTH, END, SYMBOLS = 9, 257, 257
 #: Bytes of text to a block, and the least if there would be fewer blocks than cores.
-BLOCK_BYTES, LEAST_BLOCK = 64 << 20, 4 << 20
+BLOCK_BYTES, LEAST_BLOCK = 40 << 20, 4 << 20
 #: Bytes of text to a file of what is asked about it.
 FILE_BYTES = 16 << 20
 #: Bytes of text that a task packs together for a block, and that it holds in all.
