@@ -109,7 +109,10 @@ def _judged(rows: DataFrame, refs: DataFrame) -> DataFrame:
     lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.btrim(x, F.lit(SPACES)) != "")
     rows = _classed(rows).withColumns({"spaced": _spaced(F.col("text")), "lines": lines})
     # Two spaces between words, so that each can be looked for with its own.
-    rows = rows.withColumns({"words": F.array_remove(F.split("spaced", " "), ""), "cores": _core(F.concat(F.lit(" "), F.replace("spaced", F.lit(" "), F.lit("  ")), F.lit(" ")))})
+    # What is longer than all common words goes first, so that less is searched for each of them.
+    cores = _core(F.concat(F.lit(" "), F.replace("spaced", F.lit(" "), F.lit("  ")), F.lit(" ")))
+    longer = F.concat(F.lit(" [^ ]{"), (F.array_max(F.transform("common", lambda w: F.length(w))) + 1).cast("string"), F.lit(",} "))
+    rows = rows.withColumns({"words": F.array_remove(F.split("spaced", " "), ""), "cores": F.regexp_replace(cores, longer, F.lit(""))})
     last = F.size("words") - 2
     shifted = F.when(last > 0, F.arrays_zip(*(F.slice("words", i + 1, last).alias(f"w{i}") for i in range(3)))).otherwise(F.array())
     rows = rows.withColumns({"windows": F.transform(shifted, lambda w: F.xxhash64(w)), "n_words": F.size("words").cast("long")})
