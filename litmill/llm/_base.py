@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -110,12 +111,22 @@ def shared_folder(spark: SparkSession) -> str:
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="litmill-shared-")
+        folder = _own_folder()
     return folder
 
 
+@functools.cache
+def _own_folder() -> str:
+    """One for the process, which goes with it."""
+    import atexit
+    import shutil
+    import tempfile
+
+    made = tempfile.mkdtemp(prefix="litmill-shared-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    return made
+
+
 class Remember(dict):
     """Key to a value that is worked out once while it is remembered.
 
