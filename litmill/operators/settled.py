@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,12 +14,22 @@ def folder(spark: SparkSession) -> str:
     if named is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
-
-        named = tempfile.mkdtemp(prefix="litmill-")
+        named = _own_folder()
     return named
 
 
+@functools.cache
+def _own_folder() -> str:
+    """One for the process, which goes with it."""
+    import atexit
+    import shutil
+    import tempfile
+
+    made = tempfile.mkdtemp(prefix="litmill-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    return made
+
+
 def settled(df: DataFrame) -> DataFrame:
     """The frame as a Parquet table of the shared folder. Each task runs once, unless it is lost before it has written."""
     path = f"{folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import os
+import re
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -109,7 +111,20 @@ def characteristics(coded: DataFrame, manifest: DataFrame | None = None, *, over
     ).orderBy("year", "record_id")
 
 
-def fragments(values: dict[str, object], templates: dict[str, str]) -> dict[str, str]:
-    """Text fragments with the values of aggregates put in."""
-    return {name: t.format(**values) for name, t in templates.items()}
+Template = str | Sequence[tuple[Callable[[dict[str, object]], bool] | None, str]]
+
+
+def fragments(values: dict[str, object], templates: dict[str, Template]) -> dict[str, str]:
+    """Text fragments with the values of aggregates put in.
+
+    A template is a text, or texts with their conditions, of which the first that holds is taken (None always does). ``{n:,}`` and
+    the like format a value; ``{n|record|records}`` gives the first word if the value is 1, else the second. No condition: an empty text.
+    """
+    out = {}
+    for name, template in templates.items():
+        ways = [(None, template)] if isinstance(template, str) else template
+        text = next((t for holds, t in ways if holds is None or holds(values)), "")
+        text = re.sub(r"\{(\w+)\|([^|{}]*)\|([^|{}]*)\}", lambda m: m[2] if values[m[1]] == 1 else m[3], text)
+        out[name] = text.format(**values)
+    return out
 

@@ -118,6 +118,9 @@ def test_countries(spark):
     assert {"Belgium", "Guinea", "United States"} <= set(names)
     df = spark.createDataFrame([("Univ, Boston, MA USA",), ("Ghent, Belgium.",), ("Malabo, Equatorial Guinea",), ("In the UK now",), ("nowhere",), (None,)], "t string")
     assert [r[0] for r in df.select(places.country(F.col("t"), names)).collect()] == ["United States", "Belgium", "Equatorial Guinea", "United Kingdom", "", ""]
+    forms = {"Kingdom of Belgium": "Belgium", "Czechia Republic": "Czechia", "Deutschland": "Germany"}
+    one = spark.createDataFrame([("Ghent, Kingdom of Belgium",), ("Berlin, deutschland",), ("Ghent, Belgium",)], "t string")
+    assert [r[0] for r in one.select(places.country(F.col("t"), names, forms)).collect()] == ["Belgium", "Germany", "Belgium"]
 
 
 def test_full_texts(spark):
@@ -161,6 +164,8 @@ def test_sinks(spark, tmp_path):
     sinks.write_vectors(spark.createDataFrame([("k", [1.0, 2.0])], "k string, v array<double>"), f"{tmp_path}/v", "k", "v")
     assert spark.read.parquet(f"{tmp_path}/v").dtypes[1][1] == "array<float>"
     assert sinks.fragments({"n": 3}, {"a": "{n} records"}) == {"a": "3 records"}
+    ways = {"a": [(lambda v: v["n"] == 0, "No records."), (lambda v: v["n"] < 1000, "{n} {n|record|records}."), (None, "{n:,} records.")], "b": [(lambda v: v["n"] > 5, "many")]}
+    assert [sinks.fragments({"n": n}, ways) for n in (0, 1, 7, 12000)] == [{"a": a, "b": b} for a, b in (("No records.", ""), ("1 record.", ""), ("7 records.", "many"), ("12,000 records.", "many"))]
     coded = spark.createDataFrame([("1", "2021", "Ames, A | Bo, B", "10.1/x", "", "systematic review", "chronic primary pain", "clinical", "conclusion", "multifactorial signal", "yes", "no", "yes", "Coping skills in chronic pain care", "", ""), ("2", "", "C D", "", "9.0", "x", "y", "mixed", "unclear", "z", "no", "no", "no", "t", "", "")], "record_id string, year string, authors string, doi string, pmid string, review_type string, icd11_pain_category string, objective_category string, bps_function string, provisional_typology string, bio_mentioned string, psych_mentioned string, social_mentioned string, title string, abstract string, objective_text string")
     a, b = sinks.characteristics(coded, overrides={"none": 1}).collect()
     assert a["cite"] == "\\href{https://doi.org/10.1/x}{Ames \\& Bo (2021)}" and (a["type"], a["pain"], a["domains"], a["typology"]) == ("Systematic review", "Primary", "B, S", "Multifactorial")
