@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from litmill.functions import text as T
 from litmill.operators import vocabulary as V
-from litmill.operators.rules import Rule, RuleSet, equals, has, like, rule_table, test
+from litmill.operators.rules import Rule, RuleSet, equals, has, like, one_scan, rule_table, test
 
 WINDOW = (dt.date(1977, 1, 1), dt.date(2026, 3, 31))
 
@@ -104,8 +104,9 @@ def code_by_rules(frame: DataFrame, *, batch_fallback: bool = False) -> DataFram
     """
     text = T.blob(_col("title", frame), _col("abstract", frame))
     typed = F.lower(F.concat_ws(" ", text, _lists("publication_types", frame)))
-    own = {"text": text, "typed": typed}
-    out = frame.withColumns(
+    sets = (OBJECTIVE, FUNCTION, PAIN, CONCEPTS, QUALITY, *DOMAINS.values())
+    scanned, own, found = one_scan(frame, {"text": text, "typed": typed}, sets)
+    out = scanned.withColumns(
         {
             "review_type": REVIEW_TYPE.first(own),
             "objective_category": OBJECTIVE.first(own),
@@ -117,7 +118,7 @@ def code_by_rules(frame: DataFrame, *, batch_fallback: bool = False) -> DataFram
             "conceptual_problem_flags": F.array(F.lit("none")),
             **{f"{d}_mentioned": rules.first(own) for d, rules in DOMAINS.items()},
         }
-    )
+    ).drop(found)
     out = out.withColumn("musculoskeletal_flag", MUSCULOSKELETAL.first({"pain": F.col("icd11_pain_category")}))
     flag = F.col("musculoskeletal_flag")
     whole = triadic(F.col("bio_mentioned"), F.col("psych_mentioned"), F.col("social_mentioned"))

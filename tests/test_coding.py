@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from litmill.operators import coding, enrich
-from litmill.operators.rules import Rule, RuleSet, equals, has, like
+from litmill.functions import text as T
+from litmill.operators.rules import Rule, RuleSet, equals, has, like, one_scan
 
 GOOD = "Biopsychosocial review of chronic pain"
 
@@ -178,3 +179,39 @@ def test_answers_of_another_form_go_to_the_quarantine(spark):
         ("2", "$", "no JSON", answers[2]), ("3", "$[0].conceptual_problem_flags", "no array<string>", "[1]"), ("4", "$", "no records", answers[4]), ("5", "$", "no JSON", ""),
     }
     assert typed.columns == enrich.answers(asked).columns
+
+
+TERMS = ("pain", "pain management", "ain ma", "management", "a-b", "+", "\U0001d51e", "\u00e9t\u00e9")
+
+
+def test_found_terms_are_those_that_the_text_contains(spark):
+    texts = ["", None, "pain management", "painmanagement", "pai n", "x+a-b", "\u00e9t\u00e9 \U0001d51e", "a-" * 50_000 + "a-b", *(a + b for a in TERMS for b in TERMS)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for t, found, none in df.select("t", T.terms_found(F.col("t"), TERMS), T.terms_found(F.col("t"), ())).collect():
+        assert found == (None if t is None else sorted(x for x in TERMS if x in t))
+        assert none == (None if t is None else [])
+    with pytest.raises(ValueError, match="empty"):
+        T.terms_found(F.col("t"), ("a", ""))
+
+
+def test_rules_give_the_same_from_one_scan(spark):
+    sets = (RuleSet((Rule("a", has("t", "pain management")), Rule("b", has("t", "pain") & ~has("u", "x")), Rule("c", ~has("t", "management", "+"))), ("none",)),
+            RuleSet((Rule("d", has("t", "ain ma") | has("t", "a-b")), Rule("e", like("t", "p.in"))), ("none",)), RuleSet((Rule("w", has("t", "ain")),), ("none",), match="word"))
+    df = spark.createDataFrame([(t, u, 1) for t in (*TERMS, "pain management", "", None, "an ain", "pains + a-b") for u in ("x", None)], "t string, u string, _FOUND int")
+    plain = {"t": F.col("t"), "u": F.col("u")}
+    scanned, columns, name = one_scan(df, plain, sets, "t")
+    assert name == "_found_"
+
+    def rows(frame, c):
+        return [tuple(r) for r in frame.select(*(s.first(c) for s in sets), *(s.all(c) for s in sets)).collect()]
+
+    assert rows(df, plain) == rows(scanned, columns)
+    with pytest.raises(ValueError, match="not looked for"):
+        has("t", "other").build(columns, "substring")
+
+
+def test_coding_reads_the_text_once(spark, capsys):
+    coded = coding.code_by_rules(spark.createDataFrame([("1", GOOD, "b", "Review", 7)], "record_id string, title string, abstract string, publication_types string, _found int"))
+    assert coded.columns.count("_found") == 1 and coded.first()["_found"] == 7
+    coded.explain()
+    assert capsys.readouterr().out.count("ArrowEvalPython") == 1
