@@ -174,26 +174,86 @@ def english_stop_words() -> list[str]:
     return StopWordsRemover.loadDefaultStopWords("english")
 
 
-def tfidf(docs: DataFrame, *, key: str, text: str, stop_words: Sequence[str] = (), bigrams: bool = True, pattern: str = TOKEN) -> DataFrame:
+def _terms(texts: Column, stop_words: Sequence[str], bigrams: bool, pattern: str) -> Column:
+    t = tokens(texts, stop_words, pattern)
+    if not bigrams:
+        return t
+    two = F.zip_with(F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))), F.slice(t, 2, F.size(t)), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.concat(t, F.when(F.size(t) > 1, two).otherwise(F.array().cast("array<string>")))
+
+
+def _idf(n: Column, df: Column) -> Column:
+    return F.log((1 + n) / (1 + df)) + 1
+
+
+def tfidf(docs: DataFrame, *, key: str, text: str, stop_words: Sequence[str] = (), bigrams: bool = True, pattern: str = TOKEN, asked: DataFrame | None = None) -> DataFrame:
     """key, term, weight: counts times ln((1 + N) / (1 + df)) + 1, scaled so that a document's weights have length one.
 
     Stop words go before pairs of words are made. Terms are counted in each document before anything is shuffled.
+
+    asked: rows of the same form whose terms are the only ones wanted, as those of anchors. Weights are the same, of all terms of all
+    documents, but only lengths are worked out from all of them, once; see _asked(). Rows without a key are left out then.
     """
-    t = docs.select(key, tokens(F.col(text), stop_words, pattern).alias("t"))
-    if bigrams:
-        two = F.zip_with(F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(0))), F.slice("t", 2, F.size("t")), lambda a, b: F.concat(a, F.lit(" "), b))
-        t = t.select(key, F.concat("t", F.when(F.size("t") > 1, two).otherwise(F.array().cast("array<string>"))).alias("t"))
+    if asked is not None:
+        return _asked(docs, asked, key, text, lambda t: _terms(t, stop_words, bigrams, pattern))
+    t = docs.select(key, _terms(F.col(text), stop_words, bigrams, pattern).alias("t"))
     counts = t.select(key, F.explode("t").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
     df = counts.groupBy("term").agg(F.count("*").alias("df"))
     n = docs.agg(F.count("*").alias("_n"))  # one row
-    raw = counts.join(df, "term").join(F.broadcast(n)).withColumn("_w", F.col("tf") * (F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1))
+    raw = counts.join(df, "term").join(F.broadcast(n)).withColumn("_w", F.col("tf") * _idf(F.col("_n"), F.col("df")))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
     return raw.select(key, "term", (F.col("_w") / norm).alias("weight"))
 
 
+def _asked(docs: DataFrame, asked: DataFrame, key: str, text: str, terms) -> DataFrame:
+    """Weights of the terms of ``asked`` in all documents, on partitions by key.
+
+    Texts move to the partition of their key once, for the result. For the lengths each term that is not
+    asked for moves once, as a hash of 96 bits; the sums of squares come back, a number for each partition and document.
+    """
+    texts = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
+    merged = lambda rows: rows.groupBy("key").agg(F.collect_list("text").alias("texts"))
+    repeated = few(settled(texts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")))
+    # Sums over documents need not lie by key, so only the texts of repeated keys move for them.
+    whole = texts.join(repeated, "key", "left_anti").where("text is not null").select("key", F.array("text").alias("texts")).unionByName(merged(texts.join(repeated, "key", "left_semi")))
+
+    def counted(rows: DataFrame) -> DataFrame:
+        """Each row with each of its terms and its count there: runs of equal terms in order."""
+        rows = rows.withColumn("_t", F.sort_array(F.flatten(F.transform("texts", terms)))).drop("texts")
+        size = F.size("_t")
+        starts = F.filter(F.transform("_t", lambda x, i: F.when((i == 0) | (x != F.get("_t", i - 1)), i)), lambda i: i.isNotNull())
+        rows = rows.withColumn("_s", starts)
+        runs = F.transform("_s", lambda at, i: F.struct(F.get("_t", at).alias("term"), (F.coalesce(F.get("_s", i + 1), size) - at).alias("tf")))
+        return rows.select(*(c for c in rows.columns if c not in ("_t", "_s")), F.inline(runs))
+
+    n = docs.agg(F.count("*").alias("_n"))  # one row
+    wanted = settled(asked.select(F.explode(terms(F.col(text))).alias("term")).distinct())
+    df = settled(counted(whole).join(few(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("_df")))
+    square = F.col("tf") * _idf(F.col("_n"), F.col("_df"))
+    square = F.sum(square * square).alias("_square")
+    known = counted(whole).join(few(df), "term").join(F.broadcast(n)).groupBy("key").agg(square)
+    hashed = counted(whole).join(few(df), "term", "left_anti").select("key", "tf", F.xxhash64("term").alias("_h"), F.hash("term").alias("_g"))
+    rest = hashed.withColumn("_df", F.count("*").over(Window.partitionBy("_h", "_g"))).join(F.broadcast(n)).groupBy("key").agg(square)
+    norms = settled(known.unionByName(rest).groupBy("key").agg(F.sqrt(F.sum("_square")).alias("_norm")))
+    # The lengths come to the texts, before there is a row for each term.
+    made = counted(merged(texts).join(norms, "key")).join(few(df), "term").join(F.broadcast(n))
+    return made.select(F.col("key").alias(key), "term", (F.col("tf") * _idf(F.col("_n"), F.col("_df")) / F.col("_norm")).alias("weight"))
+
+
+#: Rows of a term, a name and a number that are sent to every executor at most.
+FEW = 1_000_000
+
+
+def few(written: DataFrame) -> DataFrame:
+    """The written frame, sent to every executor if it has FEW rows at most; joins shuffle it otherwise."""
+    return F.broadcast(written) if written.count() <= FEW else written
+
+
 def tfidf_cosines(weights: DataFrame, anchors: DataFrame, *, key: str, anchor_key: str) -> DataFrame:
-    """Cosines of documents and anchors that share a term, by the terms' index."""
-    a = anchors.select(F.col(anchor_key).alias("anchor"), "term", F.col("weight").alias("_a"))
+    """Cosines of documents and anchors that share a term, by the terms' index.
+
+    Few anchors go to the documents, so weights that lie by their key stay where they are."""
+    a = few(settled(anchors.select(F.col(anchor_key).alias("anchor"), "term", F.col("weight").alias("_a"))))
     return weights.join(a, "term").groupBy(key, "anchor").agg(F.sum(F.col("weight") * F.col("_a")).alias("cosine"))
 
 
@@ -203,10 +263,11 @@ HOT = 0.02
 DIGITS = 9
 
 
-def top_cosines(weights: DataFrame, anchors: DataFrame, k: int, *, key: str, anchor_key: str, hot: float = HOT) -> DataFrame:
+def top_cosines(weights: DataFrame, anchors: DataFrame, k: int, *, key: str, anchor_key: str, hot: float = HOT, most: int | None = None) -> DataFrame:
     """anchor, rank, key, cosine: of each anchor the k documents of the highest cosines above 0; equal ones, to DIGITS, by key.
 
-    weights: key, term, weight; anchors: anchor_key, term, weight; none negative. Documents are counted through the index of
+    weights: key, term, weight; anchors: anchor_key, term, weight; none negative. Anchors of ``most`` terms in all (FEW) go to the
+    documents, each task keeps the best of its own for each anchor, and nothing else moves. More are found by bounds: documents are counted through the index of
     rare terms first; each anchor's k-th best sum so far is a floor. Of its common terms, the commonest are left out while
     what they can add at most (the anchor's weight times the term's largest) stays under the floor: a document with none of the others can't be
     among the best. The rest are summed too, and the few documents that can still pass the floor get what was left out from
@@ -214,6 +275,13 @@ def top_cosines(weights: DataFrame, anchors: DataFrame, k: int, *, key: str, anc
     """
     w = weights.select(F.col(key).alias("key"), "term", "weight")
     a = settled(anchors.select(F.col(anchor_key).alias("anchor"), "term", F.col("weight").alias("aw")))
+
+    def ranked(whole: DataFrame) -> DataFrame:
+        best = whole.where("cosine > 0").withColumn("rank", F.row_number().over(Window.partitionBy("anchor").orderBy(F.col("cosine").desc(), "key"))).where(F.col("rank") <= k)
+        return best.select(F.col("anchor").alias(anchor_key), "rank", F.col("key").alias(key), "cosine")
+
+    if a.count() <= (FEW if most is None else most):
+        return ranked(w.join(F.broadcast(a), "term").groupBy("key", "anchor").agg(F.round(F.sum(F.col("weight") * F.col("aw")), DIGITS).alias("cosine")))
     asked = a.select("term").distinct()
     w = settled(w.join(asked, "term", "left_semi"))
     n = w.select("key").distinct().count()
@@ -238,9 +306,7 @@ def top_cosines(weights: DataFrame, anchors: DataFrame, k: int, *, key: str, anc
     able = partial.join(more, "anchor", "left").join(floors(partial), "anchor", "left").where(F.col("floor").isNull() | (F.col("s") + F.coalesce("more", F.lit(0.0)) >= F.col("floor") - slack))
     able = settled(able.select("anchor", "key", "s"))
     rest = able.join(out.select("anchor", "term", "aw"), "anchor").join(w, ["key", "term"]).groupBy("anchor", "key").agg(F.sum(F.col("weight") * F.col("aw")).alias("s"))
-    whole = able.unionByName(rest).groupBy("anchor", "key").agg(F.round(F.sum("s"), DIGITS).alias("cosine")).where("cosine > 0")
-    ranked = whole.withColumn("rank", F.row_number().over(Window.partitionBy("anchor").orderBy(F.col("cosine").desc(), "key"))).where(F.col("rank") <= k)
-    return ranked.select(F.col("anchor").alias(anchor_key), "rank", F.col("key").alias(key), "cosine")
+    return ranked(able.unionByName(rest).groupBy("anchor", "key").agg(F.round(F.sum("s"), DIGITS).alias("cosine")))
 
 
 @dataclass
@@ -270,7 +336,7 @@ def run(coded: DataFrame, embed=None, stop_words: Sequence[str] | None = None) -
         tall = anchor_cosines(vectors, anchors, key="record_id", vector="vector")
     else:
         every = texts.select("record_id", F.col("semantic_text").alias("text"), F.lit(False).alias("is_anchor")).unionByName(names.select(F.col("anchor").alias("record_id"), F.col("prompt").alias("text"), F.lit(True).alias("is_anchor")))
-        w = tfidf(every, key="record_id", text="text", stop_words=english_stop_words() if stop_words is None else stop_words)
+        w = tfidf(every, key="record_id", text="text", stop_words=english_stop_words() if stop_words is None else stop_words, asked=every.where("is_anchor"))
         is_anchor = F.col("record_id").isin(*(f"{d}::{p}" if p else f"{d}::" for d, p, *_ in prompts()))
         sparse = tfidf_cosines(w.where(~is_anchor), w.where(is_anchor).withColumnRenamed("record_id", "anchor_id"), key="record_id", anchor_key="anchor_id")
         all_pairs = texts.select("record_id", F.explode(F.array(*(F.lit(f"{d}::{p}") for d, p, *_ in prompts()))).alias("anchor"))

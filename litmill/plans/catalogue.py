@@ -514,7 +514,8 @@ def tfidf_terms(spark, sf):
 def tfidf_cosine(spark, sf):
     """All documents against all benchmark items, weighed over both."""
     named = lambda table_, letter, key: table(spark, sf, table_).select(F.concat(F.lit(letter), F.col(key).cast("string")).alias("id"), "text")
-    w = semantic.tfidf(named("documents", "d", "doc_id").unionByName(named("benchmark", "b", "item_id")), key="id", text="text", pattern="[a-z]{2,}")
+    items = named("benchmark", "b", "item_id")
+    w = semantic.tfidf(named("documents", "d", "doc_id").unionByName(items), key="id", text="text", pattern="[a-z]{2,}", asked=items)
     a = w.where(F.col("id").startswith("b")).withColumnRenamed("id", "a_id")
     return semantic.tfidf_cosines(w.where(F.col("id").startswith("d")), a, key="id", anchor_key="a_id").select("id", "anchor", F.round("cosine", 6).alias("cosine"))
 
@@ -523,9 +524,10 @@ def tfidf_cosine(spark, sf):
   SELECT a.id AS anchor, b.id AS id, round(sum(a.weight * b.weight), 9) AS cosine FROM w a JOIN w b ON a.term = b.term WHERE a.id LIKE 'b%' AND b.id LIKE 'd%' GROUP BY 1, 2)
   SELECT anchor, CAST(row_number() OVER o AS INTEGER) AS rank, id, round(cosine, 6) AS cosine FROM s WHERE cosine > 0 WINDOW o AS (PARTITION BY anchor ORDER BY cosine DESC, id) QUALIFY row_number() OVER o <= 10""")
 def tfidf_topk(spark, sf):
-    """The ten nearest of all documents for each benchmark item, found by bounds."""
+    """The ten nearest of all documents for each benchmark item."""
     named = lambda table_, letter, key: table(spark, sf, table_).select(F.concat(F.lit(letter), F.col(key).cast("string")).alias("id"), "text")
-    w = settled(semantic.tfidf(named("documents", "d", "doc_id").unionByName(named("benchmark", "b", "item_id")), key="id", text="text", pattern="[a-z]{2,}"))
+    items = named("benchmark", "b", "item_id")
+    w = semantic.tfidf(named("documents", "d", "doc_id").unionByName(items), key="id", text="text", pattern="[a-z]{2,}", asked=items)
     a = w.where(F.col("id").startswith("b")).withColumnRenamed("id", "anchor")
     return semantic.top_cosines(w.where(F.col("id").startswith("d")), a, 10, key="id", anchor_key="anchor").withColumn("cosine", F.round("cosine", 6))
 

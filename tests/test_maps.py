@@ -210,6 +210,28 @@ def test_nearest_by_bounds_are_those_of_all_pairs(spark):
             assert [c for _, c in got[q]] == pytest.approx([c for _, c in best])
 
 
+    got = defaultdict(list)
+    for r in semantic.top_cosines(w, a, 10, key="k", anchor_key="q", hot=0.02, most=0).orderBy("q", "rank").collect():  # by bounds, as of many anchors
+        got[r["q"]].append((r["k"], r["cosine"]))
+    assert all([n for n, _ in got[q]] == [n for n, _ in best] for q, best in want.items())
+
+
+def test_weights_of_asked_terms_are_those_of_all_terms_and_stay_by_key(spark):
+    rnd = random.Random(16)
+    docs = [(f"d{i % 90}", " ".join(rnd.choices(["aa", "bb", "cc", "dd", f"own{i}", "é"], k=rnd.randrange(9)))) for i in range(100)]  # ten keys twice
+    docs = spark.createDataFrame([*docs, ("d95", None), ("d96", "")], "k string, t string")
+    items = spark.createDataFrame([("b1", "aa bb zz"), ("b2", "cc"), ("b3", None)], "k string, t string")
+    every = docs.unionByName(items)
+    whole = {(r["k"], r["term"]): r["weight"] for r in semantic.tfidf(every, key="k", text="t").collect()}
+    w = semantic.tfidf(every, key="k", text="t", asked=items)
+    got = {(r["k"], r["term"]): r["weight"] for r in w.collect()}
+    assert len(got) == w.count() and got == pytest.approx({k: x for k, x in whole.items() if k[1] in ("aa", "bb", "zz", "cc", "aa bb", "bb zz")})
+    a = w.where(F.col("k").startswith("b")).withColumnRenamed("k", "q")
+    for found in (semantic.tfidf_cosines(w, a, key="k", anchor_key="q"), semantic.top_cosines(w, a, 10, key="k", anchor_key="q")):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(key") == 1 and "hashpartitioning(term" not in plan  # only texts move
+
+
 def modularity(edges, of):
     total = sum(2 * w for *_, w in edges)
     inside, size = defaultdict(int), defaultdict(int)
