@@ -35,29 +35,25 @@ def _both(edges: DataFrame) -> DataFrame:
     ways = links.select(F.col("src").alias("u"), F.col("dst").alias("v"), F.col("weight").alias("w"))
     ways = ways.unionByName(links.select(F.col("dst").alias("u"), F.col("src").alias("v"), F.col("weight").alias("w")))
     ways = ways.unionByName(loops.select(F.col("src").alias("u"), F.col("dst").alias("v"), (2 * F.col("weight")).alias("w")))
-    return settled(ways.groupBy("u", "v").agg(F.sum("w").cast("bigint").alias("w")))
-
-
-def _joined(both: DataFrame, member: DataFrame) -> DataFrame:
-    """u, c, w: the weight of each node's links to each group; those to itself apart (own)."""
-    of = member.select(F.col("node").alias("v"), F.col("c"))
-    return both.join(of, "v").groupBy("u", "c").agg(F.sum(F.when(F.col("u") != F.col("v"), F.col("w")).otherwise(0)).alias("w"), F.sum("w").alias("all"))
+    # A node's links lie together, so that those to one group are summed before they move.
+    return settled(ways.repartition("u").groupBy("u", "v").agg(F.sum("w").cast("bigint").alias("w")))
 
 
 def _quality(both: DataFrame, member: DataFrame, total: int) -> float:
-    """Modularity of the groups."""
-    own = _joined(both, member).join(member.select(F.col("node").alias("u"), F.col("c").alias("own")), "u")
-    each = own.groupBy("own").agg(F.sum(F.when(F.col("c") == F.col("own"), F.col("all")).otherwise(0)).alias("inside"), F.sum("all").alias("tot"))
+    """Modularity of the groups: the links inside them are one sum over all, so no link moves."""
+    u, v = (member.select(F.col("node").alias(x), F.col("c").alias(f"c{x}")) for x in ("u", "v"))
+    inside = both.join(u, "u").join(v, "v").where("cu = cv").agg(F.sum("w")).first()[0] or 0
     share = F.col("tot") / F.lit(float(total))
-    return each.agg(F.sum(F.col("inside") / F.lit(float(total)) - share * share)).first()[0] or 0.0
+    return inside / total - (member.groupBy("c").agg(F.sum("k").alias("tot")).agg(F.sum(share * share)).first()[0] or 0.0)
 
 
 def _moved(both: DataFrame, member: DataFrame, total: int, half: int) -> DataFrame:
-    """node, k, c after the nodes of one half have moved."""
+    """node, k, c after the nodes of one half have moved. Only their links are read."""
     sizes = member.groupBy("c").agg(F.sum("k").alias("tot"))
     own = member.where(half_of(F.col("node")) == half).select(F.col("node").alias("u"), "k", F.col("c").alias("own"))
+    links = both.where((half_of(F.col("u")) == half) & (F.col("u") != F.col("v"))).join(member.select(F.col("node").alias("v"), "c"), "v").select("u", "c", "w")
     # A node's own group is a choice though it may have no link to it.
-    choices = _joined(both, member).select("u", "c", "w").unionByName(own.select("u", F.col("own").alias("c"), F.lit(0).cast("bigint").alias("w")))
+    choices = links.unionByName(own.select("u", F.col("own").alias("c"), F.lit(0).cast("bigint").alias("w")))
     choices = choices.groupBy("u", "c").agg(F.sum("w").alias("w")).join(own, "u").join(sizes, "c")
     rest = F.col("tot") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0)
     gain = _exact(F.lit(total)) * _exact(F.col("w")) - _exact(F.col("k")) * _exact(rest)

@@ -305,6 +305,15 @@ def test_groups_agree_with_a_plain_version(spark):
     assert none.count() == 0 and quality == 0
 
 
+def test_modularity_moves_no_link(spark):
+    both = groups._both(spark.createDataFrame([(1, 2, 3), (2, 3, 1), (4, 4, 2)], "src bigint, dst bigint, weight bigint"))
+    member = spark.createDataFrame([(1, 3, 1), (2, 4, 1), (3, 1, 3), (4, 4, 4)], "node bigint, k bigint, c bigint")
+    assert groups._quality(both, member, 12) == pytest.approx(modularity([(1, 2, 3), (2, 3, 1), (4, 4, 2)], {1: 1, 2: 1, 3: 3, 4: 4}))
+    plan = groups._moved(both, member, 12, 0)._jdf.queryExecution().optimizedPlan().toString()
+    scanned = [line for line in plan.splitlines() if "pmod(xxhash64(u" in line]
+    assert scanned  # only the links of the half that moves are read
+
+
 def test_layout_puts_linked_nodes_near_each_other(spark):
     edges = [(f"{g}{a}", f"{g}{b}", 4) for g in "abc" for a in range(6) for b in range(a + 1, 6)] + [("a0", "b0", 1), ("b1", "c1", 1)]
     got = {r["node"]: (r["x"], r["y"]) for r in groups.layout(spark.createDataFrame(edges, "src string, dst string, weight bigint")).collect()}
