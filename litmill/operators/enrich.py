@@ -56,22 +56,26 @@ def ask(records: DataFrame, enricher: Enricher, fields: Sequence[str], *, batch:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         waiting: list[dict] = []
 
-        def send() -> pd.DataFrame:
+        def send() -> tuple:
             keys = [r["record_id"] for r in waiting]
             try:
                 row = (with_retries(lambda r: enricher(r["records"]), {"records": list(waiting)}, tries=tries), None, keys)
             except Exception as e:
                 row = (None, f"{type(e).__name__}: {e}", keys)
             waiting.clear()
-            return pd.DataFrame([row], columns=["answer", "error", "keys"])
+            return row
 
+        columns = ["answer", "error", "keys"]
         for f in frames:
-            for r in f.to_dict("records"):
-                waiting.append(r)
+            got = []  # a frame of answers for each of records
+            for r in zip(*(f[c].tolist() for c in fields), strict=True):
+                waiting.append(dict(zip(fields, r, strict=True)))
                 if len(waiting) == batch:
-                    yield send()
+                    got.append(send())
+            if got:
+                yield pd.DataFrame(got, columns=columns)
         if waiting:
-            yield send()
+            yield pd.DataFrame([send()], columns=columns)
 
     return settled(records.select(*fields).repartition(workers).mapInPandas(run, "answer string, error string, keys array<string>"))
 

@@ -215,3 +215,16 @@ def test_coding_reads_the_text_once(spark, capsys):
     assert coded.columns.count("_found") == 1 and coded.first()["_found"] == 7
     coded.explain()
     assert capsys.readouterr().out.count("ArrowEvalPython") == 1
+
+
+def test_answers_come_in_frames_of_many(spark, monkeypatch):
+    real = enrich.pd.DataFrame
+    records = spark.createDataFrame([(str(i), f"t{i}") for i in range(100)], "record_id string, title string")
+    ran = []
+    monkeypatch.setattr(enrich, "settled", lambda df: df)
+    monkeypatch.setattr(type(records), "mapInPandas", lambda self, run, schema: ran.append(run) or self)
+    enrich.ask(records, lambda batch: ",".join(r["record_id"] for r in batch), ["record_id", "title"])
+    frames = list(ran[0](iter([real({"record_id": [str(i) for i in range(a, a + 50)], "title": ["t"] * 50}) for a in (0, 50)])))
+    assert [len(f) for f in frames] == [8, 8, 1]
+    assert [k for f in frames for keys in f["keys"] for k in keys] == [str(i) for i in range(100)]
+    assert frames[2]["answer"].tolist() == ["96,97,98,99"]
