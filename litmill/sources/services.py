@@ -106,13 +106,18 @@ def inner_text(xml: Column) -> Column:
     return T.squeeze(t)
 
 
+def _first(name: str) -> str:
+    """A pattern of the first element of a name: its inner XML, taken in runs without a tag, up to the first end."""
+    return rf"<{name}(?:\s[^>]*)?(?<!/)>([^<]*+(?:<(?!/{name}>)[^<]*+)*+)</{name}>"
+
+
 def _element(xml: Column, name: str) -> Column:
     """Inner XML of the first element of a name."""
-    return F.regexp_extract(xml, rf"(?s)<{name}(?:\s[^>]*)?(?<!/)>(.*?)</{name}>", 1)
+    return F.regexp_extract(xml, _first(name), 1)
 
 
 def _elements(xml: Column, name: str) -> Column:
-    return F.regexp_extract_all(xml, F.lit(rf"(?s)(<{name}(?:\s[^>]*)?(?<!/)>.*?</{name}>)"), F.lit(1))
+    return F.regexp_extract_all(xml, F.lit(_first(name)), F.lit(0))
 
 
 def _texts(xml: Column, name: str) -> Column:
@@ -126,21 +131,24 @@ def articles(pages: DataFrame, column: str = "payload") -> DataFrame:
 
 def parse_pubmed(found: DataFrame, *, query_key: str = "", query_label: str = "", search_date: str | None = None) -> DataFrame:
     """found: article. Records; text of mixed content is joined by spaces, parts of an abstract carry their labels."""
-    x = F.col("article")
-    citation, data = _element(x, "MedlineCitation"), _element(x, "PubmedData")
-    article = _element(citation, "Article")
+    # Each level is cut out once, as columns of its own that later ones read.
+    staged = found.select(_element(F.col("article"), "MedlineCitation").alias("citation"), _element(F.col("article"), "PubmedData").alias("data"))
+    staged = staged.withColumn("article", _element(F.col("citation"), "Article"))
+    staged = staged.withColumns({"authors_xml": _element(F.col("article"), "AuthorList"), "date_xml": _element(_element(F.col("article"), "JournalIssue"), "PubDate")})
+    staged = staged.withColumns({"title": inner_text(_element(F.col("article"), "ArticleTitle")), "pmid": inner_text(_element(F.col("citation"), "PMID"))})
+    citation, data, article, author_list, date = (F.col(c) for c in ("citation", "data", "article", "authors_xml", "date_xml"))
     label = lambda e: F.regexp_extract(e, r"^<AbstractText[^>]*\sLabel=\"([^\"]*)\"", 1)
-    part = lambda e: F.when(inner_text(e) == "", "").when(label(e) != "", F.concat(label(e), F.lit(": "), inner_text(e))).otherwise(inner_text(e))
-    abstract = F.array_join(F.filter(F.transform(_elements(_element(article, "Abstract"), "AbstractText"), part), lambda t: t != ""), "\n")
-    authors_xml = _elements(_element(article, "AuthorList"), "Author")
+    labelled = F.transform(_elements(_element(article, "Abstract"), "AbstractText"), lambda e: F.struct(label(e).alias("label"), inner_text(e).alias("text")))
+    part = lambda e: F.when(e["label"] != "", F.concat(e["label"], F.lit(": "), e["text"])).otherwise(e["text"])
+    abstract = F.array_join(F.transform(F.filter(labelled, lambda e: e["text"] != ""), part), "\n")
+    authors_xml = _elements(author_list, "Author")
 
     def name(a: Column) -> Column:
         whole = inner_text(_element(a, "CollectiveName"))
         return F.when(whole != "", whole).otherwise(T.squeeze(F.concat_ws(" ", inner_text(_element(a, "ForeName")), inner_text(_element(a, "LastName")))))
 
     authors = F.filter(F.transform(authors_xml, name), lambda n: n != "")
-    places = F.array_distinct(_texts(_element(article, "AuthorList"), "Affiliation"))
-    date = _element(_element(article, "JournalIssue"), "PubDate")
+    places = F.array_distinct(_texts(author_list, "Affiliation"))
     year, medline = inner_text(_element(date, "Year")), inner_text(_element(date, "MedlineDate"))
     month, day = inner_text(_element(date, "Month")), inner_text(_element(date, "Day"))
     full = F.array_join(F.filter(F.array(year, month, day), lambda p: p != ""), "-")
@@ -148,7 +156,7 @@ def parse_pubmed(found: DataFrame, *, query_key: str = "", query_label: str = ""
     types = _texts(_element(article, "PublicationTypeList"), "PublicationType")
     ids = _elements(_element(data, "ArticleIdList"), "ArticleId")
     of_kind = lambda k: F.coalesce(F.try_element_at(F.filter(F.transform(F.filter(ids, lambda i: i.contains(f'IdType="{k}"')), inner_text), lambda t: t != ""), F.lit(-1)), F.lit(""))
-    pmid, title = inner_text(_element(citation, "PMID")), inner_text(_element(article, "ArticleTitle"))
+    pmid, title = F.col("pmid"), F.col("title")
     low = F.transform(types, F.lower)
     flags = F.array_compact(F.array(
         F.when(F.exists(low, lambda t: t.contains("retracted")), "retracted_or_retraction_notice"),
@@ -166,7 +174,7 @@ def parse_pubmed(found: DataFrame, *, query_key: str = "", query_label: str = ""
         "publication_status_flag": F.when(F.size(flags) > 0, F.array_join(flags, " | ")).otherwise("none_detected"),
         "pubmed_url": T.pmid_url(pmid),
     }
-    return project(found.select(*(c.alias(n) for n, c in made.items())), RECORD)
+    return project(staged.select(*(c.alias(n) for n, c in made.items())), RECORD)
 
 
 # Services that answer in JSON.

@@ -1,3 +1,4 @@
+import re
 import json
 
 import pytest
@@ -208,3 +209,18 @@ def test_full_texts_are_looked_for_by_requests(spark):
     got = {r["record_id"]: (r["pmcid"], r["retrieval_source"]) for r in fulltext.resolve_by_requests(c, links, searches, tries=1).collect()}
     assert got == {"a": ("PMC77", "pubmed_elink"), "b": ("PMC5", "europepmc"), "c": ("PMC3", "stage2_existing_pmcid"), "d": ("PMC5", "europepmc"), "e": ("", "none"), "f": ("", "none")}
     assert fulltext.resolve_by_requests(c, None, None).where("pmcid <> ''").count() == 1
+
+
+def test_elements_end_at_their_first_end_however_long(spark):
+    xml = "<T>open <T a='1'/><T b='>'>x</T> <T>" + "<i>y</i>" * 50_000 + "</T><T\n>z</T><Tx>no</Tx><T>cut"
+    one = spark.createDataFrame([(xml,)], "x string").select(services._element(F.col("x"), "T").alias("e"), services._elements(F.col("x"), "T").alias("l"))
+    plain = list(re.finditer(r"(?s)<T(?:\s[^>]*)?(?<!/)>(.*?)</T>", xml))
+    got = one.first()
+    assert got["e"] == plain[0][1] and got["l"] == [m[0] for m in plain] and len(plain) == 3
+
+
+def test_a_level_of_an_article_is_cut_out_once(spark):
+    """Each expression that cuts an article out of its citation, or a citation out of the whole, stands in the plan once."""
+    found = services.parse_pubmed(spark.createDataFrame([("<MedlineCitation></MedlineCitation>",)], "article string"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<MedlineCitation(") == 1 and plan.count("<Article(") == 1 and plan.count("<AuthorList(") == 1
