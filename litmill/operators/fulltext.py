@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -126,14 +127,19 @@ def _article(xml: str | None) -> str | None:
     return "\n\n".join(p for p in parts if p) or _joined(body)
 
 
-def _articles(xml: pd.Series) -> pd.Series:
-    return xml.map(_article)
+#: Texts that a task holds as Python objects at a time.
+PARSED = 64
+
+
+def _articles(xml: pa.Array) -> pa.Array:
+    parts = [pa.array([_article(x) for x in xml.slice(at, PARSED).to_pylist()], pa.string()) for at in range(0, len(xml), PARSED)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
 
 def article_text(xml: Column) -> Column:
     """Title, then each section's title and text, sections inside others again by themselves; the whole body where there
     are none. Null for what is no XML. Sections nest, which patterns can't follow, so a parser reads them in Arrow batches."""
-    return F.pandas_udf(_articles, StringType())(xml)
+    return F.arrow_udf(_articles, StringType())(xml)
 
 
 def status(pmcid: Column, wanted: Column, cached: Column, text: Column, least: int = LEAST_WORDS) -> Column:

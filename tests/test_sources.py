@@ -224,3 +224,15 @@ def test_a_level_of_an_article_is_cut_out_once(spark):
     found = services.parse_pubmed(spark.createDataFrame([("<MedlineCitation></MedlineCitation>",)], "article string"))
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("<MedlineCitation(") == 1 and plan.count("<Article(") == 1 and plan.count("<AuthorList(") == 1
+
+
+def test_full_texts_are_parsed_a_few_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    xml = [f"<a><front><article-title>T{i}</article-title></front></a>" if i % 3 else None for i in range(200)]
+    held = []
+    monkeypatch.setattr(fulltext, "PARSED", 16)
+    monkeypatch.setattr(fulltext.pa, "array", lambda x, kind, make=pa.array: held.append(len(x)) or make(x, kind))
+    assert fulltext._articles(make := pa.array(xml, pa.string())).to_pylist() == [f"T{i}" if i % 3 else None for i in range(200)] and len(make) == 200
+    assert max(held[1:]) == 16
+    assert fulltext._articles(pa.array([], pa.string())).to_pylist() == []
