@@ -35,3 +35,12 @@ def settled(df: DataFrame) -> DataFrame:
     path = f"{folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, buckets: int, *by: str) -> DataFrame:
+    """The same in buckets of a key: grouped by the key, or joined by it with a frame that moves, its rows stay where they are."""
+    spark, name = df.sparkSession, f"settled_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, *by).saveAsTable(name, format="parquet", path=f"{folder(spark)}/{name}")
+    found = spark.table(name)
+    spark.sql(f"drop table {name}")  # only its name goes, the files are in a folder of their own
+    return found

@@ -5,12 +5,16 @@ neighbours in space are near it in one order or another, so in each the rows of
 cut by exact ranks, overlap by half and have a fixed number of rows, whatever repeats or crowds there are; a table of one window
 is compared whole. Each row keeps its nearest, and a bisection finds the width at which they have the perplexity.
 
-Map. Rows lie in blocks of a fixed number, by their rank in the first order. Each block holds its rows' places, the edges of its rows,
+Map. Rows lie in blocks of a fixed number, by their rank in the first order. Each block has its rows' places, the edges of its rows,
 the places of the rows that edges lead to, and the sums of all places over a grid. It makes some steps with the rest held
 still; then places and sums are exchanged and written. Repulsion is the grid's sums folded with the kernel by Fourier
 transforms, so a step costs rows, edges and grid cells. A table of one block needs no exchange. A hub's edges are in its block,
 as numbers.
 
+Exchange. Some blocks that follow each other are a part, which one task steps. Edges are dealt by part once, in buckets, and stay there; only
+places move, each once to each part that has edges to it. There are few parts, as long as their edges fit a task, so a row's
+place goes to no more of them in a larger table.
+
 Coordinates are the same for the same table on the same machine. Nulls: rows without a vector are left out. Equal vectors are neighbours at distance 0.
 A table of fewer than three rows gets its components as the map.
 """
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 
 from litmill.operators import landscape
 from litmill.operators.frequency import numbered
-from litmill.operators.settled import settled
+from litmill.operators.settled import bucketed, settled
 
 #: Rows that overlap between windows; orders of a table of more than one window; rows of a block.
 HALF, ORDERS, BLOCK = 512, 4, 4096
@@ -36,8 +40,8 @@ SIGNS = 12
 STEPS, EARLY, EXAGGERATION, ROUND = 500, 125, 12.0, 10
 #: Cells along a side of the grid, at least and at most, and their width where the most allow it.
 LEAST_CELLS, MOST_CELLS, CELL = 48, 256, 0.5
-#: Edges to a packed part.
-PART = 1 << 16
+#: Edges that are packed together; parts of a table of more blocks than that, at least; edges of a part of several blocks, about, at most.
+PART, PARTS, PART_EDGES = 1 << 16, 24, 1 << 22
 
 
 def perplexity_of(n: int) -> int:
@@ -175,12 +179,15 @@ def rate_of(n: int) -> float:
     return min(max(n / EXAGGERATION / 4, 50.0), n / 6)
 
 
-def steps(y, u, gain, i, p, j, still, others, grid, n, rate, first, count):
-    """``count`` steps from step ``first`` of the rows at ``y``. i, j, p: edges; j counts on into ``still``, the places that don't move."""
+def steps(y, u, gain, i, p, j, places, base, others, grid, n, rate, first, count):
+    """``count`` steps from step ``first`` of the rows at ``y``. i, j, p: edges; j counts in ``places``, where the rows begin at ``base`` and no others move."""
+    there = places[j]
+    own = np.flatnonzero((j >= base) & (j < base + len(y)))
+    back = j[own] - base
     for step in range(first, first + count):
         factor, momentum = (EXAGGERATION, 0.5) if step < EARLY else (1.0, 0.8)
-        all_ = np.concatenate([y, still]) if len(still) else y
-        diff = y[i] - all_[j]
+        there[own] = y[back]
+        diff = y[i] - there
         pull = factor * p / (1 + (diff * diff).sum(axis=1))
         force = np.stack([np.bincount(i, pull * diff[:, c], len(y)) for c in range(2)], axis=1)
         slope = 4 * (force - grid.repulsion(y, others, n))
@@ -191,58 +198,99 @@ def steps(y, u, gain, i, p, j, still, others, grid, n, rate, first, count):
     return y, u, gain
 
 
-STATE = "block bigint, kind int, i bigint, v array<double>, b binary"
-EDGE = np.dtype([("i", "<i4"), ("j", "<i8"), ("p", "<f8")])
+#: A part's places, and its steps and gains, as bytes; the corners of its places.
+STATE = "part bigint, y binary, rest binary, low array<double>, high array<double>"
+#: Of a part, some of its edges, or the rows whose places part ``at`` asks for.
+LINKS = "part bigint, at bigint, edges binary, sends binary"
+EDGE = np.dtype([("i", "<i4"), ("j", "<i4"), ("p", "<f8")])
+
+
+def _state(part: int, y: np.ndarray, rest: np.ndarray) -> pa.Table:
+    names = ["part", "y", "rest", "low", "high"]
+    pair = pa.list_(pa.float64())
+    return pa.table([[part], [y.tobytes()], [rest.tobytes()], pa.array([y.min(axis=0).tolist()], pair), pa.array([y.max(axis=0).tolist()], pair)], names=names)
+
 
+def _begin(points: DataFrame, size: int) -> DataFrame:
+    def pack(t: pa.Table) -> pa.Table:
+        t = t.sort_by("idx")
+        y = np.array(t.column("y").to_pylist(), np.float64).reshape(t.num_rows, 2)
+        return _state(int(t.column("idx")[0].as_py()) // size, y, np.concatenate([np.zeros_like(y), np.ones_like(y)], axis=1))
+
+    return settled(points.select(F.floor(F.col("idx") / size).alias("part"), "idx", "y").groupBy("part").applyInArrow(pack, STATE))
 
-def _packed(edges: DataFrame, block: int) -> DataFrame:
-    """Edges of each block, as the bytes of many at a time, which the rounds read again and again."""
+
+def _packed(edges: DataFrame, n: int, size: int) -> DataFrame:
+    """Edges of each part, as the bytes of many at a time, which the rounds read where they lie. j counts the part's rows, then the rows of others in order."""
 
     def pack(t: pa.Table) -> pa.Table:
-        own = np.empty(t.num_rows, EDGE)
-        base = int(t.column("block")[0].as_py()) * block
-        own["i"], own["j"], own["p"] = t.column("i").to_numpy() - base, t.column("j").to_numpy(), t.column("p").to_numpy()
-        own = own[np.lexsort((own["j"], own["i"]))]
+        part = int(t.column("part")[0].as_py())
+        base, m = part * size, min(size, n - part * size)
+        i, j = t.column("i").to_numpy() - base, t.column("j").to_numpy()
+        order = np.lexsort((j, i))
+        i, j = i[order], j[order]
+        away = (j < base) | (j >= base + m)
+        own = np.empty(len(i), EDGE)
+        own["i"], own["p"] = i, t.column("p").to_numpy()[order]
+        own["j"] = np.where(away, m + np.searchsorted(np.unique(j[away]), j), j - base)
         parts = [own[a : a + PART].tobytes() for a in range(0, len(own), PART)]
-        m = len(parts)
-        return pa.table({"block": [base // block] * m, "kind": pa.array([1] * m, pa.int32()), "i": list(range(m)), "v": pa.nulls(m, pa.list_(pa.float64())), "b": pa.array(parts, pa.binary())})
+        # Edges go both ways: a row is asked for by the parts to which its own edges lead.
+        to, row = np.divmod(np.unique(j[away] // size * size + i[away]), size)
+        parted = np.unique(to)
+        cut = np.searchsorted(to, parted)
+        sends = [rows.astype("<i4").tobytes() for rows in np.split(row, cut[1:])] if len(cut) else []
+        none = lambda of: [None] * len(of)
+        at = [*range(len(parts)), *parted.tolist()]
+        return pa.table({"part": pa.array([part] * len(at), pa.int64()), "at": pa.array(at, pa.int64()), "edges": pa.array(parts + none(sends), pa.binary()), "sends": pa.array(none(parts) + sends, pa.binary())})
+
+    parted = edges.withColumn("part", F.floor(F.col("i") / size))
+    return bucketed(parted.groupBy("part").applyInArrow(pack, LINKS), 2 * -(-n // size), "part")
 
-    return settled(edges.withColumn("block", F.floor(F.col("i") / block)).groupBy("block").applyInArrow(pack, STATE))
 
+def _sent(state: DataFrame, links: DataFrame) -> DataFrame:
+    """part, source, y: the places that a part is sent by others, each once."""
 
-def _round(inputs: DataFrame, n: int, rate: float, block: int, first: int, count: int, grid: Grid | None, cells: np.ndarray | None) -> DataFrame:
+    def send(own: pa.Table, sends: pa.Table) -> pa.Table:
+        m = sends.num_rows if own.num_rows else 0
+        y = np.frombuffer(own.column("y")[0].as_py()).reshape(-1, 2) if m else None
+        rows = (np.frombuffer(sends.column("sends")[k].as_py(), "<i4") for k in range(m))
+        source = [own.column("part")[0].as_py()] * m if m else []
+        return pa.table({"part": sends.column("at") if m else pa.array([], pa.int64()), "source": pa.array(source, pa.int64()), "y": pa.array([y[r].tobytes() for r in rows], pa.binary())})
+
+    sends = links.where("sends is not null").select("part", "at", "sends")
+    return state.select("part", "y").groupBy("part").cogroup(sends.groupBy("part")).applyInArrow(send, "part bigint, source bigint, y binary")
+
+
+def _round(state: DataFrame, sent: DataFrame | None, links: DataFrame, n: int, rate: float, block: int, first: int, count: int, grid: Grid | None, cells: np.ndarray | None) -> DataFrame:
     """A round of every block. Without a grid the block is the only one, and all rounds are made at once."""
 
-    def go(t: pa.Table) -> pa.Table:
-        kind, at = t.column("kind").to_numpy(), t.column("i").to_numpy()
-
-        def values(which: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-            places = np.flatnonzero(kind == which)
-            places = places[np.argsort(at[places], kind="stable")]
-            got = t.column("v").take(pa.array(places)).to_pylist()
-            return at[places], np.array(got, np.float64).reshape(len(places), width)
-
-        own, v = values(0, 6)
-        held, still = values(2, 2)
-        parts = np.flatnonzero(kind == 1)
-        parts = parts[np.argsort(at[parts], kind="stable")]
-        edges = np.concatenate([np.zeros(0, EDGE), *(np.frombuffer(t.column("b")[int(x)].as_py(), EDGE) for x in parts)])
-        base = int(t.column("block")[0].as_py()) * block
-        j = edges["j"]
-        mine = (j >= base) & (j < base + len(own))
-        j = np.where(mine, j - base, len(own) + np.searchsorted(held, j))
-        y, u, gain = v[:, :2].copy(), v[:, 2:4].copy(), v[:, 4:].copy()
-        i, p = edges["i"].astype(np.int64), edges["p"]
-        if grid is None:
-            for step in range(first, first + count, ROUND):
-                y, u, gain = steps(y, u, gain, i, p, j, still, 0.0, Grid(y.min(axis=0), y.max(axis=0)), n, rate, step, min(ROUND, first + count - step))
-        else:
-            others = cells - grid.sums(y, *grid.weights(y))
-            y, u, gain = steps(y, u, gain, i, p, j, still, others, grid, n, rate, first, count)
-        m = len(own)
-        return pa.table({"block": np.full(m, base // block), "kind": pa.array(np.zeros(m, np.int32)), "i": own, "v": pa.array(list(np.concatenate([y, u, gain], axis=1)), pa.list_(pa.float64())), "b": pa.nulls(m, pa.binary())})
-
-    return inputs.groupBy("block").applyInArrow(go, STATE)
+    def go(inputs: pa.Table, packed: pa.Table) -> pa.Table:
+        inputs, packed = inputs.sort_by("source"), packed.sort_by("at")
+        rest, came = inputs.column("rest").to_pylist(), [np.frombuffer(b).reshape(-1, 2) for b in inputs.column("y").to_pylist()]
+        own = next(k for k, b in enumerate(rest) if b is not None)
+        y, v = came[own].copy(), np.frombuffer(rest[own]).reshape(-1, 4)
+        u, gain = v[:, :2].copy(), v[:, 2:].copy()
+        places = np.concatenate([came.pop(own), *came])
+        edges = np.concatenate([np.zeros(0, EDGE), *(np.frombuffer(b, EDGE) for b in packed.column("edges").to_pylist())])
+        for base in range(0, len(y), block):
+            rows = slice(base, base + block)
+            e = edges[slice(*np.searchsorted(edges["i"], [base, base + block]))]
+            i, p, j = e["i"].astype(np.int64) - base, e["p"], e["j"].astype(np.int64)
+            now = y[rows], u[rows], gain[rows]
+            if grid is None:
+                for step in range(first, first + count, ROUND):
+                    now = steps(*now, i, p, j, places, base, 0.0, Grid(now[0].min(axis=0), now[0].max(axis=0)), n, rate, step, min(ROUND, first + count - step))
+            else:
+                others = cells - grid.sums(now[0], *grid.weights(now[0]))
+                now = steps(*now, i, p, j, places, base, others, grid, n, rate, first, count)
+            y[rows], u[rows], gain[rows] = now
+        return _state(inputs.column("part")[0].as_py(), y, np.concatenate([u, gain], axis=1))
+
+    inputs = state.select("part", F.col("part").alias("source"), "y", "rest")
+    if sent is not None:
+        inputs = inputs.unionByName(sent.withColumn("rest", F.lit(None).cast("binary")))
+    packed = links.where("edges is not null").select("part", "at", "edges")
+    return inputs.groupBy("part").cogroup(packed.groupBy("part")).applyInArrow(go, STATE)
 
 
 def _cells(state: DataFrame, grid: Grid) -> np.ndarray:
@@ -251,36 +299,44 @@ def _cells(state: DataFrame, grid: Grid) -> np.ndarray:
     def run(batches):
         total = np.zeros((3, grid.cells**2))
         for b in batches:
-            y = np.array(b.column(0).to_pylist(), np.float64).reshape(b.num_rows, -1)[:, :2]
-            total += grid.sums(y, *grid.weights(y))
+            for one in b.column(0):
+                y = np.frombuffer(one.as_py()).reshape(-1, 2)
+                total += grid.sums(y, *grid.weights(y))
         used = np.flatnonzero(total[0])
         yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(total[c][used]) for c in range(3))], names=["cell", "n", "x", "y"])
 
-    found = state.select("v").mapInArrow(run, "cell bigint, n double, x double, y double").groupBy("cell").agg(*(F.sum(c).alias(c) for c in ("n", "x", "y")))
+    found = state.select("y").mapInArrow(run, "cell bigint, n double, x double, y double").groupBy("cell").agg(*(F.sum(c).alias(c) for c in ("n", "x", "y")))
     out = np.zeros((3, grid.cells**2))
     for r in found.orderBy("cell").collect():
         out[:, r["cell"]] = r["n"], r["x"], r["y"]
     return out
 
 
-def embed(points: DataFrame, edges: DataFrame, n: int, *, steps_: int = STEPS, block: int = BLOCK, rate: float | None = None) -> DataFrame:
-    """points: idx, y (two coordinates to start from). edges: of graph(). Result: idx, tsne_x, tsne_y."""
+def _placed(state: DataFrame, size: int) -> DataFrame:
+    def run(batches):
+        for b in batches:
+            for part, one in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                y = np.frombuffer(one).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(part * size + np.arange(len(y))), pa.array(y[:, 0]), pa.array(y[:, 1])], names=["idx", "tsne_x", "tsne_y"])
+
+    return state.select("part", "y").mapInArrow(run, "idx bigint, tsne_x double, tsne_y double")
+
+
+def embed(points: DataFrame, edges: DataFrame, n: int, *, steps_: int = STEPS, block: int = BLOCK, parts: int = PARTS, rate: float | None = None) -> DataFrame:
+    """points: idx, y (two coordinates to start from). edges: of graph(), both ways of each. Result: idx, tsne_x, tsne_y."""
     rate = rate_of(n) if rate is None else rate
-    packed = _packed(edges, block)
-    value = F.concat("y", F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(1.0)))
-    state = points.select(F.floor(F.col("idx") / block).alias("block"), F.lit(0).alias("kind"), F.col("idx").alias("i"), value.alias("v"), F.lit(None).cast("binary").alias("b"))
+    room = PART_EDGES * n // (max(1, edges.count()) * block)
+    size = block * max(1, min(-(-n // block) // parts, room))
+    links = _packed(edges, n, size)
+    state = _begin(points, size)
     if n <= block:
-        state = settled(_round(state.unionByName(packed), n, rate, block, 0, steps_, None, None))
+        state = settled(_round(state, None, links, n, rate, block, 0, steps_, None, None))
     else:
-        wanted = settled(edges.select(F.floor(F.col("i") / block).alias("block"), F.col("j")).where(F.col("block") != F.floor(F.col("j") / block)).distinct())
         for first in range(0, steps_, ROUND):
-            x, y = F.col("v")[0], F.col("v")[1]
-            low_x, low_y, high_x, high_y = state.agg(F.min(x), F.min(y), F.max(x), F.max(y)).first()
-            grid = Grid(np.array([low_x, low_y]), np.array([high_x, high_y]))
-            still = wanted.join(state.select(F.col("i").alias("j"), F.slice("v", 1, 2).alias("v")), "j").select("block", F.lit(2).alias("kind"), F.col("j").alias("i"), "v", F.lit(None).cast("binary").alias("b"))
-            inputs = state.unionByName(packed).unionByName(still)
-            state = settled(_round(inputs, n, rate, block, first, min(ROUND, steps_ - first), grid, _cells(state, grid)))
-    return state.select(F.col("i").alias("idx"), F.col("v")[0].alias("tsne_x"), F.col("v")[1].alias("tsne_y"))
+            corners = state.agg(*(f(F.col(c)[k]) for f, c in ((F.min, "low"), (F.max, "high")) for k in range(2))).first()
+            grid = Grid(np.array(corners[:2]), np.array(corners[2:]))
+            state = settled(_round(state, _sent(state, links), links, n, rate, block, first, min(ROUND, steps_ - first), grid, _cells(state, grid)))
+    return _placed(state, size)
 
 
 def project(df: DataFrame, key: str, vector: str, *, steps: int = STEPS, block: int = BLOCK, seed: int = 42, **how) -> DataFrame:

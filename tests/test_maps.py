@@ -112,6 +112,41 @@ def test_grid_repulsion_is_near_the_sum_over_all_pairs():
     assert np.linalg.norm(got - want) <= 0.15 * np.linalg.norm(want)
 
 
+def ring(spark, n, each):
+    """Rows with edges, both ways, to the next ``each`` rows and to one half a round away."""
+    steps = [*range(1, each + 1), n // 2]
+    edges = {(i, (i + d) % n) for i in range(n) for d in steps} | {((i + d) % n, i) for i in range(n) for d in steps}
+    rng = np.random.default_rng(9)
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(n, 2)) * 1e-2)], "idx bigint, y array<double>")
+    return points, spark.createDataFrame([(i, j, 1 / len(edges)) for i, j in sorted(edges)], "i bigint, j bigint, p double")
+
+
+def test_exchanges_send_places_and_no_edges(spark):
+    n, each = 600, 60
+    points, edges = ring(spark, n, each)
+    store, last = spark.sparkContext._jsc.sc().statusStore(), [-1]
+
+    def written(steps):
+        tsne.embed(points, edges, n, steps_=steps, block=150).count()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        done = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+        stages = [s for s in (done.apply(k) for k in range(done.size())) if s.stageId() > last[0]]
+        last[0] = max(s.stageId() for s in stages)
+        return sum(s.shuffleWriteBytes() + s.diskBytesSpilled() for s in stages if "COMPLETE" in str(s.status()))
+
+    written(10)
+    each_round = (written(50) - written(10)) / 4
+    assert each_round < n * 250  # bytes; a row's edges alone have 122 * 16
+
+
+@pytest.mark.parametrize("parts", [1, 2, 24])
+def test_blocks_of_a_part_make_the_same_steps(spark, parts):
+    points, edges = ring(spark, 700, 8)
+    want, got = (tsne.embed(points, edges, 700, steps_=20, block=100, parts=p).orderBy("idx").collect() for p in (7, parts))
+    assert [r["idx"] for r in got] == list(range(700))
+    assert np.allclose([tuple(r) for r in got], [tuple(r) for r in want], rtol=0, atol=1e-9)
+
+
 def test_few_rows_have_a_map(spark):
     for n in range(5):
         df = spark.createDataFrame([(i, [float(i), 1.0, float(i * i)]) for i in range(n)], "k bigint, v array<double>")
