@@ -548,7 +548,7 @@ def tsne_landscape(spark, sf):
 @query()
 def supplier_groups(spark, sf):
     """Suppliers that serve the same orders, by groups of the graph of all lines."""
-    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("suppliers"))
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey").repartition("l_orderkey").groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("suppliers"))
     return groups.communities(R.pairs(lines, "l_orderkey", "suppliers"))[0].select(F.col("node").alias("s_suppkey"), "community")
 
 

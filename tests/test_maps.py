@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -349,6 +350,24 @@ def test_modularity_moves_no_link(spark):
     assert scanned  # only the links of the half that moves are read
 
 
+def test_links_lie_in_buckets_and_groups_are_those_of_packed_links(spark, monkeypatch):
+    rnd = random.Random(21)
+    edges = [(a, b, rnd.randrange(1, 4)) for a in range(60) for b in range(a, 60) if rnd.random() < (0.5 if a // 12 == b // 12 else 0.05)]
+    df = spark.createDataFrame(edges, "src bigint, dst bigint, weight bigint")
+    monkeypatch.setattr(groups, "LINKS_A_BUCKET", 200)
+    packed, quality = groups.communities(df)
+    both = groups._both(df)
+    member = both.groupBy("u").agg(F.sum("w").alias("k")).select(F.col("u").alias("node"), "k", F.col("u").alias("c"))
+    links = groups._moved(both, groups.settled(member), 1000, 0)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\((v|u#\w+, c)", links)  # neither links nor their sums move
+    monkeypatch.setattr(groups, "FEW", 0)  # by joins, as of many nodes
+    joined, same = groups.communities(df)
+    half = {r["n"]: r["h"] for r in spark.range(60).select(F.col("id").alias("n"), groups.half_of(F.col("id")).alias("h")).collect()}
+    want, _ = plain_groups(edges, half)
+    assert {r["node"]: r["community"] for r in packed.collect()} == {r["node"]: r["community"] for r in joined.collect()} == want
+    assert quality == pytest.approx(same) and len(set(want.values())) > 1
+
+
 def test_layout_puts_linked_nodes_near_each_other(spark):
     edges = [(f"{g}{a}", f"{g}{b}", 4) for g in "abc" for a in range(6) for b in range(a + 1, 6)] + [("a0", "b0", 1), ("b1", "c1", 1)]
     got = {r["node"]: (r["x"], r["y"]) for r in groups.layout(spark.createDataFrame(edges, "src string, dst string, weight bigint")).collect()}
