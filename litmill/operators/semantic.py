@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from litmill.functions import text as T
+from litmill.operators import packed_terms
 from litmill.operators.settled import settled
 from litmill.operators.vocabulary import ONTOLOGY
 
@@ -192,10 +193,10 @@ def tfidf(docs: DataFrame, *, key: str, text: str, stop_words: Sequence[str] = (
     Stop words go before pairs of words are made. Terms are counted in each document before anything is shuffled.
 
     asked: rows of the same form whose terms are the only ones wanted, as those of anchors. Weights are the same, of all terms of all
-    documents, but only lengths are worked out from all of them, once; see _asked(). Rows without a key are left out then.
+    documents, but only lengths are worked out from all of them, once; see packed_terms. Tokens must hold no blank then.
     """
     if asked is not None:
-        return _asked(docs, asked, key, text, lambda t: _terms(t, stop_words, bigrams, pattern))
+        return _asked(docs, asked, key, text, stop_words, bigrams, pattern)
     t = docs.select(key, _terms(F.col(text), stop_words, bigrams, pattern).alias("t"))
     counts = t.select(key, F.explode("t").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
     df = counts.groupBy("term").agg(F.count("*").alias("df"))
@@ -205,39 +206,13 @@ def tfidf(docs: DataFrame, *, key: str, text: str, stop_words: Sequence[str] = (
     return raw.select(key, "term", (F.col("_w") / norm).alias("weight"))
 
 
-def _asked(docs: DataFrame, asked: DataFrame, key: str, text: str, terms) -> DataFrame:
-    """Weights of the terms of ``asked`` in all documents, on partitions by key.
-
-    Texts move to the partition of their key once, for the result. For the lengths each term that is not
-    asked for moves once, as a hash of 96 bits; the sums of squares come back, a number for each partition and document.
-    """
-    texts = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
-    merged = lambda rows: rows.groupBy("key").agg(F.collect_list("text").alias("texts"))
-    repeated = few(settled(texts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")))
-    # Sums over documents need not lie by key, so only the texts of repeated keys move for them.
-    whole = texts.join(repeated, "key", "left_anti").where("text is not null").select("key", F.array("text").alias("texts")).unionByName(merged(texts.join(repeated, "key", "left_semi")))
-
-    def counted(rows: DataFrame) -> DataFrame:
-        """Each row with each of its terms and its count there: runs of equal terms in order."""
-        rows = rows.withColumn("_t", F.sort_array(F.flatten(F.transform("texts", terms)))).drop("texts")
-        size = F.size("_t")
-        starts = F.filter(F.transform("_t", lambda x, i: F.when((i == 0) | (x != F.get("_t", i - 1)), i)), lambda i: i.isNotNull())
-        rows = rows.withColumn("_s", starts)
-        runs = F.transform("_s", lambda at, i: F.struct(F.get("_t", at).alias("term"), (F.coalesce(F.get("_s", i + 1), size) - at).alias("tf")))
-        return rows.select(*(c for c in rows.columns if c not in ("_t", "_s")), F.inline(runs))
-
-    n = docs.agg(F.count("*").alias("_n"))  # one row
-    wanted = settled(asked.select(F.explode(terms(F.col(text))).alias("term")).distinct())
-    df = settled(counted(whole).join(few(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("_df")))
-    square = F.col("tf") * _idf(F.col("_n"), F.col("_df"))
-    square = F.sum(square * square).alias("_square")
-    known = counted(whole).join(few(df), "term").join(F.broadcast(n)).groupBy("key").agg(square)
-    hashed = counted(whole).join(few(df), "term", "left_anti").select("key", "tf", F.xxhash64("term").alias("_h"), F.hash("term").alias("_g"))
-    rest = hashed.withColumn("_df", F.count("*").over(Window.partitionBy("_h", "_g"))).join(F.broadcast(n)).groupBy("key").agg(square)
-    norms = settled(known.unionByName(rest).groupBy("key").agg(F.sqrt(F.sum("_square")).alias("_norm")))
-    # The lengths come to the texts, before there is a row for each term.
-    made = counted(merged(texts).join(norms, "key")).join(few(df), "term").join(F.broadcast(n))
-    return made.select(F.col("key").alias(key), "term", (F.col("tf") * _idf(F.col("_n"), F.col("_df")) / F.col("_norm")).alias("weight"))
+def _asked(docs: DataFrame, asked: DataFrame, key: str, text: str, stop_words: Sequence[str], bigrams: bool, pattern: str) -> DataFrame:
+    """Weights of the terms of ``asked`` in all documents, on partitions by key. Up to FEW terms go to the documents."""
+    wanted = settled(asked.select(F.explode(_terms(F.col(text), stop_words, bigrams, pattern)).alias("term")).distinct())
+    few_ = wanted.count() <= FEW
+    terms = [r["term"] for r in wanted.collect()] if few_ else None
+    found = packed_terms.weights(docs, key, text, tokens(F.col(text), stop_words, pattern), bigrams=bigrams, wanted=terms)
+    return found if few_ else found.join(wanted, "term", "left_semi").select(key, "term", "weight")
 
 
 #: Rows of a term, a name and a number that are sent to every executor at most.
@@ -253,7 +228,10 @@ def tfidf_cosines(weights: DataFrame, anchors: DataFrame, *, key: str, anchor_ke
     """Cosines of documents and anchors that share a term, by the terms' index.
 
     Few anchors go to the documents, so weights that lie by their key stay where they are."""
-    a = few(settled(anchors.select(F.col(anchor_key).alias("anchor"), "term", F.col("weight").alias("_a"))))
+    a = settled(anchors.select(F.col(anchor_key).alias("anchor"), "term", F.col("weight").alias("_a")))
+    if a.count() <= FEW:
+        w = weights.select(F.col(key).alias("key"), "term", "weight")
+        return packed_terms.cosines(w, a.withColumnRenamed("_a", "weight")).select(F.col("key").alias(key), "anchor", "cosine")
     return weights.join(a, "term").groupBy(key, "anchor").agg(F.sum(F.col("weight") * F.col("_a")).alias("cosine"))
 
 
@@ -281,7 +259,8 @@ def top_cosines(weights: DataFrame, anchors: DataFrame, k: int, *, key: str, anc
         return best.select(F.col("anchor").alias(anchor_key), "rank", F.col("key").alias(key), "cosine")
 
     if a.count() <= (FEW if most is None else most):
-        return ranked(w.join(F.broadcast(a), "term").groupBy("key", "anchor").agg(F.round(F.sum(F.col("weight") * F.col("aw")), DIGITS).alias("cosine")))
+        near = packed_terms.cosines(w, a.withColumnRenamed("aw", "weight"), best=k, slack=10.0 ** (1 - DIGITS))
+        return ranked(near.withColumn("cosine", F.round("cosine", DIGITS)))
     asked = a.select("term").distinct()
     w = settled(w.join(asked, "term", "left_semi"))
     n = w.select("key").distinct().count()

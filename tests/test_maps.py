@@ -6,10 +6,11 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from litmill.operators import groups, landscape, semantic, tsne
+from litmill.operators import groups, landscape, packed_terms, semantic, tsne
 
 
 def trust(x, y, k=10):
@@ -268,6 +269,56 @@ def test_weights_of_asked_terms_are_those_of_all_terms_and_stay_by_key(spark):
         assert plan.count("Exchange hashpartitioning(key") == 1 and "hashpartitioning(term" not in plan  # only texts move
 
 
+@pytest.mark.parametrize("bigrams", [True, False])
+def test_packed_weights_are_those_of_all_terms(spark, monkeypatch, bigrams):
+    rnd = random.Random(17)
+    rows = [(f"d{i % 70}" if i % 9 else None, " ".join(rnd.choices(["Aa", "bb", "a", "cc", "dd", f"own{i}"], k=rnd.randrange(12)))) for i in range(90)]  # repeated keys, and none
+    docs = spark.createDataFrame([*rows, ("null", None), ("empty", ""), ("long", "aa bb " * 5000)], "k string, t string").repartition(5)
+    items = spark.createDataFrame([("b1", "aa bb cc zz"), ("b2", "dd aa"), ("b3", None)], "k string, t string")
+    options = {"key": "k", "text": "t", "pattern": "[a-z]{2,}", "bigrams": bigrams}
+    whole = {(r["k"], r["term"]): r["weight"] for r in semantic.tfidf(docs, **options).collect()}
+    terms = {"aa", "bb", "cc", "zz", "dd"} | ({"aa bb", "bb cc", "cc zz", "dd aa"} if bigrams else set())
+    want = {k: x for k, x in whole.items() if k[1] in terms}
+    assert any(k is None for k, _ in want)
+    monkeypatch.setattr(packed_terms, "BATCH_BYTES", 2000)  # some thirty batches and parts
+    for few in (semantic.FEW, 0):
+        monkeypatch.setattr(semantic, "FEW", few)
+        rows = semantic.tfidf(docs, asked=items, **options).collect()
+        got = {(r["k"], r["term"]): r["weight"] for r in rows}
+        assert len(rows) == len(got) and got == pytest.approx(want)
+
+
+@pytest.mark.parametrize("sums", [1, 300, 1_000_000])
+def test_packed_cosines_are_those_of_a_join(spark, monkeypatch, sums):
+    rnd = random.Random(18)
+    docs = [(n, f"t{t}", rnd.random()) for n in range(80) for t in rnd.sample(range(30), rnd.randrange(1, 9))] + [(n, "t3", 0.5) for n in range(80, 120)] + [(120, None, 1.0), (121, "other", 1.0)]
+    asked = [(f"q{i}", f"t{t}", rnd.random()) for i in range(12) for t in rnd.sample(range(40), 6)] + [("tied", "t3", 1.0), ("nil", "t4", 0.0), ("none", "absent", 1.0)]
+    w = spark.createDataFrame(docs, "k bigint, term string, weight double").repartition(3)
+    a = spark.createDataFrame(asked, "q string, term string, weight double")
+    monkeypatch.setattr(packed_terms, "SUMS", sums)
+    want = defaultdict(float)
+    for n, t, x in docs:
+        for q, s, y in asked:
+            if t == s:
+                want[n, q] += x * y
+    got = {(r["k"], r["anchor"]): r["cosine"] for r in semantic.tfidf_cosines(w, a, key="k", anchor_key="q").collect()}
+    assert got == pytest.approx(dict(want))
+    best = {q: [n for _, n in sorted((-round(x, 9), n) for (n, p), x in want.items() if p == q and x > 0)[:10]] for q in {q for q, *_ in asked}}
+    top = defaultdict(list)
+    for r in semantic.top_cosines(w, a, 10, key="k", anchor_key="q").orderBy("q", "rank").collect():
+        top[r["q"]].append(r["k"])
+    assert top == {q: x for q, x in best.items() if x}
+
+
+def test_codes_of_terms_stay_under_the_largest_number(monkeypatch):
+    rows = pa.table({"key": ["x", "y", "x", None], "t": [["aa", "bb", "aa", "bb"], ["bb"], ["aa"], []]})
+    found = [packed_terms._counted(rows, True)]
+    monkeypatch.setattr(packed_terms, "MOST", 0)
+    found.append(packed_terms._counted(rows, True))
+    for _, words, doc, code, tf in found:
+        assert words.to_pylist() == ["aa", "bb"] and [*zip(doc.tolist(), code.tolist(), tf.tolist(), strict=True)] == [(0, 0, 3), (0, 1, 2), (0, 3, 2), (0, 4, 1), (1, 1, 1)]
+
+
 def modularity(edges, of):
     total = sum(2 * w for *_, w in edges)
     inside, size = defaultdict(int), defaultdict(int)
