@@ -138,7 +138,7 @@ def weights(docs: DataFrame, key: str, text: str, tokens: Column, *, bigrams: bo
     answers = asked.groupBy("part").applyInArrow(_answer, "batch int, part int, df binary")
     made = texts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(weigh, f"key {key_type}, term array<string>, weight array<double>")
     # A document's weights move as one row, and none after that.
-    return settled(made).repartition("key").select(F.col("key").alias(key), F.inline(F.arrays_zip("term", "weight")))
+    return settled(made).repartition(max(parts, 2), "key").select(F.col("key").alias(key), F.inline(F.arrays_zip("term", "weight")))
 
 
 #: Sums of documents and anchors that are held at a time.
