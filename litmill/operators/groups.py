@@ -3,8 +3,9 @@
 Nodes move to the neighbouring group that raises modularity most, half of them at a time (by a hash of their name), so
 that two neighbours seldom swap. When a round no longer raises it, groups become the nodes of a smaller graph, and so on, until
 nothing moves. Gains are compared as whole numbers and ties go to the smaller name, so results don't depend on the order
-of rows. Every step is a join or a sum by node or by node and group: no node's links are ever gathered. Links are
-dealt once, in buckets of their first node; groups of up to FEW nodes go to them, and no link moves again.
+of rows. Links are dealt once, in buckets of their first node, and repeated ones are summed there. Of up to FEW nodes each bucket is packed,
+some LINKS_A_BUCKET links or those of its nodes, and groups go to the packed links; the groups, a number a node, pass the driver. More nodes
+are joined with the links, where every step is a join or a sum by node or by node and group.
 
 Nulls: links without an end or weight are left out, and so are weights of 0 or less. Repeated links add up. A link of a node to itself counts for
 its group. An empty graph has no groups.
